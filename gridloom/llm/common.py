@@ -86,3 +86,14 @@ def in_global_order(df: DataFrame, order: Sequence[Column], sums: Sequence[str]
         *[(F.col(f"_base_{c}") + F.col(f"_own_{c}")).alias(f"_before_{c}") for c in sums],
         *[f"_all_{c}" for c in sums],
     )
+
+#: Rows go to Python in batches of so many bytes at most, besides Spark's bound on their number.
+BATCH_BYTES = 32 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Long texts would make batches of 10,000 rows too large; a smaller bound that is already set stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not str(now).isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from gridloom.llm import exact, mixing, sharding
+from gridloom.llm import exact, langid, media, mixing, packing, sharding, simhash, toxicity
 
 QUERIES = {
+    "op1_simhash_groups": simhash.op1_simhash_groups,
     "op3_prefix_shards": sharding.op3_prefix_shards,
+    "op4_media_columns": media.op4_media_columns,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_language_id": langid.op9_language_id,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
 
