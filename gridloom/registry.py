@@ -1,10 +1,581 @@
-"""All queries over the reference capabilities, with the SQL they are held against."""
+"""All queries over grids, paths, distribution and runs, and the SQL they are held against.
+
+The grid is a square over the events table (errors are walls); tiles are 10 x 10. Queries of paths use 24 pairs of open
+cells: 20 spread over the grid and 4 that face each other over a tile border.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from gridloom.functions import geometry as G
+from gridloom.operators import borders, cells as C, dispatch, graph, local, render, runs
+from gridloom.plans import paths
+from gridloom.plans.checkpoints import written
+from gridloom.sources import maps, runs as run_files
+from gridloom.streaming import tasks as stream
+
+SIZE = 10
+WORKERS = 4
+
+# -- Spark ------------------------------------------------------------------------------------------------------------
+
+
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    return maps.grid_from_events(spark, d)
+
+
+def _width(spark: SparkSession, d: str) -> int:
+    return int(spark.read.parquet(f"{d}/events.parquet").count() ** 0.5)
+
+
+def _start(cells: DataFrame) -> DataFrame:
+    """sx, sy: the open cell with the least (x + y, x)."""
+    best = cells.where(~F.col("wall")).agg(F.min(F.struct((F.col("x") + F.col("y")).alias("s"), "x", "y")).alias("p"))
+    return best.select(F.col("p.x").alias("sx"), F.col("p.y").alias("sy"))
+
+
+def path_queries(cells: DataFrame, size: int = SIZE) -> DataFrame:
+    """query_id, map_id, sx, sy, gx, gy; see the module."""
+    free = cells.where(~F.col("wall")).select("map_id", "x", "y").withColumn("n", F.row_number().over(Window.partitionBy("map_id").orderBy("y", "x")) - 1)
+    free = free.withColumn("count", F.count(F.lit(1)).over(Window.partitionBy("map_id")))
+    start = free.select("map_id", "x", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("k"), "n", "count")
+    s = start.where("n = (1 + k * 397) % count").select(F.col("k").alias("query_id"), "map_id", F.col("x").alias("sx"), F.col("y").alias("sy"))
+    g = start.where("n = (53 + k * 911) % count").select(F.col("k").alias("query_id"), F.col("x").alias("gx"), F.col("y").alias("gy"))
+    pairs = borders.border_pairs(cells, size).withColumn("query_id", F.row_number().over(Window.partitionBy("map_id").orderBy("a_y", "a_x", "side")).cast("long") + 19)
+    near = pairs.where("query_id < 24").select("query_id", "map_id", F.col("a_x").alias("sx"), F.col("a_y").alias("sy"), F.col("b_x").alias("gx"), F.col("b_y").alias("gy"))
+    return s.join(g, "query_id").select("query_id", "map_id", "sx", "sy", "gx", "gy").unionByName(near)
+
+
+def grid_cells(spark, d):
+    return _grid(spark, d).select("x", "y", "wall")
+
+
+def grid_summary(spark, d):
+    return C.dimensions(_grid(spark, d), SIZE).select("w", "h", "tiles_w", "tiles_h", "tiles", "open_cells", "wall_cells", F.round("wall_pct", 6).alias("wall_pct"))
+
+
+def part_grid_summary(spark, d):
+    return C.dimensions(maps.grid_from_parts(spark, d), SIZE).select("w", "h", "tiles_w", "tiles_h", "open_cells", "wall_cells")
+
+
+def tile_summary(spark, d):
+    return C.tiles(_grid(spark, d), SIZE).drop("map_id")
+
+
+def tile_scan(spark, d):
+    """The padded cells of the last tile, which sticks out of most grids."""
+    last = (_width(spark, d) - 1) // SIZE
+    return maps.tile_cells(_grid(spark, d), SIZE, last, last, padded=True).select(G.to_local("x", F.lit(last), SIZE).alias("lx"), G.to_local("y", F.lit(last), SIZE).alias("ly"), "x", "y", "wall")
+
+
+def tile_adjacency(spark, d):
+    return borders.tile_adjacency(C.tiles(_grid(spark, d), SIZE)).drop("map_id")
+
+
+def distances(spark, d):
+    cells = _grid(spark, d)
+    # One row.
+    both = cells.select("x", "y").join(F.broadcast(_start(cells).limit(1)), F.lit(True))
+    at = ("sx", "sy", "x", "y")
+    return both.select("x", "y", G.manhattan(*at).alias("manhattan"), G.chebyshev(*at).alias("chebyshev"), F.round(G.euclidean(*at), 6).alias("euclidean"), G.heuristic("euclidean", *at).alias("euclidean_floor"))
+
+
+def cell_geometry(spark, d):
+    w = _width(spark, d)
+    return _grid(spark, d).select(
+        "x", "y", G.cell_index("x", "y", F.lit(w)).alias("i"), G.tile_of("x", SIZE).alias("cx"), G.tile_of("y", SIZE).alias("cy"),
+        G.to_local("x", G.tile_of("x", SIZE), SIZE).alias("lx"), G.to_local("y", G.tile_of("y", SIZE), SIZE).alias("ly"),
+        G.strictly_inside("x", "y", F.lit(w), F.lit(w)).alias("strictly_inside"), G.inside_tile("x", "y", F.lit(0), F.lit(0), SIZE).alias("in_first_tile"),
+    )
+
+
+def neighbours(spark, d):
+    return C.neighbours(_grid(spark, d)).drop("map_id")
+
+
+def neighbours8_degree(spark, d):
+    return C.neighbours(_grid(spark, d), diagonal=True).groupBy("x", "y").agg(F.count(F.lit(1)).alias("degree"))
+
+
+def wall_lookup(spark, d):
+    """Cells one step to the right, some of which are outside."""
+    cells = _grid(spark, d)
+    points = cells.select("map_id", (F.col("x") + 1).alias("x"), "y")
+    return C.lookup(cells, points).select("x", "y", "wall")
+
+
+def grid_rle(spark, d):
+    return C.map_runs(_grid(spark, d)).select("start", "value", "count")
+
+
+def rle_decode(spark, d):
+    return C.decode_runs(C.map_runs(_grid(spark, d)), ["map_id"]).select("i", "value")
+
+
+def rle_get(spark, d):
+    cells, w = _grid(spark, d), _width(spark, d)
+    points = spark.range(0, w * w + 200, 37).select(F.lit("events").alias("map_id"), F.col("id").alias("i"))
+    return C.run_get(C.map_runs(cells), ["map_id"], points).select("i", "value")
+
+
+def rle_set_range(spark, d):
+    return C.run_set_range(C.map_runs(_grid(spark, d)), ["map_id"], 15, 140, 1).select("start", "value", "count")
+
+
+def packed_words(spark, d):
+    w = _width(spark, d)
+    bits = _grid(spark, d).select("map_id", G.cell_index("x", "y", F.lit(w)).alias("i"), F.col("wall").cast("int").alias("bit"))
+    return C.packed(bits, ["map_id"], "i", "bit").select("word", "packed")
+
+
+def border_pairs(spark, d):
+    return borders.border_pairs(_grid(spark, d), SIZE).drop("map_id")
+
+
+def border_sections(spark, d):
+    return borders.border_sections(_grid(spark, d), SIZE).drop("map_id")
+
+
+def entrances(spark, d):
+    return borders.entrances(_grid(spark, d), SIZE).drop("map_id")
+
+
+def abstract_nodes(spark, d):
+    return borders.abstract_nodes(borders.entrances(_grid(spark, d), SIZE), SIZE).drop("map_id")
+
+
+def node_count(spark, d):
+    return graph.node_count(borders.inter_edges(borders.entrances(_grid(spark, d), SIZE))).select("nodes")
+
+
+def inter_edges(spark, d):
+    return borders.inter_edges(borders.entrances(_grid(spark, d), SIZE)).select("src_x", "src_y", "dst_x", "dst_y", "weight")
+
+
+def intra_edges(spark, d):
+    cells = _grid(spark, d).persist()
+    nodes = borders.abstract_nodes(borders.entrances(cells, SIZE), SIZE)
+    return local.intra_edges(cells, nodes, SIZE).select("src_x", "src_y", "dst_x", "dst_y", "weight")
+
+
+def node_degree(spark, d):
+    return graph.degree(paths.preprocess(_grid(spark, d), SIZE).edges).drop("map_id")
+
+
+def two_hop_frontier(spark, d):
+    """Nodes two abstract hops from the first node, without those that are nearer."""
+    pre = paths.preprocess(_grid(spark, d), SIZE)
+    first = pre.nodes.agg(F.min(F.struct("y", "x", "map_id")).alias("p")).select(F.lit(0).cast("long").alias("query_id"), "p.map_id", "p.x", "p.y", F.lit(0).cast("long").alias("d"))
+    place = ["query_id", "map_id", "x", "y"]
+    one = graph.expand(first, pre.edges).groupBy(*place).agg(F.min("d").alias("d"))
+    two = graph.expand(one, pre.edges).groupBy(*place).agg(F.min("d").alias("d"))
+    return two.join(one.select(*place), place, "left_anti").join(first.select(*place), place, "left_anti").select("x", "y", "d")
+
+
+def flat_path_cost(spark, d, heuristic="manhattan"):
+    cells = _grid(spark, d).persist()
+    return paths.flat_paths(cells, path_queries(cells), heuristic).select("query_id", "cost")
+
+
+def flat_reachable(spark, d):
+    cells = _grid(spark, d).persist()
+    found = paths.find_paths(cells, path_queries(cells), mode="flat")
+    return found.select("query_id", "success")
+
+
+def exact_path_cost(spark, d):
+    cells = _grid(spark, d).persist()
+    return paths.find_paths(cells, path_queries(cells), SIZE, "exact").select("query_id", "cost")
+
+
+def hier_path_cost(spark, d):
+    cells = _grid(spark, d).persist()
+    return paths.find_paths(cells, path_queries(cells), SIZE).select("query_id", "cost")
+
+
+def relaxed_path_cost(spark, d):
+    """hier_path_cost by joins instead of a broadcast graph."""
+    cells = _grid(spark, d).persist()
+    queries = written(path_queries(cells).where("query_id < 4"))
+    return paths.abstract_paths(paths.preprocess(cells, SIZE), queries, broadcast_edges=0).select("query_id", "cost")
+
+
+def hier_vs_flat(spark, d):
+    cells = _grid(spark, d).persist()
+    queries = written(path_queries(cells))
+    hier, flat = paths.find_paths(cells, queries, SIZE), paths.find_paths(cells, queries, mode="flat")
+    return paths.compare(hier.where("success"), flat.where("success")).select("query_id", "flat_cost", "hier_cost", F.round("pct", 6).alias("pct"))
+
+
+def path_valid(spark, d):
+    cells = _grid(spark, d).persist()
+    queries = written(path_queries(cells))
+    return paths.path_violations(cells, written(paths.find_paths(cells, queries, SIZE)), queries).select("query_id", "cost", "violations")
+
+
+def path_lengths(spark, d):
+    cells = _grid(spark, d).persist()
+    found = paths.path_metrics(paths.path_rows(written(paths.find_paths(cells, path_queries(cells), SIZE))))
+    return found.select("query_id", "n_steps", "diagonal_steps", "path_cost")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _grid(spark, sf_dir).persist()
+    return paths.path_rows(paths.find_paths(cells, path_queries(cells), SIZE)).drop("map_id")
+
+
+def tile_local_cost(spark, d):
+    """From each tile's first open cell to its last."""
+    cells = _grid(spark, d).persist()
+    free = C.opened(cells, SIZE)
+    ends = free.groupBy("map_id", "cx", "cy").agg(F.min(F.struct("y", "x")).alias("s"), F.max(F.struct("y", "x")).alias("g"))
+    tasks = ends.select("map_id", (F.col("cy") * 100_000 + F.col("cx")).alias("task_id"), "cx", "cy", F.col("s.x").alias("sx"), F.col("s.y").alias("sy"), F.col("g.x").alias("gx"), F.col("g.y").alias("gy"))
+    return local.tile_tasks(cells, tasks, SIZE, with_path=False).select("cx", "cy", "cost")
+
+
+def _assignment(spark, d):
+    tiles_w = -(-_width(spark, d) // SIZE)
+    return dispatch.assignment(C.tiles(_grid(spark, d), SIZE), tiles_w, WORKERS)
+
+
+def assignment(spark, d):
+    return dispatch.located(_assignment(spark, d), WORKERS)
+
+
+def clusters_per_worker(spark, d):
+    return dispatch.clusters_per_worker(_assignment(spark, d))
+
+
+def cluster_lists(spark, d):
+    return dispatch.cluster_lists(_assignment(spark, d))
+
+
+def _waypoints(spark, d):
+    """A snake over the tiles: the first and last cell of each, and back through the first row."""
+    w = _width(spark, d)
+    last = (w - 1) // SIZE
+    tiles = C.tiles(_grid(spark, d), SIZE).select("cx", "cy")
+    order = F.col("cy") * (last + 1) + F.when(F.col("cy") % 2 == 0, F.col("cx")).otherwise(last - F.col("cx"))
+    back = tiles.where("cy = 0").select("cx", "cy", ((last + 1) * (last + 1) + last - F.col("cx")).alias("o"))
+    both = tiles.select("cx", "cy", order.alias("o")).unionByName(back)
+    corner = F.array(F.struct(F.lit(0).alias("k"), (F.col("cx") * SIZE).alias("x"), (F.col("cy") * SIZE).alias("y")), F.struct(F.lit(1).alias("k"), F.least(F.col("cx") * SIZE + SIZE - 1, F.lit(w - 1)).alias("x"), F.least(F.col("cy") * SIZE + SIZE - 1, F.lit(w - 1)).alias("y")))
+    return both.select("o", F.inline(corner)).select(F.lit(0).cast("long").alias("query_id"), (F.col("o") * 2 + F.col("k")).alias("seq"), "x", "y")
+
+
+def segments_from_waypoints(spark, d):
+    return dispatch.segments(_waypoints(spark, d), SIZE).drop("query_id")
+
+
+def merged_segments(spark, d):
+    return dispatch.merged_segments(_waypoints(spark, d), SIZE).drop("query_id")
+
+
+def tasks(spark, d):
+    return dispatch.tasks(dispatch.segments(_waypoints(spark, d), SIZE)).drop("query_id")
+
+
+def _responses(spark, d):
+    """Worker 3 hasn't come."""
+    todo = dispatch.tasks(dispatch.segments(_waypoints(spark, d), SIZE))
+    return dispatch.responses(_grid(spark, d).persist(), todo, _assignment(spark, d).where("worker_id < 3"), SIZE)
+
+
+def responses_status(spark, d):
+    return _responses(spark, d).select("task_id", "worker_id", "status_code", "cost")
+
+
+def gathered_status(spark, d):
+    return dispatch.gathered(_responses(spark, d)).select("query_id", "success")
+
+
+def worker_metrics(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet")
+    answers = events.select(F.pmod("user_id", F.lit(WORKERS)).alias("worker_id"), F.col("value").alias("cpu_time"), F.col("event_id").alias("max_memory"))
+    return dispatch.worker_metrics(answers).select("worker_id", "tasks", F.round("cpu_time", 4).alias("cpu_time"), "max_memory")
+
+
+def packet_loss(spark, d):
+    return spark.range(0, 21).select(F.col("id").alias("workers"), F.round(G.packet_loss("id"), 9).alias("loss"))
+
+
+def render_rows(spark, d):
+    cells = _grid(spark, d)
+    nodes = borders.abstract_nodes(borders.entrances(cells, SIZE), SIZE)
+    path = cells.where("x = y AND NOT wall")
+    seen = cells.where("x = 2 * y AND NOT wall")
+    return render.rendered_rows(cells, path, nodes, seen).select("y", "line")
+
+
+def parse_rendered(spark, d):
+    return render.parse_rendered(render.rendered_rows(_grid(spark, d))).select("x", "y", "wall")
+
+
+def map_text_round_trip(spark, d):
+    return maps.cells_of(maps.cells_to_text(_grid(spark, d))).select("x", "y", "wall")
+
+
+def _runs(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet")
+    return events.select(F.col("event_type").alias("algorithm"), (F.col("user_id") % 5).alias("workers_size"), F.col("value").alias("metric"), (F.col("value") * 0.37).alias("memory"), F.col("event_id").alias("run"))
+
+
+def _rounded(df, *columns):
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def runs_mean(spark, d):
+    return _rounded(runs.means(_runs(spark, d), ["algorithm", "workers_size"], ["metric", "memory"]), "metric_mean", "memory_mean")
+
+
+def runs_mean_std(spark, d):
+    return _rounded(runs.mean_std(_runs(spark, d), ["algorithm"], "metric"), "mean", "std")
+
+
+def runs_rollup(spark, d):
+    return _rounded(runs.means_with_total(_runs(spark, d), "workers_size", ["metric", "memory"]), "metric_mean", "memory_mean")
+
+
+def runs_pivot(spark, d):
+    return _rounded(runs.pivoted(_runs(spark, d), "workers_size", "algorithm", "metric", ["click", "view"]), "click", "view")
+
+
+def runs_pct_diff(spark, d):
+    return _rounded(runs.percent_difference(_runs(spark, d), "workers_size", "algorithm", "metric", "click", "view"), "base", "other", "pct")
+
+
+def runs_unpivot(spark, d):
+    long = runs.melted(_runs(spark, d), ["algorithm", "run"], ["metric", "memory"], {"metric": "Search time", "memory": "Memory"})
+    return _rounded(long.groupBy("algorithm", "metric").agg(F.avg("value").alias("mean"), F.count("value").alias("n")), "mean")
+
+
+def runs_bands(spark, d, kind="sd"):
+    return _rounded(runs.bands(_runs(spark, d), ["algorithm", "workers_size"], "metric", kind), "mean", "low", "high")
+
+
+def runs_nonzero(spark, d):
+    table = _runs(spark, d).withColumn("metric", F.when(F.col("workers_size") == 0, 0.0).otherwise(F.col("metric")))
+    return _rounded(runs.nonzero_groups(table, ["workers_size"], "metric").drop("total"), "mean", "clipped")
+
+
+def runs_labels(spark, d):
+    table = runs.labelled(runs.only(_runs(spark, d), "algorithm", ["click", "view"]), ["algorithm", "workers_size"])
+    return table.groupBy("label").agg(F.count(F.lit(1)).alias("runs"))
+
+
+def runs_map_stats(spark, d):
+    events = _runs(spark, d)
+    keyed = events.groupBy("workers_size").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("_", F.lit("worker"), F.col("run").cast("string"), F.when(F.col("run") % 2 == 0, "cpu_time").otherwise("max_memory_mb")).alias("k"), F.col("metric").alias("v")))).alias("m"))
+    return _rounded(runs.map_stats(keyed, ["workers_size"], "m", "cpu_time"), "mean", "max")
+
+
+def _log(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet")
+    line = F.concat(F.lit("Find inter edges - "), F.col("event_id"), F.lit(".5s\nPath length: "), F.col("user_id"), F.lit("\nWorker 1 CPU time: 0."), F.col("event_id"), F.lit("s\nWorker 1 Max memory: "), F.col("user_id"), F.lit(".25 MB\nWorker 2 CPU time: 1."), F.col("user_id"), F.lit("s\nWorker 2 Max memory: 3.5 MB"))
+    return events.select("event_id", line.alias("value"))
+
+
+def log_extract(spark, d):
+    return run_files.log_metrics(_log(spark, d)).select("event_id", "inter_edges", "preprocessed", "path_length")
+
+
+def log_workers(spark, d):
+    return run_files.log_workers(_log(spark, d), ["event_id"])
+
+
+def benchmark_sweep(spark, d):
+    return runs.sweep(spark, [25, 50], [1, 2, 4, 8], 3)
+
+
+def _stream(spark, d):
+    path = f"{d}/events.parquet"
+    return stream.task_stream(spark, path, spark.read.parquet(path).schema, _width(spark, d), SIZE)
+
+
+def stream_tasks(spark, d):
+    assigned = written(_assignment(spark, d).where("worker_id < 3"))
+    return stream.run_available(stream.dispatched(_stream(spark, d), assigned)).select("task_id", "worker_id", "status_code")
+
+
+def stream_distinct_tasks(spark, d):
+    return stream.run_available(stream.once_each(_stream(spark, d)).select("task_id", "x", "y"))
+
+
+def stream_worker_load(spark, d):
+    assigned = written(_assignment(spark, d))
+    return stream.run_available(stream.worker_load(stream.dispatched(_stream(spark, d), assigned)), "complete")
+
+
+# -- SQL --------------------------------------------------------------------------------------------------------------
+
+_GRID = f"""
+g AS (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS w FROM events),
+cells AS (SELECT event_id % w AS x, event_id // w AS y, event_type = 'error' AS wall, w FROM events, g WHERE event_id < w * w),
+opened AS (SELECT x, y, x // {SIZE} AS cx, y // {SIZE} AS cy FROM cells WHERE NOT wall)"""
+_RUNS = """
+m AS (SELECT *, i - row_number() OVER (PARTITION BY v ORDER BY i) AS island FROM (SELECT x + y * w AS i, CAST(wall AS INT) AS v FROM cells)),
+r AS (SELECT min(i) AS start, v AS value, count(*) AS "count" FROM m GROUP BY v, island)"""
+_PAIRS = f"""
+pairs AS (
+  SELECT 'H' AS side, a.cx, a.cy, a.x AS a_x, a.y AS a_y, b.x AS b_x, b.y AS b_y FROM opened a JOIN opened b ON b.x = a.x + 1 AND b.y = a.y WHERE a.x % {SIZE} = {SIZE - 1}
+  UNION ALL
+  SELECT 'V', a.cx, a.cy, a.x, a.y, b.x, b.y FROM opened a JOIN opened b ON b.x = a.x AND b.y = a.y + 1 WHERE a.y % {SIZE} = {SIZE - 1}),
+marked AS (SELECT *, CASE side WHEN 'H' THEN a_y ELSE a_x END AS pos FROM pairs),
+islands AS (SELECT *, pos - row_number() OVER (PARTITION BY side, cx, cy ORDER BY pos) AS island FROM marked),
+sections AS (SELECT *, min(pos) OVER s AS section, count(*) OVER s AS size, row_number() OVER (PARTITION BY side, cx, cy, island ORDER BY pos) - 1 AS rank
+             FROM islands WINDOW s AS (PARTITION BY side, cx, cy, island)),
+gates AS (SELECT side, cx, cy, a_x, a_y, b_x, b_y FROM sections WHERE rank = size // 2),
+nodes AS (SELECT DISTINCT x, y, x // {SIZE} AS cx, y // {SIZE} AS cy FROM (SELECT a_x AS x, a_y AS y FROM gates UNION ALL SELECT b_x, b_y FROM gates)),
+inter AS (SELECT DISTINCT * FROM (SELECT a_x AS src_x, a_y AS src_y, b_x AS dst_x, b_y AS dst_y, CAST(1 AS BIGINT) AS weight FROM gates UNION ALL SELECT b_x, b_y, a_x, a_y, 1 FROM gates))"""
+_DIRS = "dirs(dx, dy) AS (VALUES (-1, 0), (0, -1), (1, 0), (0, 1))"
+_INTRA = f"""
+{_DIRS},
+spread(sx, sy, x, y, d) USING KEY (sx, sy, x, y) AS (
+  SELECT x, y, x, y, CAST(0 AS BIGINT) FROM nodes
+  UNION
+  SELECT b.sx, b.sy, o.x, o.y, b.d + 1 FROM spread b, dirs, opened o
+  WHERE o.x = b.x + dx AND o.y = b.y + dy AND o.cx = b.sx // {SIZE} AND o.cy = b.sy // {SIZE}
+    AND NOT EXISTS (SELECT 1 FROM recurring.spread r WHERE r.sx = b.sx AND r.sy = b.sy AND r.x = o.x AND r.y = o.y)),
+intra AS (SELECT s.sx AS src_x, s.sy AS src_y, s.x AS dst_x, s.y AS dst_y, s.d AS weight FROM spread s JOIN nodes n ON n.x = s.x AND n.y = s.y WHERE s.x <> s.sx OR s.y <> s.sy),
+edges AS (SELECT src_x, src_y, dst_x, dst_y, min(weight) AS weight FROM (SELECT * FROM inter UNION ALL SELECT * FROM intra) GROUP BY ALL)"""
+_INTRA = _INTRA.replace("GROUP BY ALL", "GROUP BY src_x, src_y, dst_x, dst_y")
+_QUERIES = """
+ranked AS (SELECT x, y, row_number() OVER (ORDER BY y, x) - 1 AS n, count(*) OVER () AS c FROM opened),
+ks AS (SELECT CAST(unnest(range(20)) AS BIGINT) AS k),
+q AS (
+  SELECT k AS query_id, s.x AS sx, s.y AS sy, t.x AS gx, t.y AS gy FROM ks JOIN ranked s ON s.n = (1 + k * 397) % s.c JOIN ranked t ON t.n = (53 + k * 911) % t.c
+  UNION ALL
+  SELECT n, a_x, a_y, b_x, b_y FROM (SELECT *, row_number() OVER (ORDER BY a_y, a_x, side) + 19 AS n FROM pairs) WHERE n < 24)"""
+_FLAT = """
+flood(query_id, x, y, d) USING KEY (query_id, x, y) AS (
+  SELECT query_id, sx, sy, CAST(0 AS BIGINT) FROM q
+  UNION
+  SELECT b.query_id, o.x, o.y, b.d + 1 FROM flood b, dirs, opened o
+  WHERE o.x = b.x + dx AND o.y = b.y + dy AND NOT EXISTS (SELECT 1 FROM recurring.flood r WHERE r.query_id = b.query_id AND r.x = o.x AND r.y = o.y)),
+flat AS (SELECT q.query_id, f.d AS cost FROM q LEFT JOIN flood f ON f.query_id = q.query_id AND f.x = q.gx AND f.y = q.gy)"""
+_HIER = f"""
+near(query_id, side, x, y, d) USING KEY (query_id, side, x, y) AS (
+  SELECT * FROM (SELECT query_id, 's' AS side, sx, sy, CAST(0 AS BIGINT) FROM q UNION ALL SELECT query_id, 'g', gx, gy, 0 FROM q)
+  UNION
+  SELECT b.query_id, b.side, o.x, o.y, b.d + 1 FROM near b, dirs, opened o
+  WHERE o.x = b.x + dx AND o.y = b.y + dy AND o.cx = b.x // {SIZE} AND o.cy = b.y // {SIZE}
+    AND NOT EXISTS (SELECT 1 FROM recurring.near r WHERE r.query_id = b.query_id AND r.side = b.side AND r.x = o.x AND r.y = o.y)),
+ends AS (SELECT n.* FROM near n JOIN nodes m ON m.x = n.x AND m.y = n.y),
+over(query_id, x, y, d) USING KEY (query_id, x, y) AS (
+  SELECT query_id, x, y, d FROM ends WHERE side = 's'
+  UNION
+  SELECT query_id, x, y, d FROM (
+    SELECT b.query_id, e.dst_x AS x, e.dst_y AS y, min(b.d + e.weight) AS d FROM over b JOIN edges e ON e.src_x = b.x AND e.src_y = b.y GROUP BY b.query_id, e.dst_x, e.dst_y) c
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.over r WHERE r.query_id = c.query_id AND r.x = c.x AND r.y = c.y AND r.d <= c.d)),
+ways AS (
+  SELECT o.query_id, o.d + e.d AS cost FROM over o JOIN ends e ON e.query_id = o.query_id AND e.side = 'g' AND e.x = o.x AND e.y = o.y
+  UNION ALL
+  SELECT q.query_id, n.d FROM q JOIN near n ON n.query_id = q.query_id AND n.side = 's' AND n.x = q.gx AND n.y = q.gy),
+hier AS (SELECT q.query_id, min(cost) AS cost FROM q LEFT JOIN ways USING (query_id) GROUP BY q.query_id)"""
+_TILES = f"""
+t AS (SELECT DISTINCT x // {SIZE} AS cx, y // {SIZE} AS cy, (w + {SIZE - 1}) // {SIZE} AS tw, w FROM cells),
+a AS (SELECT cx + cy * tw AS cluster_idx, cx, cy, (cx + cy * tw) % {WORKERS} AS worker_id FROM t)"""
+_SNAKE = f"""
+snake AS (SELECT cx, cy, w, cy * tw + CASE WHEN cy % 2 = 0 THEN cx ELSE tw - 1 - cx END AS o FROM t UNION ALL SELECT cx, cy, w, tw * tw + tw - 1 - cx FROM t WHERE cy = 0),
+way AS (SELECT o * 2 AS seq, cx * {SIZE} AS x, cy * {SIZE} AS y FROM snake UNION ALL SELECT o * 2 + 1, least(cx * {SIZE} + {SIZE - 1}, w - 1), least(cy * {SIZE} + {SIZE - 1}, w - 1) FROM snake),
+tiled AS (SELECT *, x // {SIZE} AS cx, y // {SIZE} AS cy FROM way),
+moved AS (SELECT *, coalesce(CAST(lag(cx) OVER o <> cx OR lag(cy) OVER o <> cy AS BIGINT), 0) AS m FROM tiled WINDOW o AS (ORDER BY seq)),
+numbered AS (SELECT *, CAST(sum(m) OVER (ORDER BY seq) AS BIGINT) AS seg_idx FROM moved),
+segs AS (SELECT seg_idx, cx, cy, arg_min(x, seq) AS sx, arg_min(y, seq) AS sy, arg_max(x, seq) AS gx, arg_max(y, seq) AS gy FROM numbered GROUP BY seg_idx, cx, cy)"""
+_RESPONSES = f"""
+{_DIRS},
+todo AS (SELECT seg_idx AS task_id, segs.*, worker_id FROM segs LEFT JOIN (SELECT * FROM a WHERE worker_id < 3) USING (cx, cy)),
+reach(task_id, x, y, d) USING KEY (task_id, x, y) AS (
+  SELECT task_id, sx, sy, CAST(0 AS BIGINT) FROM todo JOIN opened o ON o.x = sx AND o.y = sy WHERE worker_id IS NOT NULL
+  UNION
+  SELECT b.task_id, o.x, o.y, b.d + 1 FROM reach b, dirs, opened o
+  WHERE o.x = b.x + dx AND o.y = b.y + dy AND o.cx = b.x // {SIZE} AND o.cy = b.y // {SIZE}
+    AND NOT EXISTS (SELECT 1 FROM recurring.reach r WHERE r.task_id = b.task_id AND r.x = o.x AND r.y = o.y)),
+answers AS (SELECT t.task_id, t.worker_id, CASE WHEN t.worker_id IS NULL THEN 2 WHEN r.d IS NULL THEN 1 ELSE 0 END AS status_code, r.d AS cost
+            FROM todo t LEFT JOIN reach r ON r.task_id = t.task_id AND r.x = t.gx AND r.y = t.gy)"""
+_RUN_TABLE = "runs AS (SELECT event_type AS algorithm, user_id % 5 AS workers_size, value AS metric, value * 0.37 AS memory, event_id AS run FROM events)"
+_LOG = r"""log AS (SELECT event_id, concat('Find inter edges - ', event_id, E'.5s\nPath length: ', user_id, E'\nWorker 1 CPU time: 0.', event_id, E's\nWorker 1 Max memory: ', user_id, E'.25 MB\nWorker 2 CPU time: 1.', user_id, E's\nWorker 2 Max memory: 3.5 MB') AS value FROM events)"""
+
+
+def _sql(*parts: str, select: str) -> str:
+    return "WITH RECURSIVE " + ",".join(parts) + "\n" + select
+
+
+_START = "s AS (SELECT x AS sx, y AS sy FROM opened ORDER BY x + y, x LIMIT 1)"
 
+#: name: (query, SQL or None)
+_ALL = {
+    "grid_cells": (grid_cells, _sql(_GRID, select="SELECT x, y, wall FROM cells")),
+    "grid_summary": (grid_summary, _sql(_GRID, select=f"SELECT max(w) AS w, max(w) AS h, max((w + {SIZE - 1}) // {SIZE}) AS tiles_w, max((w + {SIZE - 1}) // {SIZE}) AS tiles_h, max(((w + {SIZE - 1}) // {SIZE}) * ((w + {SIZE - 1}) // {SIZE})) AS tiles, count(*) FILTER (NOT wall) AS open_cells, count(*) FILTER (wall) AS wall_cells, round(count(*) FILTER (wall) * 100.0 / count(*), 6) AS wall_pct FROM cells")),
+    "part_grid_summary": (part_grid_summary, f"SELECT CAST(50 AS BIGINT) AS w, max(p_partkey // 50) + 1 AS h, CAST(5 AS BIGINT) AS tiles_w, (max(p_partkey // 50) + {SIZE}) // {SIZE} AS tiles_h, count(*) FILTER (p_size > 10) AS open_cells, count(*) FILTER (p_size <= 10) AS wall_cells FROM part"),
+    "tile_summary": (tile_summary, _sql(_GRID, select=f"SELECT x // {SIZE} AS cx, y // {SIZE} AS cy, count(*) FILTER (NOT wall) AS open_cells, count(*) FILTER (wall) AS wall_cells FROM cells GROUP BY 1, 2")),
+    "tile_scan": (tile_scan, _sql(_GRID, select=f"SELECT i % {SIZE} AS lx, i // {SIZE} AS ly, full_.x, full_.y, coalesce(wall, true) AS wall FROM (SELECT i, i % {SIZE} + ((g.w - 1) // {SIZE}) * {SIZE} AS x, i // {SIZE} + ((g.w - 1) // {SIZE}) * {SIZE} AS y FROM g, range({SIZE * SIZE}) AS r(i)) full_ LEFT JOIN cells c ON c.x = full_.x AND c.y = full_.y")),
+    "tile_adjacency": (tile_adjacency, _sql(_GRID, _TILES, select="SELECT 'H' AS side, p.cx, p.cy, r.cx AS to_cx, r.cy AS to_cy FROM t p JOIN t r ON r.cx = p.cx + 1 AND r.cy = p.cy UNION ALL SELECT 'V', p.cx, p.cy, r.cx, r.cy FROM t p JOIN t r ON r.cx = p.cx AND r.cy = p.cy + 1")),
+    "distances": (distances, _sql(_GRID, _START, select="SELECT x, y, abs(sx - x) + abs(sy - y) AS manhattan, greatest(abs(sx - x), abs(sy - y)) AS chebyshev, round(sqrt((sx - x) * (sx - x) + (sy - y) * (sy - y)), 6) AS euclidean, CAST(floor(sqrt((sx - x) * (sx - x) + (sy - y) * (sy - y))) AS BIGINT) AS euclidean_floor FROM cells, s")),
+    "cell_geometry": (cell_geometry, _sql(_GRID, select=f"SELECT x, y, x + y * w AS i, x // {SIZE} AS cx, y // {SIZE} AS cy, x % {SIZE} AS lx, y % {SIZE} AS ly, x > 0 AND y > 0 AS strictly_inside, x < {SIZE} AND y < {SIZE} AS in_first_tile FROM cells")),
+    "neighbours": (neighbours, _sql(_GRID, "d4(dx, dy, dir) AS (VALUES (-1, 0, 'W'), (0, -1, 'N'), (1, 0, 'E'), (0, 1, 'S'))", select="SELECT p.x, p.y, dir, n.x AS nx, n.y AS ny FROM opened p, d4 JOIN opened n ON n.x = p.x + dx AND n.y = p.y + dy")),
+    "neighbours8_degree": (neighbours8_degree, _sql(_GRID, "d8 AS (SELECT i % 3 - 1 AS dx, i // 3 - 1 AS dy FROM range(9) AS r(i) WHERE i <> 4)", select="SELECT p.x, p.y, count(*) AS degree FROM opened p, d8 JOIN opened n ON n.x = p.x + dx AND n.y = p.y + dy GROUP BY 1, 2")),
+    "wall_lookup": (wall_lookup, _sql(_GRID, select="SELECT p.x + 1 AS x, p.y, coalesce(c.wall, true) AS wall FROM cells p LEFT JOIN cells c ON c.x = p.x + 1 AND c.y = p.y")),
+    "grid_rle": (grid_rle, _sql(_GRID, _RUNS, select='SELECT start, value, "count" FROM r')),
+    "rle_decode": (rle_decode, _sql(_GRID, select="SELECT x + y * w AS i, CAST(wall AS INT) AS value FROM cells")),
+    "rle_get": (rle_get, _sql(_GRID, select="SELECT k.i, coalesce(CAST(wall AS INT), 1) AS value FROM (SELECT unnest(range(0, w * w + 200, 37)) AS i FROM g) k LEFT JOIN cells c ON c.x + c.y * c.w = k.i")),
+    "rle_set_range": (rle_set_range, _sql(_GRID.replace("event_type = 'error' AS wall", "event_type = 'error' OR event_id BETWEEN 15 AND 140 AS wall"), _RUNS, select='SELECT start, value, "count" FROM r')),
+    "packed_words": (packed_words, _sql(_GRID, select="SELECT i // 32 AS word, CAST(sum(CASE WHEN wall THEN CAST(1 AS BIGINT) << CAST(31 - i % 32 AS INT) ELSE 0 END) AS BIGINT) AS packed FROM (SELECT x + y * w AS i, wall FROM cells) GROUP BY 1")),
+    "border_pairs": (border_pairs, _sql(_GRID, _PAIRS, select="SELECT * FROM pairs")),
+    "border_sections": (border_sections, _sql(_GRID, _PAIRS, select="SELECT side, cx, cy, section, size FROM sections WHERE rank = 0")),
+    "entrances": (entrances, _sql(_GRID, _PAIRS, select="SELECT * FROM gates")),
+    "abstract_nodes": (abstract_nodes, _sql(_GRID, _PAIRS, select="SELECT * FROM nodes")),
+    "node_count": (node_count, _sql(_GRID, _PAIRS, select="SELECT count(*) AS nodes FROM nodes")),
+    "inter_edges": (inter_edges, _sql(_GRID, _PAIRS, select="SELECT * FROM inter")),
+    "intra_edges": (intra_edges, _sql(_GRID, _PAIRS, _INTRA, select="SELECT * FROM intra")),
+    "node_degree": (node_degree, _sql(_GRID, _PAIRS, _INTRA, select="SELECT src_x AS x, src_y AS y, count(*) AS degree, min(weight) AS nearest FROM edges GROUP BY 1, 2")),
+    "two_hop_frontier": (two_hop_frontier, _sql(_GRID, _PAIRS, _INTRA, "f AS (SELECT x, y FROM nodes ORDER BY y, x LIMIT 1)", "one AS (SELECT dst_x AS x, dst_y AS y, weight AS d FROM f JOIN edges ON src_x = x AND src_y = y)", "two AS (SELECT dst_x AS x, dst_y AS y, min(d + weight) AS d FROM one JOIN edges ON src_x = x AND src_y = y GROUP BY 1, 2)", select="SELECT * FROM two WHERE NOT EXISTS (SELECT 1 FROM one WHERE one.x = two.x AND one.y = two.y) AND NOT EXISTS (SELECT 1 FROM f WHERE f.x = two.x AND f.y = two.y)")),
+    "flat_path_cost": (flat_path_cost, _sql(_GRID, _PAIRS, _QUERIES, _DIRS, _FLAT, select="SELECT * FROM flat")),
+    "flat_path_cost_chebyshev": (partial(flat_path_cost, heuristic="chebyshev"), _sql(_GRID, _PAIRS, _QUERIES, _DIRS, _FLAT, select="SELECT * FROM flat")),
+    "flat_path_cost_euclidean": (partial(flat_path_cost, heuristic="euclidean"), _sql(_GRID, _PAIRS, _QUERIES, _DIRS, _FLAT, select="SELECT * FROM flat")),
+    "flat_reachable": (flat_reachable, _sql(_GRID, _PAIRS, _QUERIES, _DIRS, _FLAT, select="SELECT query_id, cost IS NOT NULL AS success FROM flat")),
+    "exact_path_cost": (exact_path_cost, _sql(_GRID, _PAIRS, _QUERIES, _DIRS, _FLAT, select="SELECT * FROM flat")),
+    "hier_path_cost": (hier_path_cost, _sql(_GRID, _PAIRS, _INTRA, _QUERIES, _HIER, select="SELECT * FROM hier")),
+    "relaxed_path_cost": (relaxed_path_cost, _sql(_GRID, _PAIRS, _INTRA, _QUERIES, _HIER, select="SELECT * FROM hier WHERE query_id < 4 AND cost IS NOT NULL")),
+    "hier_vs_flat": (hier_vs_flat, _sql(_GRID, _PAIRS, _INTRA, _QUERIES, _HIER, _FLAT, select="SELECT h.query_id, f.cost AS flat_cost, h.cost AS hier_cost, round((h.cost - f.cost) * 100.0 / nullif(f.cost, 0), 6) AS pct FROM hier h JOIN flat f USING (query_id) WHERE h.cost IS NOT NULL AND f.cost IS NOT NULL")),
+    "path_valid": (path_valid, _sql(_GRID, _PAIRS, _INTRA, _QUERIES, _HIER, select="SELECT query_id, cost, CAST(0 AS BIGINT) AS violations FROM hier WHERE cost IS NOT NULL")),
+    "path_lengths": (path_lengths, _sql(_GRID, _PAIRS, _INTRA, _QUERIES, _HIER, select="SELECT query_id, cost AS n_steps, CAST(0 AS BIGINT) AS diagonal_steps, CAST(cost + 1 AS DOUBLE) AS path_cost FROM hier WHERE cost IS NOT NULL")),
+    "tile_local_cost": (tile_local_cost, _sql(_GRID, _DIRS, f"e AS (SELECT cx, cy, min(y * 100000 + x) AS s, max(y * 100000 + x) AS z FROM opened GROUP BY 1, 2), reach(cx, cy, x, y, d) USING KEY (cx, cy, x, y) AS (SELECT cx, cy, s % 100000, s // 100000, CAST(0 AS BIGINT) FROM e UNION SELECT b.cx, b.cy, o.x, o.y, b.d + 1 FROM reach b, dirs, opened o WHERE o.x = b.x + dx AND o.y = b.y + dy AND o.cx = b.cx AND o.cy = b.cy AND NOT EXISTS (SELECT 1 FROM recurring.reach r WHERE r.cx = b.cx AND r.cy = b.cy AND r.x = o.x AND r.y = o.y))", select="SELECT e.cx, e.cy, r.d AS cost FROM e LEFT JOIN reach r ON r.cx = e.cx AND r.cy = e.cy AND r.x = z % 100000 AND r.y = z // 100000")),
+    "assignment": (assignment, _sql(_GRID, _TILES, select="SELECT * FROM a")),
+    "clusters_per_worker": (clusters_per_worker, _sql(_GRID, _TILES, select="SELECT worker_id, count(*) AS clusters FROM a GROUP BY 1")),
+    "cluster_lists": (cluster_lists, _sql(_GRID, _TILES, select="SELECT worker_id, string_agg(concat(cx, ':', cy), ',' ORDER BY cluster_idx) AS clusters FROM a GROUP BY 1")),
+    "segments_from_waypoints": (segments_from_waypoints, _sql(_GRID, _TILES, _SNAKE, select="SELECT * FROM segs")),
+    "merged_segments": (merged_segments, _sql(_GRID, _TILES, _SNAKE, select="SELECT row_number() OVER (ORDER BY min(seq)) - 1 AS seg_idx, cx, cy, arg_min(x, seq) AS sx, arg_min(y, seq) AS sy, arg_max(x, seq) AS gx, arg_max(y, seq) AS gy FROM tiled GROUP BY cx, cy")),
+    "tasks": (tasks, _sql(_GRID, _TILES, _SNAKE, select="SELECT seg_idx AS task_id, cx, cy, sx, sy, gx, gy FROM segs")),
+    "responses_status": (responses_status, _sql(_GRID, _TILES, _SNAKE, _RESPONSES, select="SELECT * FROM answers")),
+    "gathered_status": (gathered_status, _sql(_GRID, _TILES, _SNAKE, _RESPONSES, select="SELECT CAST(0 AS BIGINT) AS query_id, max(status_code) = 0 AS success FROM answers")),
+    "worker_metrics": (worker_metrics, f"SELECT user_id % {WORKERS} AS worker_id, count(*) AS tasks, round(sum(value), 4) AS cpu_time, max(event_id) AS max_memory FROM events GROUP BY 1"),
+    "packet_loss": (packet_loss, "SELECT i AS workers, round((1 - exp(-0.2 * i)) * 100, 9) AS loss FROM range(21) AS r(i)"),
+    "render_rows": (render_rows, _sql(_GRID, _PAIRS, select="SELECT c.y, string_agg(CASE WHEN c.x = c.y AND NOT wall THEN '*' WHEN n.x IS NOT NULL THEN '~' WHEN c.x = 2 * c.y AND NOT wall THEN 'o' WHEN wall THEN '@' ELSE ' ' END, '' ORDER BY c.x) AS line FROM cells c LEFT JOIN nodes n ON n.x = c.x AND n.y = c.y GROUP BY c.y")),
+    "parse_rendered": (parse_rendered, _sql(_GRID, select="SELECT x, y, wall FROM cells")),
+    "map_text_round_trip": (map_text_round_trip, _sql(_GRID, select="SELECT x, y, wall FROM cells")),
+    "runs_mean": (runs_mean, _sql(_RUN_TABLE, select="SELECT algorithm, workers_size, round(avg(metric), 6) AS metric_mean, round(avg(memory), 6) AS memory_mean, count(*) AS runs FROM runs GROUP BY 1, 2")),
+    "runs_mean_std": (runs_mean_std, _sql(_RUN_TABLE, select="SELECT algorithm, round(avg(metric), 6) AS mean, round(coalesce(stddev_samp(metric), 0), 6) AS std FROM runs GROUP BY 1")),
+    "runs_rollup": (runs_rollup, _sql(_RUN_TABLE, select="SELECT workers_size, round(avg(metric), 6) AS metric_mean, round(avg(memory), 6) AS memory_mean FROM runs GROUP BY ROLLUP (workers_size)")),
+    "runs_pivot": (runs_pivot, _sql(_RUN_TABLE, select="SELECT workers_size, round(avg(metric) FILTER (algorithm = 'click'), 6) AS click, round(avg(metric) FILTER (algorithm = 'view'), 6) AS view FROM runs GROUP BY 1")),
+    "runs_pct_diff": (runs_pct_diff, _sql(_RUN_TABLE, "p AS (SELECT workers_size, avg(metric) FILTER (algorithm = 'click') AS c, avg(metric) FILTER (algorithm = 'view') AS v FROM runs GROUP BY 1)", select="SELECT workers_size, round(c, 6) AS base, round(v, 6) AS other, round((v - c) / nullif(c, 0) * 100, 6) AS pct FROM p")),
+    "runs_unpivot": (runs_unpivot, _sql(_RUN_TABLE, select="SELECT algorithm, 'Search time' AS metric, round(avg(metric), 6) AS mean, count(metric) AS n FROM runs GROUP BY 1 UNION ALL SELECT algorithm, 'Memory', round(avg(memory), 6), count(memory) FROM runs GROUP BY 1")),
+    "runs_bands": (runs_bands, _sql(_RUN_TABLE, select="SELECT algorithm, workers_size, round(avg(metric), 6) AS mean, round(avg(metric) - coalesce(stddev_samp(metric), 0), 6) AS low, round(avg(metric) + coalesce(stddev_samp(metric), 0), 6) AS high FROM runs GROUP BY 1, 2")),
+    "runs_bands_ci": (partial(runs_bands, kind="ci"), _sql(_RUN_TABLE, select="SELECT algorithm, workers_size, round(avg(metric), 6) AS mean, round(avg(metric) - coalesce(stddev_samp(metric), 0) * 1.96 / sqrt(count(metric)), 6) AS low, round(avg(metric) + coalesce(stddev_samp(metric), 0) * 1.96 / sqrt(count(metric)), 6) AS high FROM runs GROUP BY 1, 2")),
+    "runs_nonzero": (runs_nonzero, _sql(_RUN_TABLE, select="SELECT workers_size, round(avg(metric), 6) AS mean, round(greatest(avg(metric), 1e-6), 6) AS clipped FROM runs WHERE workers_size <> 0 GROUP BY 1")),
+    "runs_labels": (runs_labels, _sql(_RUN_TABLE, select="SELECT concat(algorithm, '-', workers_size) AS label, count(*) AS runs FROM runs WHERE algorithm IN ('click', 'view') GROUP BY 1")),
+    "runs_map_stats": (runs_map_stats, _sql(_RUN_TABLE, select="SELECT workers_size, round(avg(metric) FILTER (run % 2 = 0 AND metric <> 0), 6) AS mean, round(max(metric) FILTER (run % 2 = 0 AND metric <> 0), 6) AS max FROM runs GROUP BY 1")),
+    "log_extract": (log_extract, _sql(_LOG, select=r"SELECT event_id, CAST(regexp_extract(value, 'Find inter edges - ([\d.]+)s', 1) AS DOUBLE) AS inter_edges, CAST(NULL AS DOUBLE) AS preprocessed, CAST(regexp_extract(value, 'Path length: (\d+)', 1) AS DOUBLE) AS path_length FROM log")),
+    "log_workers": (log_workers, _sql(_LOG, select=r"SELECT event_id, k AS worker, CAST(regexp_extract(value, concat('Worker ', k, ' CPU time: ([\d.]+)s'), 1) AS DOUBLE) AS cpu_time, CAST(regexp_extract(value, concat('Worker ', k, ' Max memory: ([\d.]+) MB'), 1) AS DOUBLE) AS max_memory_mb FROM log, (VALUES (1), (2)) AS v(k)")),
+    "benchmark_sweep": (benchmark_sweep, "SELECT c AS cluster_size, w AS workers_size, r AS run FROM (VALUES (25), (50)) AS a(c), (VALUES (1), (2), (4), (8)) AS b(w), (VALUES (1), (2), (3)) AS d(r)"),
+    "stream_tasks": (stream_tasks, _sql(_GRID, _TILES, select=f"SELECT c.x + c.y * c.w AS task_id, CASE WHEN worker_id < 3 THEN worker_id END AS worker_id, CASE WHEN worker_id < 3 THEN 0 ELSE 2 END AS status_code FROM cells c JOIN a ON a.cx = c.x // {SIZE} AND a.cy = c.y // {SIZE}")),
+    "stream_distinct_tasks": (stream_distinct_tasks, _sql(_GRID, select="SELECT x + y * w AS task_id, x, y FROM cells")),
+    "stream_worker_load": (stream_worker_load, _sql(_GRID, _TILES, select=f"SELECT date_trunc('day', e.ts) AS window_start, worker_id, count(*) AS tasks FROM events e JOIN cells c ON c.x + c.y * c.w = e.event_id JOIN a ON a.cx = c.x // {SIZE} AND a.cy = c.y // {SIZE} GROUP BY 1, 2")),
+}
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+QUERIES = {k: q for k, (q, _) in _ALL.items()}
+ORACLE_SQL = {k: s for k, (_, s) in _ALL.items() if s}
