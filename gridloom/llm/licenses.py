@@ -181,6 +181,10 @@ def fit(texts: list[str], classes: np.ndarray) -> Model:
     inside[first[1:-1][(first[1:-1] > 0) & (first[1:-1] <= len(two))] - 1] = False  # pairs over the edge of two texts
     row = np.repeat(np.arange(len(texts)), np.diff(first))
     rows, features = np.concatenate([row, row[:-1][inside]]), np.concatenate([one, two[inside]])
+    # What only one text has teaches nothing about others.
+    pairs = np.unique(np.stack([features, rows]), axis=1)
+    often = np.bincount(pairs[0], minlength=1 << BITS) > 1
+    rows, features = rows[often[features]], features[often[features]]
     held = np.random.default_rng(SEED).random(len(texts)) < 0.2
     used, at = np.unique(features, return_inverse=True)
     target = np.eye(len(families))[classes]
