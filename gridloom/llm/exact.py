@@ -26,10 +26,11 @@ def normalised(text_col: str = "text") -> Column:
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
     """A row for each block: uid, id, sha, n (blocks of the text), pos, block, h."""
-    body = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("body"))
+    # The number of a row is made below the generator: above it, each block would have its own.
+    body = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), normalised(text_col).alias("body"))
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("body") / block_bytes)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("body"), i * block_bytes + 1, F.lit(block_bytes)))
-    rows = body.withColumn("n", n).select(F.monotonically_increasing_id().alias("uid"), "id", F.unhex(F.sha2("body", 256)).alias("sha"), "n", F.posexplode(cut).alias("pos", "block"))
+    rows = body.withColumn("n", n).select("uid", "id", F.unhex(F.sha2("body", 256)).alias("sha"), "n", F.posexplode(cut).alias("pos", "block"))
     return rows.withColumn("h", F.xxhash64("block"))
 
 
