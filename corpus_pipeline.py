@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm import exact, langid, mixing, packing, simhash
 from gridloom.llm.common import documents, use_shared_checkpoints
 
-#: Near duplicates: shingles of so many words.
-NEAR_WORDS = 5
+#: Near duplicates: shingles of NEAR_WORDS words with a similarity of about 0.8 and more. Two fingerprints a document
+#: give 128 bits; documents link if NEAR_BITS bits or fewer differ in one and NEAR_TOTAL or fewer in both.
+NEAR_WORDS, NEAR_PRINTS, NEAR_BITS, NEAR_TOTAL = 5, 2, 8, 22
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +26,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays."""
-    return simhash.drop_near(docs, words=NEAR_WORDS)
+    return simhash.drop_near(docs, words=NEAR_WORDS, prints=NEAR_PRINTS, bound=NEAR_BITS, total=NEAR_TOTAL)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

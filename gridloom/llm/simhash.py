@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from gridloom.llm.common import bounded_batches, documents, materialize, whole_text
 from gridloom.llm.graph import components
+from gridloom.llm.words import mixed
 
 WORDS = 4
 SEED = 42
@@ -32,37 +33,41 @@ FAN = 8
 PAIRS = 1 << 21
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """Of the text with A-Z in lower case: a bit is 1 if over half of the shingles' hashes have it. No word: zero."""
+def fingerprint(text: str | None, words: int = WORDS, prints: int = 1) -> list[int]:
+    """Of the text with A-Z in lower case: a bit is 1 if over half of the shingles' hashes have it. No word: zero.
+
+    Of several prints, the first takes the hashes as they are and the others mix them again."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return [0] * prints
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(tokens) - words + 1)
     first, last = starts[:n].tolist(), ends[min(words, len(tokens)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(BITS, np.int64)
+    ones = np.zeros((prints, BITS), np.int64)
     for at in range(0, n, 1 << 16):
         end = min(n, at + (1 << 16))
         hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(first[at:end], last[at:end], strict=True)), np.uint64, end - at)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        for k in range(prints):
+            hashes = mixed(hashes + np.uint64(k)) if k else hashes
+            ones[k] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8").reshape(-1).tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """One row for each row of docs: id, th (a hash of the text, to find the row again), fp (64 bits as a long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, prints: int = 1) -> DataFrame:
+    """One row for each row of docs: id, th (a hash of the text, to find the row again), fp0 and on (64 bits as longs)."""
+    names = [f"fp{k}" for k in range(prints)]
 
     def run(batches):
         for batch in batches:
-            made = np.array([fingerprint(x.as_py(), words) for x in batch["text"]], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["th"], pa.array(made)], ["id", "th", "fp"])
+            made = np.array([fingerprint(x.as_py(), words, prints) for x in batch["text"]], np.uint64).reshape(-1, prints).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["th"], *[pa.array(np.ascontiguousarray(made[:, k])) for k in range(prints)]], ["id", "th", *names])
 
     fed = docs.select(F.col(id_col).alias("id"), F.xxhash64(whole_text(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
     bounded_batches(docs.sparkSession)
-    return fed.mapInArrow(run, T.StructType([fed.schema["id"], T.StructField("th", T.LongType()), T.StructField("fp", T.LongType())]))
+    return fed.mapInArrow(run, T.StructType([fed.schema["id"], *[T.StructField(c, T.LongType()) for c in ("th", *names)]]))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -75,10 +80,12 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 class GrayIndex:
     """levels, from the top: (pattern, mask) of each node, the mask without the bits of the nodes above; a node's
-    children are FAN neighbours of the next level. The last level holds the codes, in Gray order."""
+    children are FAN neighbours of the next level. The last level holds the codes, in Gray order; order has the place that
+    each had."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes[np.argsort(gray_rank(codes), kind="stable")]
+        self.order = np.argsort(gray_rank(codes), kind="stable")
+        self.codes = codes[self.order]
         shared = [(self.codes, ~self.codes)]  # bits that are 1 in all below, and 0 in all below
         while len(shared[-1][0]) > FAN:
             cut = np.arange(0, len(shared[-1][0]), FAN)
@@ -126,14 +133,19 @@ def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = labels[labels]
 
 
-def spanning_links(codes: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each code that is linked to others of the bucket, with its component's first code."""
+def spanning_links(codes: np.ndarray, bound: int, prints: np.ndarray | None = None, total: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the codes that are linked to others of the bucket, each with that of its component's first code.
+    With prints (rows of several fingerprints), linked codes differ in `total` bits of them at most."""
     index = GrayIndex(codes)
     labels = np.arange(len(codes))
     for a, b in index.pairs(bound):
+        if prints is not None and len(a):
+            one, two = prints[index.order[a]], prints[index.order[b]]
+            near = np.bitwise_count(one ^ two).sum(axis=1) <= total
+            a, b = a[near], b[near]
         labels = joined(labels, a, b)
     moved = np.flatnonzero(labels != np.arange(len(codes)))
-    return index.codes[moved], index.codes[labels[moved]]
+    return index.order[moved], index.order[labels[moved]]
 
 
 def _widths(bits: int, blocks: int) -> list[int]:
@@ -152,7 +164,8 @@ def _without(value: Column, offset: int, width: int) -> Column:
 
 
 def _bucketed(codes: DataFrame, bound: int, bucket_rows: int) -> DataFrame:
-    """fp, key, pair: buckets that share (key, pair) hold at most about two chunks of bucket_rows."""
+    """codes with key, inner, pair: rows that share them are a bucket of at most about two chunks of bucket_rows."""
+    own_columns = codes.columns
     fp, plain, again, at = F.col("fp"), [], {}, 0
     widths = _widths(BITS, bound + 1)
     for i, width in enumerate(widths):
@@ -164,77 +177,87 @@ def _bucketed(codes: DataFrame, bound: int, bucket_rows: int) -> DataFrame:
             low += w
         again[i] = F.array(*subs)
         at += width
-    rows = codes.select("fp", F.posexplode(F.array(*plain)).alias("i", "key"))
-    # At most 2^13 keys for each of the five blocks: a bounded table.
+    rows = codes.select(*own_columns, F.posexplode(F.array(*plain)).alias("i", "key"))
+    # A key for each value of each block: 5 times 2^13 for a bound of 4, fewer for a larger one.
     hot = materialize(rows.groupBy("key").count().where(F.col("count") > bucket_rows).select("key", F.lit(True).alias("hot")))
     alone = F.array(F.struct(F.lit(-1).cast("long").alias("sub"), F.lit(0).cast("long").alias("part")))
     deal = F.coalesce(*[F.when(F.col("hot") & (F.col("i") == i), sub) for i, sub in again.items()], alone)
-    rows = rows.join(F.broadcast(hot), "key", "left").select("fp", "key", F.inline(deal))
-    rows = rows.select("fp", "key", (F.col("sub") * (1 << 32) + F.col("part")).alias("inner"))
+    rows = rows.join(F.broadcast(hot), "key", "left").select(*own_columns, "key", F.inline(deal))
+    rows = rows.select(*own_columns, "key", (F.col("sub") * (1 << 32) + F.col("part")).alias("inner"))
     if hot.isEmpty():
-        return rows.select("fp", "key", "inner", F.lit(0).cast("long").alias("pair"))
+        return rows.select(*own_columns, "key", "inner", F.lit(0).cast("long").alias("pair"))
     rows = materialize(rows)
     still = materialize(rows.where("inner >= 0").groupBy("key", "inner").count().where(F.col("count") > bucket_rows).select("key", "inner", F.ceil(F.col("count") / bucket_rows).cast("long").alias("chunks")))
     rows = rows.join(still, ["key", "inner"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
-    own = F.pmod(F.xxhash64(F.lit(SEED), "fp"), F.col("chunks"))
+    own = F.pmod(F.xxhash64(F.lit(SEED), "code"), F.col("chunks"))
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     # Two chunks or more: pairs of different chunks cover each chunk itself too.
     rows = rows.where((F.col("chunks") == 1) | (F.col("own") != F.col("other")))
-    return rows.select("fp", "key", "inner", (F.least("own", "other") * (1 << 31) + F.greatest("own", "other")).alias("pair"))
+    return rows.select(*own_columns, "key", "inner", (F.least("own", "other") * (1 << 31) + F.greatest("own", "other")).alias("pair"))
 
 
-def _search(rows: DataFrame, bound: int) -> DataFrame:
-    """a, b: links that connect each bucket's components."""
+def _search(rows: DataFrame, bound: int, total: int | None) -> DataFrame:
+    """a, b: links between codes that connect each bucket's components."""
     keys = ["key", "inner", "pair"]
+    prints = [c for c in rows.columns if c not in (*keys, "fp", "code")]
+    columns = [*keys, "fp", "code", *prints]
 
     def run(batches):
-        held = np.zeros((0, 4), np.int64)
+        held = np.zeros((0, len(columns)), np.int64)
         for batch in batches:
-            part = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in ("fp", *keys)], axis=1)
-            held = np.concatenate([held, part])
-            if len(held):
-                cut = np.flatnonzero((held[1:, 1:] != held[:-1, 1:]).any(axis=1)) + 1
-                if len(cut):
-                    yield from found(held[: cut[-1]])
-                    held = held[cut[-1] :]
+            held = np.concatenate([held, np.stack([batch[c].to_numpy(zero_copy_only=False) for c in columns], axis=1)])
+            cut = np.flatnonzero((held[1:, :3] != held[:-1, :3]).any(axis=1)) + 1
+            if len(cut):
+                yield from found(held[: cut[-1]])
+                held = held[cut[-1] :]
         yield from found(held)
 
     def found(part):
         if not len(part):
             return
-        cut = [0, *(np.flatnonzero((part[1:, 1:] != part[:-1, 1:]).any(axis=1)) + 1), len(part)]
+        cut = [0, *(np.flatnonzero((part[1:, :3] != part[:-1, :3]).any(axis=1)) + 1), len(part)]
         a, b = [], []
         for low, high in zip(cut[:-1], cut[1:], strict=True):
             if high - low > 1:
-                one, two = spanning_links(np.ascontiguousarray(part[low:high, 0]).view(np.uint64), bound)
-                a.append(one)
-                b.append(two)
+                own = part[low:high]
+                wide = np.ascontiguousarray(own[:, 5:]).view(np.uint64) if prints else None
+                one, two = spanning_links(np.ascontiguousarray(own[:, 3]).view(np.uint64), bound, wide, total or 0)
+                a.append(own[one, 4])
+                b.append(own[two, 4])
         if a:
-            a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def near_links(codes: DataFrame, bound: int = MAX_DIFFERENT, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Of distinct fp: links a, b within the bound that connect whatever the bound connects."""
-    return _search(_bucketed(codes, bound, bucket_rows), bound)
+def near_links(codes: DataFrame, bound: int = MAX_DIFFERENT, bucket_rows: int = BUCKET_ROWS, total: int | None = None) -> DataFrame:
+    """Of distinct rows code, fp0 and on: links a, b between codes that connect whatever the bounds connect: at most
+    `bound` bits differ in one print, and at most `total` in all prints."""
+    prints = [c for c in codes.columns if c != "code"]
+    links = None
+    for c in prints:
+        rows = codes.select(F.col(c).alias("fp"), "code", *(prints if total is not None else []))
+        found = _search(_bucketed(rows, bound, bucket_rows), bound, total)
+        links = found if links is None else links.unionByName(found)
+    return links
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bound: int = MAX_DIFFERENT, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """One row for each row of docs: id, th, fp, component_id (the smallest id that links reach, itself included) and
-    label (a fingerprint that names the component).
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bound: int = MAX_DIFFERENT, bucket_rows: int = BUCKET_ROWS, prints: int = 1, total: int | None = None) -> DataFrame:
+    """One row for each row of docs: id, th, fp0 and on, component_id (the smallest id that links reach, itself
+    included) and label (which names the component). See near_links for the bounds.
 
     Null and empty texts have fingerprint zero and link like any other. Equal fingerprints are linked. Null ids count
     as larger than any; a component of null ids only has a null component_id. Other columns of docs aren't read.
     """
-    rows = materialize(fingerprints(docs, id_col, text_col, words))
-    codes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    named = components(near_links(codes.select("fp"), bound, bucket_rows))
-    named = materialize(codes.join(named.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label")))
+    names = [f"fp{k}" for k in range(prints)]
+    rows = fingerprints(docs, id_col, text_col, words, prints)
+    rows = materialize(rows.withColumn("code", F.col("fp0") if prints == 1 else F.xxhash64(*names)))
+    codes = materialize(rows.groupBy("code", *names).agg(F.min("id").alias("least")))
+    named = components(near_links(codes.select("code", *names), bound, bucket_rows, total))
+    named = materialize(codes.join(named.withColumnRenamed("node", "code"), "code", "left").select("code", "least", F.coalesce("label", "code").alias("label")))
     least = materialize(named.groupBy("label").agg(F.min("least").alias("component_id")))
-    named = materialize(named.join(least, "label").select("fp", "label", "component_id"))
-    return rows.join(named, "fp").select("id", "th", "fp", "component_id", "label")
+    named = materialize(named.join(least, "label").select("code", "label", "component_id"))
+    return rows.join(named, "code").select("id", "th", *names, "component_id", "label")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -250,4 +273,4 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
 def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_groups(documents(spark, sf_dir))
-    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")

@@ -29,7 +29,7 @@ def brute_groups(codes, bound):
 
     for i in range(len(codes)):
         for j in range(i):
-            if bin(codes[i] ^ codes[j]).count("1") <= bound:
+            if bound(codes[i], codes[j]) if callable(bound) else bin(codes[i] ^ codes[j]).count("1") <= bound:
                 root[max(find(i), find(j))] = min(find(i), find(j))
     return [find(i) for i in range(len(codes))]
 
@@ -49,7 +49,7 @@ def near_codes(rng, centres, each):
 def test_fingerprints(spark):
     rows = odd_rows() + [(500, "Aa BB cc Dd EE ff", None, None)]
     got = simhash.fingerprints(clashing(frame(spark, rows))).collect()
-    assert sorted(str((r["id"], r["fp"] % 2**64)) for r in got) == sorted(str((i, brute_fingerprint(t))) for i, t, *_ in rows)
+    assert sorted(str((r["id"], r["fp0"] % 2**64)) for r in got) == sorted(str((i, brute_fingerprint(t))) for i, t, *_ in rows)
 
 
 def test_gray_rank():
@@ -71,7 +71,7 @@ def test_links_connect_what_brute_force_connects(spark, bucket_rows):
     rng = random.Random(5)
     codes = near_codes(rng, 20, 25)
     signed = [int(np.uint64(c).view(np.int64)) for c in codes]
-    links = simhash.near_links(spark.createDataFrame([(c,) for c in signed], "fp long"), 4, bucket_rows)
+    links = simhash.near_links(spark.createDataFrame([(c, c) for c in signed], "code long, fp0 long"), 4, bucket_rows)
     label = {r["node"]: r["label"] for r in components(links).collect()}
     want = brute_groups(codes, 4)
     by_label, by_want = {}, {}
@@ -81,6 +81,24 @@ def test_links_connect_what_brute_force_connects(spark, bucket_rows):
     assert sorted(map(sorted, by_label.values())) == sorted(map(sorted, by_want.values()))
 
 
+@pytest.mark.parametrize("bucket_rows", [4096, 20])
+def test_several_prints(spark, bucket_rows):
+    rng = random.Random(6)
+    pairs = list(dict.fromkeys(zip(near_codes(rng, 15, 20), near_codes(rng, 15, 20))))
+    signed = [tuple(int(np.uint64(c).view(np.int64)) for c in p) for p in pairs]
+    links = simhash.near_links(spark.createDataFrame([(k, *p) for k, p in enumerate(signed)], "code long, fp0 long, fp1 long"), 6, bucket_rows, 9)
+    label = {r["node"]: r["label"] for r in components(links).collect()}
+    root = list(range(len(pairs)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, p in enumerate(pairs):
+        for j, q in enumerate(pairs[:i]):
+            d = [bin(x ^ y).count("1") for x, y in zip(p, q)]
+            if min(d) <= 6 and sum(d) <= 9:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    same = {(label.get(i, i), find(i)) for i in range(len(pairs))}
+    assert len(same) == len({a for a, _ in same}) == len({b for _, b in same})
+
+
 def test_components_of_odd_shapes(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(200, 200), (300, 301), (301, 300)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
