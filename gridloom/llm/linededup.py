@@ -20,15 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import bounded_batches, documents, materialize, whole_text
-from gridloom.llm.words import WHITE, LineHasher, Reader
+from gridloom.llm.common import bounded_batches, documents, materialize, stored, whole_text
+from gridloom.llm.words import WHITE, LineHasher, Reader, mixed
 
 MIN_WORDS = 5
 KEY_BITS = 48
 #: A bucket gets the variants of about so many bytes of text.
 BUCKET_BYTES = 8 << 20
-#: Bits of the bitmap of wanted lines: 2 MB, whatever the data; it only spares lines that surely aren't wanted.
-FILTER_BITS = 24
+#: Bits of a bitmap, as a power of 2: 16 MB, whatever the data. Bitmaps only spare work that surely isn't needed.
+FILTER_BITS = 27
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -56,46 +56,120 @@ def _decoded(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(gaps, dtype=np.uint64), line.astype(np.int64), place.astype(np.int64)
 
 
-def _emitted(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    """Rows of two kinds. With blob: bucket, batch, blob. Without: a line: bucket, batch, line (in the batch; -1 for a
-    line without words), hash, row, id, th, number."""
-    fed = docs.select(F.col(id_col).alias("id"), F.xxhash64(whole_text(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType()), T.StructField("blob", T.BinaryType()), T.StructField("line", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("row", T.LongType()), fed.schema["id"], T.StructField("th", T.LongType()), T.StructField("number", T.IntegerType())])
+def _read_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row, id, th (of id and text), number, hash (of the words; null for a line without) of each line."""
+    fed = docs.select(F.col(id_col).alias("id"), _th(id_col, text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType([T.StructField("row", T.LongType()), fed.schema["id"], T.StructField("th", T.LongType()), T.StructField("number", T.IntegerType()), T.StructField("hash", T.LongType())])
 
     def run(batches):
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId() << 24
+        reader, hasher, row = Reader(WHITE, False), LineHasher(), TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for slab in reader.slabs(batch["text"]):
+                whole = hasher.whole(hasher.sums(slab.hash), slab.word[:-1], slab.word[1:])
+                at = pa.array(slab.doc)
+                found = pa.array(whole.view(np.int64), mask=slab.word[1:] == slab.word[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(row + slab.doc), batch["id"].take(at), batch["th"].take(at), pa.array(slab.number, pa.int32()), found], schema.names)
+            row += batch.num_rows
+
+    bounded_batches(docs.sparkSession)
+    return fed.mapInArrow(run, schema)
+
+
+def _th(id_col: str, text_col: str):
+    return F.xxhash64(F.col(id_col), whole_text(text_col))
+
+
+def _bit_words(positions: DataFrame) -> DataFrame:
+    """word, bits of a bitmap with the column `pos` (0 to 2^FILTER_BITS) set: 2^FILTER_BITS / 64 rows at most."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("pos") % 64).cast("int"))
+    return positions.groupBy(F.expr("pos div 64").alias("word")).agg(F.bit_or(one).alias("bits"))
+
+
+def _position(column: str):
+    return F.shiftrightunsigned(F.col(column), 64 - FILTER_BITS)
+
+
+def _bitmap(words: DataFrame) -> np.ndarray:
+    """The bitmap as bytes: 2^FILTER_BITS / 8 of them, whatever the data."""
+    out = np.zeros((1 << FILTER_BITS) // 64, np.int64)
+    found = words.toPandas()
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return out.view(np.uint8)
+
+
+def _is_set(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values >> np.uint64(64 - FILTER_BITS)
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _token(hashes: np.ndarray, th: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Names an occurrence of a line: a hash of what mixed() and a linear mix make of its hash, document and number."""
+    return mixed(hashes ^ mixed(th + number.astype(np.uint64)))
+
+
+def _first_only(lines: DataFrame, repeated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Two bitmaps: of hashes that several lines have, and of the occurrences whose lines give variants although their
+    hash is in the first bitmap (by chance, or as the earliest with that hash).
+
+    They keep copies from giving the same variants again. Where they fill up, some copies do, and meet themselves,
+    which costs time but changes nothing: what is in neither bitmap always gives variants.
+    """
+    dense = materialize(_bit_words(repeated.select(_position("hash").alias("pos"))))
+    marked = lines.where("hash IS NOT NULL").withColumn("pos", _position("hash")).withColumn("word", F.expr("pos div 64"))
+    marked = marked.join(dense, "word").where(F.call_function("shiftrightunsigned", F.col("bits"), (F.col("pos") % 64).cast("int")).bitwiseAND(1) == 1)
+    early = marked.join(repeated.withColumn("several", F.lit(True)), "hash", "left")
+    # Earliest of the repeated: by the order of lines; those hit by chance are alone.
+    first = early.where("several").groupBy("hash").agg(F.min(_order()).alias("at"))
+    first = first.select("hash", F.col("at.o3").alias("th"), F.col("at.o5").alias("number"))
+    stay = first.unionByName(early.where("several IS NULL").select("hash", "th", "number"))
+
+    def run(batches):
+        for batch in batches:
+            value = _token(batch["hash"].to_numpy().view(np.uint64), batch["th"].to_numpy().view(np.uint64), batch["number"].to_numpy().astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array((value >> np.uint64(64 - FILTER_BITS)).astype(np.int64))], ["pos"])
+
+    return _bitmap(dense), _bitmap(_bit_words(stay.mapInArrow(run, "pos long")))
+
+
+def _order():
+    """Of lines: by id, null ids last, then by text, row and number."""
+    return F.struct(F.col("id").isNull().alias("o1"), F.col("id").alias("o2"), F.col("th").alias("o3"), F.col("row").alias("o4"), F.col("number").alias("o5"))
+
+
+def _variants(docs: DataFrame, id_col: str, text_col: str, buckets: int, bitmaps: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """bucket, batch, blob: the variants of a batch's lines in a bucket. Bucket -1: the hashes of its lines in order."""
+    fed = docs.select(_th(id_col, text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmaps)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        own = TaskContext.get().partitionId() << 24
+        several, chosen = shared.value
         reader, hasher = Reader(WHITE, False), LineHasher()
-        row = part << 16
-        for nth, batch in enumerate(batches):
-            own = part + nth
-            seen, keys, lines, places = np.zeros(0, np.uint64), [], [], []
-            found = {"line": [], "hash": [], "doc": [], "number": []}
+        for batch in batches:
+            seen, keys, lines, places = np.zeros(0, np.uint64), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            th = batch["th"].to_numpy().view(np.uint64)
             for slab in reader.slabs(batch["text"]):
                 sums, a, b = hasher.sums(slab.hash), slab.word[:-1], slab.word[1:]
                 whole = hasher.whole(sums, a, b)
-                # Lines are told apart within the batch, so that a common line is sent once for each batch.
-                distinct, first = np.unique(whole[b > a], return_index=True)
+                gives = (b > a) & (~_is_set(several, whole) | _is_set(chosen, _token(whole, th[slab.doc], slab.number)))
+                # Within the batch a line gives its variants once.
+                distinct, first = np.unique(whole[gives], return_index=True)
                 fresh = ~np.isin(distinct, seen)
-                new_at = np.flatnonzero(b > a)[first[fresh]]
+                at = np.flatnonzero(gives)[first[fresh]]
                 base = len(seen)
                 seen = np.concatenate([seen, distinct[fresh]])
-                order = np.argsort(seen, kind="stable")
-                number = np.full(len(a), -1, np.int64)
-                number[b > a] = order[np.searchsorted(seen, whole[b > a], sorter=order)]
-                found["line"].append(number)
-                found["hash"].append(whole)
-                found["doc"].append(slab.doc)
-                found["number"].append(slab.number)
-                keys.append(whole[new_at])
-                lines.append(base + np.arange(len(new_at)))
-                places.append(np.zeros(len(new_at), np.int64))
-                long = np.flatnonzero(b[new_at] - a[new_at] >= MIN_WORDS)
-                count = (b - a)[new_at][long]
+                keys.append(whole[at])
+                lines.append(base + np.arange(len(at)))
+                places.append(np.zeros(len(at), np.int64))
+                long = np.flatnonzero(b[at] - a[at] >= MIN_WORDS)
+                count = (b - a)[at][long]
                 which = np.repeat(long, count)
                 place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                low, high = a[new_at][which], b[new_at][which]
+                low, high = a[at][which], b[at][which]
                 keys.append(hasher.without(sums, low, high, low + place))
                 lines.append(base + which)
                 places.append(place + 1)
@@ -103,101 +177,87 @@ def _emitted(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataF
             line, place = np.concatenate(lines), np.concatenate(places)
             order = np.argsort(key)
             key, line, place = key[order], line[order], place[order]
-            bucket = ((key * np.uint64(buckets)) >> np.uint64(KEY_BITS)).astype(np.int64)
-            cut = np.searchsorted(bucket, np.arange(buckets + 1))
+            cut = np.searchsorted(((key * np.uint64(buckets)) >> np.uint64(KEY_BITS)).astype(np.int64), np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(cut))
-            n, none = len(full), lambda t, n: pa.nulls(n, t)
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(n, own)), pa.array([_encoded(key[cut[k] : cut[k + 1]], line[cut[k] : cut[k + 1]], place[cut[k] : cut[k + 1]]) for k in full], pa.binary()), none(pa.int32(), n), none(pa.int64(), n), none(pa.int64(), n), none(batch.schema.field("id").type, n), none(pa.int64(), n), none(pa.int32(), n)], schema.names)
-            doc = np.concatenate(found["doc"])
-            n = len(doc)
-            yield pa.RecordBatch.from_arrays([pa.array((np.arange(n) + own) % buckets, pa.int32()), pa.array(np.full(n, own)), none(pa.binary(), n), pa.array(np.concatenate(found["line"]), pa.int32()), pa.array(np.concatenate(found["hash"]).view(np.int64)), pa.array(row + doc), batch["id"].take(pa.array(doc)), batch["th"].take(pa.array(doc)), pa.array(np.concatenate(found["number"]), pa.int32())], schema.names)
-            row += batch.num_rows
+            blobs = [_encoded(key[cut[k] : cut[k + 1]], line[cut[k] : cut[k + 1]], place[cut[k] : cut[k + 1]]) for k in full]
+            yield pa.RecordBatch.from_arrays([pa.array([*full, -1], pa.int32()), pa.array(np.full(len(full) + 1, own)), pa.array([*blobs, seen.tobytes()], pa.binary())], ["bucket", "batch", "blob"])
+            own += 1
 
     bounded_batches(docs.sparkSession)
-    return fed.mapInArrow(run, schema)
-
+    return fed.mapInArrow(run, "bucket int, batch long, blob binary")
 
-def _met(emitted: DataFrame) -> DataFrame:
-    """The lines as they are, and for hashes of different lines that meet: key, place (0: the whole line), batch, line.
 
-    A bucket's variants are bounded by its share of hash values, since each batch sends a line once."""
-    id_type = emitted.schema["id"]
-    out = T.StructType([T.StructField("key", T.LongType()), T.StructField("place", T.IntegerType()), *[emitted.schema[c] for c in ("batch", "line", "hash", "row")], id_type, *[emitted.schema[c] for c in ("th", "number")]])
+def _met(variants: DataFrame) -> DataFrame:
+    """key, place (0: the whole line), batch, line of the hashes that different lines share; and, with null keys, the
+    rows of bucket -1 with `blob`. A bucket holds the values of its range, of which each batch sends one blob."""
 
-    def bucket_of(blobs):
-        if not blobs:
+    def meeting(blobs):
+        parts = [(*_decoded(data), own) for own, data in blobs]
+        if not parts:
             return
-        key, line, place, batch = [], [], [], []
-        for own, data in blobs:
-            k, l, p = _decoded(data)
-            key.append(k)
-            line.append(l)
-            place.append(p)
-            batch.append(np.full(len(k), own))
-        key, line, place, batch = map(np.concatenate, (key, line, place, batch))
+        key, line, place = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        batch = np.repeat([p[3] for p in parts], [len(p[0]) for p in parts])
         order = np.argsort(key, kind="stable")
         key = key[order]
         same = np.r_[False, key[1:] == key[:-1]]
         shared = same | np.r_[same[1:], False]
         key, order = key[shared], order[shared]
+        if not len(key):
+            return
         line, place, batch = line[order], place[order], batch[order]
         # Something must meet: a whole line and another entry, or two with the word left out at one place.
-        order = np.lexsort((line, batch, place, key))
+        order = np.lexsort((place, key))
         key, line, place, batch = key[order], line[order], place[order], batch[order]
-        first = np.r_[True, key[1:] != key[:-1]]
-        run = np.cumsum(first) - 1
-        has_whole = (np.bincount(run[place == 0], minlength=run[-1] + 1) > 0)[run] if len(run) else np.zeros(0, bool)
-        sub = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (place[1:] != place[:-1])]) - 1 if len(run) else run
-        keep = has_whole | (np.bincount(sub)[sub] > 1 if len(run) else has_whole)
+        run = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+        sub = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (place[1:] != place[:-1])]) - 1
+        keep = (np.bincount(run, weights=place == 0) > 0)[run] | (np.bincount(sub) > 1)[sub]
         n = int(keep.sum())
-        none = lambda t: pa.nulls(n, t)
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep].astype(np.int64)), pa.array(place[keep], pa.int32()), pa.array(batch[keep]), pa.array(line[keep], pa.int32()), none(pa.int64()), none(pa.int64()), none(kinds[0]), none(pa.int64()), none(pa.int32())], out.names)
-
-    kinds = []
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep].astype(np.int64)), pa.array(place[keep], pa.int32()), pa.array(batch[keep]), pa.array(line[keep], pa.int32()), pa.nulls(n, pa.binary())], names)
 
     def run(batches):
         held, at = [], None
         for batch in batches:
-            kinds[:] = [batch.schema.field("id").type]
-            lines = batch.filter(pa.compute.is_null(batch["blob"]))
-            if lines.num_rows:
-                n = lines.num_rows
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), *[lines[c] for c in out.names[2:]]], out.names)
-            sent = batch.filter(pa.compute.is_valid(batch["blob"]))
-            for bucket, own, data in zip(sent["bucket"].to_pylist(), sent["batch"].to_pylist(), sent["blob"].to_pylist(), strict=True):
+            for bucket, own, data in zip(batch["bucket"].to_pylist(), batch["batch"].to_pylist(), batch["blob"].to_pylist(), strict=True):
+                if bucket < 0:
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([own]), pa.nulls(1, pa.int32()), pa.array([data], pa.binary())], names)
+                    continue
                 if bucket != at:
-                    yield from bucket_of(held)
+                    yield from meeting(held)
                     held, at = [], bucket
                 held.append((own, data))
-        yield from bucket_of(held)
+        yield from meeting(held)
+
+    names = ["key", "place", "batch", "line", "blob"]
+    # Name rows spread by their batch.
+    spread = F.when(F.col("bucket") < 0, -1 - F.col("batch")).otherwise(F.col("bucket").cast("long"))
+    return variants.repartition(spread).sortWithinPartitions("bucket").mapInArrow(run, "key long, place int, batch long, line int, blob binary")
+
 
-    import pyarrow.compute  # noqa: F401
+def _entries(met: DataFrame) -> DataFrame:
+    """key, place, hash."""
 
-    return emitted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, out)
+    def run(batches):
+        for batch in batches:
+            for own, data in zip(batch["batch"].to_pylist(), batch["blob"].to_pylist(), strict=True):
+                hashes = np.frombuffer(data, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), own)), pa.array(np.arange(len(hashes)), pa.int32()), pa.array(hashes)], ["batch", "line", "hash"])
+
+    named = met.where("key IS NULL").select("batch", "blob").mapInArrow(run, "batch long, line int, hash long")
+    return met.where("key IS NOT NULL").select("key", "place", "batch", "line").join(named, ["batch", "line"]).select("key", "place", "hash").distinct()
 
 
 def _texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     """hash, words (space-joined) of the lines whose hash is wanted."""
     spark = docs.sparkSession
-
-    def marks(batches):
-        bits = np.zeros(1 << FILTER_BITS, bool)
-        for batch in batches:
-            bits[batch["hash"].to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
-
-    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for r in wanted.coalesce(8).mapInArrow(marks, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(r["bits"], np.uint8)
-    shared = spark.sparkContext.broadcast(bits)
+    shared = spark.sparkContext.broadcast(_bitmap(_bit_words(wanted.select(_position("hash").alias("pos")))))
 
     def run(batches):
-        reader, hasher, bits = Reader(WHITE, False), LineHasher(), np.unpackbits(shared.value).astype(bool)
+        reader, hasher, bits = Reader(WHITE, False), LineHasher(), shared.value
         for batch in batches:
             for slab in reader.slabs(batch["text"]):
                 sums, a, b = hasher.sums(slab.hash), slab.word[:-1], slab.word[1:]
                 whole = hasher.whole(sums, a, b)
-                at = np.flatnonzero((b > a) & bits[whole >> np.uint64(64 - FILTER_BITS)])
+                at = np.flatnonzero((b > a) & _is_set(bits, whole))
                 _, first = np.unique(whole[at], return_index=True)
                 at = at[first]
                 text = [b" ".join(slab.data[slab.start[k] : slab.end[k]].tobytes().split()).decode() for k in at]
@@ -239,29 +299,28 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty: one line without words.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
-    met = materialize(_met(_emitted(docs, id_col, text_col, max(16, size // BUCKET_BYTES + 1))))
-    lines = met.where("key IS NULL").drop("key", "place")
-    order = F.struct(F.col("id").isNull().alias("o1"), F.col("id").alias("o2"), F.col("th").alias("o3"), F.col("row").alias("o4"), F.col("number").alias("o5"))
-    # The earliest of each distinct line, by its hash.
-    first = materialize(lines.where("line >= 0").groupBy("hash").agg(F.min(order).alias("at")))
-    named = lines.where("line >= 0").groupBy("batch", "line").agg(F.min("hash").alias("hash"))
-    entries = met.where("key IS NOT NULL").select("key", "place", "batch", "line").join(named, ["batch", "line"]).select("key", "place", "hash").distinct()
-    entries = materialize(entries.join(first, "hash"))
+    lines = stored(_read_lines(docs, id_col, text_col))
+    repeated = stored(lines.where("hash IS NOT NULL").groupBy("hash").count().where("count > 1").select("hash"))
+    variants = _variants(docs, id_col, text_col, max(16, size // BUCKET_BYTES + 1), _first_only(lines, repeated))
+    entries = stored(_entries(stored(_met(variants))))
+    # The earliest occurrence of each line that has copies or meets another.
+    involved = entries.select("hash").union(repeated).distinct()
+    first = stored(lines.join(involved, "hash", "left_semi").groupBy("hash").agg(F.min(_order()).alias("at")))
+    entries = stored(entries.join(first, "hash"))
     early = F.min(F.struct("at", "hash")).alias("early")
     # Replacement: entries with one key and place. Deletion: a whole line and variants of one key.
     replaced = entries.where("place > 0").groupBy("key", "place").agg(early, F.count(F.lit(1)).alias("n")).where("n > 1")
     pairs = [entries.join(replaced, ["key", "place"]).select("hash", "at", "early")]
-    is_whole = (F.col("place") == 0).alias("whole")
-    sides = entries.groupBy("key", is_whole).agg(early)
+    sides = entries.groupBy("key", (F.col("place") == 0).alias("whole")).agg(early)
     other = sides.select("key", (~F.col("whole")).alias("whole"), "early")
     pairs.append(entries.withColumn("whole", F.col("place") == 0).join(other, ["key", "whole"]).select("hash", "at", "early"))
     pairs = pairs[0].unionByName(pairs[1]).where(F.col("early.at") < F.col("at")).select("hash", F.col("early.hash").alias("to")).where("hash <> to").distinct()
-    pairs = materialize(pairs)
-    wanted = materialize(pairs.select("hash").union(pairs.select(F.col("to").alias("hash"))).distinct())
-    near = materialize(_verified(pairs, materialize(_texts(docs, text_col, wanted))).select("hash").distinct().withColumn("near", F.lit(True)))
-    facts = materialize(first.join(near, "hash", "left"))
+    pairs = stored(pairs)
+    wanted = stored(pairs.select("hash").union(pairs.select(F.col("to").alias("hash"))).distinct())
+    near = _verified(pairs, _texts(docs, text_col, wanted)).select("hash").distinct().withColumn("near", F.lit(True))
+    facts = stored(first.join(near, "hash", "left"))
     decided = lines.join(facts, "hash", "left")
-    kind = F.when(F.col("at").isNull() | (F.col("line") < 0), "keep").when(order != F.col("at"), "exact").when(F.col("near"), "near").otherwise("keep")
+    kind = F.when(F.col("at").isNull(), "keep").when(_order() != F.col("at"), "exact").when(F.col("near"), "near").otherwise("keep")
     return decided.select("row", "id", "th", "number", kind.alias("decision"))
 
 
@@ -270,7 +329,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = line_decisions(docs, id_col, text_col).groupBy("row", "id", "th").agg(F.array_sort(F.collect_list(F.when(F.col("decision") != "keep", F.col("number")))).alias("gone"))
     # Rows that repeat both id and text take the lists in turn.
     lists = gone.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("row", "gone"))).alias("__gl_lists")).withColumnsRenamed({"id": "__gl_id", "th": "__gl_th"})
-    rows = docs.withColumn("__gl_of", F.xxhash64(whole_text(text_col))).join(lists, F.col(id_col).eqNullSafe(F.col("__gl_id")) & (F.col("__gl_of") == F.col("__gl_th")))
+    rows = docs.withColumn("__gl_of", _th(id_col, text_col)).join(lists, F.col(id_col).eqNullSafe(F.col("__gl_id")) & (F.col("__gl_of") == F.col("__gl_th")))
     rows = rows.withColumn("__gl_turn", F.row_number().over(Window.partitionBy("__gl_id", "__gl_th").orderBy("__gl_id")))
     own = F.element_at("__gl_lists", F.col("__gl_turn"))["gone"]
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(own, i)), "\n")
