@@ -27,6 +27,8 @@ MIN_WORDS = 5
 KEY_BITS = 48
 #: A bucket gets the variants of about so many bytes of text.
 BUCKET_BYTES = 8 << 20
+#: Variants that a task holds before it sends them.
+HELD = 1 << 20
 #: Bits of a bitmap, as a power of 2: 16 MB, whatever the data. Bitmaps only spare work that surely isn't needed.
 FILTER_BITS = 27
 
@@ -138,6 +140,30 @@ def _order():
     return F.struct(F.col("id").isNull().alias("o1"), F.col("id").alias("o2"), F.col("th").alias("o3"), F.col("row").alias("o4"), F.col("number").alias("o5"))
 
 
+class _Held:
+    """Variants that wait to be sent: hashes, lines (places in `lines`, the hashes of lines) and places in the line."""
+
+    def __init__(self):
+        self.size, self.lines = 0, np.zeros(0, np.uint64)
+        self.keys, self.owners, self.places = [], [], []
+
+    def add(self, hashes: np.ndarray, owners: np.ndarray, places: np.ndarray) -> None:
+        self.keys.append(hashes >> np.uint64(64 - KEY_BITS))
+        self.owners.append(owners.astype(np.uint32))
+        self.places.append(places.astype(np.uint32))
+        self.size += len(hashes)
+
+    def sent(self, batch: int, buckets: int) -> pa.RecordBatch:
+        key, owner, place = map(np.concatenate, (self.keys, self.owners, self.places))
+        order = np.argsort(key)
+        key, owner, place = key[order], owner[order], place[order]
+        edges = -(-(np.arange(buckets + 1).astype(object) << KEY_BITS) // buckets)
+        cut = np.searchsorted(key, np.array([int(e) for e in edges], np.uint64))
+        full = np.flatnonzero(np.diff(cut))
+        blobs = [_encoded(key[cut[k] : cut[k + 1]], owner[cut[k] : cut[k + 1]], place[cut[k] : cut[k + 1]]) for k in full]
+        return pa.RecordBatch.from_arrays([pa.array([*full, -1], pa.int32()), pa.array(np.full(len(full) + 1, batch)), pa.array([*blobs, self.lines.tobytes()], pa.binary())], ["bucket", "batch", "blob"])
+
+
 def _variants(docs: DataFrame, id_col: str, text_col: str, buckets: int, bitmaps: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """bucket, batch, blob: the variants of a batch's lines in a bucket. Bucket -1: the hashes of its lines in order."""
     fed = docs.select(_th(id_col, text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
@@ -149,39 +175,31 @@ def _variants(docs: DataFrame, id_col: str, text_col: str, buckets: int, bitmaps
         own = TaskContext.get().partitionId() << 24
         several, chosen = shared.value
         reader, hasher = Reader(WHITE, False), LineHasher()
+        held = _Held()
         for batch in batches:
-            seen, keys, lines, places = np.zeros(0, np.uint64), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             th = batch["th"].to_numpy().view(np.uint64)
             for slab in reader.slabs(batch["text"]):
                 sums, a, b = hasher.sums(slab.hash), slab.word[:-1], slab.word[1:]
                 whole = hasher.whole(sums, a, b)
                 gives = (b > a) & (~_is_set(several, whole) | _is_set(chosen, _token(whole, th[slab.doc], slab.number)))
-                # Within the batch a line gives its variants once.
+                # Within what is held a line gives its variants once.
                 distinct, first = np.unique(whole[gives], return_index=True)
-                fresh = ~np.isin(distinct, seen)
+                fresh = ~np.isin(distinct, held.lines)
                 at = np.flatnonzero(gives)[first[fresh]]
-                base = len(seen)
-                seen = np.concatenate([seen, distinct[fresh]])
-                keys.append(whole[at])
-                lines.append(base + np.arange(len(at)))
-                places.append(np.zeros(len(at), np.int64))
+                base = len(held.lines)
+                held.lines = np.concatenate([held.lines, distinct[fresh]])
+                held.add(whole[at], base + np.arange(len(at)), np.zeros(len(at)))
                 long = np.flatnonzero(b[at] - a[at] >= MIN_WORDS)
                 count = (b - a)[at][long]
                 which = np.repeat(long, count)
                 place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                low, high = a[at][which], b[at][which]
-                keys.append(hasher.without(sums, low, high, low + place))
-                lines.append(base + which)
-                places.append(place + 1)
-            key = np.concatenate(keys) >> np.uint64(64 - KEY_BITS)
-            line, place = np.concatenate(lines), np.concatenate(places)
-            order = np.argsort(key)
-            key, line, place = key[order], line[order], place[order]
-            cut = np.searchsorted(((key * np.uint64(buckets)) >> np.uint64(KEY_BITS)).astype(np.int64), np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(cut))
-            blobs = [_encoded(key[cut[k] : cut[k + 1]], line[cut[k] : cut[k + 1]], place[cut[k] : cut[k + 1]]) for k in full]
-            yield pa.RecordBatch.from_arrays([pa.array([*full, -1], pa.int32()), pa.array(np.full(len(full) + 1, own)), pa.array([*blobs, seen.tobytes()], pa.binary())], ["bucket", "batch", "blob"])
-            own += 1
+                low = a[at][which]
+                held.add(hasher.without(sums, low, b[at][which], low + place), base + which, place + 1)
+                if held.size >= HELD:
+                    yield held.sent(own, buckets)
+                    own, held = own + 1, _Held()
+        if held.size:
+            yield held.sent(own, buckets)
 
     bounded_batches(docs.sparkSession)
     return fed.mapInArrow(run, "bucket int, batch long, blob binary")
