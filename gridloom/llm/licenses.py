@@ -24,8 +24,9 @@ WINDOW, STRIDE = 80, 40
 #: Paragraphs of the corpus that train the unknown class, about: drawn by a hash of the document's id.
 UNKNOWN_DOCUMENTS = 400
 UNKNOWN_PARAGRAPHS = 2000
-#: Share of held-out unknown examples that may pass; least share of words that a template confirms.
-LET_THROUGH = 0.001
+#: Share of held-out unknown examples that may pass to the templates, within bounds of confidence; least share of word
+#: pairs that a template confirms.
+LET_THROUGH, LEAST, MOST = 0.02, 0.5, 0.9
 CONFIRM = 0.6
 ROUNDS, RATE, PENALTY = 120, 0.05, 1e-5
 UNKNOWN = "unknown"
@@ -220,7 +221,7 @@ def fit(texts: list[str], classes: np.ndarray) -> Model:
     least = float(wrong[min(len(wrong) - 1, int(np.ceil(len(wrong) * (1 - LET_THROUGH))))]) if len(wrong) else 0.5
     weights = np.zeros((1 << BITS, len(families)), np.float32)
     weights[used] = w
-    return Model(families, weights, b, temperature, max(0.5, least))
+    return Model(families, weights, b, temperature, min(MOST, max(LEAST, least)))
 
 
 def _one_slab(texts: list[str]):
