@@ -19,7 +19,7 @@ def odd_rows(seed=0, n=60):
     rows = [(i, text(rng.randint(1, 40)), rng.choice(["en", "de", None]), rng.choice(["a", "b", "c", None])) for i in range(n)]
     rows += [(n, None, None, None), (n + 1, "", "en", "a"), (n + 2, " \n\t ", "en", "b"), (n + 3, "", "de", "a"), (None, "null id text here", "en", "a"), (None, None, None, "a")]
     rows += [(3, rows[3][1], "en", "a"), (3, rows[3][1], "en", "a"), (3, "same id another text", "en", "c")]
-    rows += [(n + 10 + k, rows[5][1].replace(" ", "  "), "en", "a") for k in range(5)]
+    rows += [(n + 10 + k, (rows[5][1] or "").replace(" ", "  "), "en", "a") for k in range(5)]
     rows += [(n + 20, text(6000), "de", "c"), (n + 21, "été ñandú 日本語 \U0001f600", "fr", "c"), (n + 22, "...!!! 123", None, "b")]
     return rows
 
