@@ -79,10 +79,9 @@ def tile_adjacency(spark, d):
 
 def distances(spark, d):
     cells = _grid(spark, d)
-    # One row.
-    both = cells.select("x", "y").join(F.broadcast(_start(cells).limit(1)), F.lit(True))
-    at = ("sx", "sy", "x", "y")
-    return both.select("x", "y", G.manhattan(*at).alias("manhattan"), G.chebyshev(*at).alias("chebyshev"), F.round(G.euclidean(*at), 6).alias("euclidean"), G.heuristic("euclidean", *at).alias("euclidean_floor"))
+    start = _start(cells).first()
+    at = (F.lit(start["sx"]), F.lit(start["sy"]), "x", "y")
+    return cells.select("x", "y", G.manhattan(*at).alias("manhattan"), G.chebyshev(*at).alias("chebyshev"), F.round(G.euclidean(*at), 6).alias("euclidean"), G.heuristic("euclidean", *at).alias("euclidean_floor"))
 
 
 def cell_geometry(spark, d):

@@ -37,8 +37,6 @@ def tile_cells(cells: DataFrame, size: int, cx: int, cy: int, padded: bool = Fal
     own = cells.where((G.tile_of("x", size) == cx) & (G.tile_of("y", size) == cy)) if "cx" not in cells.columns else cells.where((F.col("cx") == cx) & (F.col("cy") == cy))
     if not padded:
         return own
-    spark = cells.sparkSession
-    full = spark.range(size * size).select((F.col("id") % size + cx * size).alias("x"), (F.expr(f"id div {size}") + cy * size).alias("y"))
     ids = own.select("map_id").distinct()
     full = ids.select("map_id", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("id")).select("map_id", (F.col("id") % size + cx * size).cast("long").alias("x"), (F.expr(f"id div {size}") + cy * size).cast("long").alias("y"))
     return full.join(own, ["map_id", "x", "y"], "left").select("map_id", "x", "y", F.coalesce("wall", F.lit(True)).alias("wall"))
