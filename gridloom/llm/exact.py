@@ -81,7 +81,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     named = materialize(name_documents(docs, id_col, text_col, block_bytes))
     best = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("uid"))).alias("best")
-    groups = named.groupBy("n", "name").agg(best, F.count(F.lit(1)).alias("group_size"))
+    # Written, so that adaptive execution can split a large group's rows in the join.
+    groups = materialize(named.groupBy("n", "name").agg(best, F.count(F.lit(1)).alias("group_size")))
     return named.join(groups, ["n", "name"]).select("id", F.col("best.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), "sha")
 
 
