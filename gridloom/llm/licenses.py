@@ -175,17 +175,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
 
 def fit(texts: list[str], classes: np.ndarray) -> Model:
     families = [*FAMILIES, UNKNOWN]
-    (slab,) = _one_slab(texts)
-    first = np.r_[slab.word[np.searchsorted(slab.doc, np.arange(len(texts)))], slab.word[-1]]
-    one, two = buckets_of(slab.hash)
-    inside = np.ones(len(two), bool)
-    inside[first[1:-1][(first[1:-1] > 0) & (first[1:-1] <= len(two))] - 1] = False  # pairs over the edge of two texts
-    row = np.repeat(np.arange(len(texts)), np.diff(first))
-    rows, features = np.concatenate([row, row[:-1][inside]]), np.concatenate([one, two[inside]])
-    # What only one text has teaches nothing about others.
-    pairs = np.unique(np.stack([features, rows]), axis=1)
-    often = np.bincount(pairs[0], minlength=1 << BITS) > 1
-    rows, features = rows[often[features]], features[often[features]]
+    rows, features = _features(texts)
+    # Only what templates and sentences that sound alike have can tell: the rest of the corpus is noise here.
+    known = np.zeros(1 << BITS, bool)
+    known[_features([x.format(n) for names, _ in FAMILIES.values() for n in names for x in NOTICES] + [t for _, sentences in FAMILIES.values() for t in sentences] + list(SOUNDS_ALIKE))[1]] = True
+    rows, features = rows[known[features]], features[known[features]]
     held = np.random.default_rng(SEED).random(len(texts)) < 0.2
     used, at = np.unique(features, return_inverse=True)
     target = np.eye(len(families))[classes]
@@ -224,12 +218,15 @@ def fit(texts: list[str], classes: np.ndarray) -> Model:
     return Model(families, weights, b, temperature, min(MOST, max(LEAST, least)))
 
 
-def _one_slab(texts: list[str]):
-    reader = Reader(NOT_ALNUM, True)
-    data = [" ".join(t.split()) for t in texts]
-    array = pa.array(data, pa.large_string())
+def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) of each word and of each pair of words next to each other in a text."""
+    array = pa.array([" ".join(t.split()) for t in texts], pa.large_string())
     offsets = np.frombuffer(array.buffers()[1], np.int64)[: len(array) + 1]
-    return (reader._lines(np.frombuffer(array.buffers()[2], np.uint8), offsets, 0),)
+    slab = Reader(NOT_ALNUM, True)._lines(np.frombuffer(array.buffers()[2], np.uint8), offsets, 0)
+    one, two = buckets_of(slab.hash)
+    row = np.repeat(slab.doc, np.diff(slab.word))
+    inside = row[1:] == row[:-1]
+    return np.concatenate([row, row[:-1][inside]]), np.concatenate([one, two[inside]])
 
 
 def templates() -> dict[str, list[set[tuple[str, str]]]]:
