@@ -12,6 +12,8 @@ from gridloom.llm.common import documents, use_shared_checkpoints
 #: Near duplicates: shingles of NEAR_WORDS words with a similarity of about 0.8 and more. Two fingerprints a document
 #: give 128 bits; documents link if NEAR_BITS bits or fewer differ in one and NEAR_TOTAL or fewer in both.
 NEAR_WORDS, NEAR_PRINTS, NEAR_BITS, NEAR_TOTAL = 5, 2, 8, 22
+#: Longer blocks leave more documents in one piece.
+MIX_BLOCK_WORDS = 128
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes, as documents: a row for each run of a document's words and each time round."""
-    return mixing.mixed_documents(docs)
+    return mixing.mixed_documents(docs, block_words=MIX_BLOCK_WORDS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

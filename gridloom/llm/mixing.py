@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from gridloom.llm.common import WS, documents, in_global_order, materialize, whole_text
 
-BLOCK_WORDS = 128
+BLOCK_WORDS = 64
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0

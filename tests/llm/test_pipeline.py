@@ -44,7 +44,7 @@ def test_stages_match_brute_force(spark):
     assert sorted(r["doc_id"] for r in three.collect()) == want
 
     four = stages["mix_sources"](spark, three, SF)
-    taken = {r["id"]: r["taken"] for r in mixing.taken_words(three).collect()}
+    taken = {r["id"]: r["taken"] for r in mixing.taken_words(three, block_words=corpus_pipeline.MIX_BLOCK_WORDS).collect()}
     got = defaultdict(int)
     pieces = four.collect()
     for r in pieces:
