@@ -28,9 +28,9 @@ KEY_BITS = 48
 #: A bucket gets the variants of about so many bytes of text.
 BUCKET_BYTES = 8 << 20
 #: Variants that a task holds before it sends them.
-HELD = 1 << 20
-#: Bits of a bitmap, as a power of 2: 16 MB, whatever the data. Bitmaps only spare work that surely isn't needed.
-FILTER_BITS = 27
+HELD = 1 << 19
+#: Bits of a bitmap, as a power of 2: 8 MB, whatever the data. Bitmaps only spare work that surely isn't needed.
+FILTER_BITS = 26
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -111,21 +111,18 @@ def _token(hashes: np.ndarray, th: np.ndarray, number: np.ndarray) -> np.ndarray
     return mixed(hashes ^ mixed(th + number.astype(np.uint64)))
 
 
-def _first_only(lines: DataFrame, repeated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Two bitmaps: of hashes that several lines have, and of the occurrences whose lines give variants although their
-    hash is in the first bitmap (by chance, or as the earliest with that hash).
+def _first_only(firsts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of distinct lines (hash, at, n): two bitmaps, of hashes that several lines have, and of the earliest occurrences
+    of all hashes that the first bitmap has, be it by chance.
 
-    They keep copies from giving the same variants again. Where they fill up, some copies do, and meet themselves,
-    which costs time but changes nothing: what is in neither bitmap always gives variants.
+    They keep copies from giving the same variants again: what is in neither, or in the second, gives them. Where the
+    bitmaps fill up, some copies do too and meet themselves, which costs time but changes nothing.
     """
-    dense = materialize(_bit_words(repeated.select(_position("hash").alias("pos"))))
-    marked = lines.where("hash IS NOT NULL").withColumn("pos", _position("hash")).withColumn("word", F.expr("pos div 64"))
-    marked = marked.join(dense, "word").where(F.call_function("shiftrightunsigned", F.col("bits"), (F.col("pos") % 64).cast("int")).bitwiseAND(1) == 1)
-    early = marked.join(repeated.withColumn("several", F.lit(True)), "hash", "left")
-    # Earliest of the repeated: by the order of lines; those hit by chance are alone.
-    first = early.where("several").groupBy("hash").agg(F.min(_order()).alias("at"))
-    first = first.select("hash", F.col("at.o3").alias("th"), F.col("at.o5").alias("number"))
-    stay = first.unionByName(early.where("several IS NULL").select("hash", "th", "number"))
+    pos = firsts.withColumn("pos", _position("hash"))
+    dense = materialize(_bit_words(pos.where("n > 1")))
+    marked = pos.withColumn("word", F.expr("pos div 64")).join(dense, "word")
+    is_set = F.call_function("shiftrightunsigned", F.col("bits"), (F.col("pos") % 64).cast("int")).bitwiseAND(1) == 1
+    stay = marked.where(is_set).select("hash", F.col("at.o3").alias("th"), F.col("at.o5").alias("number"))
 
     def run(batches):
         for batch in batches:
@@ -318,12 +315,13 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
     lines = stored(_read_lines(docs, id_col, text_col))
-    repeated = stored(lines.where("hash IS NOT NULL").groupBy("hash").count().where("count > 1").select("hash"))
-    variants = _variants(docs, id_col, text_col, max(16, size // BUCKET_BYTES + 1), _first_only(lines, repeated))
+    # Distinct lines: their earliest occurrence and how many there are. A common line is summed up before it is dealt.
+    firsts = stored(lines.where("hash IS NOT NULL").groupBy("hash").agg(F.min(_order()).alias("at"), F.count(F.lit(1)).alias("n")))
+    variants = _variants(docs, id_col, text_col, max(16, size // BUCKET_BYTES + 1), _first_only(firsts))
     entries = stored(_entries(stored(_met(variants))))
-    # The earliest occurrence of each line that has copies or meets another.
-    involved = entries.select("hash").union(repeated).distinct()
-    first = stored(lines.join(involved, "hash", "left_semi").groupBy("hash").agg(F.min(_order()).alias("at")))
+    # Lines that have copies or meet another.
+    meets = entries.select("hash").distinct().withColumn("meets", F.lit(True))
+    first = stored(firsts.join(meets, "hash", "left").where("n > 1 OR meets").select("hash", "at"))
     entries = stored(entries.join(first, "hash"))
     early = F.min(F.struct("at", "hash")).alias("early")
     # Replacement: entries with one key and place. Deletion: a whole line and variants of one key.

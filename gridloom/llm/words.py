@@ -12,7 +12,7 @@ import pyarrow as pa
 _BYTE, _WORD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _MIX_A, _MIX_B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 #: Texts are taken together up to so many bytes.
-SLAB = 4 << 20
+SLAB = 1 << 20
 
 #: For each byte, whether it separates words: ASCII white space, or all ASCII but letters and digits.
 WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
