@@ -333,7 +333,7 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = pairs[0].unionByName(pairs[1]).where(F.col("early.at") < F.col("at")).select("hash", F.col("early.hash").alias("to")).where("hash <> to").distinct()
     pairs = stored(pairs)
     wanted = stored(pairs.select("hash").union(pairs.select(F.col("to").alias("hash"))).distinct())
-    near = _verified(pairs, _texts(docs, text_col, wanted)).select("hash").distinct().withColumn("near", F.lit(True))
+    near = _verified(pairs, stored(_texts(docs, text_col, wanted))).select("hash").distinct().withColumn("near", F.lit(True))
     facts = stored(first.join(near, "hash", "left"))
     decided = lines.join(facts, "hash", "left")
     kind = F.when(F.col("at").isNull(), "keep").when(_order() != F.col("at"), "exact").when(F.col("near"), "near").otherwise("keep")
