@@ -62,6 +62,13 @@ def _tile_mask(cells: pd.DataFrame, size: int, cx: int, cy: int) -> np.ndarray:
     return free
 
 
+def _only_tiles(cells: DataFrame, todo: DataFrame, keys: list[str]) -> DataFrame:
+    """The cells of tiles with something to do: a cogroup would call Python for all others too."""
+    wanted = todo.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = [F.col(k) == F.col(f"_{k}") for k in keys]
+    return cells.join(wanted, same[0] & same[1] & same[2], "left_semi")
+
+
 def tile_tasks(cells: DataFrame, tasks: DataFrame, size: int, with_path: bool = True, diagonal: bool = False) -> DataFrame:
     """tasks (map_id, task_id, cx, cy, sx, sy, gx, gy) with cost and path (start to goal) inside the tile; null if
     there is none. Points outside the tile or on a wall have none."""
@@ -89,6 +96,7 @@ def tile_tasks(cells: DataFrame, tasks: DataFrame, size: int, with_path: bool =
 
     keys = ["map_id", "cx", "cy"]
     tasks = tasks.select(*[F.col(c).alias(c) for c in (*keys, "task_id", "sx", "sy", "gx", "gy")])
+    free = _only_tiles(free, tasks, keys)
     return tasks.groupBy(*keys).cogroup(free.groupBy(*keys)).applyInPandas(lambda key, a, b: run(key, b, a), schema)
 
 
@@ -113,6 +121,7 @@ def point_distances(cells: DataFrame, nodes: DataFrame, points: DataFrame, size:
     # New names for the columns: points and nodes may come from one table.
     points = points.select(*[F.col(c).alias(c) for c in ("map_id", "point_id", "x", "y")])
     dealt = points.select("map_id", "point_id", "x", "y", F.expr(f"x div {size}").alias("cx"), F.expr(f"y div {size}").alias("cy"))
+    marked = _only_tiles(marked, dealt, keys)
     return dealt.groupBy(*keys).cogroup(marked.groupBy(*keys)).applyInPandas(run, schema)
 
 
