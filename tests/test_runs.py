@@ -13,19 +13,19 @@ from tests.test_grids import FIXTURES
 
 def test_benchmark_json(spark, tmp_path):
     data = {
-        "metadata": {"timestamp": "t", "cluster_sizes": [50], "workers_sizes": [2], "runs_per_size": 2, "algorithms": ["a", "dhpa"]},
+        "metadata": {"timestamp": "t", "cluster_sizes": [50], "workers_sizes": [2], "runs_per_size": 2, "algorithms": ["a", "tiled"]},
         "data": [
             {"cluster_size": 50, "workers_size": 2, "algorithm": "a", "run": 1, "timings": {"found_overall_path": 0.5, "path_length": 10.0}},
-            {"cluster_size": 50, "algorithm": "dhpa", "run": 1, "timings": {"inter_edges": 1.0, "preprocessed": 2.0, "finish_abstract_graph": 0.1, "found_graph_path": 0.2, "found_overall_path": 0.3, "worker_analysis": {"worker_1_cpu_time": 0.5, "worker_2_cpu_time": 0.0, "worker_1_max_memory_mb": 2.5}}},
+            {"cluster_size": 50, "algorithm": "tiled", "run": 1, "timings": {"inter_edges": 1.0, "preprocessed": 2.0, "finish_abstract_graph": 0.1, "found_graph_path": 0.2, "found_overall_path": 0.3, "worker_analysis": {"worker_1_cpu_time": 0.5, "worker_2_cpu_time": 0.0, "worker_1_max_memory_mb": 2.5}}},
         ],
     }
     (tmp_path / "x_manhattan.json").write_text(json.dumps(data, indent=1))
     rows = S.read_benchmark(spark, str(tmp_path))
-    assert {(r["algorithm"], r["workers_size"]) for r in rows.collect()} == {("a", 2), ("dhpa", 1)}
+    assert {(r["algorithm"], r["workers_size"]) for r in rows.collect()} == {("a", 2), ("tiled", 1)}
     times = {r["algorithm"]: (round(r["s"], 6), r["p"], r["h"]) for r in rows.select("algorithm", R.search_time().alias("s"), R.preprocess_time().alias("p"), R.heuristic_of_file().alias("h")).collect()}
-    assert times == {"a": (0.5, 0.0, "manhattan"), "dhpa": (0.6, 3.0, "manhattan")}
+    assert times == {"a": (0.5, 0.0, "manhattan"), "tiled": (0.6, 3.0, "manhattan")}
     assert {(r["worker"], r["metric"], r["value"]) for r in S.worker_rows(rows).collect()} == {(1, "cpu_time", 0.5), (2, "cpu_time", 0.0), (1, "max_memory_mb", 2.5)}
-    stats = R.map_stats(rows.where("algorithm = 'dhpa'"), ["algorithm"], "worker_analysis", "cpu_time").first()
+    stats = R.map_stats(rows.where("algorithm = 'tiled'"), ["algorithm"], "worker_analysis", "cpu_time").first()
     assert (stats["mean"], stats["max"]) == (0.5, 0.5)
     S.write_benchmark(rows, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
