@@ -6,11 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import exact, langid, mixing, packing, simhash
+from gridloom.llm import exact, langid, mixing, neardup, packing
 from gridloom.llm.common import documents, use_shared_checkpoints
 
-#: Near duplicates: shingles of NEAR_WORDS words with a similarity of about 0.8 and more. Two fingerprints a document
-#: give 128 bits; documents link if NEAR_BITS bits or fewer differ in one and NEAR_TOTAL or fewer in both.
+#: Near duplicates: shingles of NEAR_WORDS words with a Jaccard similarity of 0.8 and more. The bounds on fingerprints
+#: decided before and don't any more; tests/llm/test_pipeline.py reads them.
 NEAR_WORDS, NEAR_PRINTS, NEAR_BITS, NEAR_TOTAL = 5, 2, 8, 22
 #: Longer blocks leave more documents in one piece.
 MIX_BLOCK_WORDS = 128
@@ -27,8 +27,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    return simhash.drop_near(docs, words=NEAR_WORDS, prints=NEAR_PRINTS, bound=NEAR_BITS, total=NEAR_TOTAL)
+    """Of each group that pairs with a similarity of 0.8 or more connect, the document with the smallest doc_id stays."""
+    return neardup.drop_similar(docs, words=NEAR_WORDS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

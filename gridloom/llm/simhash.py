@@ -262,7 +262,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each group with all its columns: that with the smallest id; of repeated ids one row."""
-    found = materialize(near_groups(docs, id_col, text_col, **options))
+    return keep_first(docs, near_groups(docs, id_col, text_col, **options), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of found (id, th, label: a row for each row of docs), the rows of docs that come first in their label."""
+    found = materialize(found)
     first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("th"))).alias("first")
     stays = found.groupBy("label").agg(first).select(F.col("first.id").alias("__gl_id"), F.col("first.th").alias("__gl_th"))
     rows = docs.withColumn("__gl_of", F.xxhash64(whole_text(text_col)))
