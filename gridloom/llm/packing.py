@@ -8,6 +8,8 @@ and starts from a best-fit packing. The patterns found are then dealt to the doc
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from bisect import bisect_right, insort
 
@@ -191,7 +193,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pieces of `capacity` if longer, of which the first may be shorter. Null texts count as empty, which give END alone.
 
     `ranks` is the vocabulary as a file of base64 tokens and ranks that executors can read; by default the public one
-    with 50,257 ids. Strings of special tokens in a text are ordinary text.
+    with 50,257 ids. As with the JSON form, special tokens are cut out of a text before all else, each one id.
     """
 
     def run(batches):
@@ -203,7 +205,16 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         coder = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+        with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as form:
+            special = {t["content"]: t["id"] for t in json.load(form)["added_tokens"]}
+        between = re.compile(f"({'|'.join(map(re.escape, special))})")
+
         def ids_of(text):
+            if not any(t in text for t in special):
+                return plain_ids(text)
+            return [i for part in between.split(text) if part for i in ([special[part]] if part in special else plain_ids(part))]
+
+        def plain_ids(text):
             try:
                 return coder.encode_ordinary(text)
             except BaseException as e:  # the splitter gives up on very long runs, with a panic
