@@ -242,12 +242,31 @@ def confirmed(text: str, pairs: list[set[tuple[str, str]]]) -> float:
     return max((len(t & own) / min(len(t), len(own)) if min(len(t), len(own)) else 0.0 for t in pairs), default=0.0)
 
 
+def confirmed_families(text: str, scores: dict[str, float], pairs: dict[str, list[set[tuple[str, str]]]]) -> list[tuple[str, float, float]]:
+    """(family, score, share) of each family that its templates confirm, the likeliest first. A further family counts
+    if the text has a word pair of it that no template of those before has: names share words, as LGPL and GPL do."""
+    words = words_of(text)
+    own, held = set(zip(words, words[1:])), []
+    for family, score in scores.items():
+        share = confirmed(text, pairs[family])
+        if share >= CONFIRM:
+            matched = [t & own for t in pairs[family] if len(t & own) >= CONFIRM * min(len(t), len(own))]
+            held.append((family, score, share, set().union(*matched)))
+    held.sort(key=lambda x: -x[1])
+    out, explained = [], set()
+    for family, score, share, matched in held[:1] + sorted(held[1:], key=lambda x: -len(x[3])):
+        if not out or matched - explained:
+            out.append((family, score, share))
+            explained |= set().union(*pairs[family])
+    return sorted(out, key=lambda x: -x[1])
+
+
 FOUND = T.ArrayType(T.StructType([T.StructField("paragraph", T.IntegerType()), T.StructField("family", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("confirmed", T.DoubleType())]))
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id, paragraphs, found: for each paragraph that a licence was found in, its number
-    from 0, the family, the calibrated probability and the template's share; of several windows the likeliest.
+    """One row for each row of docs: id, paragraphs, found: for each paragraph and each licence that was found in it, its
+    number from 0, the family, the calibrated probability and the template's share; of several windows the likeliest.
 
     Null texts count as empty: one paragraph, nothing found. Other columns of docs aren't read.
     """
@@ -265,16 +284,16 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 logits = model.logits(slab, windows)
                 hits = np.flatnonzero(logits.argmax(axis=1) != unknown) if len(logits) else []
                 chance = softmax(logits[hits] / model.temperature) if len(hits) else np.zeros((0, unknown + 1))
-                best: dict[int, tuple] = {}
+                best: dict[int, dict[str, float]] = {}
+                # Each family is held against the unknown class alone: those of one window share its probability.
                 for k, p in zip(hits, chance, strict=True):
-                    line, family = int(windows[0][k]), int(p.argmax())
-                    if p[family] >= model.least and (line not in best or p[family] > best[line][1]):
-                        best[line] = (family, float(p[family]))
-                for line, (family, p) in sorted(best.items()):
+                    for family in np.flatnonzero(p[:unknown] >= model.least * (p[:unknown] + p[unknown])):
+                        own = best.setdefault(int(windows[0][k]), {})
+                        own[model.families[family]] = max(float(p[family]), own.get(model.families[family], 0.0))
+                for line, scores in sorted(best.items()):
                     text = slab.data[slab.start[line] : slab.end[line]].tobytes().decode("utf-8", "replace")
-                    share = confirmed(text, pairs[model.families[family]])
-                    if share >= CONFIRM:
-                        found[slab.doc[line]].append({"paragraph": int(slab.number[line]), "family": model.families[family], "score": p, "confirmed": share})
+                    for family, p, share in confirmed_families(text, scores, pairs):
+                        found[slab.doc[line]].append({"paragraph": int(slab.number[line]), "family": family, "score": p, "confirmed": share})
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(paragraphs, pa.int32()), pa.array(found, kind)], ["id", "paragraphs", "found"])
 
     kind = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("score", pa.float64()), ("confirmed", pa.float64())]))
@@ -289,7 +308,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(docs, train(docs))
     first = F.get("found", F.lit(0))
     return found.select(
-        F.col("id").alias("doc_id"), "paragraphs", F.size("found").alias("license_paragraphs"),
+        F.col("id").alias("doc_id"), "paragraphs", F.size(F.array_distinct(F.transform("found", lambda x: x["paragraph"]))).alias("license_paragraphs"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["family"]))), ",").alias("families"),
         first["paragraph"].alias("first_paragraph"), F.coalesce(first["family"], F.lit(UNKNOWN)).alias("first_family"), F.coalesce(first["score"], F.lit(0.0)).alias("first_score"),
     )
