@@ -1,34 +1,59 @@
-"""Near duplicates by the Jaccard similarity of word shingles: a prefix-filtered join whose pairs are verified on texts.
+"""Near duplicates by the Jaccard similarity of word shingles: SimHash finds candidates, whole texts decide.
 
-Shingles are put in one order for all texts, rare ones first. Two texts that share so many shingles that their
-similarity reaches the bound share one of the first few of each, so texts that meet in a shingle of their prefixes are
-all the candidates there are. Order and hashes only decide what is compared; the whole texts decide what is linked.
+A document has a fingerprint of several 64-bit prints over its distinct shingles. Bands of its bits deal documents into
+buckets; each bucket gets a Gray-order index over the first prints, whose search gives pairs that differ in few bits.
+How wide bands are follows from the number of documents, so that buckets stay small, and how many there are from the
+share of pairs at the least similarity that may be missed. Candidates are verified on their texts, word for word, and
+only verified pairs link.
 
-A bucket's texts are first compared with one of them each (linear), links are contracted, and then only those that are
-still in different components are compared in pairs: a large group of copies needn't be compared with itself.
+A bucket with many candidate pairs gives a spanning forest of them first. Once those are verified and contracted, its
+candidates of different components are compared too, so a large group of copies isn't compared with itself.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.llm.common import bounded_batches, materialize, whole_text
 from gridloom.llm.graph import components
-from gridloom.llm.simhash import keep_first
-from gridloom.llm.words import mixed
+from gridloom.llm.simhash import BITS, GrayIndex, fingerprints, keep_first
 
 WORDS = 5
 #: Least similarity, as a fraction.
 OVER, UNDER = 4, 5
-#: About so many texts and at most so many shingles tell which are common. They only order shingles.
-ORDER_TEXTS, ORDER_SHINGLES = 20_000, 1 << 19
-SEED = 11
-#: Pairs of a bucket that are looked at in one go.
-PAIRS = 1 << 20
+#: Share of pairs at the least similarity that no band brings together; standard deviations of the index's bound.
+MISSED, DEVIATIONS = 0.004, 3.2
+#: Documents that share a band by chance, about; and the least width of a band.
+BUCKET_MEAN, LEAST_WIDTH = 256, 12
+#: Prints that the index holds.
+INDEX_PRINTS = 2
+#: A bucket above so many documents is searched in pairs of chunks of so many.
+CHUNK = 4096
+#: So many candidate pairs a document are verified at once; a bucket with more gives a forest first.
+FEW = 4
+#: Candidates' numbers (24 bytes each) are broadcast up to so many; beyond, their texts are found by a shuffled join.
+SMALL_ROWS = 100_000
+PAIR, DENSE, LARGE = 0, 1, 2
+
+
+def agreement(similarity: float = OVER / UNDER) -> float:
+    """Share of bits that agree for two sets of one size: 1 - angle / pi, the cosine being 2s / (1 + s)."""
+    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def plan(there: int) -> tuple[int, int, int, int]:
+    """Width and number of bands, prints, and the bound of the index, for so many documents."""
+    width = max(LEAST_WIDTH, math.ceil(math.log2(max(1, there) / BUCKET_MEAN)))
+    bands = math.ceil(math.log(MISSED) / math.log1p(-(agreement() ** width)))
+    bits, miss = INDEX_PRINTS * BITS, 1 - agreement()
+    bound = math.ceil(bits * miss + DEVIATIONS * math.sqrt(bits * miss * (1 - miss)))
+    return width, bands, max(INDEX_PRINTS, -(-width * bands // BITS)), bound
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -42,141 +67,158 @@ def shingles(text: str | None, words: int = WORDS) -> set[tuple[bytes, ...]]:
     return set(zip(*[t[k:] for k in range(words)])) if len(t) >= words else {tuple(t)}
 
 
-def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Distinct hashes of the shingles."""
-    t = tokens_of(text)
-    one = np.fromiter(map(xxhash.xxh64_intdigest, t), np.uint64, len(t))
-    n = max(1, len(t) - words + 1)
-    total = np.zeros(n, np.uint64)
-    for k in range(min(words, len(t))):
-        total = mixed(total * np.uint64(3) + one[k : k + n])
-    return np.unique(total)
-
-
 def similar(one: set, two: set) -> bool:
     both = len(one & two)
     return UNDER * both >= OVER * (len(one) + len(two) - both)
 
 
-def _may(size_a, pos_a, size_b, pos_b):
-    """False where texts whose first shared shingle has these places can't be similar: too few shingles follow."""
-    return (UNDER + OVER) * np.minimum(size_a - pos_a, size_b - pos_b) >= OVER * (size_a + size_b)
-
-
-def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, of shingles that several of a sample of texts have, and in how many."""
-    share = min(1.0, ORDER_TEXTS / max(1, texts.count()))
-    some = texts.where(F.pmod(F.xxhash64(F.lit(SEED), "code"), F.lit(1_000_000)) < int(share * 1_000_000))
-
-    def run(batches):
-        for batch in batches:
-            for text in batch["text"]:
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(text.as_py(), words).view(np.int64))], ["h"])
+_INDEXED = [f"fp{k}" for k in range(INDEX_PRINTS)]
+_FOUND = ["kind", "key", "part", "a", "b", *_INDEXED]
+_FOUND_TYPE = ", ".join(f"{c} long" for c in _FOUND)
 
-    counts = some.select("text").mapInArrow(run, "h long").groupBy("h").count().where("count > 1")
-    found = counts.orderBy(F.desc("count"), "h").limit(ORDER_SHINGLES).toArrow()
-    h, n = (found[c].to_numpy() for c in ("h", "count"))
-    order = np.argsort(h.view(np.uint64))
-    return h.view(np.uint64)[order], n[order]
 
-
-def _prefixes(texts: DataFrame, words: int) -> DataFrame:
-    """code, h, size, pos: the first shingles of each text, its number of shingles and the place in the order."""
-    shared = texts.sparkSession.sparkContext.broadcast(_common(texts, words))
+def _banded(codes: DataFrame, width: int, bands: int) -> DataFrame:
+    """key, part, code and the index's prints: a row for each band of each code."""
+    prints = [c for c in codes.columns if c.startswith("fp")]
+    weight = (1 << np.arange(width, dtype=np.int64))[::-1]
 
     def run(batches):
-        common, seen = shared.value
         for batch in batches:
-            code, h, size, pos = [], [], [], []
-            for c, text in zip(batch["code"].to_pylist(), batch["text"], strict=True):
-                own = shingle_hashes(text.as_py(), words)
-                at = np.minimum(np.searchsorted(common, own), max(0, len(common) - 1))
-                count = np.where(common[at] == own, seen[at], 0) if len(common) else np.zeros(len(own), np.int64)
-                n = len(own)
-                first = np.lexsort((own, count))[: n - -(-OVER * n // UNDER) + 1]
-                h.append(own[first].view(np.int64))
-                code.append(np.full(len(first), c, np.int64))
-                size.append(np.full(len(first), n, np.int32))
-                pos.append(np.arange(len(first), dtype=np.int32))
-            if h:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (code, h, size, pos)], ["code", "h", "size", "pos"])
-
-    return texts.select("code", "text").mapInArrow(run, "code long, h long, size int, pos int")
-
-
-def _by_run(made, names):
-    """For mapInArrow: made(columns, starts, ends) over rows in whole runs of equal h, which is the first of names."""
+            code = batch["code"].to_numpy()
+            fp = np.stack([batch[c].to_numpy() for c in prints], axis=1)
+            step = max(1, (1 << 18) // bands)
+            for at in range(0, len(code), step):
+                own = np.ascontiguousarray(fp[at : at + step])
+                bits = np.unpackbits(own.view(np.uint8), axis=1)[:, : width * bands].reshape(-1, bands, width)
+                key = (bits @ weight) + (np.arange(bands) << width)
+                spread = [np.repeat(own[:, k], bands) for k in range(INDEX_PRINTS)]
+                n = len(own) * bands
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.reshape(-1), np.full(n, -1), np.repeat(code[at : at + step], bands), *spread)], ["key", "part", "code", *_INDEXED])
+
+    return codes.mapInArrow(run, "key long, part long, code long, " + ", ".join(f"{c} long" for c in _INDEXED))
+
+
+def _forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """labels after linking, and the pairs among a, b that link: one for each label that goes."""
+    kept = [np.zeros(0, np.int64)]
+    at = np.arange(len(a))
+    while True:
+        one, two = labels[a[at]], labels[b[at]]
+        apart = np.flatnonzero(one != two)
+        if not len(apart):
+            kept = np.concatenate(kept)
+            return labels, a[kept], b[kept]
+        at, one, two = at[apart], one[apart], two[apart]
+        root, first = np.unique(np.maximum(one, two), return_index=True)
+        labels[root] = np.minimum(one, two)[first]
+        kept.append(at[first])
+        while (labels[labels] != labels).any():
+            labels = labels[labels]
+
+
+def _search(rows: DataFrame, bound: int, most: int | None, labelled: bool) -> DataFrame:
+    """Of key, part, code, prints (and label): PAIR rows (a, b: candidates). Without labels also DENSE rows, those of
+    buckets that gave a forest only, and LARGE rows, those of buckets above `most`; a has their code. With labels: all
+    candidates of different labels."""
+    columns = ["key", "part", "code", *_INDEXED, *(["label"] if labelled else [])]
+
+    def rows_of(kind, own):
+        n = len(own)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (np.full(n, kind), own[:, 0], own[:, 1], own[:, 2], np.zeros(n, np.int64), *own[:, 3 : 3 + INDEX_PRINTS].T)], _FOUND)
+
+    def pairs_of(a, b):
+        none = np.zeros(len(a), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (none, none, none, np.minimum(a, b), np.maximum(a, b), *[none] * INDEX_PRINTS)], _FOUND)
+
+    def searched(own):
+        index = GrayIndex(np.ascontiguousarray(own[:, 3 : 3 + INDEX_PRINTS]).view(np.uint64))
+        code = own[index.order, 2]
+        if labelled:
+            label = own[index.order, -1]
+            for i, j in index.pairs(bound):
+                apart = label[i] != label[j]
+                if apart.any():
+                    yield pairs_of(code[i[apart]], code[j[apart]])
+            return
+        labels, few, forest, count = np.arange(len(own)), [], [], 0
+        for i, j in index.pairs(bound):
+            count += len(i)
+            if count <= FEW * len(own):
+                few.append((i, j))
+            labels, *linked = _forest(labels, i, j)
+            forest.append(linked)
+        dense = count > FEW * len(own)
+        for i, j in forest if dense else few:
+            if len(i):
+                yield pairs_of(code[i], code[j])
+        if dense:
+            yield rows_of(DENSE, own)
+
+    def found(part):
+        cut = [0, *(np.flatnonzero((part[1:, :2] != part[:-1, :2]).any(axis=1)) + 1), len(part)]
+        for low, high in zip(cut[:-1], cut[1:], strict=True):
+            if most is not None and high - low > most:
+                yield rows_of(LARGE, part[low:high])
+            elif high - low > 1 and not (labelled and (part[low:high, -1] == part[low, -1]).all()):
+                yield from searched(part[low:high])
 
     def run(batches):
-        held = None
+        held, large = np.zeros((0, len(columns)), np.int64), None
         for batch in batches:
-            new = [batch[c].to_numpy(zero_copy_only=False) for c in names]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            cut = np.flatnonzero(held[0][1:] != held[0][:-1]) + 1
+            held = np.concatenate([held, np.stack([batch[c].to_numpy(zero_copy_only=False) for c in columns], axis=1)])
+            if large is not None:  # the rest of a bucket whose first rows went on already
+                more = (held[:, :2] == large).all(axis=1)
+                n = int(more.sum())
+                if n:
+                    yield rows_of(LARGE, held[:n])
+                held = held[n:]
+                large = large if not len(held) else None
+            cut = np.flatnonzero((held[1:, :2] != held[:-1, :2]).any(axis=1)) + 1
             if len(cut):
-                yield from made([x[: cut[-1]] for x in held], np.r_[0, cut[:-1]], cut)
-                held = [x[cut[-1] :] for x in held]
-        if held is not None and len(held[0]):
-            yield from made(held, np.array([0]), np.array([len(held[0])]))
-
-    return run
-
-
-def _met(prefixes: DataFrame) -> DataFrame:
-    """Rows of shingles that several texts have, with hub, one of those texts, and may, if the two may be similar."""
-    names = ["h", "code", "size", "pos"]
-
-    def made(columns, starts, ends):
-        length = ends - starts
-        start, several = np.repeat(starts, length), np.repeat(length > 1, length)
-        h, code, size, pos = (x[several] for x in columns)
-        if len(h):
-            hub, hub_size, hub_pos = (x[start[several]] for x in columns[1:])
-            may = (hub != code) & _may(size.astype(np.int64), pos, hub_size.astype(np.int64), hub_pos)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, code, size, pos, hub, may)], [*names, "hub", "may"])
-
-    # Which text comes first differs from bucket to bucket, so that links to it connect more.
-    rows = prefixes.select(*names).repartition("h").sortWithinPartitions("h", F.xxhash64("h", "code"))
-    return rows.mapInArrow(_by_run(made, names), "h long, code long, size int, pos int, hub long, may boolean")
-
-
-def _apart(met: DataFrame, named: DataFrame) -> DataFrame:
-    """a, b: candidates of different components that weren't compared yet."""
-    names = ["h", "code", "size", "pos", "hub", "label"]
-
-    def made(columns, starts, ends):
-        for low, high in zip(starts.tolist(), ends.tolist(), strict=True):
-            _, code, size, pos, hub, label = (x[low:high] for x in columns)
-            if (label == label[0]).all():
-                continue
-            size, step = size.astype(np.int64), max(1, PAIRS // len(code))
-            for at in range(0, len(code), step):
-                own = slice(at, at + step)
-                near = (label[own, None] != label) & (code[own, None] < code) & (code[own, None] != hub) & (code != hub)
-                near &= _may(size[own, None], pos[own, None], size, pos)
-                i, j = np.nonzero(near)
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(code[at + i]), pa.array(code[j])], ["a", "b"])
-
-    rows = met.join(named.withColumnRenamed("node", "code"), "code", "left").withColumn("label", F.coalesce("label", "code"))
-    return rows.select(*names).repartition("h").sortWithinPartitions("h").mapInArrow(_by_run(made, names), "a long, b long").distinct()
+                yield from merged(found(held[: cut[-1]]))
+                held = held[cut[-1] :]
+            if most is not None and len(held) > most:
+                large = held[0, :2].copy()
+                yield rows_of(LARGE, held)
+                held = held[:0]
+        if len(held):
+            yield from merged(found(held))
+
+    def merged(parts):
+        """Many small results as few batches."""
+        own, n = [], 0
+        for x in parts:
+            own.append(x)
+            n += x.num_rows
+            if n > 10_000:
+                yield from pa.Table.from_batches(own).combine_chunks().to_batches()
+                own, n = [], 0
+        if own:
+            yield from pa.Table.from_batches(own).combine_chunks().to_batches()
+
+    return rows.select(*columns).repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, _FOUND_TYPE)
+
+
+def _chunked(large: DataFrame, chunk: int) -> DataFrame:
+    """Rows of large buckets, dealt into pairs of chunks, in `part`."""
+    sizes = materialize(large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("long").alias("chunks")))
+    rows = large.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("code"), F.col("chunks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).where("own <> other")
+    return rows.withColumn("part", F.least("own", "other") * (1 << 31) + F.greatest("own", "other"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The pairs whose texts are similar."""
-    pairs = materialize(pairs)
-    needed = pairs.select(F.col("a").alias("code")).unionByName(pairs.select(F.col("b").alias("code"))).distinct()
-    some = materialize(texts.join(needed, "code", "left_semi"))
-    one, two = (some.select(F.col("code").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    """The pairs a, b (codes) whose texts are similar. texts: code, text."""
+    one, two = (texts.select(F.col("code").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
 
     def run(batches):
         last, own = None, None
         for batch in batches:
             a, b, good = batch["a"].to_pylist(), batch["b"].to_pylist(), []
             for k, (x, y) in enumerate(zip(batch["text_a"], batch["text_b"], strict=True)):
-                if a[k] != last:
-                    last, own = a[k], shingles(x.as_py(), words)
-                good.append(similar(own, shingles(y.as_py(), words)))
+                if b[k] != last:
+                    last, own = b[k], shingles(y.as_py(), words)
+                good.append(similar(own, shingles(x.as_py(), words)))
             good = np.array(good, bool)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)[good]) for x in (a, b)], ["a", "b"])
 
@@ -184,19 +226,50 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return materialize(both.mapInArrow(run, "a long, b long"))
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """One row for each row of docs: id, th (a hash of the text) and label, which texts share that pairs with a
-    similarity of OVER / UNDER or more connect. Null texts count as empty; texts without a word are alike."""
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, chunk: int = CHUNK) -> DataFrame:
+    """One row for each row of docs: id, th (a hash of the text) and label, which documents share that pairs with a
+    similarity of OVER / UNDER or more connect: all that SimHash brings together (see MISSED) and none besides.
+
+    Null texts count as empty; texts without a word are alike. Rows that repeat both id and text share a label. Other
+    columns of docs aren't read; an empty table gives an empty result.
+    """
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
-    texts = rows.select(F.col("th").alias("code"), "text")
-    met = materialize(_met(_prefixes(texts, words)))
-    links = _verified(met.where("may").select(F.least("hub", "code").alias("a"), F.greatest("hub", "code").alias("b")).distinct(), texts, words)
-    more = _verified(_apart(met, components(links)), texts, words)
-    named = components(links.unionByName(more))
-    return rows.select("id", "th").join(named.withColumnRenamed("node", "th"), "th", "left").select("id", "th", F.coalesce("label", "th").alias("label"))
+    width, bands, prints, bound = plan(docs.count())
+    rows = docs.select(F.col(id_col).alias("__gl_id"), whole_text(text_col).alias("text")).withColumn("__gl_th", F.xxhash64("text"))
+    # Numbers of documents are given once, in a written table.
+    codes = fingerprints(docs, id_col, text_col, words, prints, True).dropDuplicates(["id", "th"])
+    codes = materialize(codes.withColumn("code", F.monotonically_increasing_id()))
+    same = F.col("__gl_id").eqNullSafe(F.col("id")) & (F.col("__gl_th") == F.col("th"))
+
+    def texts(pairs):
+        wanted = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("code")), F.struct(F.col("b").alias("code"))))).distinct()
+        named = materialize(codes.select("id", "th", "code").join(wanted, "code", "left_semi"))
+        side = F.broadcast(named) if named.count() <= SMALL_ROWS else named
+        return materialize(rows.join(side, same).select("code", "text").dropDuplicates(["code"]))
+
+    first = materialize(_search(_banded(codes.drop("id", "th"), width, bands), bound, 2 * chunk, False))
+    as_rows = ["key", "part", F.col("a").alias("code"), *_INDEXED]
+    found = [first]
+    large = first.where(F.col("kind") == LARGE)
+    if not large.isEmpty():
+        found.append(materialize(_search(_chunked(large.select(*as_rows), chunk), bound, None, False)))
+    met = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    pairs = materialize(met.where(F.col("kind") == PAIR).select("a", "b").distinct())
+    links = _verified(pairs, texts(pairs), words)
+    dense = met.where(F.col("kind") == DENSE).select(*as_rows)
+    if not dense.isEmpty():
+        named = components(links)
+        labelled = dense.join(named.withColumnRenamed("node", "code"), "code", "left").withColumn("label", F.coalesce("label", "code"))
+        rest = _search(labelled, bound, None, True).select("a", "b").distinct()
+        rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            links = links.unionByName(_verified(rest, texts(rest), words))
+    named = components(links)
+    labels = codes.join(named.withColumnRenamed("node", "code"), "code", "left").select("id", "th", F.coalesce("label", "code").alias("label"))
+    return rows.select("__gl_id", "__gl_th").join(labels, same).select("id", "th", "label")
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """One document of each group with all its columns: that with the smallest id; of repeated ids one row."""
+    """One document of each group with all its columns: that with the smallest id; of repeated ids one row. Null ids
+    come last; a group of null ids only keeps one of them."""
     return keep_first(docs, similar_groups(docs, id_col, text_col, words), id_col, text_col)

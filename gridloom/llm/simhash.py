@@ -33,10 +33,11 @@ FAN = 8
 PAIRS = 1 << 21
 
 
-def fingerprint(text: str | None, words: int = WORDS, prints: int = 1) -> list[int]:
+def fingerprint(text: str | None, words: int = WORDS, prints: int = 1, distinct: bool = False) -> list[int]:
     """Of the text with A-Z in lower case: a bit is 1 if over half of the shingles' hashes have it. No word: zero.
 
-    Of several prints, the first takes the hashes as they are and the others mix them again."""
+    Of several prints, the first takes the hashes as they are and the others mix them again. distinct: a shingle that
+    repeats counts once."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
         return [0] * prints
@@ -47,22 +48,24 @@ def fingerprint(text: str | None, words: int = WORDS, prints: int = 1) -> list[i
     first, last = starts[:n].tolist(), ends[min(words, len(tokens)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     ones = np.zeros((prints, BITS), np.int64)
+    every = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)), np.uint64, n)
+    every = np.unique(every) if distinct else every
+    n = len(every)
     for at in range(0, n, 1 << 16):
-        end = min(n, at + (1 << 16))
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(first[at:end], last[at:end], strict=True)), np.uint64, end - at)
+        hashes = every[at : at + (1 << 16)]
         for k in range(prints):
             hashes = mixed(hashes + np.uint64(k)) if k else hashes
             ones[k] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8").reshape(-1).tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, prints: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, prints: int = 1, distinct: bool = False) -> DataFrame:
     """One row for each row of docs: id, th (a hash of the text, to find the row again), fp0 and on (64 bits as longs)."""
     names = [f"fp{k}" for k in range(prints)]
 
     def run(batches):
         for batch in batches:
-            made = np.array([fingerprint(x.as_py(), words, prints) for x in batch["text"]], np.uint64).reshape(-1, prints).view(np.int64)
+            made = np.array([fingerprint(x.as_py(), words, prints, distinct) for x in batch["text"]], np.uint64).reshape(-1, prints).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["id"], batch["th"], *[pa.array(np.ascontiguousarray(made[:, k])) for k in range(prints)]], ["id", "th", *names])
 
     fed = docs.select(F.col(id_col).alias("id"), F.xxhash64(whole_text(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
@@ -81,18 +84,19 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 class GrayIndex:
     """levels, from the top: (pattern, mask) of each node, the mask without the bits of the nodes above; a node's
     children are FAN neighbours of the next level. The last level holds the codes, in Gray order; order has the place that
-    each had."""
+    each had. A code is a 64-bit word, or a row of several."""
 
     def __init__(self, codes: np.ndarray):
-        self.order = np.argsort(gray_rank(codes), kind="stable")
+        codes = codes.reshape(len(codes), -1)
+        self.order = np.lexsort(gray_rank(codes).T[::-1])
         self.codes = codes[self.order]
         shared = [(self.codes, ~self.codes)]  # bits that are 1 in all below, and 0 in all below
         while len(shared[-1][0]) > FAN:
             cut = np.arange(0, len(shared[-1][0]), FAN)
-            shared.append(tuple(np.bitwise_and.reduceat(x, cut) for x in shared[-1]))
-        self.levels, above = [], np.zeros(1, np.uint64)
+            shared.append(tuple(np.bitwise_and.reduceat(x, cut, axis=0) for x in shared[-1]))
+        self.levels, above = [], None
         for ones, zeros in reversed(shared):
-            held = above[np.arange(len(ones)) // FAN] if len(self.levels) else np.zeros(len(ones), np.uint64)
+            held = np.zeros_like(ones) if above is None else above[np.arange(len(ones)) // FAN]
             self.levels.append((ones, (ones | zeros) & ~held))
             above = ones | zeros
 
@@ -104,7 +108,7 @@ class GrayIndex:
             top = len(self.levels[0][0])
             query = np.repeat(np.arange(at, min(size, at + step)), top)
             node = np.tile(np.arange(top), min(size, at + step) - at)
-            differ = np.zeros(len(query), np.uint8)
+            differ = np.zeros(len(query), np.uint16)
             for depth, (pattern, mask) in enumerate(self.levels):
                 if depth:
                     query, node, differ = np.repeat(query, FAN), (node[:, None] * FAN + np.arange(FAN)).reshape(-1), np.repeat(differ, FAN)
@@ -113,7 +117,8 @@ class GrayIndex:
                 # Nodes whose codes all come before the query were or will be met the other way round.
                 later = (node + 1) * FAN ** (len(self.levels) - 1 - depth) > query
                 query, node, differ = query[later], node[later], differ[later]
-                differ = differ + np.bitwise_count((self.codes[query] ^ pattern[node]) & mask[node])
+                for w in range(self.codes.shape[1]):
+                    differ = differ + np.bitwise_count((self.codes[query, w] ^ pattern[node, w]) & mask[node, w])
                 near = differ <= bound
                 query, node, differ = query[near], node[near], differ[near]
             own = node > query

@@ -4,11 +4,11 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from gridloom.llm import langid, mixing, packing, simhash
+from gridloom.llm import langid, mixing, neardup, packing
 from gridloom.llm.common import documents
 from tests.llm.helpers import empty, frame, odd_rows
 from tests.llm.test_packing import check
-from tests.llm.test_simhash import brute_fingerprint, brute_groups
+from tests.llm.test_simhash import brute_groups
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -32,14 +32,8 @@ def test_stages_match_brute_force(spark):
     assert sorted(r["doc_id"] for r in two.collect()) == want
 
     three = stages["near_dedup"](spark, two, SF)
-    prints = [simhash.fingerprint(rows[i]["text"], corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_PRINTS) for i in want]
-    assert all(p[0] == brute_fingerprint(rows[i]["text"], corpus_pipeline.NEAR_WORDS) for i, p in zip(want, prints))
-
-    def linked(a, b):
-        d = [bin(x ^ y).count("1") for x, y in zip(a, b)]
-        return min(d) <= corpus_pipeline.NEAR_BITS and sum(d) <= corpus_pipeline.NEAR_TOTAL
-
-    groups = brute_groups(prints, linked)
+    sets = [neardup.shingles(rows[i]["text"]) for i in want]
+    groups = brute_groups(sets, lambda a, b: len(a & b) / len(a | b) >= 0.8)
     want = sorted({g: want[k] for k, g in reversed(list(enumerate(groups)))}.values())
     assert sorted(r["doc_id"] for r in three.collect()) == want
 

@@ -62,7 +62,7 @@ def test_index_finds_all_pairs():
     codes = np.array(near_codes(rng, 12, 30) + [0, 2**64 - 1], np.uint64)
     index = simhash.GrayIndex(codes)
     got = {(int(a), int(b)) for x, y in index.pairs(4) for a, b in zip(x, y)}
-    want = {(i, j) for j in range(len(codes)) for i in range(j) if bin(int(index.codes[i]) ^ int(index.codes[j])).count("1") <= 4}
+    want = {(i, j) for j in range(len(codes)) for i in range(j) if bin(int(index.codes[i, 0]) ^ int(index.codes[j, 0])).count("1") <= 4}
     assert got == want
 
 
