@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm import exact, langid, mixing, neardup, packing
 from gridloom.llm.common import documents, use_shared_checkpoints
 
-#: Near duplicates: shingles of NEAR_WORDS words with a Jaccard similarity of 0.8 and more. The bounds on fingerprints
-#: decided before and don't any more; tests/llm/test_pipeline.py reads them.
-NEAR_WORDS, NEAR_PRINTS, NEAR_BITS, NEAR_TOTAL = 5, 2, 8, 22
+#: Near duplicates: shingles of so many words, a Jaccard similarity of 0.8 and more.
+NEAR_WORDS = 5
 #: Longer blocks leave more documents in one piece.
 MIX_BLOCK_WORDS = 128
 
@@ -27,7 +26,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that pairs with a similarity of 0.8 or more connect, the document with the smallest doc_id stays."""
+    """Of each group that pairs with a similarity of 0.8 or more connect, the document with the smallest doc_id stays.
+    SimHash finds the pairs, their whole texts decide."""
     return neardup.drop_similar(docs, words=NEAR_WORDS)
 
 
