@@ -1,8 +1,13 @@
 """Mixing sources to target weights with packed blocks. DataFrame functions only.
 
-The words of each source, document after document, are packed into blocks of a fixed length. Each output shard draws
-multinomial counts of slots by source. A source's slots run through a pseudorandom permutation of its block numbers,
-again and again, and slots and blocks are joined by number.
+The words of each source, document after document, are packed into blocks of a fixed length. A source's target gives its
+number of slots. All slots of all sources are numbered, and a pseudorandom permutation of the numbers deals them to
+places in output shards: how many slots of each source a shard has is a multinomial draw, given the sources' totals. A
+source's slots run through a pseudorandom permutation of its block numbers, again and again, and slots and blocks are
+joined by number.
+
+Permutations are swap-or-not shuffles: in each round a number x and its mate k - x (modulo the size) change places or
+don't, by a hash of the larger. They work for any size, need no table and no sort.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ SHARE = 1.5
 CAP = 2.0
 SLOTS_A_SHARD = 4096
 SEED = 42
+#: Rounds of a permutation.
+ROUNDS = 32
 #: Tables with a row for each source are broadcast up to this many rows; beyond, a sort-merge join takes them.
 SMALL_ROWS = 20_000
 _CHUNK = 65_536
@@ -29,7 +36,7 @@ _CHUNK = 65_536
 @dataclass(frozen=True)
 class Mix:
     """rows: _pos, id, th, size, sidx, offset. sources: sidx, source, source_size, weight, target, n_blocks, quota.
-    slots: shard, sidx, q, block (a slot of an output shard and the block that fills it)."""
+    slots: shard, place, sidx, q, block (a place in an output shard, the source's slot there and the block that fills it)."""
 
     rows: DataFrame
     sources: DataFrame
@@ -62,18 +69,26 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     those above `cap` times their source's size stop there and the excess is shared again. In the order of cap by
     weight, a source is capped if it is below the level that remains once all before it are capped.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = F.row_number().over(by_name) - 1
-    ranked = sizes.withColumn("sidx", turn.cast("int"))
-    ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("sidx") % len(weights) + 1))
+    ranked = in_global_order(sizes.select("source", "source_size"), [F.col("source").asc_nulls_last()]).withColumnRenamed("_pos", "sidx")
+    ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("sidx") % len(weights) + 1).cast("int")))
     ranked = ranked.withColumn("most", F.col("source_size") * F.lit(float(cap)))
-    by_level = Window.orderBy(F.col("most") / F.col("weight"), "sidx").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(F.lit(1))
-    left = F.sum("source_size").over(whole) * float(share) - F.coalesce(F.sum("most").over(by_level), F.lit(0.0))
-    level = left / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(by_level), F.lit(0.0)))
+    ranked = in_global_order(ranked, [F.col("most") / F.col("weight"), F.col("sidx")], ["most", "weight", "source_size"])
+    level = (F.col("_all_source_size") * float(share) - F.col("_before_most")) / (F.col("_all_weight") - F.col("_before_weight"))
     ranked = ranked.withColumn("level", level).withColumn("capped", F.col("most") <= F.col("level") * F.col("weight"))
-    free = F.max(F.when(~F.col("capped"), F.col("level"))).over(whole)
-    return ranked.withColumn("target", F.when(F.col("capped"), F.col("most")).otherwise(free * F.col("weight"))).select("sidx", "source", "source_size", "weight", "target")
+    free = ranked.agg(F.max(F.when(~F.col("capped"), F.col("level")))).first()[0]
+    target = F.when(F.col("capped"), F.col("most")).otherwise(F.lit(free).cast("double") * F.col("weight"))
+    return ranked.withColumn("target", target).select("sidx", "source", "source_size", "weight", "target")
+
+
+def permuted(df: DataFrame, value: Column, size: Column, key: Column, out: str, seed: int = SEED, rounds: int = ROUNDS) -> DataFrame:
+    """df with `out`: the place of `value` (0 to size - 1) in a pseudorandom permutation; each key (long) has its own."""
+    of = lambda *parts: F.xxhash64(*[p if isinstance(p, Column) else F.lit(p).cast("long") for p in parts])
+    df = df.withColumns({out: value, "_size": size, "_key": key})
+    for r in range(rounds):
+        df = df.withColumn("_mate", F.pmod(F.pmod(of(seed, 0, r, F.col("_key")), F.col("_size")) - F.col(out), F.col("_size")))
+        swaps = of(seed, 1, r, F.col("_key"), F.greatest(F.col(out), F.col("_mate"))).bitwiseAND(1) == 1
+        df = df.withColumn(out, F.when(swaps, F.col("_mate")).otherwise(F.col(out)))
+    return df.drop("_mate", "_size", "_key")
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, slots_a_shard: int = SLOTS_A_SHARD, seed: int = SEED) -> Mix:
@@ -86,8 +101,9 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     # Slots are counted in blocks of the source's mean length: at most `cap` times its blocks.
     quota = F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("n_blocks") / F.col("source_size"))).otherwise(0).cast("long")
     targets = targets.withColumn("n_blocks", n_blocks).withColumn("quota", quota)
-    before = Window.orderBy("sidx").rowsBetween(Window.unboundedPreceding, -1)
-    sources = materialize(targets.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(before), F.lit(0).cast("long")) for c in ("source_size", "n_blocks", "quota")}))
+    summed = ("source_size", "n_blocks", "quota")
+    sources = in_global_order(targets, [F.col("sidx")], summed).drop("_pos", *[f"_all_{c}" for c in summed])
+    sources = materialize(sources.withColumnsRenamed({f"_before_{c}": f"{c}_before" for c in summed}))
     small = _small(sources)
 
     numbered = rows.join(small.select(F.col("source").alias("_source"), "sidx"), F.col("source").eqNullSafe(F.col("_source"))).select("sidx", "id", "th", "size")
@@ -98,35 +114,17 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def _slots(sources: DataFrame, slots_a_shard: int, seed: int) -> DataFrame:
-    spark = sources.sparkSession
     total = sources.agg(F.sum("quota")).first()[0] or 0
-    shards = max(1, -(-total // slots_a_shard))
-    # A draw is a number below the sum of quotas; the source that owns the number is drawn. Ownership is cut into chunks, to be joined on.
-    start, end = F.col("quota_before"), F.col("quota_before") + F.col("quota")
-    owned = sources.where("quota > 0").withColumn("chunk", F.explode(F.sequence(F.expr(f"quota_before div {_CHUNK}"), F.expr(f"(quota_before + quota - 1) div {_CHUNK}"))))
-    owned = owned.select("chunk", "sidx", start.alias("lo"), end.alias("hi"))
-    draws = spark.range(total).select(F.expr(f"cast(id div {slots_a_shard} as long)").alias("shard"), F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "id"), F.lit(max(1, total))).alias("v"))
-    draws = draws.withColumn("chunk", F.expr(f"v div {_CHUNK}")).join(owned, "chunk").where("v >= lo AND v < hi")
-    counts = draws.groupBy("shard", "sidx").agg(F.count(F.lit(1)).alias("drawn"))
-
-    # What a source draws beyond its quota goes to those below theirs.
-    quotas = sources.select("sidx", "quota", "n_blocks", "n_blocks_before")
-    running = Window.partitionBy("sidx").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("q0", F.coalesce(F.sum("drawn").over(running), F.lit(0).cast("long"))).join(_small(quotas), "sidx")
-    counts = materialize(counts.withColumn("took", F.greatest(F.lit(0).cast("long"), F.least(F.col("drawn"), F.col("quota") - F.col("q0")))))
-    slots = counts.where("took > 0").select("shard", "sidx", "n_blocks", F.explode(F.sequence("q0", F.col("q0") + F.col("took") - 1)).alias("q"))
-    taken = counts.groupBy("sidx").agg(F.sum("took").alias("had"))
-    missing = quotas.join(taken, "sidx", "left").withColumn("had", F.coalesce("had", F.lit(0).cast("long"))).withColumn("lack", F.col("quota") - F.col("had"))
-    more = _expand(missing.select("sidx", "n_blocks", "had", "lack"), "lack", "i")
-    more = more.select(F.pmod(F.xxhash64(F.lit(seed), "sidx", "i"), F.lit(shards)).alias("shard"), "sidx", "n_blocks", (F.col("had") + F.col("i")).alias("q"))
-
-    # The permutation: a source's blocks in the order of their hashes.
-    blocks = _expand(sources.select("sidx", "n_blocks", "n_blocks_before"), "n_blocks", "block")
-    blocks = blocks.withColumn("key", F.xxhash64(F.lit(seed), F.lit("block"), "sidx", "block"))
-    permuted = in_global_order(blocks, [F.col("sidx"), F.col("key"), F.col("block")])
-    permuted = permuted.select("sidx", "block", (F.col("_pos") - F.col("n_blocks_before")).alias("r"))
-    slots = slots.unionByName(more).withColumn("r", F.col("q") % F.col("n_blocks"))
-    return materialize(slots.join(permuted, ["sidx", "r"]).select("shard", "sidx", "q", "block"))
+    slots = _expand(sources.select("sidx", "n_blocks", "quota_before", "quota"), "quota", "q")
+    slots = permuted(slots, F.col("quota_before") + F.col("q"), F.lit(max(1, total)).cast("long"), F.lit(-1).cast("long"), "_at", seed)
+    slots = slots.withColumns({"shard": F.expr(f"_at div {slots_a_shard}"), "place": F.col("_at") % slots_a_shard})
+    slots = permuted(slots, F.col("q") % F.col("n_blocks"), F.col("n_blocks"), F.col("sidx"), "block", seed)
+    return materialize(slots.select("shard", "place", "sidx", "q", "block"))
+
+
+def shard_counts(mix: Mix) -> DataFrame:
+    """shard, sidx, slots: what each output shard drew of each source."""
+    return mix.slots.groupBy("shard", "sidx").agg(F.count(F.lit(1)).alias("slots"))
 
 
 def segments(mix: Mix) -> DataFrame:
@@ -166,11 +164,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.withColumn("__gl_of", F.xxhash64(whole_text(text_col))).join(lists, F.col(id_col).eqNullSafe(F.col("__gl_id")) & (F.col("__gl_of") == F.col("__gl_th")))
     turn = F.row_number().over(Window.partitionBy("__gl_id", "__gl_th").orderBy("__gl_id"))
     rows = rows.withColumn("__gl_turn", turn).where(F.col("__gl_turn") <= F.size("__gl_lists"))
-    rows = rows.withColumn("__gl_run", F.explode(F.element_at("__gl_lists", F.col("__gl_turn"))["runs"]))
+    # A text is cut into words once: the generator keeps its array from being put into the function for each run.
     words = F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    run = F.col("__gl_run")
-    part = F.array_join(F.slice(words, (run["start"] + 1).cast("int"), run["length"].cast("int")), "")
-    rows = rows.withColumn(text_col, F.when(run["length"] == F.col("__gl_size"), F.col(text_col)).otherwise(part))
+    rows = rows.withColumn("__gl_runs", F.element_at("__gl_lists", F.col("__gl_turn"))["runs"]).drop("__gl_lists")
+    rows = rows.withColumn("__gl_words", F.explode(F.array(words)))
+    part = lambda run: F.array_join(F.slice("__gl_words", (run["start"] + 1).cast("int"), run["length"].cast("int")), "")
+    parts = F.transform("__gl_runs", lambda run: F.when(run["length"] == F.col("__gl_size"), F.col(text_col)).otherwise(part(run)))
+    rows = rows.withColumn("__gl_part", F.explode(parts)).withColumn(text_col, F.col("__gl_part"))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
