@@ -1,8 +1,10 @@
 """Packing documents into token sequences of a fixed length by bin completion.
 
 Items are told apart by length only, so the search runs on counts by length, a table bounded by the sequence length
-whatever the corpus. It fills bins around the largest length left, trying undominated fillings first, prunes by waste
-and starts from a best-fit packing. The patterns found are then dealt to the documents by rank within their length.
+whatever the corpus. It fills bins around the largest length left, trying undominated fillings, prunes by waste and
+starts from a best-fit packing. The search is complete unless its budget of steps ends it, and says which: the bound was
+met, the packing is proved best, or the search was cut. The patterns found are then dealt to the documents by rank within
+their length.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ import json
 import re
 import zlib
 from bisect import bisect_right, insort
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +27,11 @@ from gridloom.llm.common import bounded_batches, documents, in_global_order, mat
 
 CAPACITY = 2048
 END = 0
-#: Bounds of the search, not of the data: nodes in all, fillings tried at a node, and steps to find them.
-NODES = 4_000
-WIDTH = 4
-STEPS = 400
+#: The search ends after so many steps (lengths that were tried), with the best packing so far.
+STEPS = 1_000_000
+#: So many steps at each node go ahead, to try fillings with little waste first.
+AHEAD = 400
+BOUND_MET, PROVED, CUT = "bound met", "proved", "cut"
 
 Pattern = tuple[tuple[int, int], ...]  # (length, copies), longest first
 
@@ -95,57 +100,76 @@ def _dominates(one: list[int], other: list[int]) -> bool:
     return True
 
 
-def fillings(counts: dict[int, int], lengths: list[int], gap: int, width: int = WIDTH, steps: int = STEPS) -> list[list[int]]:
-    """Undominated ways to fill a gap, least waste first: maximal sets of lengths, longest first."""
-    found: list[tuple[int, list[int]]] = []
-    used: dict[int, int] = {}
-    taken = 0
+class _Budget:
+    def __init__(self, steps: int):
+        self.left = steps
 
-    def search(room: int, most: int, chosen: list[int]) -> bool:
-        nonlocal taken
+
+def _maximal(counts: dict[int, int], lengths: list[int], largest: int, room: int, budget: _Budget) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(waste, lengths, longest first) of all maximal ways to fill the room beside `largest`. Stops when the budget ends."""
+    used = {largest: 1}
+
+    def search(room: int, most: int, chosen: tuple[int, ...]):
         at = bisect_right(lengths, min(room, most)) - 1
         maximal = True
-        while at >= 0:
+        while at >= 0 and budget.left > 0:
             x = lengths[at]
             at -= 1
             if counts[x] <= used.get(x, 0):
                 continue
-            taken += 1
+            budget.left -= 1
             maximal = False
             used[x] = used.get(x, 0) + 1
-            stop = search(room - x, x, [*chosen, x]) if room > x else add(0, [*chosen, x])
+            yield from search(room - x, x, (*chosen, x))
             used[x] -= 1
-            if stop or room == x:
-                return stop  # a length that fills the room alone dominates all others here
-            if taken > steps:
-                return True
-        return add(room, chosen) if maximal else False
-
-    def add(waste: int, chosen: list[int]) -> bool:
-        found.append((waste, chosen))
-        return sum(w == 0 for w, _ in found) >= width or taken > steps
-
-    search(gap, gap, [])
-    out: list[list[int]] = []
-    for _, chosen in sorted(found, key=lambda f: (f[0], len(f[1]), [-x for x in f[1]])):
-        if not any(_dominates(kept, chosen) for kept in out):
-            out.append(chosen)
-        if len(out) == width:
+            if room == x:
+                return  # a length that fills the room alone dominates all others here
+        if maximal:
+            yield room, chosen
+
+    yield from search(room, room, ())
+
+
+def fillings(counts: dict[int, int], lengths: list[int], largest: int, room: int, budget: _Budget) -> Iterator[tuple[int, ...]]:
+    """Undominated ways to fill the room beside `largest`: all of them while the budget lasts; of those that a look
+    ahead of AHEAD steps finds, the ones with the least waste come first."""
+    every, ahead, end = _maximal(counts, lengths, largest, room, budget), [], budget.left - AHEAD
+    for found in every:
+        ahead.append(found)
+        if budget.left <= end or found[0] == 0 and sum(w == 0 for w, _ in ahead) >= 4:
             break
-    return out
+    kept: list[tuple[int, ...]] = []
+    ahead.sort(key=lambda f: (f[0], len(f[1]), [-x for x in f[1]]))
+    for found in (ahead, every):
+        for _, chosen in found:
+            if not any(_dominates(one, chosen) for one in kept):
+                kept.append(chosen)
+                yield chosen
+
+
+@dataclass(frozen=True)
+class Packed:
+    """patterns and how many bins each has; bins in all; least, a bound below; outcome: whether bins equals the bound,
+    is proved best by the search, or the search was cut."""
+
+    patterns: list[tuple[Pattern, int]]
+    bins: int
+    least: int
+    outcome: str
+
 
+def complete(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> Packed:
+    """The fewest bins that the search finds, never more than best fit.
 
-def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Pattern, int]]:
-    """Patterns and how many bins each has; the fewest bins that the search finds, never more than best fit."""
+    A node takes a filling as often as it can, for each filling; then, for each that it could take several times, less
+    often with others beside it. So nothing is left out but what the bounds or the budget end.
+    """
     counts = {k: n for k, n in counts.items() if n}
     best = best_fit(counts, capacity)
-    fewest, least = sum(n for _, n in best), least_bins(counts, capacity)
-    if fewest <= least:
-        return best
+    fewest, least, budget = sum(n for _, n in best), least_bins(counts, capacity), _Budget(steps)
     left, lengths, volume = dict(counts), sorted(counts), sum(k * n for k, n in counts.items())
     path: list[tuple[Pattern, int]] = []
-    stack: list[list[list[int]]] = []
-    opened = used = 0
+    used = 0
 
     def move(pattern: Pattern, n: int, sign: int):
         nonlocal volume, used
@@ -158,34 +182,45 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODE
             volume -= sign * x * copies * n
         used += sign * n
 
-    while True:
-        deeper = False
-        if not lengths:
-            if used < fewest:
-                best, fewest = list(path), used
-        # Waste bound: what is left needs its volume in bins at least.
-        elif used + -(-volume // capacity) < fewest:
-            opened += 1
-            deeper = True
-            largest = lengths[-1]
-            left[largest] -= 1
-            options = fillings(left, lengths, capacity - largest)
-            left[largest] += 1
-            stack.append([[largest, *x] for x in reversed(options)])
-        if not deeper and path:
-            move(*path.pop(), -1)
-        while stack and not stack[-1]:
+    def moves(without: frozenset):
+        """(pattern, bins, patterns that must not follow while the largest length is the same)."""
+        largest, several = lengths[-1], []
+        for chosen in fillings(left, lengths, largest, capacity - largest, budget):
+            copies: dict[int, int] = {}
+            for x in (largest, *chosen):
+                copies[x] = copies.get(x, 0) + 1
+            pattern = tuple(copies.items())
+            if pattern in without:
+                continue
+            n = min(left[x] // c for x, c in pattern)
+            yield pattern, n, without
+            if n > 1:
+                several.append((pattern, n))
+        for pattern, n in several:
+            for fewer in range(n - 1, 0, -1):
+                yield pattern, fewer, without | {pattern}
+
+    stack = [(lengths[-1], moves(frozenset()))] if lengths and fewest > least else []
+    while stack and fewest > least and budget.left > 0:
+        largest, options = stack[-1]
+        step = next(options, None)
+        if step is None:
             stack.pop()
             if path:
                 move(*path.pop(), -1)
-        if not stack or fewest <= least or opened >= nodes:
-            return best
-        copies: dict[int, int] = {}
-        for x in stack[-1].pop():
-            copies[x] = copies.get(x, 0) + 1
-        step = (tuple(copies.items()), min(left[x] // c for x, c in copies.items()))
-        move(*step, 1)
-        path.append(step)
+            continue
+        budget.left -= 1
+        pattern, n, without = step
+        move(pattern, n, 1)
+        path.append((pattern, n))
+        if not lengths and used < fewest:
+            best, fewest = list(path), used
+        # Waste bound: what is left needs its volume in bins at least.
+        if lengths and used + -(-volume // capacity) < fewest:
+            stack.append((lengths[-1], moves(without if lengths[-1] == largest else frozenset())))
+        else:
+            move(*path.pop(), -1)
+    return Packed(best, fewest, least, BOUND_MET if fewest <= least else CUT if budget.left <= 0 else PROVED)
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -217,8 +252,8 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         def plain_ids(text):
             try:
                 return coder.encode_ordinary(text)
-            except BaseException as e:  # the splitter gives up on very long runs, with a panic
-                if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+            except BaseException as e:  # the splitter gives up on very long runs, with a panic of its own
+                if type(e).__name__ != "PanicException":
                     raise
                 pieces = regex.findall(public_tokenizers.PATTERN, text)
                 return [i for p in pieces for i in coder._encode_single_piece(p.encode())]
@@ -248,20 +283,25 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return fed.mapInArrow(run, schema)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
+def length_counts(pieces: DataFrame) -> dict[int, int]:
+    """How many pieces each length has: at most as many rows as a sequence has tokens."""
+    return {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, steps: int = STEPS) -> DataFrame:
     """pieces with sequence_id and offset: places in sequences of at most `capacity` tokens, without gaps from 0.
 
     Reads id, piece, start, length, ids_crc32; lengths are 1 to capacity. An empty table gives an empty result.
     """
     pieces = materialize(pieces)
-    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # a row for each length
+    counts = length_counts(pieces)
     base = np.zeros(capacity + 2, np.int64)
     for k, n in counts.items():
         base[k + 1] = n
     base = np.cumsum(base)  # pieces that are shorter
     # A row for each pattern and length in it: from which rank of the length it takes pieces, and where it puts them.
     key, columns, next_rank, first_bin = [], [], dict.fromkeys(counts, 0), 0
-    for pattern, n in complete(counts, capacity, nodes):
+    for pattern, n in complete(counts, capacity, steps).patterns:
         offset = 0
         for length, copies in pattern:
             key.append((length << 44) + next_rank[length])
@@ -271,7 +311,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> Dat
         first_bin += n
     order = np.argsort(np.array(key, np.int64), kind="stable")
     table = (base, np.array(key, np.int64)[order], np.array(columns, np.int64).reshape(-1, 4)[order])
-    # A few rows for each length: bounded by capacity, not by the data.
+    # A few rows for each pattern. Best fit makes at most two patterns for a length and a gap: bounded by capacity squared,
+    # not by the data.
     shared = pieces.sparkSession.sparkContext.broadcast(table)
     placed = in_global_order(pieces, [F.col("length"), F.col("id").asc_nulls_last(), F.col("piece"), F.col("ids_crc32")])
     names = [*pieces.columns, "sequence_id", "offset"]
@@ -290,6 +331,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> Dat
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: see token_pieces and pack. A null or empty text is
+    one piece of one token; rows that repeat are packed each; a null id comes after all others of its length."""
     return pack(token_pieces(docs, id_col, text_col, ranks)).withColumnRenamed("id", "doc_id")
 
 
