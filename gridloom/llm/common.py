@@ -41,10 +41,13 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def use_shared_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder named in spark.checkpoint.dir; only where it is unset (tests) to a temporary one."""
+    """Checkpoints go to the folder named in spark.checkpoint.dir. Only a local session (tests) does without: it gets a
+    temporary folder."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
 
 

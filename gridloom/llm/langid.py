@@ -16,8 +16,6 @@ BITS = 16
 SMOOTHING = 0.5
 #: Training takes about so many labelled rows at most, drawn by a hash of their ids.
 TRAIN_ROWS = 12_000
-#: The pipeline lets documents go that have no letter or whose best language is less likely than this.
-LEAST_SCORE = 0.3
 UNKNOWN = "und"
 SEED = 9
 
@@ -71,14 +69,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs with the predicted language and its posterior probability after them.
+    """docs with the predicted language and its posterior probability after them; columns of docs that have the names in
+    `out` (in any case) are replaced.
 
     A null text, one without letters, and every text if nothing could be learned give `und` with score 0. Equal texts
     get equal results. Ties go to the language that comes first in code point order.
     """
     spark = docs.sparkSession
+    # A row for each bucket, a column for each language of the training rows, of which there are a bounded number.
     shared = spark.sparkContext.broadcast((model.languages, model.table, model.prior))
-    own = list(docs.columns)
+    own = [c for c in docs.columns if c.lower() not in [x.lower() for x in out]]
 
     def score(batches):
         model = Model(*shared.value)
@@ -94,18 +94,21 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out: tuple[s
 
     bounded_batches(spark)
     text = F.col(text_col).cast("string")
-    fed = docs.select(*docs.columns, text.alias("__gl_text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__gl_readable"))
-    return fed.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())]))
+    fed = docs.select(*own, text.alias("__gl_text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__gl_readable"))
+    return fed.mapInArrow(score, T.StructType([*[docs.schema[c] for c in own], T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())]))
 
 
-def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The documents whose language can be told; see LEAST_SCORE."""
-    model = train(docs)
-    found = identify(docs, model, out=("__gl_lang", "__gl_score"))
-    return found.where((F.col("__gl_lang") != UNKNOWN) & (F.col("__gl_score") >= least)).select(*docs.columns)
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The documents whose language can be told, with all their columns: those that identify() doesn't call `und`. So null
+    texts and texts without letters go, and everything if there is nothing to learn from.
+
+    The posterior isn't a reason to let a document go: summed over all n-grams it is near 1 for any text."""
+    found = identify(docs, train(docs), out=("__gl_lang", "__gl_score"))
+    return found.where(F.col("__gl_lang") != UNKNOWN).select(*docs.columns)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, a row for each row of documents; see identify() for nulls, empties and ties."""
     docs = documents(spark, sf_dir)
     found = identify(docs.select("doc_id", "text"), train(docs))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

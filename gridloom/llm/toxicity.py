@@ -40,7 +40,8 @@ class Model:
 
 def training_rows(docs: DataFrame, label_rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> DataFrame:
     """y and text of labelled rows that aren't held out: all, or about `rows` of them by a hash of the id. Of several
-    labels of an id the larger counts; null labels don't."""
+    labels of an id the larger counts; null labels don't. Of rows that repeat both id and text one counts; different
+    texts of one id count each."""
     usable = label_rows.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     usable = usable.groupBy(F.col(id_col).alias("__gl_id")).agg(F.max(label_col).alias("__gl_y"))
     there = usable.count()
@@ -49,7 +50,7 @@ def training_rows(docs: DataFrame, label_rows: DataFrame, id_col: str = "doc_id"
     usable = materialize(usable)
     # About `rows` ids; twice that can't come from the hash, but is checked.
     side = F.broadcast(usable) if usable.count() <= 2 * rows else usable
-    return docs.join(side, F.col(id_col) == F.col("__gl_id")).select(F.col("__gl_y").cast("int").alias("y"), F.col(text_col).cast("string").alias("text"))
+    return docs.join(side, F.col(id_col) == F.col("__gl_id")).select(F.col("__gl_y").cast("int").alias("y"), F.col(text_col).cast("string").alias("text"), "__gl_id").dropDuplicates().drop("__gl_id")
 
 
 def fit(y: np.ndarray, row: np.ndarray, feature: np.ndarray, ratio: np.ndarray) -> Model:
@@ -70,7 +71,8 @@ def fit(y: np.ndarray, row: np.ndarray, feature: np.ndarray, ratio: np.ndarray)
 
 
 def train(docs: DataFrame, label_rows: DataFrame, rows: int = TRAIN_ROWS, **columns) -> Model:
-    """The driver gets a row for each bucket with its counts, then the few kept features of each training row."""
+    """The driver gets a row for each bucket with its counts, then the few kept features of each training row. Without
+    labels, or with those of one class only, every text gets the share of label 1 as its score."""
     bounded_batches(docs.sparkSession)
     sample = materialize(training_rows(docs, label_rows, rows=rows, **columns))
 
@@ -104,11 +106,11 @@ def train(docs: DataFrame, label_rows: DataFrame, rows: int = TRAIN_ROWS, **colu
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with the score after them: the probability of label 1. Null and empty texts get that of a text without
-    any feature. Equal texts get equal scores."""
+    """docs with the score after them: the probability of label 1; a column of docs that has the name (in any case) is
+    replaced. Null and empty texts get the score of a text without any feature. Equal texts get equal scores."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.weights, model.bias))
-    own = list(docs.columns)
+    own = [c for c in docs.columns if c.lower() != out.lower()]
 
     def run(batches):
         model = Model(*shared.value)
@@ -117,11 +119,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(value, pa.float64())], [*own, out])
 
     bounded_batches(spark)
-    fed = docs.select(*docs.columns, F.col(text_col).cast("string").alias("__gl_text"))
-    return fed.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    fed = docs.select(*own, F.col(text_col).cast("string").alias("__gl_text"))
+    return fed.mapInArrow(run, T.StructType([*[docs.schema[c] for c in own], T.StructField(out, T.DoubleType())]))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, a row for each row of documents; see train() and score() for odd rows."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = score(docs, train(docs, labels(spark, sf_dir)))
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -1,5 +1,9 @@
+import math
 import zlib
+from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import langid, licenses, toxicity
@@ -31,8 +35,10 @@ def test_toxicity_on_held_out_rows(spark):
 def test_language_of_odd_texts(spark):
     docs = documents(spark, SF)
     model = langid.train(docs)
-    odd = clashing(frame(spark, odd_rows())).withColumnRenamed("score", "score_")
-    found = langid.identify(odd, model).collect()
+    odd = clashing(frame(spark, odd_rows())).withColumn("Lang_Pred", F.lit("x"))
+    found = langid.identify(odd, model)
+    assert found.columns == [c for c in odd.columns if c not in ("score", "Lang_Pred")] + ["lang_pred", "score"]
+    found = found.collect()
     assert len(found) == len(odd_rows())
     for r in found:
         letters = any(c.isalpha() for c in r["text"] or "")
@@ -51,6 +57,65 @@ def test_scores_depend_on_the_text_alone(spark):
         assert out.groupBy("text").agg(F.count_distinct("score").alias("n")).where("n > 1").count() == 0
 
 
+def brute_buckets(text, orders, bits):
+    """The bucket of each n-gram, in whole numbers, one after the other."""
+    points, roll, final, top = [ord(c) + 1 for c in f" {(text or '').lower()} "], 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 2**64
+    out = Counter()
+    for n in orders:
+        for at in range(len(points) - n + 1):
+            h = 0
+            for c in points[at : at + n]:
+                h = (h * roll + c) % top
+            out[((h + n) * final % top) >> (64 - bits)] += 1
+    return out
+
+
+def test_language_scores_match_a_plain_loop(spark):
+    """Counts, smoothing, priors and posteriors from dictionaries, on a small table."""
+    rows = [(i, t, lang, s) for i, t, lang, s in odd_rows(n=25) if len(t or "") < 5000]
+    docs = frame(spark, rows)
+    learn = [(t, lang) for i, t, lang, _ in rows if lang and zlib.crc32(("" if i is None else str(i)).encode()) % 4 != 2]
+    languages, size = sorted({lang for _, lang in learn}), 1 << langid.BITS
+    counts = {x: sum((brute_buckets(t, langid.ORDERS, langid.BITS) for t, lang in learn if lang == x), Counter()) for x in languages}
+    logs = {x: math.log(sum(c.values()) + langid.SMOOTHING * size) for x, c in counts.items()}
+    found = langid.identify(docs, langid.train(docs)).collect()
+    for r in found:
+        if any(c.isalpha() for c in r["text"] or ""):
+            own = brute_buckets(r["text"], langid.ORDERS, langid.BITS)
+            total = {x: math.log(sum(lang == x for _, lang in learn) / len(learn)) + sum(n * (math.log(counts[x][b] + langid.SMOOTHING) - logs[x]) for b, n in own.items()) for x in languages}
+            best = max(languages, key=total.get)
+            score = 1 / sum(math.exp(v - total[best]) for v in total.values())
+            assert r["score"] == pytest.approx(score, abs=2e-3) and (r["lang_pred"] == best or score < 0.51)
+
+
+def test_toxicity_scores_match_a_plain_loop(spark):
+    docs = documents(spark, SF)
+    model = toxicity.train(docs, labels(spark, SF))
+    assert 100 < np.count_nonzero(model.weights) < 1 << toxicity.BITS
+    rows = [tuple(r) for r in docs.select("doc_id", "text").limit(30).collect()] + [(-1, None), (-2, ""), (-3, "long words " * 3000)]
+    found = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string").withColumn("SCORE", F.lit("x")), model)
+    assert found.columns == ["doc_id", "text", "score"]
+    for r in found.collect():
+        total = sum(float(model.weights[b]) for b in brute_buckets(r["text"], toxicity.ORDERS, toxicity.BITS)) + model.bias
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-5)
+
+
+def test_toxic_documents_are_found(spark):
+    """A larger table: held-out recall and precision. Some labels of the table contradict their texts."""
+    large = "/root/testdata/sf0.1"
+    found = toxicity.op5_toxicity(spark, large).join(labels(spark, large), "doc_id").where("held_out").collect()
+    both = sum(r["predicted"] and r["toxic"] for r in found)
+    assert both >= 0.9 * sum(r["toxic"] for r in found) and both >= 0.85 * sum(r["predicted"] for r in found)
+
+
+def test_labels_of_one_class(spark):
+    docs = frame(spark, odd_rows())
+    for y in (0, 1):
+        table = docs.select("doc_id", F.lit(y).alias("toxic")).distinct()
+        scores = {r["score"] for r in toxicity.score(docs, toxicity.train(docs, table)).collect()}
+        assert len(scores) == 1 and abs(scores.pop() - y) < 0.01
+
+
 def test_nothing_to_learn_from(spark):
     none = langid.train(empty(spark))
     assert {r["lang_pred"] for r in langid.identify(frame(spark, odd_rows()), none).collect()} == {"und"}

@@ -4,7 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from gridloom.llm import langid, mixing, neardup, packing
+from gridloom.llm import mixing, neardup, packing
 from gridloom.llm.common import documents
 from tests.llm.helpers import empty, frame, odd_rows
 from tests.llm.test_packing import check
@@ -20,8 +20,7 @@ def test_stages_match_brute_force(spark):
     stages = dict(corpus_pipeline.STAGES)
 
     one = stages["language_id"](spark, docs, SF)
-    model = langid.train(docs)
-    want = [i for i, r in rows.items() if any(c.isalpha() for c in r["text"]) and model.predict([r["text"]])[1][0] >= langid.LEAST_SCORE]
+    want = [i for i, r in rows.items() if any(c.isalpha() for c in r["text"])]
     assert sorted(r["doc_id"] for r in one.collect()) == sorted(want) and one.columns == docs.columns
 
     two = stages["exact_dedup"](spark, one, SF)
