@@ -16,7 +16,7 @@ MIX_BLOCK_WORDS = 128
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that have no letter or no language that is likelier than the least score."""
+    """Documents go whose language can't be told: those without a letter."""
     return langid.keep_identified(docs)
 
 

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: the rows go to spark.checkpoint.dir, or where it is unset (tests) to a temporary folder."""
+    """Cuts the lineage: the rows go to spark.checkpoint.dir. Only a local session (tests) does without: it gets a
+    temporary folder."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridloom-"))
     return df.checkpoint(eager=True)
