@@ -26,8 +26,8 @@ SHARE = 1.5
 CAP = 2.0
 SLOTS_A_SHARD = 4096
 SEED = 42
-#: Rounds of a permutation.
-ROUNDS = 32
+#: Rounds of a permutation: a number has 2^16 places that it can come to, by bits of its own.
+ROUNDS = 16
 #: Tables with a row for each source are broadcast up to this many rows; beyond, a sort-merge join takes them.
 SMALL_ROWS = 20_000
 _CHUNK = 65_536

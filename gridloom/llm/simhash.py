@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gridloom.llm.common import bounded_batches, documents, materialize, whole_text
-from gridloom.llm.graph import components
+from gridloom.llm.graph import components, joined
 from gridloom.llm.words import mixed
 
 WORDS = 4
@@ -125,19 +125,6 @@ class GrayIndex:
             yield query[own], node[own]
 
 
-def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """labels (each a root's place) after linking a[k] with b[k]."""
-    while True:
-        one, two = labels[a], labels[b]
-        apart = one != two
-        if not apart.any():
-            return labels
-        a, b, one, two = a[apart], b[apart], one[apart], two[apart]
-        np.minimum.at(labels, np.maximum(one, two), np.minimum(one, two))
-        while (labels[labels] != labels).any():
-            labels = labels[labels]
-
-
 def spanning_links(codes: np.ndarray, bound: int, prints: np.ndarray | None = None, total: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Places of the codes that are linked to others of the bucket, each with that of its component's first code.
     With prints (rows of several fingerprints), linked codes differ in `total` bits of them at most."""

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from gridloom.llm import simhash
+from gridloom.llm import graph, simhash
 from gridloom.llm.graph import components
 from tests.llm.helpers import clashing, empty, frame, odd_rows
 
@@ -99,7 +99,10 @@ def test_several_prints(spark, bucket_rows):
     assert len(same) == len({a for a, _ in same}) == len({b for _, b in same})
 
 
-def test_components_of_odd_shapes(spark):
+@pytest.mark.parametrize("one_task", [0, 10, 1 << 20])
+def test_components_of_odd_shapes(spark, monkeypatch, one_task):
+    """By rounds of joins only, by rounds until few links are left, and in one task."""
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(200, 200), (300, 301), (301, 300)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     label = lambda n: got.get(n, n)
