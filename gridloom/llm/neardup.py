@@ -6,8 +6,9 @@ How wide bands are follows from the number of documents, so that buckets stay sm
 share of pairs at the least similarity that may be missed. Candidates are verified on their texts, word for word, and
 only verified pairs link.
 
-A bucket with many candidate pairs gives a spanning forest of them first. Once those are verified and contracted, its
-candidates of different components are compared too, so a large group of copies isn't compared with itself.
+A bucket gives a spanning forest of its candidate pairs: first in a few bands, and once those are verified and contracted
+in all others, between components only. In the end all candidates that still lie in different components and weren't
+compared are. So nothing is left out, and a large group of copies isn't compared with itself.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ BUCKET_MEAN, LEAST_WIDTH = 256, 12
 INDEX_PRINTS = 2
 #: A bucket above so many documents is searched in pairs of chunks of so many.
 CHUNK = 4096
-#: So many candidate pairs a document are verified at once; a bucket with more gives a forest first.
-FEW = 4
+#: Bands whose pairs are verified before the other bands are searched.
+FIRST_BANDS = 2
 #: Candidates' numbers (24 bytes each) are broadcast up to so many; beyond, their texts are found by a shuffled join.
 SMALL_ROWS = 100_000
 PAIR, DENSE, LARGE = 0, 1, 2
@@ -73,41 +74,39 @@ def similar(one: set, two: set) -> bool:
 
 
 _INDEXED = [f"fp{k}" for k in range(INDEX_PRINTS)]
+_ROWS = ["key", "part", "code", "label", *_INDEXED]
 _FOUND = ["kind", "key", "part", "a", "b", *_INDEXED]
-_FOUND_TYPE = ", ".join(f"{c} long" for c in _FOUND)
 
 
-def _banded(codes: DataFrame, width: int, bands: int) -> DataFrame:
-    """key, part, code and the index's prints: a row for each band of each code."""
+def _banded(codes: DataFrame, width: int, low: int, high: int) -> DataFrame:
+    """key, part, code, label and the index's prints: a row for each of the bands low to high - 1 of each code."""
     prints = [c for c in codes.columns if c.startswith("fp")]
-    weight = (1 << np.arange(width, dtype=np.int64))[::-1]
+    weight, bands = (1 << np.arange(width, dtype=np.int64))[::-1], high - low
 
     def run(batches):
         for batch in batches:
-            code = batch["code"].to_numpy()
+            code, label = batch["code"].to_numpy(), batch["label"].to_numpy()
             fp = np.stack([batch[c].to_numpy() for c in prints], axis=1)
             step = max(1, (1 << 18) // bands)
             for at in range(0, len(code), step):
                 own = np.ascontiguousarray(fp[at : at + step])
-                bits = np.unpackbits(own.view(np.uint8), axis=1)[:, : width * bands].reshape(-1, bands, width)
-                key = (bits @ weight) + (np.arange(bands) << width)
-                spread = [np.repeat(own[:, k], bands) for k in range(INDEX_PRINTS)]
-                n = len(own) * bands
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.reshape(-1), np.full(n, -1), np.repeat(code[at : at + step], bands), *spread)], ["key", "part", "code", *_INDEXED])
+                bits = np.unpackbits(own.view(np.uint8), axis=1)[:, width * low : width * high].reshape(-1, bands, width)
+                key = (bits @ weight) + (np.arange(low, high) << width)
+                spread = [np.repeat(x, bands) for x in (code[at : at + step], label[at : at + step], *own[:, :INDEX_PRINTS].T)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.reshape(-1), np.full(len(own) * bands, -1), *spread)], _ROWS)
 
-    return codes.mapInArrow(run, "key long, part long, code long, " + ", ".join(f"{c} long" for c in _INDEXED))
+    return codes.mapInArrow(run, ", ".join(f"{c} long" for c in _ROWS))
 
 
-def _forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """labels after linking, and the pairs among a, b that link: one for each label that goes."""
+def _forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """labels after linking, and which of the pairs a, b link: one for each label that goes."""
     kept = [np.zeros(0, np.int64)]
     at = np.arange(len(a))
     while True:
         one, two = labels[a[at]], labels[b[at]]
         apart = np.flatnonzero(one != two)
         if not len(apart):
-            kept = np.concatenate(kept)
-            return labels, a[kept], b[kept]
+            return labels, np.concatenate(kept)
         at, one, two = at[apart], one[apart], two[apart]
         root, first = np.unique(np.maximum(one, two), return_index=True)
         labels[root] = np.minimum(one, two)[first]
@@ -116,75 +115,68 @@ def _forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarra
             labels = labels[labels]
 
 
-def _search(rows: DataFrame, bound: int, most: int | None, labelled: bool) -> DataFrame:
-    """Of key, part, code, prints (and label): PAIR rows (a, b: candidates). Without labels also DENSE rows, those of
-    buckets that gave a forest only, and LARGE rows, those of buckets above `most`; a has their code. With labels: all
-    candidates of different labels."""
-    columns = ["key", "part", "code", *_INDEXED, *(["label"] if labelled else [])]
+def _search(rows: DataFrame, bound: int, most: int | None, every: bool) -> DataFrame:
+    """Of key, part, code, label, prints: PAIR rows (a, b), candidates of different labels. every: all of them. Else of
+    each bucket a forest, and DENSE rows, the ends of all candidates of a bucket that has more; and LARGE rows, those of
+    buckets above `most`. a has their code, b their label."""
+    print_columns = slice(_ROWS.index(_INDEXED[0]), len(_ROWS))
 
     def rows_of(kind, own):
-        n = len(own)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (np.full(n, kind), own[:, 0], own[:, 1], own[:, 2], np.zeros(n, np.int64), *own[:, 3 : 3 + INDEX_PRINTS].T)], _FOUND)
+        columns = (np.full(len(own), kind), *own[:, :4].T, *own[:, print_columns].T)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], _FOUND)
 
     def pairs_of(a, b):
         none = np.zeros(len(a), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (none, none, none, np.minimum(a, b), np.maximum(a, b), *[none] * INDEX_PRINTS)], _FOUND)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (none, none, none, np.minimum(a, b), np.maximum(a, b), *[none] * INDEX_PRINTS)], _FOUND)
 
     def searched(own):
-        index = GrayIndex(np.ascontiguousarray(own[:, 3 : 3 + INDEX_PRINTS]).view(np.uint64))
-        code = own[index.order, 2]
-        if labelled:
-            label = own[index.order, -1]
-            for i, j in index.pairs(bound):
-                apart = label[i] != label[j]
-                if apart.any():
-                    yield pairs_of(code[i[apart]], code[j[apart]])
-            return
-        labels, few, forest, count = np.arange(len(own)), [], [], 0
+        index = GrayIndex(np.ascontiguousarray(own[:, print_columns]).view(np.uint64))
+        own = own[index.order]
+        code, label = own[:, 2], np.unique(own[:, 3], return_inverse=True)[1]
+        merged, count, forest, ends = np.arange(len(own)), 0, 0, np.zeros(len(own), bool)
         for i, j in index.pairs(bound):
-            count += len(i)
-            if count <= FEW * len(own):
-                few.append((i, j))
-            labels, *linked = _forest(labels, i, j)
-            forest.append(linked)
-        dense = count > FEW * len(own)
-        for i, j in forest if dense else few:
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            if len(i) and not every:
+                merged, kept = _forest(merged, label[i], label[j])
+                count, forest = count + len(i), forest + len(kept)
+                ends[i] = ends[j] = True
+                i, j = i[kept], j[kept]
             if len(i):
                 yield pairs_of(code[i], code[j])
-        if dense:
-            yield rows_of(DENSE, own)
+        if count > forest:
+            yield rows_of(DENSE, own[ends])
 
     def found(part):
         cut = [0, *(np.flatnonzero((part[1:, :2] != part[:-1, :2]).any(axis=1)) + 1), len(part)]
         for low, high in zip(cut[:-1], cut[1:], strict=True):
             if most is not None and high - low > most:
                 yield rows_of(LARGE, part[low:high])
-            elif high - low > 1 and not (labelled and (part[low:high, -1] == part[low, -1]).all()):
+            elif high - low > 1 and (part[low + 1 : high, 3] != part[low, 3]).any():
                 yield from searched(part[low:high])
 
     def run(batches):
-        held, large = np.zeros((0, len(columns)), np.int64), None
+        held, large = np.zeros((0, len(_ROWS)), np.int64), None
         for batch in batches:
-            held = np.concatenate([held, np.stack([batch[c].to_numpy(zero_copy_only=False) for c in columns], axis=1)])
+            held = np.concatenate([held, np.stack([batch[c].to_numpy(zero_copy_only=False) for c in _ROWS], axis=1)])
             if large is not None:  # the rest of a bucket whose first rows went on already
-                more = (held[:, :2] == large).all(axis=1)
-                n = int(more.sum())
+                n = int((held[:, :2] == large).all(axis=1).sum())
                 if n:
                     yield rows_of(LARGE, held[:n])
                 held = held[n:]
                 large = large if not len(held) else None
             cut = np.flatnonzero((held[1:, :2] != held[:-1, :2]).any(axis=1)) + 1
             if len(cut):
-                yield from merged(found(held[: cut[-1]]))
+                yield from together(found(held[: cut[-1]]))
                 held = held[cut[-1] :]
             if most is not None and len(held) > most:
                 large = held[0, :2].copy()
                 yield rows_of(LARGE, held)
                 held = held[:0]
         if len(held):
-            yield from merged(found(held))
+            yield from together(found(held))
 
-    def merged(parts):
+    def together(parts):
         """Many small results as few batches."""
         own, n = [], 0
         for x in parts:
@@ -196,7 +188,7 @@ def _search(rows: DataFrame, bound: int, most: int | None, labelled: bool) -> Da
         if own:
             yield from pa.Table.from_batches(own).combine_chunks().to_batches()
 
-    return rows.select(*columns).repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, _FOUND_TYPE)
+    return rows.select(*_ROWS).repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, ", ".join(f"{c} long" for c in _FOUND))
 
 
 def _chunked(large: DataFrame, chunk: int) -> DataFrame:
@@ -247,23 +239,31 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         side = F.broadcast(named) if named.count() <= SMALL_ROWS else named
         return materialize(rows.join(side, same).select("code", "text").dropDuplicates(["code"]))
 
-    first = materialize(_search(_banded(codes.drop("id", "th"), width, bands), bound, 2 * chunk, False))
-    as_rows = ["key", "part", F.col("a").alias("code"), *_INDEXED]
-    found = [first]
-    large = first.where(F.col("kind") == LARGE)
-    if not large.isEmpty():
-        found.append(materialize(_search(_chunked(large.select(*as_rows), chunk), bound, None, False)))
-    met = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    pairs = materialize(met.where(F.col("kind") == PAIR).select("a", "b").distinct())
-    links = _verified(pairs, texts(pairs), words)
-    dense = met.where(F.col("kind") == DENSE).select(*as_rows)
-    if not dense.isEmpty():
-        named = components(links)
-        labelled = dense.join(named.withColumnRenamed("node", "code"), "code", "left").withColumn("label", F.coalesce("label", "code"))
-        rest = _search(labelled, bound, None, True).select("a", "b").distinct()
-        rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"))
-        if not rest.isEmpty():
-            links = links.unionByName(_verified(rest, texts(rest), words))
+    def relabelled(table):
+        if links is None:
+            return table.withColumn("label", F.col("code"))
+        return table.join(components(links).withColumnRenamed("node", "code"), "code", "left").withColumn("label", F.coalesce("label", "code"))
+
+    def verified(pairs):
+        pairs = materialize(pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+        new = _verified(pairs, texts(pairs), words)
+        return (pairs, new) if links is None else (tested.unionByName(pairs), links.unionByName(new))
+
+    links = tested = None
+    of = lambda kind: F.col("kind") == kind
+    as_rows = ["key", "part", F.col("a").alias("code"), F.col("b").alias("label"), *_INDEXED]
+    dense = []
+    for low, high in ((0, FIRST_BANDS), (FIRST_BANDS, bands)):
+        found = materialize(_search(_banded(relabelled(codes.drop("id", "th")), width, low, high), bound, 2 * chunk, False))
+        large = found.where(of(LARGE)).select(*as_rows)
+        if not large.isEmpty():
+            found = found.unionByName(materialize(_search(_chunked(large, chunk), bound, None, False)))
+        dense.append(found.where(of(DENSE)).select(*as_rows))
+        tested, links = verified(found.where(of(PAIR)).select("a", "b"))
+    rest = dense[0].unionByName(dense[1])
+    if not rest.isEmpty():
+        rest = _search(relabelled(rest.drop("label")), bound, None, True).select("a", "b")
+        tested, links = verified(rest)
     named = components(links)
     labels = codes.join(named.withColumnRenamed("node", "code"), "code", "left").select("id", "th", F.coalesce("label", "code").alias("label"))
     return rows.select("__gl_id", "__gl_th").join(labels, same).select("id", "th", "label")

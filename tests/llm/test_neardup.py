@@ -74,7 +74,7 @@ def test_no_similarity_below_the_bound_is_linked(spark):
     assert one == two != three
 
 
-def test_large_and_dense_buckets(spark, monkeypatch):
+def test_large_and_dense_buckets(spark):
     """Buckets in pairs of chunks, forests before the rest, and a group whose bridge lies between two forests."""
     rng = random.Random(3)
     base = [f"b{k}" for k in range(120)]
@@ -84,7 +84,6 @@ def test_large_and_dense_buckets(spark, monkeypatch):
         for at in rng.sample(range(120), rng.randint(0, 4)):
             own[at] = f"c{rng.randrange(10**6)}"
         rows.append((k, " ".join(own), "en", "a"))
-    monkeypatch.setattr(neardup, "FEW", 1)
     groups, pairs, _ = brute(rows)
     for chunk in (4096, 20, 7):
         got = labels_of(spark, rows, chunk=chunk)
@@ -92,6 +91,27 @@ def test_large_and_dense_buckets(spark, monkeypatch):
         assert sum(got[i] == got[j] for i, j in pairs) >= 0.99 * len(pairs)
 
 
+def test_a_large_group_gives_few_pairs(spark, monkeypatch):
+    """Pairs that are verified grow with the group, not with its square."""
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(150)]
+    counts = []
+    for n in (300, 600):
+        rows = []
+        for k in range(n):
+            own = list(base)
+            for at in rng.sample(range(150), rng.randint(0, 2)):
+                own[at] = f"c{rng.randrange(10**6)}"
+            rows.append((k, " ".join(own), "en", "a"))
+        seen = []
+        plain = neardup._verified
+        monkeypatch.setattr(neardup, "_verified", lambda pairs, *a: seen.append(pairs.count()) or plain(pairs, *a))
+        assert len(set(labels_of(spark, rows))) == 1
+        monkeypatch.undo()
+        counts.append(sum(seen))
+    assert counts[0] < 6 * 300 and counts[1] < 2.5 * counts[0]
+
+
 def test_plan_keeps_its_promise():
     for there in (1, 10**5, 10**7, 10**10):
         width, bands, prints, bound = neardup.plan(there)
