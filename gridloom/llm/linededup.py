@@ -1,17 +1,23 @@
 """Line dedup by a deletion-neighbourhood join.
 
 Lines are linked if they have equal words, or if one insertion, deletion or replacement of a word makes them equal and
-the longer has MIN_WORDS words or more. Each line gives its own hash and those of all variants without one word. Hashes
-of different lines that meet are looked at: equal variants without the word at the same place are a replacement, a
-variant that equals a whole line is a deletion. A line that is linked to an earlier one goes.
+the longer has MIN_WORDS words or more (a parameter; 1 compares all). Each line gives its own hash and those of all variants
+without one word. Lines whose hashes meet are spelled: equal variants without the word at the same place are a replacement,
+a variant that equals a whole line is a deletion. A line that is linked to an earlier one goes.
+
+A line's name is 128 bits: a tabulation hash and half of a BLAKE2b digest of its words. Hashes only bring variants
+together; whether they are equal is decided by 128-bit digests of what they spell, and links are verified word by word.
 
 Variants outnumber lines by far. They are sorted in each batch, dealt into buckets by value and sent as one binary value
-a bucket: gaps between hashes, line numbers and places as byte planes, a few bytes a variant.
+a bucket: gaps between hashes, line numbers and places as byte planes, a few bytes a variant. Of lines of a batch that share
+a variant, one is sent for all, so that a bucket holds a hot variant once a batch at most.
 """
 
 from __future__ import annotations
 
+import math
 import struct
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gridloom.llm.common import bounded_batches, documents, materialize, stored, whole_text
-from gridloom.llm.words import WHITE, LineHasher, Reader, mixed
+from gridloom.llm.words import WHITE, LineHasher, Lines, Reader, line_sums, mixed
 
 MIN_WORDS = 5
 KEY_BITS = 48
@@ -29,8 +35,10 @@ KEY_BITS = 48
 BUCKET_BYTES = 8 << 20
 #: Variants that a task holds before it sends them.
 HELD = 1 << 19
-#: Bits of a bitmap, as a power of 2: 8 MB, whatever the data. Bitmaps only spare work that surely isn't needed.
-FILTER_BITS = 26
+#: Bits of a bitmap for each distinct line, and the most bits as a power of 2 (64 MB). Bitmaps only spare work that surely
+#: isn't needed; one that fills up spares less.
+FILTER_SHARE, FILTER_MOST = 8, 29
+NAME = ["hash", "check"]
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -58,10 +66,19 @@ def _decoded(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(gaps, dtype=np.uint64), line.astype(np.int64), place.astype(np.int64)
 
 
+def _words(slab: Lines, k: int) -> bytes:
+    """The words of a line, space-joined."""
+    return b" ".join(slab.data[slab.start[k] : slab.end[k]].tobytes().split())
+
+
+def _check(words: bytes) -> int:
+    return int.from_bytes(blake2b(words, digest_size=8).digest(), "little", signed=True)
+
+
 def _read_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row, id, th (of id and text), number, hash (of the words; null for a line without) of each line."""
+    """row, id, th (of id and text), number, hash and check (of the words; null for a line without) of each line."""
     fed = docs.select(F.col(id_col).alias("id"), _th(id_col, text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([T.StructField("row", T.LongType()), fed.schema["id"], T.StructField("th", T.LongType()), T.StructField("number", T.IntegerType()), T.StructField("hash", T.LongType())])
+    schema = T.StructType([T.StructField("row", T.LongType()), fed.schema["id"], T.StructField("th", T.LongType()), T.StructField("number", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in NAME]])
 
     def run(batches):
         from pyspark import TaskContext
@@ -69,10 +86,10 @@ def _read_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         reader, hasher, row = Reader(WHITE, False), LineHasher(), TaskContext.get().partitionId() << 40
         for batch in batches:
             for slab in reader.slabs(batch["text"]):
-                whole = hasher.whole(hasher.sums(slab.hash), slab.word[:-1], slab.word[1:])
-                at = pa.array(slab.doc)
-                found = pa.array(whole.view(np.int64), mask=slab.word[1:] == slab.word[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(row + slab.doc), batch["id"].take(at), batch["th"].take(at), pa.array(slab.number, pa.int32()), found], schema.names)
+                whole = hasher.whole(line_sums(hasher, slab), slab.word[:-1], slab.word[1:])
+                at, none = pa.array(slab.doc), slab.word[1:] == slab.word[:-1]
+                check = np.array([0 if x else _check(_words(slab, k)) for k, x in enumerate(none.tolist())], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(row + slab.doc), batch["id"].take(at), batch["th"].take(at), pa.array(slab.number, pa.int32()), pa.array(whole.view(np.int64), mask=none), pa.array(check, mask=none)], schema.names)
             row += batch.num_rows
 
     bounded_batches(docs.sparkSession)
@@ -83,26 +100,30 @@ def _th(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col), whole_text(text_col))
 
 
+def _filter_bits(lines: int) -> int:
+    return min(FILTER_MOST, max(16, math.ceil(math.log2(FILTER_SHARE * max(1, lines)))))
+
+
 def _bit_words(positions: DataFrame) -> DataFrame:
-    """word, bits of a bitmap with the column `pos` (0 to 2^FILTER_BITS) set: 2^FILTER_BITS / 64 rows at most."""
+    """word, bits of a bitmap with the column `pos` set: at most as many rows as the bitmap has 64 bits."""
     one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("pos") % 64).cast("int"))
     return positions.groupBy(F.expr("pos div 64").alias("word")).agg(F.bit_or(one).alias("bits"))
 
 
-def _position(column: str):
-    return F.shiftrightunsigned(F.col(column), 64 - FILTER_BITS)
+def _position(column: str, bits: int):
+    return F.shiftrightunsigned(F.col(column), 64 - bits)
 
 
-def _bitmap(words: DataFrame) -> np.ndarray:
-    """The bitmap as bytes: 2^FILTER_BITS / 8 of them, whatever the data."""
-    out = np.zeros((1 << FILTER_BITS) // 64, np.int64)
-    found = words.toPandas()
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+def _bitmap(words: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap as bytes: 2^bits / 8 of them."""
+    out = np.zeros((1 << bits) // 64, np.int64)
+    found = words.toArrow()
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
     return out.view(np.uint8)
 
 
 def _is_set(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = values >> np.uint64(64 - FILTER_BITS)
+    at = values >> np.uint64(64 - (len(bitmap).bit_length() + 2))
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
@@ -111,14 +132,14 @@ def _token(hashes: np.ndarray, th: np.ndarray, number: np.ndarray) -> np.ndarray
     return mixed(hashes ^ mixed(th + number.astype(np.uint64)))
 
 
-def _first_only(firsts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _first_only(firsts: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Of distinct lines (hash, at, n): two bitmaps, of hashes that several lines have, and of the earliest occurrences
     of all hashes that the first bitmap has, be it by chance.
 
     They keep copies from giving the same variants again: what is in neither, or in the second, gives them. Where the
     bitmaps fill up, some copies do too and meet themselves, which costs time but changes nothing.
     """
-    pos = firsts.withColumn("pos", _position("hash"))
+    pos = firsts.withColumn("pos", _position("hash", bits))
     dense = materialize(_bit_words(pos.where("n > 1")))
     marked = pos.withColumn("word", F.expr("pos div 64")).join(dense, "word")
     is_set = F.call_function("shiftrightunsigned", F.col("bits"), (F.col("pos") % 64).cast("int")).bitwiseAND(1) == 1
@@ -127,9 +148,9 @@ def _first_only(firsts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches):
         for batch in batches:
             value = _token(batch["hash"].to_numpy().view(np.uint64), batch["th"].to_numpy().view(np.uint64), batch["number"].to_numpy().astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array((value >> np.uint64(64 - FILTER_BITS)).astype(np.int64))], ["pos"])
+            yield pa.RecordBatch.from_arrays([pa.array((value >> np.uint64(64 - bits)).astype(np.int64))], ["pos"])
 
-    return _bitmap(dense), _bitmap(_bit_words(stay.mapInArrow(run, "pos long")))
+    return _bitmap(dense, bits), _bitmap(_bit_words(stay.mapInArrow(run, "pos long")), bits)
 
 
 def _order():
@@ -138,10 +159,11 @@ def _order():
 
 
 class _Held:
-    """Variants that wait to be sent: hashes, lines (places in `lines`, the hashes of lines) and places in the line."""
+    """Variants that wait to be sent: hashes, lines (places in `lines` and `checks`, the names of lines) and places in the
+    line."""
 
     def __init__(self):
-        self.size, self.lines = 0, np.zeros(0, np.uint64)
+        self.size, self.lines, self.checks = 0, np.zeros(0, np.uint64), []
         self.keys, self.owners, self.places = [], [], []
 
     def add(self, hashes: np.ndarray, owners: np.ndarray, places: np.ndarray) -> None:
@@ -151,18 +173,28 @@ class _Held:
         self.size += len(hashes)
 
     def sent(self, batch: int, buckets: int) -> pa.RecordBatch:
+        """A blob for each bucket, one of entries that met in this batch (MET), and one of the lines' names (NAMES)."""
         key, owner, place = map(np.concatenate, (self.keys, self.owners, self.places))
-        order = np.argsort(key)
+        order = np.lexsort((place, key))
         key, owner, place = key[order], owner[order], place[order]
+        again = np.r_[False, (key[1:] == key[:-1]) & (place[1:] == place[:-1])]
+        met = _encoded(key[again], owner[again], place[again])
+        # A sign that others of the batch share the variant goes with the entry that is sent for them.
+        shared = np.r_[again[1:], False][~again]
+        key, owner, place = key[~again], owner[~again], place[~again] * 2 + shared
         edges = -(-(np.arange(buckets + 1).astype(object) << KEY_BITS) // buckets)
         cut = np.searchsorted(key, np.array([int(e) for e in edges], np.uint64))
         full = np.flatnonzero(np.diff(cut))
         blobs = [_encoded(key[cut[k] : cut[k + 1]], owner[cut[k] : cut[k + 1]], place[cut[k] : cut[k + 1]]) for k in full]
-        return pa.RecordBatch.from_arrays([pa.array([*full, -1], pa.int32()), pa.array(np.full(len(full) + 1, batch)), pa.array([*blobs, self.lines.tobytes()], pa.binary())], ["bucket", "batch", "blob"])
+        names = np.stack([self.lines.view(np.int64), np.array(self.checks, np.int64)]).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([*full, MET, NAMES], pa.int32()), pa.array(np.full(len(full) + 2, batch)), pa.array([*blobs, met, names], pa.binary())], ["bucket", "batch", "blob"])
+
 
+NAMES, MET = -1, -2
 
-def _variants(docs: DataFrame, id_col: str, text_col: str, buckets: int, bitmaps: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """bucket, batch, blob: the variants of a batch's lines in a bucket. Bucket -1: the hashes of its lines in order."""
+
+def _variants(docs: DataFrame, id_col: str, text_col: str, buckets: int, bitmaps: tuple[np.ndarray, np.ndarray], min_words: int) -> DataFrame:
+    """bucket, batch, blob: the variants of a batch's lines in a bucket; and see _Held.sent."""
     fed = docs.select(_th(id_col, text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(bitmaps)
 
@@ -176,7 +208,7 @@ def _variants(docs: DataFrame, id_col: str, text_col: str, buckets: int, bitmaps
         for batch in batches:
             th = batch["th"].to_numpy().view(np.uint64)
             for slab in reader.slabs(batch["text"]):
-                sums, a, b = hasher.sums(slab.hash), slab.word[:-1], slab.word[1:]
+                sums, a, b = line_sums(hasher, slab), slab.word[:-1], slab.word[1:]
                 whole = hasher.whole(sums, a, b)
                 gives = (b > a) & (~_is_set(several, whole) | _is_set(chosen, _token(whole, th[slab.doc], slab.number)))
                 # Within what is held a line gives its variants once.
@@ -185,8 +217,9 @@ def _variants(docs: DataFrame, id_col: str, text_col: str, buckets: int, bitmaps
                 at = np.flatnonzero(gives)[first[fresh]]
                 base = len(held.lines)
                 held.lines = np.concatenate([held.lines, distinct[fresh]])
+                held.checks += [_check(_words(slab, k)) for k in at.tolist()]
                 held.add(whole[at], base + np.arange(len(at)), np.zeros(len(at)))
-                long = np.flatnonzero(b[at] - a[at] >= MIN_WORDS)
+                long = np.flatnonzero(b[at] - a[at] >= min_words)
                 count = (b - a)[at][long]
                 which = np.repeat(long, count)
                 place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -204,7 +237,7 @@ def _variants(docs: DataFrame, id_col: str, text_col: str, buckets: int, bitmaps
 
 def _met(variants: DataFrame) -> DataFrame:
     """key, place (0: the whole line), batch, line of the hashes that different lines share; and, with null keys, the
-    rows of bucket -1 with `blob`. A bucket holds the values of its range, of which each batch sends one blob."""
+    rows of names with `blob`. A bucket holds the values of its range, of which each batch sends one blob."""
 
     def meeting(blobs):
         parts = [(*_decoded(data), own) for own, data in blobs]
@@ -215,17 +248,18 @@ def _met(variants: DataFrame) -> DataFrame:
         order = np.argsort(key, kind="stable")
         key = key[order]
         same = np.r_[False, key[1:] == key[:-1]]
-        shared = same | np.r_[same[1:], False]
-        key, order = key[shared], order[shared]
+        met = (place[order] & 1) > 0
+        shared = same | np.r_[same[1:], False] | met
+        key, order, met = key[shared], order[shared], met[shared]
         if not len(key):
             return
-        line, place, batch = line[order], place[order], batch[order]
+        line, place, batch = line[order], place[order] >> 1, batch[order]
         # Something must meet: a whole line and another entry, or two with the word left out at one place.
         order = np.lexsort((place, key))
-        key, line, place, batch = key[order], line[order], place[order], batch[order]
+        key, line, place, batch, met = key[order], line[order], place[order], batch[order], met[order]
         run = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
         sub = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (place[1:] != place[:-1])]) - 1
-        keep = (np.bincount(run, weights=place == 0) > 0)[run] | (np.bincount(sub) > 1)[sub]
+        keep = (np.bincount(run, weights=place == 0) > 0)[run] | (np.bincount(sub) > 1)[sub] | met
         n = int(keep.sum())
         yield pa.RecordBatch.from_arrays([pa.array(key[keep].astype(np.int64)), pa.array(place[keep], pa.int32()), pa.array(batch[keep]), pa.array(line[keep], pa.int32()), pa.nulls(n, pa.binary())], names)
 
@@ -233,13 +267,16 @@ def _met(variants: DataFrame) -> DataFrame:
         held, at = [], None
         for batch in batches:
             for bucket, own, data in zip(batch["bucket"].to_pylist(), batch["batch"].to_pylist(), batch["blob"].to_pylist(), strict=True):
-                if bucket < 0:
+                if bucket == NAMES:
                     yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([own]), pa.nulls(1, pa.int32()), pa.array([data], pa.binary())], names)
-                    continue
-                if bucket != at:
-                    yield from meeting(held)
-                    held, at = [], bucket
-                held.append((own, data))
+                elif bucket == MET:
+                    key, line, place = _decoded(data)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(place, pa.int32()), pa.array(np.full(len(key), own)), pa.array(line, pa.int32()), pa.nulls(len(key), pa.binary())], names)
+                else:
+                    if bucket != at:
+                        yield from meeting(held)
+                        held, at = [], bucket
+                    held.append((own, data))
         yield from meeting(held)
 
     names = ["key", "place", "batch", "line", "blob"]
@@ -249,38 +286,59 @@ def _met(variants: DataFrame) -> DataFrame:
 
 
 def _entries(met: DataFrame) -> DataFrame:
-    """key, place, hash."""
+    """hash, check, places: of each line that met another, the places of the words that its variants there lack."""
 
     def run(batches):
         for batch in batches:
             for own, data in zip(batch["batch"].to_pylist(), batch["blob"].to_pylist(), strict=True):
-                hashes = np.frombuffer(data, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), own)), pa.array(np.arange(len(hashes)), pa.int32()), pa.array(hashes)], ["batch", "line", "hash"])
+                both = np.frombuffer(data, np.int64).reshape(2, -1)
+                n = both.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, own)), pa.array(np.arange(n), pa.int32()), *[pa.array(x) for x in both]], ["batch", "line", *NAME])
 
-    named = met.where("key IS NULL").select("batch", "blob").mapInArrow(run, "batch long, line int, hash long")
-    return met.where("key IS NOT NULL").select("key", "place", "batch", "line").join(named, ["batch", "line"]).select("key", "place", "hash").distinct()
+    named = met.where("key IS NULL").select("batch", "blob").mapInArrow(run, "batch long, line int, hash long, check long")
+    found = met.where("key IS NOT NULL").select("place", "batch", "line").join(named, ["batch", "line"])
+    return found.groupBy(*NAME).agg(F.collect_set("place").alias("places"))
 
 
-def _texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """hash, words (space-joined) of the lines whose hash is wanted."""
+def _texts(docs: DataFrame, text_col: str, wanted: DataFrame, bits: int) -> DataFrame:
+    """hash, check, words (space-joined) of the lines whose name is wanted."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_bitmap(_bit_words(wanted.select(_position("hash").alias("pos")))))
+    shared = spark.sparkContext.broadcast(_bitmap(_bit_words(wanted.select(_position("hash", bits).alias("pos"))), bits))
 
     def run(batches):
-        reader, hasher, bits = Reader(WHITE, False), LineHasher(), shared.value
+        reader, hasher, bitmap = Reader(WHITE, False), LineHasher(), shared.value
         for batch in batches:
             for slab in reader.slabs(batch["text"]):
-                sums, a, b = hasher.sums(slab.hash), slab.word[:-1], slab.word[1:]
-                whole = hasher.whole(sums, a, b)
-                at = np.flatnonzero((b > a) & _is_set(bits, whole))
+                a, b = slab.word[:-1], slab.word[1:]
+                whole = hasher.whole(line_sums(hasher, slab), a, b)
+                at = np.flatnonzero((b > a) & _is_set(bitmap, whole))
                 _, first = np.unique(whole[at], return_index=True)
                 at = at[first]
-                text = [b" ".join(slab.data[slab.start[k] : slab.end[k]].tobytes().split()).decode() for k in at]
-                yield pa.RecordBatch.from_arrays([pa.array(whole[at].view(np.int64)), pa.array(text, pa.string())], ["hash", "words"])
+                words = [_words(slab, k) for k in at.tolist()]
+                check = np.array([_check(w) for w in words], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(whole[at].view(np.int64)), pa.array(check), pa.array([w.decode() for w in words], pa.string())], [*NAME, "words"])
 
     bounded_batches(spark)
-    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "hash long, words string")
-    return found.join(wanted, "hash", "left_semi").groupBy("hash").agg(F.min("words").alias("words"))
+    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "hash long, check long, words string")
+    return found.join(wanted, NAME, "left_semi").groupBy(*NAME).agg(F.min("words").alias("words"))
+
+
+def _spelled(entries: DataFrame, texts: DataFrame) -> DataFrame:
+    """hash, check, place, digest: of what each entry of a line spells without the word at the place (0: with all)."""
+
+    def run(batches):
+        for batch in batches:
+            rows, places, digests = [], [], []
+            for k, (line, own) in enumerate(zip(batch["words"].to_pylist(), batch["places"].to_pylist(), strict=True)):
+                words = line.encode().split(b" ")
+                for place in own:
+                    rows.append(k)
+                    places.append(place)
+                    digests.append(blake2b(b" ".join(words[: place - 1] + words[place:]) if place else b" ".join(words), digest_size=16).digest())
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch[c].take(at) for c in NAME], pa.array(places, pa.int32()), pa.array(digests, pa.binary())], [*NAME, "place", "digest"])
+
+    return entries.join(texts, NAME).select(*NAME, "places", "words").mapInArrow(run, "hash long, check long, place int, digest binary")
 
 
 def within_one(a: list[str], b: list[str]) -> bool:
@@ -293,49 +351,49 @@ def within_one(a: list[str], b: list[str]) -> bool:
     return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :]
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs hash, to: those whose lines are within the bound."""
-    both = pairs.join(texts, "hash").join(texts.select(F.col("hash").alias("to"), F.col("words").alias("to_words")), "to").select("hash", "to", "words", "to_words")
+def _verified(pairs: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
+    """The names of lines, of pairs hash, check, to, to_check, whose lines are within the bound."""
+    both = pairs.join(texts, NAME).join(texts.select(F.col("hash").alias("to"), F.col("check").alias("to_check"), F.col("words").alias("to_words")), ["to", "to_check"]).select(*NAME, "words", "to_words")
 
     def run(batches):
         for batch in batches:
-            good = [within_one(a.split(" "), b.split(" ")) and max(a.count(" "), b.count(" ")) + 1 >= MIN_WORDS for a, b in zip(batch["words"].to_pylist(), batch["to_words"].to_pylist(), strict=True)]
-            yield batch.select(["hash", "to"]).filter(pa.array(good, pa.bool_()))
+            good = [within_one(a.split(" "), b.split(" ")) and max(a.count(" "), b.count(" ")) + 1 >= min_words for a, b in zip(batch["words"].to_pylist(), batch["to_words"].to_pylist(), strict=True)]
+            yield batch.select(NAME).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(run, "hash long, to long").distinct()
+    return both.mapInArrow(run, "hash long, check long").distinct()
 
 
-def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each line: row, id, th, number (from 0), decision: 'keep', 'exact' or 'near'.
 
     Lines end at line feeds. Earlier means a smaller id (null ids last), then within the text. A line goes as 'exact'
-    if an earlier one has equal words, else as 'near' if an earlier one is within one edit of a word (for lines of
-    MIN_WORDS words; see the module), whether or not that one stays. Lines without words stay. Null texts count as
-    empty: one line without words.
+    if an earlier one has equal words, else as 'near' if an earlier one is within one edit of a word (and the longer has
+    min_words words or more), whether or not that one stays. Lines without words stay. Null texts count as empty: one line
+    without words.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
     lines = stored(_read_lines(docs, id_col, text_col))
     # Distinct lines: their earliest occurrence and how many there are. A common line is summed up before it is dealt.
-    firsts = stored(lines.where("hash IS NOT NULL").groupBy("hash").agg(F.min(_order()).alias("at"), F.count(F.lit(1)).alias("n")))
-    variants = _variants(docs, id_col, text_col, max(16, size // BUCKET_BYTES + 1), _first_only(firsts))
+    firsts = stored(lines.where("hash IS NOT NULL").groupBy(*NAME).agg(F.min(_order()).alias("at"), F.count(F.lit(1)).alias("n")))
+    bits = _filter_bits(firsts.count())
+    variants = _variants(docs, id_col, text_col, max(16, size // BUCKET_BYTES + 1), _first_only(firsts, bits), min_words)
     entries = stored(_entries(stored(_met(variants))))
     # Lines that have copies or meet another.
-    meets = entries.select("hash").distinct().withColumn("meets", F.lit(True))
-    first = stored(firsts.join(meets, "hash", "left").where("n > 1 OR meets").select("hash", "at"))
-    entries = stored(entries.join(first, "hash"))
-    early = F.min(F.struct("at", "hash")).alias("early")
-    # Replacement: entries with one key and place. Deletion: a whole line and variants of one key.
-    replaced = entries.where("place > 0").groupBy("key", "place").agg(early, F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = [entries.join(replaced, ["key", "place"]).select("hash", "at", "early")]
-    sides = entries.groupBy("key", (F.col("place") == 0).alias("whole")).agg(early)
-    other = sides.select("key", (~F.col("whole")).alias("whole"), "early")
-    pairs.append(entries.withColumn("whole", F.col("place") == 0).join(other, ["key", "whole"]).select("hash", "at", "early"))
-    pairs = pairs[0].unionByName(pairs[1]).where(F.col("early.at") < F.col("at")).select("hash", F.col("early.hash").alias("to")).where("hash <> to").distinct()
-    pairs = stored(pairs)
-    wanted = stored(pairs.select("hash").union(pairs.select(F.col("to").alias("hash"))).distinct())
-    near = _verified(pairs, stored(_texts(docs, text_col, wanted))).select("hash").distinct().withColumn("near", F.lit(True))
-    facts = stored(first.join(near, "hash", "left"))
-    decided = lines.join(facts, "hash", "left")
+    meets = entries.select(*NAME).withColumn("meets", F.lit(True))
+    first = stored(firsts.join(meets, NAME, "left").where("n > 1 OR meets").select(*NAME, "at"))
+    texts = stored(_texts(docs, text_col, meets.select(*NAME), bits))
+    spelled = stored(_spelled(entries, texts).join(first, NAME))
+    early = F.min(F.struct("at", *NAME)).alias("early")
+    # Replacement: variants that spell the same without the word at one place. Deletion: a whole line and variants.
+    replaced = spelled.where("place > 0").groupBy("digest", "place").agg(early, F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs = [spelled.join(replaced, ["digest", "place"]).select(*NAME, "at", "early")]
+    sides = spelled.groupBy("digest", (F.col("place") == 0).alias("whole")).agg(early)
+    other = sides.select("digest", (~F.col("whole")).alias("whole"), "early")
+    pairs.append(spelled.withColumn("whole", F.col("place") == 0).join(other, ["digest", "whole"]).select(*NAME, "at", "early"))
+    pairs = pairs[0].unionByName(pairs[1]).where(F.col("early.at") < F.col("at")).select(*NAME, F.col("early.hash").alias("to"), F.col("early.check").alias("to_check")).distinct()
+    near = _verified(stored(pairs), texts, min_words).withColumn("near", F.lit(True))
+    facts = stored(first.join(near, NAME, "left"))
+    decided = lines.join(facts, NAME, "left")
     kind = F.when(F.col("at").isNull(), "keep").when(_order() != F.col("at"), "exact").when(F.col("near"), "near").otherwise("keep")
     return decided.select("row", "id", "th", "number", kind.alias("decision"))
 

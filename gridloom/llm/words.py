@@ -8,9 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-#: Odd multipliers, and their inverses modulo 2^64: fixed values.
-_BYTE, _WORD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Odd multipliers of the final mix: fixed values.
 _MIX_A, _MIX_B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+#: Bytes of a word that have random numbers of their own; longer words repeat them, times an odd number for each round.
+_OWN = 64
 #: Texts are taken together up to so many bytes.
 SLAB = 1 << 20
 
@@ -26,21 +27,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Powers:
-    """Powers of an odd number and of its inverse modulo 2^64, as far as they were needed."""
+#: A random number for each place of a byte in a word and each byte (tabulation hashing): made by mixed().
+_TABLE = mixed(np.arange(1, _OWN * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-    def __init__(self, base: int):
-        self.base, self.up, self.down = base, np.ones(1, np.uint64), np.ones(1, np.uint64)
 
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            step, back = np.uint64(self.base), np.uint64(pow(self.base, -1, 1 << 64))
-            ones = np.full(n, 1, np.uint64)
-            ones[1:] = step
-            self.up = np.cumprod(ones)
-            ones[1:] = back
-            self.down = np.cumprod(ones)
-        return self.up[:n], self.down[:n]
+def _at(places: np.ndarray, salt: int) -> np.ndarray:
+    """A random number for each place."""
+    return mixed((places.astype(np.uint64) + np.uint64(salt)) * np.uint64(0xD6E8FEB86659FD93))
 
 
 @dataclass
@@ -59,7 +52,7 @@ class Lines:
 
 class Reader:
     def __init__(self, separators: np.ndarray, lower: bool):
-        self.separators, self.lower, self.bytes = separators, lower, Powers(_BYTE)
+        self.separators, self.lower = separators, lower
 
     def slabs(self, texts: pa.Array) -> Iterator[Lines]:
         """Null texts count as empty. A text ends its last line; an empty text is one empty line."""
@@ -91,33 +84,43 @@ class Reader:
         edge[offsets] = True
         begins = np.flatnonzero(~apart & (np.r_[True, apart[:-1]] | edge[:-1]))
         ends = np.flatnonzero(~apart & (np.r_[apart[1:], True] | edge[1:])) + 1
-        up, down = self.bytes.to(size + 1)
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(((_LOWER[data] if self.lower else data).astype(np.uint64) + np.uint64(1)) * up[:size], out=sums[1:])
-        value = mixed((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64) * _MIX_A)
+        length = ends - begins
+        at = np.flatnonzero(~apart)
+        place = at - np.repeat(begins, length)
+        drawn = _TABLE[(place % _OWN) * 256 + (_LOWER[data[at]] if self.lower else data[at])]
+        if len(length) and length.max() > _OWN:
+            later = np.flatnonzero(place >= _OWN)
+            drawn[later] *= _at(place[later] // _OWN, 1 << 40) | np.uint64(1)
+        value = np.add.reduceat(drawn, np.cumsum(length) - length) if len(length) else np.zeros(0, np.uint64)
+        value = mixed(value + length.astype(np.uint64) * _MIX_A)
         # A word belongs to the last line that starts at or before it.
         word = np.searchsorted(begins, start)
         return Lines(data, doc + first_doc, number, start, end, np.r_[word, len(begins)], value)
 
 
 class LineHasher:
-    """Hashes of whole lines and of lines without one word, from word hashes."""
-
-    def __init__(self):
-        self.powers = Powers(_WORD)
-
-    def sums(self, hashes: np.ndarray) -> np.ndarray:
-        up, _ = self.powers.to(len(hashes) + 2)
-        out = np.zeros(len(hashes) + 1, np.uint64)
-        np.cumsum(hashes * up[: len(hashes)], out=out[1:])
-        return out
-
-    def whole(self, sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        _, down = self.powers.to(len(sums) + 1)
-        return mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * _MIX_B)
-
-    def without(self, sums: np.ndarray, a: np.ndarray, b: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Hashes of whole lines and of lines without one word, from word hashes: sums of random numbers that a word and its
+    place in the line give together."""
+
+    def sums(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums over the words, each at its own place and one place earlier. first: of each word, the first of
+        its line."""
+        place = np.arange(len(hashes)) - first
+        out = []
+        for k in (1, 0):
+            sums = np.zeros(len(hashes) + 1, np.uint64)
+            np.cumsum(mixed(hashes + _at(place + k, 1 << 41)), out=sums[1:])
+            out.append(sums)
+        return out[0], out[1]
+
+    def whole(self, sums, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mixed(sums[0][b] - sums[0][a] + (b - a).astype(np.uint64) * _MIX_B)
+
+    def without(self, sums, a: np.ndarray, b: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Of words a to b (not included), all but word i: what whole() gives for that sequence."""
-        _, down = self.powers.to(len(sums) + 1)
-        value = ((sums[i] - sums[a]) + (sums[b] - sums[i + 1]) * down[1]) * down[a]
+        value = (sums[0][i] - sums[0][a]) + (sums[1][b] - sums[1][i + 1])
         return mixed(value + (b - a - 1).astype(np.uint64) * _MIX_B)
+
+
+def line_sums(hasher: LineHasher, slab: Lines) -> tuple[np.ndarray, np.ndarray]:
+    return hasher.sums(slab.hash, np.repeat(slab.word[:-1], np.diff(slab.word)))
