@@ -28,14 +28,29 @@ def test_benchmark_json(spark, tmp_path):
     stats = R.map_stats(rows.where("algorithm = 'tiled'"), ["algorithm"], "worker_analysis", "cpu_time").first()
     assert (stats["mean"], stats["max"]) == (0.5, 0.5)
     S.write_benchmark(rows, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    back = S.read_benchmark(spark, str(tmp_path / "out"))
+    assert back.columns == rows.columns and sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
+    written = [json.loads(p.read_text()) for p in (tmp_path / "out").rglob("part-*.json")]
+    assert written[0]["metadata"] == data["metadata"] | {"workers_sizes": [1, 2], "runs_per_size": 1} and len(written[0]["data"]) == 2
+
+
+def test_benchmark_documents_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "DOCUMENT_RUNS", 3)
+    rows = spark.range(10).select(F.lit("a b.json").alias("file"), F.lit("t").alias("timestamp"), F.lit(50).alias("cluster_size"), F.lit(2).alias("workers_size"), F.lit("a").alias("algorithm"), F.col("id").cast("int").alias("run"), *[F.col("id").cast("double").alias(c) for c in S.TIMINGS], F.lit(None).cast("map<string,double>").alias("worker_analysis"))
+    S.write_benchmark(rows, str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").rglob("part-*.json"))) == 4
+    assert sorted(map(str, S.read_benchmark(spark, str(tmp_path / "out")).collect())) == sorted(map(str, rows.collect()))
 
 
 def test_logs(spark):
-    log = "Find inter edges - 0.5s\nPath length: 2037\nWorker 1 CPU time: 0.0005s\nWorker 2 CPU time: 0.1s\nWorker 1 Max memory: 2.35 MB\n"
+    log = (
+        "Find inter edges - 0.5s\nFind intra cluster paths - 4.25s\nFinish abstract graph for search - 0.005s\nFound graph path - 0.001s\nFound overall path - 0.002s\n"
+        "Max memory: 3.5 MB\nPath length: 2037\nWorker 1 CPU time: 0.0005s\nWorker  2 CPU time: 0.1s\nWorker 1 Max memory: 2.35 MB\n"
+    )
     logs = spark.createDataFrame([(1, log), (2, "nothing")], "id long, value string")
     found = {r["id"]: r for r in S.log_metrics(logs).collect()}
-    assert (found[1]["inter_edges"], found[1]["path_length"], found[2]["path_length"]) == (0.5, 2037.0, None)
+    assert [found[1][c] for c in S.TIMINGS] == [0.5, 4.25, 0.005, 0.001, 0.002, 3.5, 2037.0]
+    assert [found[2][c] for c in S.TIMINGS] == [None] * 7
     workers = {(r["worker"], r["cpu_time"], r["max_memory_mb"]) for r in S.log_workers(logs, ["id"]).collect()}
     assert workers == {(1, 0.0005, 2.35), (2, 0.1, None)}
 
@@ -43,10 +58,20 @@ def test_logs(spark):
 def test_result_files(spark, tmp_path):
     head = "Path Length: 10\nMax Memory: 5\nPath Cost: 10.0\nL1 Nodes: 4\nCPU Time: 0.5\nWorkers: 2\n"
     (tmp_path / "a").write_text(head + "Worker 1 Max Memory: 3\nWorker 2 Max Memory: 4\n\n@@\n")
-    (tmp_path / "b").write_text(head + "Worker Max Memory: 9\n")
+    (tmp_path / "b").write_text(head + "Worker Max Memory: 9.5 MB\n")
     (tmp_path / "c").write_text("Path Length: 10\n")
-    found = {r["file"]: r["worker_max_memory"] for r in S.read_results(spark, str(tmp_path)).collect()}
-    assert found == {"a": 4.0, "b": 9.0}
+    (tmp_path / "d").write_text(head + "@@\nWorker Max Memory: 9\n")
+    get = lambda **options: {r["file"]: r["worker_max_memory"] for r in S.read_results(spark, str(tmp_path), **options).collect()}
+    assert get() == {"b": 9.5} and get(lines=None) == {"a": 4.0, "b": 9.5, "d": 9.0} and len(get(complete=False)) == 4
+
+
+def test_idle_streams_give_partial_results(spark, tmp_path):
+    rows = [(1, 0, 0), (1, 1, 4), (1, 2, 30), (2, 0, 1), (2, 1, 3), (2, 2, 5)]
+    table = spark.createDataFrame(rows, "query_id long, task_id long, s int").select("query_id", "task_id", (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("s"))).alias("ts"))
+    table.repartition(1).write.parquet(str(tmp_path / "answers"))
+    flow = spark.readStream.schema(table.schema).parquet(str(tmp_path / "answers"))
+    found = stream.run_available(stream.gathered_until_idle(flow, 3), "complete").collect()
+    assert sorted((r["query_id"], r["received"], r["complete"]) for r in found) == [(1, 1, False), (1, 2, False), (2, 3, True)]
 
 
 def test_small_helpers(spark):
@@ -56,6 +81,8 @@ def test_small_helpers(spark):
     assert [r["algorithm"] for r in R.nonzero_groups(table, ["algorithm"], "metric").collect()] == ["a"]
     assert R.columns_with(R.renamed(table, {"metric": "cpu_time"}), "cpu") == ["cpu_time"]
     assert R.tagged({"x": table, "y": table}, "map").groupBy("map").count().count() == 2
+    assert [r[0] for r in R.sorted_unique(table, "workers_size").collect()] == [1, 2]
+    assert [r["metric"] for r in R.head(table.dropna(), ["metric"], 2).collect()] == [0.0, 2.0]
     assert R.sweep(spark, [25, 50], [1, 2], 3).count() == 12
 
 
