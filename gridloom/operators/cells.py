@@ -15,6 +15,14 @@ def dimensions(cells: DataFrame, size: int) -> DataFrame:
     return found.withColumns({"tiles_w": tiles_w, "tiles_h": tiles_h, "tiles": tiles_w * tiles_h, "wall_pct": F.col("wall_cells") * 100.0 / (F.col("open_cells") + F.col("wall_cells"))})
 
 
+def visited_percentage(cells: DataFrame, visited: DataFrame) -> DataFrame:
+    """map_id, visited, visited_pct: how many open cells are among the places visited (map_id, x, y), and their share of all
+    cells. A place that is visited again counts once."""
+    seen = visited.select("map_id", "x", "y").distinct().withColumn("_seen", F.lit(1))
+    open_seen = F.count_if(F.col("_seen").isNotNull() & ~F.col("wall"))
+    return cells.join(seen, ["map_id", "x", "y"], "left").groupBy("map_id").agg(open_seen.alias("visited"), (open_seen * 100.0 / F.count(F.lit(1))).alias("visited_pct"))
+
+
 def tiles(cells: DataFrame, size: int) -> DataFrame:
     wall = F.when(F.col("wall"), 1).otherwise(0)
     return cells.groupBy("map_id", G.tile_of("x", size).alias("cx"), G.tile_of("y", size).alias("cy")).agg(F.sum(1 - wall).alias("open_cells"), F.sum(wall).alias("wall_cells"))
@@ -60,10 +68,15 @@ def map_runs(cells: DataFrame) -> DataFrame:
     and the next begins one with the same value; only row runs meet in the map's window."""
     width = cells.groupBy("map_id").agg((F.max("x") + 1).alias("w"))
     runs = row_runs(cells).join(F.broadcast(width), "map_id").select("map_id", (F.col("start") + F.col("y") * F.col("w")).alias("start"), "value", "count")
-    own = Window.partitionBy("map_id").orderBy("start")
+    return _merged(runs, ["map_id"])
+
+
+def _merged(runs: DataFrame, group: list[str]) -> DataFrame:
+    """group, start, value, count: neighbours of one value as one run."""
+    own = Window.partitionBy(*group).orderBy("start")
     new = F.coalesce((F.lag("value").over(own) != F.col("value")).cast("int"), F.lit(1))
     merged = runs.withColumn("_new", new).withColumn("_island", F.sum("_new").over(own))
-    return merged.groupBy("map_id", "_island").agg(F.min("start").alias("start"), F.first("value").alias("value"), F.sum("count").alias("count")).drop("_island")
+    return merged.groupBy(*group, "_island").agg(F.min("start").alias("start"), F.first("value").alias("value"), F.sum("count").alias("count")).drop("_island")
 
 
 def decode_runs(runs: DataFrame, group: list[str]) -> DataFrame:
@@ -79,9 +92,14 @@ def run_get(runs: DataFrame, group: list[str], points: DataFrame) -> DataFrame:
 
 
 def run_set_range(runs: DataFrame, group: list[str], first: int, last: int, value: int) -> DataFrame:
-    """Indexes first to last get the value; runs are maximal again."""
-    bits = decode_runs(runs, group).withColumn("value", F.when(F.col("i").between(first, last), value).otherwise(F.col("value")))
-    return run_lengths(bits, group, "i", "value")
+    """Indexes first to last get the value; runs are maximal again. Runs are cut at the range and merged with equal
+    neighbours, without being decoded: only runs meet in a group's window."""
+    end = F.col("start") + F.col("count") - 1
+    before = runs.where(F.col("start") < first).select(*group, "start", "value", (F.least(end, F.lit(first - 1)) - F.col("start") + 1).alias("count"))
+    after = runs.where(end > last).select(*group, F.greatest("start", F.lit(last + 1)).alias("start"), "value", (end - F.greatest("start", F.lit(last + 1)) + 1).alias("count"))
+    inside = runs.where((F.col("start") <= last) & (end >= first)).groupBy(*group).agg(F.greatest(F.min("start"), F.lit(first)).alias("start"), F.least(F.max(end), F.lit(last)).alias("_end"))
+    inside = inside.select(*group, "start", F.lit(value).alias("value"), (F.col("_end") - F.col("start") + 1).alias("count"))
+    return _merged(before.unionByName(inside).unionByName(after), group)
 
 
 # -- packed bits ------------------------------------------------------------------------------------------------------

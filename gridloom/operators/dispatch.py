@@ -69,9 +69,8 @@ def responses(cells: DataFrame, todo: DataFrame, assigned: DataFrame, size: int)
     """query_id, task_id, worker_id, status_code, cost, path: a task of a tile that no worker has gets status 2 and no
     worker; one without a path status 1."""
     owned = todo.join(assigned.select("cx", "cy", "worker_id"), ["cx", "cy"], "left")
-    key = (F.col("query_id") * (1 << 24) + F.col("task_id")).alias("task_id")
-    run = local.tile_tasks(cells, owned.where("worker_id IS NOT NULL").select(F.lit("events").alias("map_id"), key, "cx", "cy", "sx", "sy", "gx", "gy"), size)
-    run = run.select(F.expr(f"task_id div {1 << 24}").alias("query_id"), (F.col("task_id") % (1 << 24)).alias("task_id"), "cost", "path")
+    run = local.tile_tasks(cells, owned.where("worker_id IS NOT NULL").select(F.lit("events").alias("map_id"), "query_id", "task_id", "cx", "cy", "sx", "sy", "gx", "gy"), size)
+    run = run.select("query_id", "task_id", "cost", "path")
     out = owned.join(run, ["query_id", "task_id"], "left")
     status = F.when(F.col("worker_id").isNull(), NOT_ASSIGNED).when(F.col("cost").isNull(), NO_PATH).otherwise(OK)
     return out.select("query_id", "task_id", "worker_id", status.alias("status_code"), "cost", "path")

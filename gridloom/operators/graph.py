@@ -5,21 +5,18 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.borders import EDGE, both_ways, upsert
+from gridloom.plans.checkpoints import written
 
 __all__ = ["add_edges", "add_nodes", "both_ways", "degree", "edge_lookup", "expand", "node_count", "node_lookup", "solve", "upsert"]
 
 #: Edges are sent to every executor up to this number; beyond, ways are found by joins.
 BROADCAST_EDGES = 1_000_000
 POINTS = "array<struct<x:bigint,y:bigint>>"
-#: Before the first node of a way.
-_NOWHERE = (-1, -1)
-
-
 def add_nodes(nodes: DataFrame, more: DataFrame) -> DataFrame:
     return nodes.unionByName(more.select(*nodes.columns)).distinct()
 
@@ -54,34 +51,55 @@ def expand(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     return frontier.join(onward, ["map_id", "x", "y"]).select("query_id", "map_id", F.col("dst_x").alias("x"), F.col("dst_y").alias("y"), (F.col("d") + F.col("weight")).alias("d"), F.col("x").alias("from_x"), F.col("y").alias("from_y"))
 
 
-def _search(frame: pd.DataFrame, graph) -> tuple[int | None, list[tuple[int, int]]]:
-    """Of one query's rows (end 's' or 'g', node, weight): the cost and the nodes on the way. Ties by place."""
-    place, offset, target, weight = graph
-    start = {(r.node_x, r.node_y): r.weight for r in frame[frame["end"] == "s"].itertuples()}
-    goal = {(r.node_x, r.node_y): r.weight for r in frame[frame["end"] == "g"].itertuples()}
-    heap = [(w, p, _NOWHERE) for p, w in start.items()]
-    heapq.heapify(heap)
-    came, best, last = {}, None, _NOWHERE
-    while heap:
-        d, p, before = heapq.heappop(heap)
-        if best is not None and d >= best:
-            break
-        if p in came:
-            continue
-        came[p] = before
-        if p in goal and (best is None or d + goal[p] < best):
-            best, last = d + goal[p], p
-        k = place.get(p)
-        if k is not None:
-            for e in range(offset[k], offset[k + 1]):
-                q = (int(target[e, 0]), int(target[e, 1]))
-                if q not in came:
-                    heapq.heappush(heap, (d + int(weight[e]), q, p))
-    way = []
-    while last != _NOWHERE:
-        way.append(last)
-        last = came[last]
-    return best, way[::-1]
+class _Graph:
+    """Edges of one map in rows by source: nodes as sorted pairs packed in one number, with the place of the first edge of
+    each; of each edge the target's number and the weight."""
+
+    def __init__(self, source: np.ndarray, target: np.ndarray, weight: np.ndarray):
+        self.corner = np.minimum(source.min(axis=0), target.min(axis=0))
+        self.wide = int(np.maximum(source.max(axis=0), target.max(axis=0))[1] - self.corner[1]) + 1
+        both = np.concatenate([self._packed(source), self._packed(target)])
+        self.nodes, at = np.unique(both, return_inverse=True)
+        order = np.lexsort((at[len(source) :], at[: len(source)]))
+        self.first = np.searchsorted(at[: len(source)][order], np.arange(len(self.nodes) + 1)).tolist()
+        self.target, self.weight = at[len(source) :][order].tolist(), weight[order].tolist()
+
+    def _packed(self, places: np.ndarray) -> np.ndarray:
+        return (places[:, 0] - self.corner[0]) * self.wide + places[:, 1] - self.corner[1]
+
+    def place(self, k: int) -> dict:
+        x, y = divmod(int(self.nodes[k]), self.wide)
+        return {"x": x + int(self.corner[0]), "y": y + int(self.corner[1])}
+
+    def numbers(self, places: np.ndarray) -> np.ndarray:
+        """Of each place its node's number; nodes without an edge come after all others."""
+        y = places[:, 1] - self.corner[1]
+        packed = self._packed(places)
+        at = np.minimum(np.searchsorted(self.nodes, packed), len(self.nodes) - 1)
+        return np.where((self.nodes[at] == packed) & (y >= 0) & (y < self.wide), at, -1)
+
+    def search(self, start: dict[int, int], goal: dict[int, int]) -> tuple[int | None, list[int]]:
+        """The cost and the nodes on the way. Ties go to the node that comes first by place."""
+        heap = [(w, k, -1) for k, w in start.items()]
+        heapq.heapify(heap)
+        came, best, last = {}, None, -1
+        while heap:
+            d, k, before = heapq.heappop(heap)
+            if best is not None and d >= best:
+                break
+            if k in came:
+                continue
+            came[k] = before
+            if k in goal and (best is None or d + goal[k] < best):
+                best, last = d + goal[k], k
+            for e in range(self.first[k], self.first[k + 1]):
+                if self.target[e] not in came:
+                    heapq.heappush(heap, (d + self.weight[e], self.target[e], k))
+        way = []
+        while last != -1:
+            way.append(last)
+            last = came[last]
+        return best, way[::-1]
 
 
 def solve(edges: DataFrame, ends: DataFrame, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
@@ -91,30 +109,47 @@ def solve(edges: DataFrame, ends: DataFrame, broadcast_edges: int = BROADCAST_ED
     from nodes to the goal ('g'). Up to broadcast_edges edges, each query is a priority-queue search against a
     broadcast graph; beyond, all queries relax together, a join for each hop.
     """
-    edges = edges.select(*EDGE).persist()
+    edges = written(edges.select(*EDGE))
     if edges.limit(broadcast_edges + 1).count() > broadcast_edges:
         return relax(edges, ends)
-    table = edges.toPandas().sort_values(["map_id", "src_x", "src_y", "dst_x", "dst_y"])
-    edges.unpersist()
-    graphs = {}
-    for map_id, own in table.groupby("map_id"):
-        source = own[["src_x", "src_y"]].to_numpy(np.int64)
-        first = np.flatnonzero(np.r_[True, (source[1:] != source[:-1]).any(axis=1)])
-        graphs[map_id] = ({(int(x), int(y)): k for k, (x, y) in enumerate(source[first])}, np.r_[first, len(source)], own[["dst_x", "dst_y"]].to_numpy(np.int64), own["weight"].to_numpy(np.int64))
-    shared = edges.sparkSession.sparkContext.broadcast(graphs)
-
-    def run(key, frame):
-        cost, way = _search(frame, shared.value.get(key[1], ({}, [0], np.zeros((0, 2)), [])))
-        found = [] if cost is None else [(key[0], key[1], cost, [{"x": x, "y": y} for x, y in way])]
-        return pd.DataFrame(found, columns=["query_id", "map_id", "cost", "nodes"])
-
-    return ends.groupBy("query_id", "map_id").applyInPandas(run, f"query_id bigint, map_id string, cost bigint, nodes {POINTS}")
+    table = edges.select("map_id", "src_x", "src_y", "dst_x", "dst_y", "weight").toArrow()
+    maps, of = np.unique(np.array(table["map_id"].to_pylist(), object), return_inverse=True) if table.num_rows else ([], np.zeros(0))
+    column = lambda c: table[c].to_numpy()
+    raw = {}
+    for k, map_id in enumerate(maps):
+        own = of == k
+        raw[map_id] = (np.stack([column("src_x")[own], column("src_y")[own]], axis=1), np.stack([column("dst_x")[own], column("dst_y")[own]], axis=1), column("weight")[own])
+    # At most broadcast_edges edges of 40 bytes, counted above.
+    shared = edges.sparkSession.sparkContext.broadcast(raw)
+    point = pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())]))
+
+    def run(batches):
+        graphs = {}
+        for batch in batches:
+            out = []
+            for query_id, map_id, own in zip(batch["query_id"].to_pylist(), batch["map_id"].to_pylist(), batch["ends"].to_pylist(), strict=True):
+                if map_id not in graphs:
+                    graphs[map_id] = _Graph(*shared.value[map_id]) if map_id in shared.value else None
+                g = graphs[map_id]
+                if g is None:
+                    continue
+                sides = {"s": {}, "g": {}}
+                for e, k in zip(own, g.numbers(np.array([(e["node_x"], e["node_y"]) for e in own], np.int64)).tolist(), strict=True):
+                    if k >= 0:
+                        sides[e["end"]][k] = e["weight"]
+                cost, way = g.search(sides["s"], sides["g"])
+                if cost is not None:
+                    out.append((query_id, map_id, cost, [g.place(k) for k in way]))
+            columns = list(zip(*out, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), point), strict=True)], ["query_id", "map_id", "cost", "nodes"])
+
+    # A query's ends are the nodes of two tiles: bounded by their borders.
+    of_query = ends.groupBy("query_id", "map_id").agg(F.collect_list(F.struct("end", "node_x", "node_y", "weight")).alias("ends"))
+    return of_query.mapInArrow(run, f"query_id bigint, map_id string, cost bigint, nodes {POINTS}")
 
 
 def relax(edges: DataFrame, ends: DataFrame) -> DataFrame:
     """solve() by joins: every round, nodes whose distance fell pass it on. As many rounds as a way has nodes."""
-    from gridloom.plans.checkpoints import written
-
     place = ["query_id", "map_id", "x", "y"]
     start = ends.where("end = 's'").groupBy("query_id", "map_id", F.col("node_x").alias("x"), F.col("node_y").alias("y")).agg(F.min("weight").alias("d"))
     none = F.lit(None).cast("long")

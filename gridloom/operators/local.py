@@ -1,4 +1,7 @@
-"""Searches inside tiles: a group of Python calls for each tile, with numpy and one breadth-first search a source.
+"""Searches inside tiles, many at a time: numpy floods from all starts of a batch of rows at once.
+
+A tile travels as a mask of its open cells (and nodes), a bit a cell; points and tasks are joined to the masks of their
+tiles, so a tile with many of them spreads over tasks and no group is collected.
 
 Steps cost 1, so breadth-first distances are those of any search with a consistent heuristic. Ties between equally
 short paths go to the first step of the list: west, north, east, south, then the diagonals if they are allowed.
@@ -7,33 +10,42 @@ short paths go to the first step of the list: west, north, east, south, then the
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.functions.geometry import DIAGONALS, STEPS
 from gridloom.operators.cells import opened
 
 POINTS = "array<struct<x:bigint,y:bigint>>"
-
-
-def flood(free: np.ndarray, sources: np.ndarray, steps) -> np.ndarray:
-    """Distances (source, row, column) over the free cells, -1 where there is no way; all sources at once."""
-    count, (height, width) = len(sources), free.shape
-    room = np.zeros((height + 2, width + 2), bool)
-    room[1:-1, 1:-1] = free
-    found = np.full((count, height + 2, width + 2), -1, np.int32)
-    edge = np.zeros((count, height + 2, width + 2), bool)
-    edge[np.arange(count), sources[:, 1] + 1, sources[:, 0] + 1] = room[sources[:, 1] + 1, sources[:, 0] + 1]
-    level = 0
-    while edge.any():
-        found[edge] = level
-        reached = np.zeros_like(edge)
-        for dx, dy in steps:
-            reached |= np.roll(edge, (dy, dx), (1, 2))
-        edge = reached & room & (found < 0)
+KEYS = ["map_id", "cx", "cy"]
+#: Cells that are flooded in one go.
+CELLS = 1 << 22
+
+
+def floods(rooms: np.ndarray, which: np.ndarray, x: np.ndarray, y: np.ndarray, steps) -> np.ndarray:
+    """Distances (start, row, column) from starts (x, y) in rooms[which], below 0 where there is no way. Starts outside
+    or on a wall reach nothing. Only the cells on the edge of a flood are looked at in each round."""
+    height, width = rooms.shape[1:]
+    room = np.full((len(rooms), height + 2, width + 2), -2, np.int32)
+    room[:, 1:-1, 1:-1] = np.where(rooms, -1, -2)
+    found = room[which].reshape(len(which), -1)
+    flat, wide = found.reshape(-1), width + 2
+    inside = (x >= 0) & (x < width) & (y >= 0) & (y < height)
+    edge = (np.arange(len(which)) * found.shape[1] + (y + 1) * wide + x + 1)[inside]
+    edge, level = edge[flat[edge] == -1], 0
+    while len(edge):
+        flat[edge] = level
         level += 1
-    return found[:, 1:-1, 1:-1]
+        reached = []
+        for dx, dy in steps:
+            to = edge + dy * wide + dx
+            to = to[flat[to] == -1]
+            flat[to] = level
+            reached.append(to)
+        edge = np.concatenate(reached)
+    return found.reshape(len(which), height + 2, wide)[:, 1:-1, 1:-1]
 
 
 def walk(distance: np.ndarray, goal: tuple[int, int], steps) -> list[tuple[int, int]]:
@@ -56,78 +68,107 @@ def _steps(diagonal: bool):
     return [(dx, dy) for dx, dy, _ in STEPS + (DIAGONALS if diagonal else ())]
 
 
-def _tile_mask(cells: pd.DataFrame, size: int, cx: int, cy: int) -> np.ndarray:
-    free = np.zeros((size, size), bool)
-    free[cells["y"].to_numpy() - cy * size, cells["x"].to_numpy() - cx * size] = True
-    return free
-
-
-def _only_tiles(cells: DataFrame, todo: DataFrame, keys: list[str]) -> DataFrame:
-    """The cells of tiles with something to do: a cogroup would call Python for all others too."""
-    wanted = todo.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
-    same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    return cells.join(wanted, same[0] & same[1] & same[2], "left_semi")
-
-
-def tile_tasks(cells: DataFrame, tasks: DataFrame, size: int, with_path: bool = True, diagonal: bool = False) -> DataFrame:
-    """tasks (map_id, task_id, cx, cy, sx, sy, gx, gy) with cost and path (start to goal) inside the tile; null if
-    there is none. Points outside the tile or on a wall have none."""
-    free, steps = opened(cells, size), _steps(diagonal)
-    schema = f"map_id string, task_id bigint, cx bigint, cy bigint, sx bigint, sy bigint, gx bigint, gy bigint, cost bigint, path {POINTS}"
-
-    def run(key, own, todo):
-        _, cx, cy = key
-        mask = _tile_mask(own, size, cx, cy)
-        local = todo[["sx", "sy", "gx", "gy"]].to_numpy(np.int64) - np.array([cx, cy, cx, cy]) * size
-        good = ((local >= 0) & (local < size)).all(axis=1)
-        cost, path = [None] * len(todo), [None] * len(todo)
-        starts, which = np.unique(local[good][:, :2], axis=0, return_inverse=True) if good.any() else (np.zeros((0, 2), np.int64), [])
-        spread = flood(mask, starts, steps) if len(starts) else []
-        for row, k in zip(np.flatnonzero(good), np.ravel(which), strict=True):
-            gx, gy = local[row, 2:]
-            if spread[k][gy, gx] >= 0:
-                cost[row] = int(spread[k][gy, gx])
-                if with_path:
-                    path[row] = [{"x": int(x + cx * size), "y": int(y + cy * size)} for x, y in walk(spread[k], (gx, gy), steps)]
-        out = todo[["map_id", "task_id", "cx", "cy", "sx", "sy", "gx", "gy"]].copy()
-        out["cost"] = pd.array(cost, "Int64")
-        out["path"] = pd.Series(path, index=out.index, dtype=object)
-        return out
-
-    keys = ["map_id", "cx", "cy"]
-    tasks = tasks.select(*[F.col(c).alias(c) for c in (*keys, "task_id", "sx", "sy", "gx", "gy")])
-    free = _only_tiles(free, tasks, keys)
-    return tasks.groupBy(*keys).cogroup(free.groupBy(*keys)).applyInPandas(lambda key, a, b: run(key, b, a), schema)
-
-
-def point_distances(cells: DataFrame, nodes: DataFrame, points: DataFrame, size: int, diagonal: bool = False) -> DataFrame:
-    """map_id, point_id, x, y, node_x, node_y, weight: ways inside its tile from each point (map_id, point_id, x, y)
-    to the tile's nodes, both ends included. One search a point."""
-    free, steps = opened(cells, size), _steps(diagonal)
-    schema = "map_id string, point_id bigint, x bigint, y bigint, node_x bigint, node_y bigint, weight bigint"
-    marked = free.join(nodes.select("map_id", "x", "y", F.lit(True).alias("node")), ["map_id", "x", "y"], "left").withColumn("node", F.coalesce("node", F.lit(False)))
-
-    def run(key, todo, own):
-        map_id, cx, cy = key
-        corner = np.array([cx, cy]) * size
-        mask = _tile_mask(own, size, cx, cy)
-        ends = own.loc[own["node"], ["x", "y"]].to_numpy(np.int64)
-        points = todo[["x", "y"]].to_numpy(np.int64)
-        spread = flood(mask, points - corner, steps)[:, ends[:, 1] - corner[1], ends[:, 0] - corner[0]] if len(ends) and len(points) else np.full((len(points), 0), -1)
-        a, b = np.nonzero(spread >= 0)
-        return pd.DataFrame({"map_id": map_id, "point_id": todo["point_id"].to_numpy()[a], "x": points[a, 0], "y": points[a, 1], "node_x": ends[b, 0] if len(ends) else [], "node_y": ends[b, 1] if len(ends) else [], "weight": spread[a, b].astype(np.int64)})
-
-    keys = ["map_id", "cx", "cy"]
-    # New names for the columns: points and nodes may come from one table.
-    points = points.select(*[F.col(c).alias(c) for c in ("map_id", "point_id", "x", "y")])
-    dealt = points.select("map_id", "point_id", "x", "y", F.expr(f"x div {size}").alias("cx"), F.expr(f"y div {size}").alias("cy"))
-    marked = _only_tiles(marked, dealt, keys)
-    return dealt.groupBy(*keys).cogroup(marked.groupBy(*keys)).applyInPandas(run, schema)
-
-
-def intra_edges(cells: DataFrame, nodes: DataFrame, size: int, diagonal: bool = False) -> DataFrame:
+def tile_masks(cells: DataFrame, size: int, nodes: DataFrame | None = None) -> DataFrame:
+    """map_id, cx, cy, mask: of each tile with an open cell its open cells and, if nodes (map_id, x, y) are given, its
+    nodes, as bits in row order."""
+    place = ((F.col("y") - F.col("cy") * size) * size + F.col("x") - F.col("cx") * size).cast("int")
+    # A tile's cells are bounded by its size.
+    tiles = opened(cells, size).groupBy(*KEYS).agg(F.collect_list(place).alias("free"))
+    if nodes is None:
+        tiles = tiles.withColumn("marks", F.array().cast("array<int>"))
+    else:
+        at = nodes.select("map_id", "x", "y", F.expr(f"x div {size}").alias("cx"), F.expr(f"y div {size}").alias("cy"))
+        tiles = tiles.join(at.groupBy(*KEYS).agg(F.collect_list(place).alias("marks")), KEYS, "left").withColumn("marks", F.coalesce("marks", F.array().cast("array<int>")))
+
+    def run(batches):
+        for batch in batches:
+            bits = []
+            for c in ("free", "marks"):
+                own = np.zeros((batch.num_rows, size * size), bool)
+                lists = batch[c]
+                own[np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = True
+                bits.append(np.packbits(own, axis=1))
+            masks = [x.tobytes() for x in np.concatenate(bits, axis=1)]
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in KEYS], pa.array(masks, pa.binary())], [*KEYS, "mask"])
+
+    return tiles.select(*KEYS, "free", "marks").mapInArrow(run, "map_id string, cx bigint, cy bigint, mask binary")
+
+
+def _opened_masks(column, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which mask each row has, and the masks' open cells and nodes (mask, row, column)."""
+    coded = column.dictionary_encode()
+    data = np.frombuffer(b"".join(coded.dictionary.to_pylist()), np.uint8).reshape(len(coded.dictionary), 2, -1)
+    bits = np.unpackbits(data, axis=2)[:, :, : size * size].astype(bool).reshape(-1, 2, size, size)
+    return coded.indices.to_numpy(), bits[:, 0], bits[:, 1]
+
+
+def _in_parts(batch, size: int):
+    step = max(1, CELLS // (size + 2) ** 2)
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+def tile_tasks(cells: DataFrame, tasks: DataFrame, size: int, with_path: bool = True, diagonal: bool = False, masks: DataFrame | None = None) -> DataFrame:
+    """tasks (map_id, cx, cy, sx, sy, gx, gy and any other columns) with cost and path (start to goal) inside the tile;
+    null if there is none. Points outside the tile or on a wall have none."""
+    steps, own = _steps(diagonal), tasks.columns
+    masks = tile_masks(cells, size) if masks is None else masks
+    point = pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())]))
+
+    def run(batches):
+        for batch in (part for b in batches for part in _in_parts(b, size)):
+            column = lambda c: batch[c].to_numpy(zero_copy_only=False)
+            left, top = column("cx") * size, column("cy") * size
+            cost, path = [None] * batch.num_rows, [None] * batch.num_rows
+            there = np.flatnonzero(~batch["_mask"].is_null().to_numpy(zero_copy_only=False))
+            if len(there):
+                which, free, _ = _opened_masks(batch["_mask"].take(pa.array(there)), size)
+                sx, sy, gx, gy = (column(c)[there] - corner[there] for c, corner in (("sx", left), ("sy", top), ("gx", left), ("gy", top)))
+                spread = floods(free, which, sx, sy, steps)
+                inside = np.flatnonzero((gx >= 0) & (gx < size) & (gy >= 0) & (gy < size))
+                found = spread[inside, gy[inside], gx[inside]]
+                for k, d in zip(inside[found >= 0].tolist(), found[found >= 0].tolist(), strict=True):
+                    row = there[k]
+                    cost[row] = d
+                    if with_path:
+                        path[row] = [{"x": int(x + left[row]), "y": int(y + top[row])} for x, y in walk(spread[k], (gx[k], gy[k]), steps)]
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in own], pa.array(cost, pa.int64()), pa.array(path, point)], [*own, "cost", "path"])
+
+    # New names for the columns: tasks and masks may come from one table.
+    todo = tasks.select(*[F.col(c).alias(c) for c in own]).join(masks.select(*[F.col(c).alias(f"_{c}") for c in (*KEYS, "mask")]), _same_tile(), "left")
+    schema = T.StructType([*tasks.schema.fields, T.StructField("cost", T.LongType()), T.StructField("path", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in "xy"])))])
+    return todo.select(*own, "_mask").mapInArrow(run, schema)
+
+
+def _same_tile():
+    same = [F.col(c) == F.col(f"_{c}") for c in KEYS]
+    return same[0] & same[1] & same[2]
+
+
+def point_distances(cells: DataFrame, nodes: DataFrame, points: DataFrame, size: int, diagonal: bool = False, masks: DataFrame | None = None) -> DataFrame:
+    """points (map_id, x, y and any other columns) with node_x, node_y, weight: a row for each of its tile's nodes that a
+    point reaches inside the tile, both ends included."""
+    steps, own = _steps(diagonal), points.columns
+    masks = tile_masks(cells, size, nodes) if masks is None else masks
+
+    def run(batches):
+        for batch in (part for b in batches for part in _in_parts(b, size)):
+            x, y = (batch[c].to_numpy() for c in "xy")
+            left, top = x // size * size, y // size * size
+            which, free, marks = _opened_masks(batch["_mask"], size)
+            spread = floods(free, which, x - left, y - top, steps)
+            row, ny, nx = np.nonzero((spread >= 0) & marks[which])
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*[batch[c].take(at) for c in own], pa.array(nx + left[row]), pa.array(ny + top[row]), pa.array(spread[row, ny, nx].astype(np.int64))], [*own, "node_x", "node_y", "weight"])
+
+    dealt = points.select(*[F.col(c).alias(c) for c in own]).withColumns({"cx": F.expr(f"x div {size}"), "cy": F.expr(f"y div {size}")})
+    dealt = dealt.join(masks.select(*[F.col(c).alias(f"_{c}") for c in (*KEYS, "mask")]), _same_tile())
+    schema = T.StructType([*points.schema.fields, *[T.StructField(c, T.LongType()) for c in ("node_x", "node_y", "weight")]])
+    return dealt.select(*own, "_mask").mapInArrow(run, schema)
+
+
+def intra_edges(cells: DataFrame, nodes: DataFrame, size: int, diagonal: bool = False, masks: DataFrame | None = None) -> DataFrame:
     """Edges between all nodes of a tile that reach each other inside it, both ways."""
-    points = nodes.select("map_id", F.lit(0).cast("long").alias("point_id"), "x", "y")
-    found = point_distances(cells, nodes, points, size, diagonal)
+    found = point_distances(cells, nodes, nodes.select("map_id", "x", "y"), size, diagonal, masks)
     named = found.select("map_id", F.col("x").alias("src_x"), F.col("y").alias("src_y"), F.col("node_x").alias("dst_x"), F.col("node_y").alias("dst_y"), "weight", F.lit("intra").alias("kind"))
     return named.where((F.col("src_x") != F.col("dst_x")) | (F.col("src_y") != F.col("dst_y")))

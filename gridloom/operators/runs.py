@@ -99,6 +99,16 @@ def columns_with(runs: DataFrame, part: str) -> list[str]:
     return [c for c in runs.columns if part in c]
 
 
+def sorted_unique(runs: DataFrame, column: str) -> DataFrame:
+    """The column's distinct values, in order."""
+    return runs.select(column).distinct().orderBy(column)
+
+
+def head(runs: DataFrame, order: list[str], n: int = 5) -> DataFrame:
+    """The first rows in an order: a top-n, for which no task holds more than n rows."""
+    return runs.orderBy(*order).limit(n)
+
+
 def sweep(spark, cluster_sizes: list[int], workers: list[int], runs_per_size: int) -> DataFrame:
     """All configurations of a benchmark, as nested sequences: cluster_size, workers_size, run from 1."""
     one = spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in cluster_sizes])).alias("cluster_size"))

@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: the rows go to spark.checkpoint.dir. Only a local session (tests) does without: it gets a
+def use_shared_folder(spark: SparkSession) -> None:
+    """Checkpoints go to the folder named in spark.checkpoint.dir. Only a local session (tests) does without: it gets a
     temporary folder."""
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridloom-"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see."""
+    use_shared_folder(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cuts the lineage: the rows are written once to the shared folder."""
+    use_shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

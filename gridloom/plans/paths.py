@@ -16,8 +16,11 @@ from gridloom.operators import borders, cells as C, graph, local
 from gridloom.plans.checkpoints import written
 
 POINTS = local.POINTS
-#: A whole map goes to one task for a flat search up to so many cells; larger ones go by all border cells.
-FLAT_CELLS = 16_000_000
+#: A whole map goes to a task for a flat search up to so many cells; larger ones go by all border cells, in tiles of so many
+#: cells a side.
+FLAT_CELLS, FLAT_TILE = 16_000_000, 64
+#: A map's flat searches are dealt to so many tasks at most, each with the map.
+FLAT_TASKS = 8
 
 
 @dataclass(frozen=True)
@@ -29,14 +32,15 @@ class Preprocessed:
     entrances: DataFrame
     nodes: DataFrame
     edges: DataFrame
+    masks: DataFrame
 
 
 def preprocess(cells: DataFrame, size: int, gates: DataFrame | None = None) -> Preprocessed:
-    cells = cells.persist()
     gates = written(borders.entrances(cells, size) if gates is None else gates)
     nodes = written(borders.abstract_nodes(gates, size))
-    edges = written(borders.upsert(borders.inter_edges(gates).unionByName(local.intra_edges(cells, nodes, size).select(*borders.EDGE))))
-    return Preprocessed(cells, size, gates, nodes, edges)
+    masks = written(local.tile_masks(cells, size, nodes))
+    edges = written(borders.upsert(borders.inter_edges(gates).unionByName(local.intra_edges(cells, nodes, size, masks=masks).select(*borders.EDGE))))
+    return Preprocessed(cells, size, gates, nodes, edges, masks)
 
 
 def preprocess_exact(cells: DataFrame, size: int) -> Preprocessed:
@@ -48,13 +52,13 @@ def abstract_paths(pre: Preprocessed, queries: DataFrame, broadcast_edges: int =
     """query_id, map_id, cost, nodes (start, abstract nodes, goal; repeats left out) of queries (query_id, map_id, sx,
     sy, gx, gy). A way inside the tile that start and goal share is one candidate, not the only one."""
     size = pre.size
-    points = queries.select("map_id", F.inline(F.array(F.struct((F.col("query_id") * 2).alias("point_id"), F.col("sx").alias("x"), F.col("sy").alias("y")), F.struct((F.col("query_id") * 2 + 1).alias("point_id"), F.col("gx").alias("x"), F.col("gy").alias("y")))))
-    found = local.point_distances(pre.cells, pre.nodes, points, size)
-    ends = found.select(F.expr("point_id div 2").alias("query_id"), "map_id", F.when(F.col("point_id") % 2 == 0, "s").otherwise("g").alias("end"), "node_x", "node_y", "weight")
+    point = lambda end, x, y: F.struct(F.lit(end).alias("end"), F.col(x).alias("x"), F.col(y).alias("y"))
+    points = queries.select("query_id", "map_id", F.inline(F.array(point("s", "sx", "sy"), point("g", "gx", "gy"))))
+    ends = local.point_distances(pre.cells, pre.nodes, points, size, masks=pre.masks).select("query_id", "map_id", "end", "node_x", "node_y", "weight")
     over = graph.solve(pre.edges, written(ends), broadcast_edges).withColumn("direct", F.lit(1))
     shared = queries.where(F.expr(f"sx div {size} = gx div {size} AND sy div {size} = gy div {size}"))
     tasks = shared.select("map_id", F.col("query_id").alias("task_id"), F.expr(f"sx div {size}").alias("cx"), F.expr(f"sy div {size}").alias("cy"), "sx", "sy", "gx", "gy")
-    inside = local.tile_tasks(pre.cells, tasks, size, with_path=False).where("cost IS NOT NULL")
+    inside = local.tile_tasks(pre.cells, tasks, size, with_path=False, masks=pre.masks).where("cost IS NOT NULL")
     inside = inside.select(F.col("task_id").alias("query_id"), "map_id", "cost", F.lit(None).cast(POINTS).alias("nodes"), F.lit(0).alias("direct"))
     best = over.unionByName(inside).groupBy("query_id", "map_id").agg(F.min(F.struct("cost", "direct", "nodes")).alias("best"))
     point = lambda x, y: F.array(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))
@@ -74,12 +78,10 @@ def refine(pre: Preprocessed, waypoints: DataFrame) -> DataFrame:
     """query_id, map_id, path: cells from start to goal, each once where pieces meet."""
     size = pre.size
     steps = hops(waypoints).withColumns({"cx": F.expr(f"sx div {size}"), "cy": F.expr(f"sy div {size}"), "to_cx": F.expr(f"gx div {size}"), "to_cy": F.expr(f"gy div {size}")})
-    steps = steps.withColumn("task_id", F.col("query_id") * (1 << 24) + F.col("seq"))
     crossing = (F.col("cx") != F.col("to_cx")) | (F.col("cy") != F.col("to_cy"))
-    over = steps.where(crossing).select("task_id", "map_id", F.array(F.struct(F.col("sx").alias("x"), F.col("sy").alias("y")), F.struct(F.col("gx").alias("x"), F.col("gy").alias("y"))).alias("path"))
-    inside = local.tile_tasks(pre.cells, steps.where(~crossing).select("map_id", "task_id", "cx", "cy", "sx", "sy", "gx", "gy"), size)
-    pieces = over.unionByName(inside.select("task_id", "map_id", "path"))
-    pieces = pieces.select(F.expr(f"task_id div {1 << 24}").alias("query_id"), "map_id", (F.col("task_id") % (1 << 24)).alias("seq"), "path")
+    over = steps.where(crossing).select("query_id", "map_id", "seq", F.array(F.struct(F.col("sx").alias("x"), F.col("sy").alias("y")), F.struct(F.col("gx").alias("x"), F.col("gy").alias("y"))).alias("path"))
+    inside = local.tile_tasks(pre.cells, steps.where(~crossing).select("query_id", "map_id", "seq", "cx", "cy", "sx", "sy", "gx", "gy"), size, masks=pre.masks)
+    pieces = over.unionByName(inside.select("query_id", "map_id", "seq", "path"))
     joined = gather(pieces)
     alone = waypoints.where(F.size("nodes") == 1).select("query_id", "map_id", F.col("nodes").alias("path"))
     return joined.unionByName(alone)
@@ -93,10 +95,17 @@ def gather(pieces: DataFrame) -> DataFrame:
 
 
 def flat_paths(cells: DataFrame, queries: DataFrame, heuristic: str = "manhattan", diagonal: bool = False) -> DataFrame:
-    """query_id, map_id, cost, path, visited: best-first search over the whole map, in one task for each map. For maps
-    of up to FLAT_CELLS cells (checked); larger ones go through preprocess_exact."""
-    if cells.groupBy("map_id").count().where(F.col("count") > FLAT_CELLS).limit(1).count():
-        raise ValueError(f"a map has over {FLAT_CELLS} cells: use find_paths(..., mode='exact')")
+    """query_id, map_id, cost, path, visited: best-first search over the whole map. Maps of over FLAT_CELLS cells, which are
+    counted first, go through preprocess_exact, whose costs are equal; visited is null for them, and diagonal steps
+    aren't offered."""
+    queries = queries.select(*[F.col(c).alias(c) for c in ("query_id", "map_id", "sx", "sy", "gx", "gy")])
+    large = written(cells.groupBy("map_id").count().where(F.col("count") > FLAT_CELLS).select("map_id"))
+    if not large.isEmpty():
+        if diagonal:
+            raise ValueError(f"diagonal steps over a map of more than {FLAT_CELLS} cells")
+        of = lambda df, how: written(df.join(large, "map_id", how))
+        found = find_paths(of(cells, "left_semi"), of(queries, "left_semi"), FLAT_TILE, "exact").select("query_id", "map_id", "cost", "path", F.lit(None).cast("long").alias("visited"))
+        return flat_paths(of(cells, "left_anti"), of(queries, "left_anti"), heuristic).unionByName(found)
     steps = [(dx, dy) for dx, dy, _ in STEPS + (DIAGONALS if diagonal else ())]
     schema = f"query_id bigint, map_id string, cost bigint, path {POINTS}, visited bigint"
 
@@ -143,9 +152,12 @@ def flat_paths(cells: DataFrame, queries: DataFrame, heuristic: str = "manhattan
         made = pd.DataFrame(out, columns=["query_id", "map_id", "cost", "path", "visited"])
         return made.astype({"cost": "Int64"})
 
-    free = cells.where(~F.col("wall")).select("map_id", "x", "y")
-    queries = queries.select(*[F.col(c).alias(c) for c in ("query_id", "map_id", "sx", "sy", "gx", "gy")])
-    return queries.groupBy("map_id").cogroup(free.groupBy("map_id")).applyInPandas(run, schema)
+    part = F.pmod(F.xxhash64("query_id"), F.lit(FLAT_TASKS)).alias("part")
+    queries = queries.select("*", part)
+    # A map goes to as many tasks as it has parts of queries.
+    parts = queries.select(F.col("map_id").alias("_map_id"), F.col("part").alias("_part")).distinct()
+    free = cells.where(~F.col("wall")).select("map_id", "x", "y").join(parts, F.col("map_id") == F.col("_map_id")).select("map_id", F.col("_part").alias("part"), "x", "y")
+    return queries.groupBy("map_id", "part").cogroup(free.groupBy("map_id", "part")).applyInPandas(run, schema)
 
 
 def find_paths(cells: DataFrame, queries: DataFrame, size: int = 50, mode: str = "hier", heuristic: str = "manhattan", pre: Preprocessed | None = None) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as G
-from gridloom.plans.checkpoints import written
+from gridloom.plans.checkpoints import shared_folder
 
 
 def task_stream(spark: SparkSession, path: str, schema, width: int, size: int, files_a_trigger: int = 8) -> DataFrame:
@@ -42,11 +40,17 @@ def worker_load(answers: DataFrame, window: str = "1 day", delay: str = "1 day")
     return grouped.select(F.col("window.start").alias("window_start"), "worker_id", "tasks")
 
 
+def gathered_until_idle(answers: DataFrame, expected: int, idle: str = "5 seconds", delay: str = "1 day") -> DataFrame:
+    """query_id, started, received, complete: what came for a query (query_id, task_id, ts) until nothing more came for the
+    idle time; then the result stands, whole or in part. What comes after that starts another."""
+    came = answers.withWatermark("ts", delay).groupBy(F.session_window("ts", idle).alias("session"), "query_id").agg(F.count(F.lit(1)).alias("received"))
+    return came.select("query_id", F.col("session.start").alias("started"), "received", (F.col("received") >= expected).alias("complete"))
+
+
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs the stream over what is there and gives the rows that it wrote, exactly once, as a table."""
     spark = stream.sparkSession
-    written(spark.range(1))  # makes sure that there is a shared folder
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "stream")
     if mode == "append":
         stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     else:

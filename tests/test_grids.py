@@ -175,3 +175,18 @@ def test_graph_maintenance(spark):
     nodes = spark.createDataFrame([("m", 0, 0)], "map_id string, x long, y long")
     points = spark.createDataFrame([("m", 0, 0), ("m", 1, 1)], "map_id string, x long, y long")
     assert {(r["x"], r["found"]) for r in graph.node_lookup(nodes, points).collect()} == {(0, True), (1, False)}
+
+
+def test_large_maps_go_by_border_cells(spark, monkeypatch):
+    """One map above the bound of a flat search and one below it."""
+    monkeypatch.setattr(paths, "FLAT_CELLS", 100)
+    monkeypatch.setattr(paths, "FLAT_TILE", 7)
+    rng = random.Random(5)
+    lines = {n: ["".join("@" if rng.random() < 0.2 else "." for _ in range(n)) for _ in range(n)] for n in (9, 23)}
+    cells = maps.cells_from_lines(spark, lines[9], "small").unionByName(maps.cells_from_lines(spark, lines[23], "large"))
+    points = [(k, m, *(rng.randrange(n) for _ in range(4))) for k, (m, n) in enumerate([("small", 9), ("large", 23)] * 8)]
+    todo = spark.createDataFrame(points, "query_id long, map_id string, sx long, sy long, gx long, gy long")
+    split = {r["query_id"]: (r["success"], r["cost"]) for r in paths.find_paths(cells, todo, mode="flat").collect()}
+    monkeypatch.undo()
+    assert split == {r["query_id"]: (r["success"], r["cost"]) for r in paths.find_paths(cells, todo, mode="flat").collect()}
+    assert any(ok for ok, _ in split.values()) and len(split) == 16
