@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from gridloom.functions import geometry as G
 from gridloom.operators import borders, cells as C, dispatch, graph, local, render, runs
 from gridloom.plans import paths
-from gridloom.plans.checkpoints import written
+from gridloom.plans.checkpoints import shared_folder, written
 from gridloom.sources import maps, runs as run_files
 from gridloom.streaming import tasks as stream
 
@@ -118,7 +118,7 @@ def rle_decode(spark, d):
 
 def rle_get(spark, d):
     cells, w = _grid(spark, d), _width(spark, d)
-    points = spark.range(0, w * w + 200, 37).select(F.lit("events").alias("map_id"), F.col("id").alias("i"))
+    points = spark.range(0, w * w + 200).select(F.lit("events").alias("map_id"), F.col("id").alias("i"))
     return C.run_get(C.map_runs(cells), ["map_id"], points).select("i", "value")
 
 
@@ -157,7 +157,7 @@ def inter_edges(spark, d):
 
 
 def intra_edges(spark, d):
-    cells = _grid(spark, d).persist()
+    cells = written(_grid(spark, d))
     nodes = borders.abstract_nodes(borders.entrances(cells, SIZE), SIZE)
     return local.intra_edges(cells, nodes, SIZE).select("src_x", "src_y", "dst_x", "dst_y", "weight")
 
@@ -177,60 +177,60 @@ def two_hop_frontier(spark, d):
 
 
 def flat_path_cost(spark, d, heuristic="manhattan"):
-    cells = _grid(spark, d).persist()
+    cells = written(_grid(spark, d))
     return paths.flat_paths(cells, path_queries(cells), heuristic).select("query_id", "cost")
 
 
 def flat_reachable(spark, d):
-    cells = _grid(spark, d).persist()
+    cells = written(_grid(spark, d))
     found = paths.find_paths(cells, path_queries(cells), mode="flat")
     return found.select("query_id", "success")
 
 
 def exact_path_cost(spark, d):
-    cells = _grid(spark, d).persist()
+    cells = written(_grid(spark, d))
     return paths.find_paths(cells, path_queries(cells), SIZE, "exact").select("query_id", "cost")
 
 
 def hier_path_cost(spark, d):
-    cells = _grid(spark, d).persist()
+    cells = written(_grid(spark, d))
     return paths.find_paths(cells, path_queries(cells), SIZE).select("query_id", "cost")
 
 
 def relaxed_path_cost(spark, d):
     """hier_path_cost by joins instead of a broadcast graph."""
-    cells = _grid(spark, d).persist()
-    queries = written(path_queries(cells).where("query_id < 4"))
+    cells = written(_grid(spark, d))
+    queries = written(path_queries(cells))
     return paths.abstract_paths(paths.preprocess(cells, SIZE), queries, broadcast_edges=0).select("query_id", "cost")
 
 
 def hier_vs_flat(spark, d):
-    cells = _grid(spark, d).persist()
+    cells = written(_grid(spark, d))
     queries = written(path_queries(cells))
     hier, flat = paths.find_paths(cells, queries, SIZE), paths.find_paths(cells, queries, mode="flat")
     return paths.compare(hier.where("success"), flat.where("success")).select("query_id", "flat_cost", "hier_cost", F.round("pct", 6).alias("pct"))
 
 
 def path_valid(spark, d):
-    cells = _grid(spark, d).persist()
+    cells = written(_grid(spark, d))
     queries = written(path_queries(cells))
     return paths.path_violations(cells, written(paths.find_paths(cells, queries, SIZE)), queries).select("query_id", "cost", "violations")
 
 
 def path_lengths(spark, d):
-    cells = _grid(spark, d).persist()
+    cells = written(_grid(spark, d))
     found = paths.path_metrics(paths.path_rows(written(paths.find_paths(cells, path_queries(cells), SIZE))))
     return found.select("query_id", "n_steps", "diagonal_steps", "path_cost")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _grid(spark, sf_dir).persist()
+    cells = written(_grid(spark, sf_dir))
     return paths.path_rows(paths.find_paths(cells, path_queries(cells), SIZE)).drop("map_id")
 
 
 def tile_local_cost(spark, d):
     """From each tile's first open cell to its last."""
-    cells = _grid(spark, d).persist()
+    cells = written(_grid(spark, d))
     free = C.opened(cells, SIZE)
     ends = free.groupBy("map_id", "cx", "cy").agg(F.min(F.struct("y", "x")).alias("s"), F.max(F.struct("y", "x")).alias("g"))
     tasks = ends.select("map_id", (F.col("cy") * 100_000 + F.col("cx")).alias("task_id"), "cx", "cy", F.col("s.x").alias("sx"), F.col("s.y").alias("sy"), F.col("g.x").alias("gx"), F.col("g.y").alias("gy"))
@@ -281,7 +281,7 @@ def tasks(spark, d):
 def _responses(spark, d):
     """Worker 3 hasn't come."""
     todo = dispatch.tasks(dispatch.segments(_waypoints(spark, d), SIZE))
-    return dispatch.responses(_grid(spark, d).persist(), todo, _assignment(spark, d).where("worker_id < 3"), SIZE)
+    return dispatch.responses(written(_grid(spark, d)), todo, _assignment(spark, d).where("worker_id < 3"), SIZE)
 
 
 def responses_status(spark, d):
@@ -372,20 +372,152 @@ def runs_map_stats(spark, d):
     return _rounded(runs.map_stats(keyed, ["workers_size"], "m", "cpu_time"), "mean", "max")
 
 
+#: A log's lines: the text before and after a number.
+_LOG_LINES = [
+    ("Find inter edges - ", "s"), ("Find intra cluster paths - ", "s"), ("Finish abstract graph for search - ", "s"), ("Found graph path - ", "s"),
+    ("Found overall path - ", "s"), ("Max memory: ", " MB"), ("Path length: ", ""),
+    ("Worker 1 CPU time: ", "s"), ("Worker 1 Max memory: ", " MB"), ("Worker 2 CPU time: ", "s"), ("Worker 2 Max memory: ", " MB"),
+]
+
+
 def _log(spark, d):
+    """A log for each event; the k-th number is the event's id plus k and a quarter."""
     events = spark.read.parquet(f"{d}/events.parquet")
-    line = F.concat(F.lit("Find inter edges - "), F.col("event_id"), F.lit(".5s\nPath length: "), F.col("user_id"), F.lit("\nWorker 1 CPU time: 0."), F.col("event_id"), F.lit("s\nWorker 1 Max memory: "), F.col("user_id"), F.lit(".25 MB\nWorker 2 CPU time: 1."), F.col("user_id"), F.lit("s\nWorker 2 Max memory: 3.5 MB"))
-    return events.select("event_id", line.alias("value"))
+    lines = [F.concat(F.lit(before), F.col("event_id") + k, F.lit(f".25{after}")) for k, (before, after) in enumerate(_LOG_LINES)]
+    return events.select("event_id", F.concat_ws("\n", *lines).alias("value"))
 
 
 def log_extract(spark, d):
-    return run_files.log_metrics(_log(spark, d)).select("event_id", "inter_edges", "preprocessed", "path_length")
+    return run_files.log_metrics(_log(spark, d)).select("event_id", *run_files.TIMINGS)
 
 
 def log_workers(spark, d):
     return run_files.log_workers(_log(spark, d), ["event_id"])
 
 
+def result_files(spark, d):
+    """A result file for each event; every third lacks a line, so it goes."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    number = lambda k, after="": F.concat(F.col("event_id") + k, F.lit(f".5{after}\n"))
+    head = F.concat(F.lit("Path Length: "), number(1), F.lit("Max Memory: "), number(2, " MB"), F.lit("Path Cost: "), number(3), F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("L1 Nodes: "), number(4))).otherwise(F.lit("@@\n")), F.lit("CPU Time: "), number(5, " secs"), F.lit("Workers: "), number(6), F.lit("Worker Max Memory: "), number(7, " MB"), F.lit("@ @\nWorkers: 0\n"))
+    return run_files.result_metrics(events.select(F.col("event_id").alias("file"), head.alias("value")))
+
+
+def _benchmark(spark, d):
+    """The events as benchmark runs; some metrics and numbers of workers are missing."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    some = lambda k, c: F.when(F.col("event_id") % k != 0, c)
+    workers = F.map_from_arrays(F.array(F.lit("worker_1_cpu_time"), F.lit("worker_2_max_memory_mb")), F.array(F.col("value"), F.col("value") * 2))
+    v, none = F.col("value"), F.lit(None).cast("double")
+    return events.select(
+        F.concat("event_type", F.lit("_manhattan.json")).alias("file"), F.lit("2024-01-01T00:00:00").alias("timestamp"), F.lit(50).alias("cluster_size"),
+        F.coalesce(some(7, (F.col("user_id") % 5).cast("int")), F.lit(1)).alias("workers_size"), F.when(F.col("event_id") % 2 == 0, "a").otherwise("dhpa").alias("algorithm"), F.col("event_id").cast("int").alias("run"),
+        some(3, v).alias("inter_edges"), some(4, v * 2).alias("preprocessed"), some(5, v * 3).alias("finish_abstract_graph"), (v * 4).alias("found_graph_path"),
+        some(6, v * 5).alias("found_overall_path"), none.alias("max_memory"), F.col("user_id").cast("double").alias("path_length"), workers.alias("worker_analysis"),
+    )
+
+
+def benchmark_round_trip(spark, d):
+    """Written as benchmark documents and read again: all runs, with what is missing missing."""
+    folder = shared_folder(spark, "benchmark")
+    run_files.write_benchmark(_benchmark(spark, d), folder)
+    found = run_files.read_benchmark(spark, folder)
+    return found.select("file", "cluster_size", "workers_size", "algorithm", "run", "inter_edges", "max_memory", "path_length", F.size("worker_analysis").alias("workers"))
+
+
+def runs_search_time(spark, d):
+    times = _benchmark(spark, d).select("run", runs.search_time().alias("search_time"), runs.preprocess_time().alias("preprocess_time"), runs.heuristic_of_file().alias("heuristic"))
+    return _rounded(times, "search_time", "preprocess_time")
+
+
+def runs_tagged(spark, d):
+    """Tables of two maps as one, and the means by map."""
+    table = _benchmark(spark, d)
+    both = runs.tagged({"even": table.where("run % 2 = 0"), "odd": table.where("run % 2 = 1").drop("path_length")}, "map")
+    return _rounded(both.groupBy("map").agg(F.count(F.lit(1)).alias("n"), F.avg("found_graph_path").alias("mean"), F.avg("path_length").alias("length")), "mean", "length")
+
+
+def worker_rows(spark, d):
+    return run_files.worker_rows(_benchmark(spark, d)).select("run", "worker", "metric", F.round("value", 6).alias("value"))
+
+
+def runs_sorted_unique(spark, d):
+    return runs.sorted_unique(_runs(spark, d), "workers_size")
+
+
+def runs_head(spark, d):
+    """The five first by metric, then run: a top-n report."""
+    return runs.head(_runs(spark, d).select("run", F.round("metric", 6).alias("metric")), ["metric", "run"])
+
+
+def runs_columns(spark, d):
+    """Sums of the columns whose name has `found`."""
+    table = _benchmark(spark, d)
+    return _rounded(runs.renamed(table.agg(*[F.sum(c).alias(c) for c in runs.columns_with(table, "found")]), {"found_graph_path": "graph_sum", "found_overall_path": "overall_sum"}), "graph_sum", "overall_sum")
+
+
+def visited_pct(spark, d):
+    cells = _grid(spark, d)
+    seen = cells.where("x <= 2 * y").select("map_id", "x", "y")
+    return C.visited_percentage(cells, seen.unionByName(seen)).select("visited", F.round("visited_pct", 6).alias("visited_pct"))
+
+
+def same_point(spark, d):
+    return _grid(spark, d).where(G.same_point("x", "y", "y", "x")).select("x", "y")
+
+
+def packed_bits(spark, d):
+    """Each cell's bit read from its word, and from the word after it was set to 1 for cells of the first row."""
+    w = _width(spark, d)
+    bits = _grid(spark, d).select("map_id", "x", "y", G.cell_index("x", "y", F.lit(w)).alias("i"), F.col("wall").cast("int").alias("bit"))
+    words = C.packed(bits, ["map_id"], "i", "bit")
+    both = bits.withColumn("word", F.expr("i div 32")).join(words, ["map_id", "word"])
+    changed = F.when(F.col("y") == 0, C.packed_set(F.col("packed"), F.col("i"), F.lit(1))).otherwise(F.col("packed"))
+    return both.select("i", C.packed_get(F.col("packed"), F.col("i")).alias("bit"), C.packed_get(changed, F.col("i")).alias("changed"))
+
+
+def node_lookup(spark, d):
+    cells = _grid(spark, d)
+    nodes = borders.abstract_nodes(borders.entrances(cells, SIZE), SIZE)
+    return graph.node_lookup(nodes, cells.select("map_id", "x", "y")).select("x", "y", "found")
+
+
+def edge_lookup(spark, d):
+    """Each border pair's edge, if it is an entrance."""
+    cells = _grid(spark, d)
+    edges = borders.inter_edges(borders.entrances(cells, SIZE))
+    pairs = borders.border_pairs(cells, SIZE).select("map_id", F.col("a_x").alias("src_x"), F.col("a_y").alias("src_y"), F.col("b_x").alias("dst_x"), F.col("b_y").alias("dst_y"))
+    return graph.edge_lookup(edges, pairs).select("src_x", "src_y", "dst_x", "dst_y", "weight", "kind")
+
+
+def tile_rows(spark, d):
+    """The first tile with a path along its diagonal."""
+    cells = _grid(spark, d)
+    return render.tile_rows(cells, SIZE, 0, 0, cells.where("x = y AND NOT wall")).select("y", "line")
+
+
+def maze_facts(spark, d):
+    """A seeded maze of 41 x 31: what is open on the odd lattice, walls of the rim, and the way from corner to corner."""
+    cells = written(maps.cells_from_lines(spark, maps.maze_lines(41, 31, 7)))
+    facts = cells.agg(F.count_if(F.expr("x % 2 = 1 AND y % 2 = 1 AND NOT wall")).alias("lattice"), F.count_if(F.expr("(x IN (0, 40) OR y IN (0, 30)) AND wall")).alias("rim"))
+    way = spark.range(1).select(F.col("id").alias("query_id"), F.lit("map").alias("map_id"), *[F.lit(v).cast("long").alias(c) for c, v in (("sx", 1), ("sy", 1), ("gx", 39), ("gy", 29))])
+    found = paths.find_paths(cells, way, SIZE, "exact").select("cost").first()
+    return facts.select("lattice", "rim", F.lit(found["cost"]).alias("cost"))
+
+
+def probe(spark, d):
+    """Each event with whether its batch's CPU time and peak memory were measured."""
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_id")
+    return dispatch.probed(events).select("event_id", (F.col("cpu_time") >= 0).alias("cpu"), (F.col("max_memory") > 0).alias("memory"))
+
+
+def multi_query_paths(spark, d):
+    """All queries over one preprocessing."""
+    cells = written(_grid(spark, d))
+    pre = paths.preprocess(cells, SIZE)
+    return paths.find_paths(cells, path_queries(cells), SIZE, pre=pre).select("query_id", "success", "cost", "path_length")
+
+
 def benchmark_sweep(spark, d):
     return runs.sweep(spark, [25, 50], [1, 2, 4, 8], 3)
 
@@ -409,6 +541,14 @@ def stream_worker_load(spark, d):
     return stream.run_available(stream.worker_load(stream.dispatched(_stream(spark, d), assigned)), "complete")
 
 
+def stream_idle_timeout(spark, d):
+    """Answers to a user's queries until nothing came for an hour; three are expected."""
+    path = f"{d}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    answers = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("task_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return stream.run_available(stream.gathered_until_idle(answers, 3, "1 hour"), "complete")
+
+
 # -- SQL --------------------------------------------------------------------------------------------------------------
 
 _GRID = f"""
@@ -497,7 +637,12 @@ reach(task_id, x, y, d) USING KEY (task_id, x, y) AS (
 answers AS (SELECT t.task_id, t.worker_id, CASE WHEN t.worker_id IS NULL THEN 2 WHEN r.d IS NULL THEN 1 ELSE 0 END AS status_code, r.d AS cost
             FROM todo t LEFT JOIN reach r ON r.task_id = t.task_id AND r.x = t.gx AND r.y = t.gy)"""
 _RUN_TABLE = "runs AS (SELECT event_type AS algorithm, user_id % 5 AS workers_size, value AS metric, value * 0.37 AS memory, event_id AS run FROM events)"
-_LOG = r"""log AS (SELECT event_id, concat('Find inter edges - ', event_id, E'.5s\nPath length: ', user_id, E'\nWorker 1 CPU time: 0.', event_id, E's\nWorker 1 Max memory: ', user_id, E'.25 MB\nWorker 2 CPU time: 1.', user_id, E's\nWorker 2 Max memory: 3.5 MB') AS value FROM events)"""
+_LOG = "log AS (SELECT event_id, concat(" + ", chr(10), ".join(f"'{before}', event_id + {k}, '.25{after}'" for k, (before, after) in enumerate(_LOG_LINES)) + ") AS value FROM events)"
+_BENCHMARK = """bench AS (
+  SELECT concat(event_type, '_manhattan.json') AS file, 50 AS cluster_size, CASE WHEN event_id % 7 <> 0 THEN CAST(user_id % 5 AS INT) ELSE 1 END AS workers_size,
+         CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'dhpa' END AS algorithm, CAST(event_id AS INT) AS run, CASE WHEN event_id % 3 <> 0 THEN value END AS inter_edges,
+         CASE WHEN event_id % 4 <> 0 THEN value * 2 END AS preprocessed, CASE WHEN event_id % 5 <> 0 THEN value * 3 END AS finish_abstract_graph, value * 4 AS found_graph_path,
+         CASE WHEN event_id % 6 <> 0 THEN value * 5 END AS found_overall_path, CAST(NULL AS DOUBLE) AS max_memory, CAST(user_id AS DOUBLE) AS path_length, value FROM events)"""
 
 
 def _sql(*parts: str, select: str) -> str:
@@ -521,7 +666,7 @@ _ALL = {
     "wall_lookup": (wall_lookup, _sql(_GRID, select="SELECT p.x + 1 AS x, p.y, coalesce(c.wall, true) AS wall FROM cells p LEFT JOIN cells c ON c.x = p.x + 1 AND c.y = p.y")),
     "grid_rle": (grid_rle, _sql(_GRID, _RUNS, select='SELECT start, value, "count" FROM r')),
     "rle_decode": (rle_decode, _sql(_GRID, select="SELECT x + y * w AS i, CAST(wall AS INT) AS value FROM cells")),
-    "rle_get": (rle_get, _sql(_GRID, select="SELECT k.i, coalesce(CAST(wall AS INT), 1) AS value FROM (SELECT unnest(range(0, w * w + 200, 37)) AS i FROM g) k LEFT JOIN cells c ON c.x + c.y * c.w = k.i")),
+    "rle_get": (rle_get, _sql(_GRID, select="SELECT k.i, coalesce(CAST(wall AS INT), 1) AS value FROM (SELECT unnest(range(0, w * w + 200)) AS i FROM g) k LEFT JOIN cells c ON c.x + c.y * c.w = k.i")),
     "rle_set_range": (rle_set_range, _sql(_GRID.replace("event_type = 'error' AS wall", "event_type = 'error' OR event_id BETWEEN 15 AND 140 AS wall"), _RUNS, select='SELECT start, value, "count" FROM r')),
     "packed_words": (packed_words, _sql(_GRID, select="SELECT i // 32 AS word, CAST(sum(CASE WHEN wall THEN CAST(1 AS BIGINT) << CAST(31 - i % 32 AS INT) ELSE 0 END) AS BIGINT) AS packed FROM (SELECT x + y * w AS i, wall FROM cells) GROUP BY 1")),
     "border_pairs": (border_pairs, _sql(_GRID, _PAIRS, select="SELECT * FROM pairs")),
@@ -539,7 +684,7 @@ _ALL = {
     "flat_reachable": (flat_reachable, _sql(_GRID, _PAIRS, _QUERIES, _DIRS, _FLAT, select="SELECT query_id, cost IS NOT NULL AS success FROM flat")),
     "exact_path_cost": (exact_path_cost, _sql(_GRID, _PAIRS, _QUERIES, _DIRS, _FLAT, select="SELECT * FROM flat")),
     "hier_path_cost": (hier_path_cost, _sql(_GRID, _PAIRS, _INTRA, _QUERIES, _HIER, select="SELECT * FROM hier")),
-    "relaxed_path_cost": (relaxed_path_cost, _sql(_GRID, _PAIRS, _INTRA, _QUERIES, _HIER, select="SELECT * FROM hier WHERE query_id < 4 AND cost IS NOT NULL")),
+    "relaxed_path_cost": (relaxed_path_cost, _sql(_GRID, _PAIRS, _INTRA, _QUERIES, _HIER, select="SELECT * FROM hier WHERE cost IS NOT NULL")),
     "hier_vs_flat": (hier_vs_flat, _sql(_GRID, _PAIRS, _INTRA, _QUERIES, _HIER, _FLAT, select="SELECT h.query_id, f.cost AS flat_cost, h.cost AS hier_cost, round((h.cost - f.cost) * 100.0 / nullif(f.cost, 0), 6) AS pct FROM hier h JOIN flat f USING (query_id) WHERE h.cost IS NOT NULL AND f.cost IS NOT NULL")),
     "path_valid": (path_valid, _sql(_GRID, _PAIRS, _INTRA, _QUERIES, _HIER, select="SELECT query_id, cost, CAST(0 AS BIGINT) AS violations FROM hier WHERE cost IS NOT NULL")),
     "path_lengths": (path_lengths, _sql(_GRID, _PAIRS, _INTRA, _QUERIES, _HIER, select="SELECT query_id, cost AS n_steps, CAST(0 AS BIGINT) AS diagonal_steps, CAST(cost + 1 AS DOUBLE) AS path_cost FROM hier WHERE cost IS NOT NULL")),
@@ -568,8 +713,26 @@ _ALL = {
     "runs_nonzero": (runs_nonzero, _sql(_RUN_TABLE, select="SELECT workers_size, round(avg(metric), 6) AS mean, round(greatest(avg(metric), 1e-6), 6) AS clipped FROM runs WHERE workers_size <> 0 GROUP BY 1")),
     "runs_labels": (runs_labels, _sql(_RUN_TABLE, select="SELECT concat(algorithm, '-', workers_size) AS label, count(*) AS runs FROM runs WHERE algorithm IN ('click', 'view') GROUP BY 1")),
     "runs_map_stats": (runs_map_stats, _sql(_RUN_TABLE, select="SELECT workers_size, round(avg(metric) FILTER (run % 2 = 0 AND metric <> 0), 6) AS mean, round(max(metric) FILTER (run % 2 = 0 AND metric <> 0), 6) AS max FROM runs GROUP BY 1")),
-    "log_extract": (log_extract, _sql(_LOG, select=r"SELECT event_id, CAST(regexp_extract(value, 'Find inter edges - ([\d.]+)s', 1) AS DOUBLE) AS inter_edges, CAST(NULL AS DOUBLE) AS preprocessed, CAST(regexp_extract(value, 'Path length: (\d+)', 1) AS DOUBLE) AS path_length FROM log")),
+    "log_extract": (log_extract, _sql(_LOG, select="SELECT event_id, " + ", ".join(f"CAST(regexp_extract(value, '{p}', 1) AS DOUBLE) AS {c}" for c, p in run_files.LOG_PATTERNS.items()) + " FROM log")),
     "log_workers": (log_workers, _sql(_LOG, select=r"SELECT event_id, k AS worker, CAST(regexp_extract(value, concat('Worker ', k, ' CPU time: ([\d.]+)s'), 1) AS DOUBLE) AS cpu_time, CAST(regexp_extract(value, concat('Worker ', k, ' Max memory: ([\d.]+) MB'), 1) AS DOUBLE) AS max_memory_mb FROM log, (VALUES (1), (2)) AS v(k)")),
+    "result_files": (result_files, "SELECT CAST(event_id AS BIGINT) AS file, event_id + 1.5 AS path_length, event_id + 2.5 AS max_memory, event_id + 3.5 AS path_cost, event_id + 4.5 AS nodes, event_id + 5.5 AS cpu_time, event_id + 6.5 AS workers, event_id + 7.5 AS worker_max_memory FROM (SELECT CAST(event_id AS DOUBLE) AS event_id FROM events WHERE event_id % 3 <> 0)"),
+    "benchmark_round_trip": (benchmark_round_trip, _sql(_BENCHMARK, select="SELECT file, cluster_size, workers_size, algorithm, run, inter_edges, max_memory, path_length, 2 AS workers FROM bench")),
+    "runs_search_time": (runs_search_time, _sql(_BENCHMARK, select="SELECT run, round(coalesce(found_overall_path, 0) + CASE WHEN algorithm = 'a' THEN 0 ELSE coalesce(finish_abstract_graph, 0) + found_graph_path END, 6) AS search_time, round(coalesce(preprocessed, 0) + coalesce(inter_edges, 0), 6) AS preprocess_time, 'manhattan' AS heuristic FROM bench")),
+    "runs_tagged": (runs_tagged, _sql(_BENCHMARK, select="SELECT CASE run % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS map, count(*) AS n, round(avg(found_graph_path), 6) AS mean, round(avg(path_length) FILTER (run % 2 = 0), 6) AS length FROM bench GROUP BY 1")),
+    "worker_rows": (worker_rows, _sql(_BENCHMARK, select="SELECT run, 1 AS worker, 'cpu_time' AS metric, round(value, 6) AS value FROM bench UNION ALL SELECT run, 2, 'max_memory_mb', round(value * 2, 6) FROM bench")),
+    "runs_sorted_unique": (runs_sorted_unique, _sql(_RUN_TABLE, select="SELECT DISTINCT workers_size FROM runs ORDER BY 1")),
+    "runs_head": (runs_head, _sql(_RUN_TABLE, select="SELECT run, round(metric, 6) AS metric FROM runs ORDER BY round(metric, 6), run LIMIT 5")),
+    "runs_columns": (runs_columns, _sql(_BENCHMARK, select="SELECT round(sum(found_graph_path), 6) AS graph_sum, round(sum(found_overall_path), 6) AS overall_sum FROM bench")),
+    "visited_pct": (visited_pct, _sql(_GRID, select="SELECT count(*) FILTER (NOT wall AND x <= 2 * y) AS visited, round(count(*) FILTER (NOT wall AND x <= 2 * y) * 100.0 / count(*), 6) AS visited_pct FROM cells")),
+    "same_point": (same_point, _sql(_GRID, select="SELECT x, y FROM cells WHERE x = y")),
+    "packed_bits": (packed_bits, _sql(_GRID, select="SELECT x + y * w AS i, CAST(wall AS BIGINT) AS bit, CASE WHEN y = 0 THEN 1 ELSE CAST(wall AS BIGINT) END AS changed FROM cells")),
+    "node_lookup": (node_lookup, _sql(_GRID, _PAIRS, select="SELECT c.x, c.y, n.x IS NOT NULL AS found FROM cells c LEFT JOIN nodes n ON n.x = c.x AND n.y = c.y")),
+    "edge_lookup": (edge_lookup, _sql(_GRID, _PAIRS, select="SELECT p.a_x AS src_x, p.a_y AS src_y, p.b_x AS dst_x, p.b_y AS dst_y, i.weight, CASE WHEN i.weight IS NOT NULL THEN 'inter' END AS kind FROM pairs p LEFT JOIN inter i ON i.src_x = p.a_x AND i.src_y = p.a_y AND i.dst_x = p.b_x AND i.dst_y = p.b_y")),
+    "tile_rows": (tile_rows, _sql(_GRID, select=f"SELECT y, string_agg(CASE WHEN x = y AND NOT wall THEN '*' WHEN wall THEN '@' ELSE ' ' END, '' ORDER BY x) AS line FROM cells WHERE x < {SIZE} AND y < {SIZE} GROUP BY y")),
+    "maze_facts": (maze_facts, "SELECT CAST(20 * 15 AS BIGINT) AS lattice, CAST(2 * 41 + 2 * 29 AS BIGINT) AS rim, CAST(38 + 28 AS BIGINT) AS cost"),
+    "probe": (probe, "SELECT event_id, true AS cpu, true AS memory FROM events"),
+    "multi_query_paths": (multi_query_paths, _sql(_GRID, _PAIRS, _INTRA, _QUERIES, _HIER, select="SELECT query_id, cost IS NOT NULL AS success, cost, cost + 1 AS path_length FROM hier")),
+    "stream_idle_timeout": (stream_idle_timeout, "SELECT query_id, min(ts) AS started, count(*) AS received, count(*) >= 3 AS complete FROM (SELECT *, sum(fresh) OVER (PARTITION BY query_id ORDER BY ts) AS session FROM (SELECT user_id AS query_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY query_id, session"),
     "benchmark_sweep": (benchmark_sweep, "SELECT c AS cluster_size, w AS workers_size, r AS run FROM (VALUES (25), (50)) AS a(c), (VALUES (1), (2), (4), (8)) AS b(w), (VALUES (1), (2), (3)) AS d(r)"),
     "stream_tasks": (stream_tasks, _sql(_GRID, _TILES, select=f"SELECT c.x + c.y * c.w AS task_id, CASE WHEN worker_id < 3 THEN worker_id END AS worker_id, CASE WHEN worker_id < 3 THEN 0 ELSE 2 END AS status_code FROM cells c JOIN a ON a.cx = c.x // {SIZE} AND a.cy = c.y // {SIZE}")),
     "stream_distinct_tasks": (stream_distinct_tasks, _sql(_GRID, select="SELECT x + y * w AS task_id, x, y FROM cells")),
