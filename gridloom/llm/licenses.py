@@ -2,13 +2,15 @@
 
 A paragraph is a line; long ones are cut into overlapping windows of words. Features are hashed word n-grams, the model
 is a multinomial logistic regression over licence families and an unknown class. It is trained here on templates, cut
-and embedded in many ways, against paragraphs of the corpus and sentences that only sound like licences. Its confidence
-is calibrated on held-out examples; a find counts if the family's templates confirm it.
+and embedded in many ways, against paragraphs of the corpus, notices of other licences, sentences that say that a licence
+doesn't hold, and sentences that only sound like licences. Its confidence is calibrated on held-out examples; a find counts
+if the family's templates confirm it by word pairs that no other licence has.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +26,12 @@ WINDOW, STRIDE = 80, 40
 #: Paragraphs of the corpus that train the unknown class, about: drawn by a hash of the document's id.
 UNKNOWN_DOCUMENTS = 400
 UNKNOWN_PARAGRAPHS = 2000
-#: Share of held-out unknown examples that may pass to the templates, within bounds of confidence; least share of word
-#: pairs that a template confirms.
-LET_THROUGH, LEAST, MOST = 0.02, 0.5, 0.9
-CONFIRM = 0.6
+#: Of a paragraph that trains, a window of WINDOW words by a hash, each cut to so many characters.
+WORD_CHARS = 64
+#: Share of held-out unknown examples that may pass to the templates; least share of word pairs that a template confirms,
+#: and for a sentence the least number.
+LET_THROUGH = 0.02
+CONFIRM, CONFIRM_PAIRS = 0.6, 8
 ROUNDS, RATE, PENALTY = 120, 0.05, 1e-5
 UNKNOWN = "unknown"
 SEED = 7
@@ -63,7 +67,7 @@ FAMILIES: dict[str, tuple[list[str], list[str]]] = {
     "CC-BY-SA": (["CC BY-SA 4.0", "CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike 4.0 International License"], []),
     "CC-BY-NC": (["CC BY-NC 4.0", "CC BY-NC 3.0", "CC BY-NC-SA 4.0", "CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"], []),
     "CC-BY-ND": (["CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"], []),
-    "Proprietary": (["terms of the end user license agreement"], [
+    "Proprietary": (["terms of the end user license agreement", "All rights reserved"], [
         "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.",
         "This software is proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited."]),
 }
@@ -82,6 +86,14 @@ SOUNDS_ALIKE = (
     "Licensed under the Brewers and Taverns Act to sell beer.",
     "Creative writing is common in this course and attribution of quotes is expected.",
 )
+#: Licences outside the families, and what denies a licence: for the unknown class.
+OTHERS = ("Boost Software License, Version 1.0", "Eclipse Public License 2.0", "Artistic License 2.0", "Microsoft Public License", "zlib License", "European Union Public Licence 1.2", "Academic Free License v3.0", "SIL Open Font License 1.1", "Common Development and Distribution License", "PostgreSQL License", "Python Software Foundation License", "Open Database License", "Server Side Public License", "Zope Public License 2.1", "W3C Software Notice and License")
+#: A denial is one of the first, one of the second and a name; or the name in one of the third.
+NEGATIONS = ("This is not", "It is not", "This was never", "This is no longer", "This isn't", "It wasn't", "The code can't be", "Nothing is", "None of this is", "The files have not been", "It will never be", "This hasn't been")
+GRANTS = ("licensed under the", "covered by the", "available under the", "released under the", "distributed under the", "published under the", "used under the", "granted under the")
+DENIED = ("The {} does not apply to this work.", "The {} doesn't apply.", "The {} never applied here.", "Neither the {} nor any other licence covers this work.", "No rights are granted under the {}.", "Without the {} nothing may be copied.", "You can't use this file under the {}.")
+#: More ways to name a licence, around which text stands in training.
+MENTIONS = ("{}", "({})", "License: {}", "covered by the {}", "under the {}", "see the {}", "the {} applies", "{}, see the file", "data and code: {}", "published under {}", "subject to the {}")
 _WORD = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
 
 
@@ -141,7 +153,7 @@ def examples(corpus: list[str]) -> tuple[list[str], list[int]]:
         classes.append(label)
 
     for label, (names, sentences) in enumerate(FAMILIES.values()):
-        whole = [n.format(x) for n in NOTICES for x in names] + sentences * 4
+        whole = [n.format(x) for n in (*NOTICES, *MENTIONS) for x in names] + sentences * 4
         for text in whole:
             add(text, label)
             part = text.split()
@@ -159,17 +171,27 @@ def examples(corpus: list[str]) -> tuple[list[str], list[int]]:
     for text in SOUNDS_ALIKE:
         for _ in range(20):
             add(" ".join([*rng.choice(around, rng.integers(0, 20)), text]), unknown)
+    denied = [f"{a} {b} {x}" for names, _ in FAMILIES.values() for x in names for a in NEGATIONS for b in rng.choice(GRANTS, 2, replace=False)]
+    denied += [d.format(x) for names, _ in FAMILIES.values() for x in names for d in DENIED]
+    for text in [n.format(x) for x in OTHERS for n in (*NOTICES, *MENTIONS)] + denied:
+        for _ in range(2):
+            add(" ".join([*rng.choice(around, rng.integers(0, 20)), text, *rng.choice(around, rng.integers(0, 20))]), unknown)
     return texts, classes
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The unknown class sees paragraphs of about UNKNOWN_DOCUMENTS documents, UNKNOWN_PARAGRAPHS at most."""
+    """The unknown class sees paragraphs of about UNKNOWN_DOCUMENTS documents, UNKNOWN_PARAGRAPHS at most, that no template
+    confirms, whatever words they have. A table without text trains on the templates and the sentences of this module."""
     there = docs.count()
     share = min(1.0, UNKNOWN_DOCUMENTS / max(1, there))
     some = docs.where(F.col(text_col).isNotNull() & (F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000)))
-    lines = some.select(F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("line")).where(~F.lower("line").rlike("licen|copyright|apache|gnu"))
-    drawn = lines.select(F.concat_ws(" ", F.slice(F.split("line", " "), 1, WINDOW)).alias("line")).orderBy(F.xxhash64("line"), "line").limit(UNKNOWN_PARAGRAPHS)
-    texts, classes = examples([r["line"] for r in drawn.collect()])
+    lines = some.select(F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("line")).withColumn("h", F.xxhash64("line"))
+    words = F.split("line", " ")
+    first = (F.pmod(F.col("h"), F.greatest(F.size(words) - WINDOW, F.lit(0)) + 1) + 1).cast("int")
+    drawn = lines.withColumn("line", F.array_join(F.transform(F.slice(words, first, WINDOW), lambda w: F.left(w, F.lit(WORD_CHARS))), " "))
+    # At most UNKNOWN_PARAGRAPHS rows of WINDOW words of WORD_CHARS characters.
+    found, pairs = [r["line"] for r in drawn.orderBy("h", "line").limit(UNKNOWN_PARAGRAPHS).collect()], templates()
+    texts, classes = examples([x for x in found if not any(confirmed(x, own) for own in pairs.values())])
     return fit(texts, np.array(classes))
 
 
@@ -178,7 +200,7 @@ def fit(texts: list[str], classes: np.ndarray) -> Model:
     rows, features = _features(texts)
     # Only what templates and sentences that sound alike have can tell: the rest of the corpus is noise here.
     known = np.zeros(1 << BITS, bool)
-    known[_features([x.format(n) for names, _ in FAMILIES.values() for n in names for x in NOTICES] + [t for _, sentences in FAMILIES.values() for t in sentences] + list(SOUNDS_ALIKE))[1]] = True
+    known[_features([x.format(n) for names, _ in FAMILIES.values() for n in names for x in (*NOTICES, *MENTIONS)] + [t for _, sentences in FAMILIES.values() for t in sentences] + list(SOUNDS_ALIKE) + [n.format(x) for x in OTHERS for n in (*NOTICES, *MENTIONS)] + [*NEGATIONS, *GRANTS, *DENIED])[1]] = True
     rows, features = rows[known[features]], features[known[features]]
     held = np.random.default_rng(SEED).random(len(texts)) < 0.2
     used, at = np.unique(features, return_inverse=True)
@@ -207,7 +229,8 @@ def fit(texts: list[str], classes: np.ndarray) -> Model:
         m, v, mb, vb = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         w -= RATE * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9)
         b -= RATE * (mb / (1 - 0.9**k)) / (np.sqrt(vb / (1 - 0.999**k)) + 1e-9)
-    # Calibration on held-out examples: the temperature that explains them best, then the least confidence to pass.
+    # Calibration on held-out examples: the temperature that explains them best, then the least confidence to pass: even
+    # odds, or more if more than LET_THROUGH of the unknown would pass.
     out, seen = scores()[held], classes[held]
     loss = {t: -np.log(np.clip(softmax(out / t)[np.arange(len(seen)), seen], 1e-12, 1)).mean() for t in (0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)}
     temperature = min(loss, key=loss.get)
@@ -215,7 +238,7 @@ def fit(texts: list[str], classes: np.ndarray) -> Model:
     least = float(wrong[min(len(wrong) - 1, int(np.ceil(len(wrong) * (1 - LET_THROUGH))))]) if len(wrong) else 0.5
     weights = np.zeros((1 << BITS, len(families)), np.float32)
     weights[used] = w
-    return Model(families, weights, b, temperature, min(MOST, max(LEAST, least)))
+    return Model(families, weights, b, temperature, max(0.5, least))
 
 
 def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -229,36 +252,56 @@ def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([row, row[:-1][inside]]), np.concatenate([one, two[inside]])
 
 
-def templates() -> dict[str, list[set[tuple[str, str]]]]:
-    """Word pairs of each family's names and sentences."""
-    pair = lambda t: set(zip(words_of(t), words_of(t)[1:]))
-    return {k: [pair(t) for n in names for t in (n, *[x.format(n) for x in NOTICES])] + [pair(t) for t in sentences] for k, (names, sentences) in FAMILIES.items()}
+Pairs = set[tuple[str, ...]]
 
 
-def confirmed(text: str, pairs: list[set[tuple[str, str]]]) -> float:
-    """The largest share of a template that is in the text, or of the text in a template, by word pairs."""
+def pairs_of(text: str) -> Pairs:
+    """Pairs of words next to each other; of a single word, the word."""
     words = words_of(text)
-    own = set(zip(words, words[1:]))
-    return max((len(t & own) / min(len(t), len(own)) if min(len(t), len(own)) else 0.0 for t in pairs), default=0.0)
+    return set(zip(words, words[1:])) if len(words) != 1 else {(words[0],)}
 
 
-def confirmed_families(text: str, scores: dict[str, float], pairs: dict[str, list[set[tuple[str, str]]]]) -> list[tuple[str, float, float]]:
-    """(family, score, share) of each family that its templates confirm, the likeliest first. A further family counts
-    if the text has a word pair of it that no template of those before has: names share words, as LGPL and GPL do."""
+@dataclass(frozen=True)
+class Templates:
+    """Of a family: for each name its own pairs, which no other licence's name and no wording of notices has; for each
+    sentence all pairs, and those that no sentence of another family has."""
+
+    names: list[Pairs]
+    sentences: list[tuple[Pairs, Pairs]]
+
+
+def templates() -> dict[str, Templates]:
+    wording = set().union(*[pairs_of(n.format("")) for n in NOTICES])
+    named = {k: set().union(*map(pairs_of, names)) for k, (names, _) in FAMILIES.items()}
+    other = set().union(wording, *map(pairs_of, OTHERS))
+    said = {k: set().union(*map(pairs_of, sentences)) for k, (_, sentences) in FAMILIES.items()}
+    out = {}
+    for k, (names, sentences) in FAMILIES.items():
+        rest = other.union(*[v for f, v in named.items() if f != k])
+        unsaid = set().union(*[v for f, v in said.items() if f != k])
+        out[k] = Templates([own for n in names if (own := pairs_of(n) - rest)], [(pairs_of(t), pairs_of(t) - unsaid) for t in sentences])
+    return out
+
+
+def confirmed(text: str, own: Templates) -> float:
+    """The largest share that the text has of a name's own pairs; or, for a sentence, of the smaller side's pairs if
+    CONFIRM_PAIRS of them are there, one of which is the family's own. 0 below CONFIRM."""
     words = words_of(text)
-    own, held = set(zip(words, words[1:])), []
-    for family, score in scores.items():
-        share = confirmed(text, pairs[family])
-        if share >= CONFIRM:
-            matched = [t & own for t in pairs[family] if len(t & own) >= CONFIRM * min(len(t), len(own))]
-            held.append((family, score, share, set().union(*matched)))
-    held.sort(key=lambda x: -x[1])
-    out, explained = [], set()
-    for family, score, share, matched in held[:1] + sorted(held[1:], key=lambda x: -len(x[3])):
-        if not out or matched - explained:
-            out.append((family, score, share))
-            explained |= set().union(*pairs[family])
-    return sorted(out, key=lambda x: -x[1])
+    there = set(zip(words, words[1:])) | {(w,) for w in words}
+    size = max(1, len(there) - len(set(words)))
+    shares = [len(name & there) / len(name) for name in own.names]
+    for every, mine in own.sentences:
+        both = every & there
+        if len(both) >= min(CONFIRM_PAIRS, len(every)) and mine & there:
+            shares.append(len(both) / min(len(every), size))
+    best = max(shares, default=0.0)
+    return min(best, 1.0) if best >= CONFIRM else 0.0
+
+
+def confirmed_families(text: str, scores: dict[str, float], pairs: dict[str, Templates]) -> list[tuple[str, float, float]]:
+    """(family, score, share) of each family that its templates confirm, the likeliest first."""
+    found = [(family, score, confirmed(text, pairs[family])) for family, score in scores.items()]
+    return sorted([x for x in found if x[2]], key=lambda x: -x[1])
 
 
 FOUND = T.ArrayType(T.StructType([T.StructField("paragraph", T.IntegerType()), T.StructField("family", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("confirmed", T.DoubleType())]))

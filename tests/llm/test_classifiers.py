@@ -131,6 +131,7 @@ LICENSE_LINES = {
     "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
     "This work is licensed under the GNU General Public License, version 3.": "GPL",
     "Licensed under CC BY-NC 4.0.": "CC-BY-NC",
+    "All rights reserved.": "Proprietary",
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "BSD",
     "# SPDX-License-Identifier: Apache-2.0 License": "Apache-2.0",
 }
@@ -153,6 +154,61 @@ def test_license_families(spark):
     assert licenses.scan(empty(spark), model).count() == 0
 
 
+#: Wordings, licences, denials and prose that training doesn't see.
+NEW_NOTICES = ("You may use, copy and change these files under the {}.", "Source and data: {}, see the file in the root folder.", "All of our code has been published under the {} since last year", "(c) 2021 The authors, {}", "By contributing you agree that your work is covered by the {}")
+NEW_OTHERS = ("Intel Open Source License", "Sleepycat License", "Sun Public License", "OpenSSL License", "Ruby License", "Vim License", "IBM Public License Version 1.0", "NASA Open Source Agreement 1.3", "Historical Permission Notice and Disclaimer", "Creative Archive Licence", "GNU Free Documentation License 1.3", "Q Public License 1.0", "Nokia Open Source License")
+NEW_DENIALS = ("Nothing here is licensed under the {}.", "The {} doesn't apply here.", "This is not covered by the {}.", "It was never available under the {}.")
+PROSE = (
+    "The licence fee for a television set rose again, and the public was not pleased with the version that the paper printed.",
+    "He redistributed the notices to all copies of the software of the office, with or without the permission of the lawyer.",
+    "A driving licence may be obtained free of charge by any person who passes the test under the terms of the act.",
+    "The general public had the right to modify the terms of the agreement, provided that the following conditions were met by the bank.",
+    "The apache helicopter, version two, is distributed to bases on an as needed basis.",
+    "distributed under the terms of the",
+)
+
+
+def test_unseen_license_notices(spark):
+    """Names in wordings that training doesn't have, against other licences, denials and prose: precision and recall."""
+    model = licenses.train(documents(spark, SF))
+    want = [(n.format(x), family) for family, (names, _) in licenses.FAMILIES.items() for x in names if family != "Proprietary" for n in NEW_NOTICES]
+    want += [(n.format(x), None) for x in NEW_OTHERS for n in (*NEW_NOTICES, *licenses.NOTICES)] + [(d.format(x), None) for family in ("MIT", "Apache-2.0", "GPL", "BSD", "CC-BY") for x in licenses.FAMILIES[family][0] for d in NEW_DENIALS] + [(t, None) for t in PROSE]
+    rows = [(k, t, "en", "a") for k, (t, _) in enumerate(want)]
+    got = {r["id"]: {x["family"] for x in r["found"]} for r in licenses.scan(frame(spark, rows), model).collect()}
+    right = sum(family in got[k] for k, (_, family) in enumerate(want) if family)
+    said = sum(len(v) for v in got.values())
+    missed = [want[k] for k, (_, family) in enumerate(want) if family and family not in got[k]]
+    false = [(want[k], got[k]) for k in got if got[k] - {want[k][1]}]
+    print(len(want), right, said, missed[:20], false[:20])
+    assert right >= 0.9 * sum(family is not None for _, family in want) and right >= 0.9 * said
+
+
+def test_license_scores_match_a_plain_loop(spark):
+    """The model's sums over words and word pairs, window by window, one after the other."""
+    from gridloom.llm.words import NOT_ALNUM, Reader
+
+    texts = ["Released under the MIT License.", "word " * 130 + "Licensed under CC BY-NC 4.0.", "x", "a b\n\nc d e"]
+    model = licenses.fit(*[f(x) for f, x in zip((list, np.array), licenses.examples(["some plain words of a corpus"] * 50))])
+    import pyarrow as pa
+
+    (slab,) = Reader(NOT_ALNUM, True).slabs(pa.array(texts))
+    windows = licenses._windows(slab.word)
+    one, two = licenses.buckets_of(slab.hash)
+    for (_, start, end), got in zip(zip(*windows), model.logits(slab, windows)):
+        total = model.bias + sum(model.weights[one[k]].astype(float) for k in range(start, end)) + sum(model.weights[two[k]].astype(float) for k in range(start, end - 1))
+        assert got == pytest.approx(total, abs=1e-6) and end - start <= licenses.WINDOW
+    assert [int(x) for x in np.bincount(windows[0])] == [1, 3, 1, 1, 0, 1]
+
+
+def test_license_scan_of_odd_texts(spark):
+    """Nulls, empties, null ids and a very long line, row by row."""
+    model = licenses.train(empty(spark))
+    long = "word " * 300_000 + "Released under the MIT License. " + "word " * 1000
+    rows = [(1, None, None, None), (2, "", None, None), (None, "Released under the MIT License.", None, None), (3, "\n\nReleased under the MIT License.\nReleased under the MIT License.", None, None), (4, long, None, None)]
+    got = {r["id"]: (r["paragraphs"], [(x["paragraph"], x["family"]) for x in r["found"]]) for r in licenses.scan(clashing(frame(spark, rows)), model).collect()}
+    assert got == {1: (1, []), 2: (1, []), None: (1, [(0, "MIT")]), 3: (4, [(2, "MIT"), (3, "MIT")]), 4: (1, [(0, "MIT")])}
+
+
 def test_license_lines_of_the_corpus_are_found(spark):
     docs = documents(spark, SF)
     found = {r["doc_id"]: r["license_paragraphs"] for r in licenses.op7_license_scan(spark, SF).collect()}
