@@ -32,7 +32,7 @@ from gridloom.llm.words import WHITE, LineHasher, Lines, Reader, line_sums, mixe
 MIN_WORDS = 5
 KEY_BITS = 48
 #: A bucket gets the variants of about so many bytes of text.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES, BUCKETS_A_TASK = 8 << 20, 4
 #: Variants that a task holds before it sends them.
 HELD = 1 << 19
 #: Bits of a bitmap for each distinct line, and the most bits as a power of 2 (64 MB). Bitmaps only spare work that surely
@@ -66,13 +66,14 @@ def _decoded(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(gaps, dtype=np.uint64), line.astype(np.int64), place.astype(np.int64)
 
 
-def _words(slab: Lines, k: int) -> bytes:
-    """The words of a line, space-joined."""
-    return b" ".join(slab.data[slab.start[k] : slab.end[k]].tobytes().split())
+def _words(slab: Lines, lines: np.ndarray) -> list[bytes]:
+    """The words of lines, space-joined."""
+    raw = slab.data.tobytes()
+    return [b" ".join(raw[a:b].split()) for a, b in zip(slab.start[lines].tolist(), slab.end[lines].tolist(), strict=True)]
 
 
-def _check(words: bytes) -> int:
-    return int.from_bytes(blake2b(words, digest_size=8).digest(), "little", signed=True)
+def _checks(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join([blake2b(w, digest_size=8).digest() for w in words]), np.int64) if words else np.zeros(0, np.int64)
 
 
 def _read_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -88,7 +89,7 @@ def _read_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for slab in reader.slabs(batch["text"]):
                 whole = hasher.whole(line_sums(hasher, slab), slab.word[:-1], slab.word[1:])
                 at, none = pa.array(slab.doc), slab.word[1:] == slab.word[:-1]
-                check = np.array([0 if x else _check(_words(slab, k)) for k, x in enumerate(none.tolist())], np.int64)
+                check = _checks(_words(slab, np.arange(len(none))))
                 yield pa.RecordBatch.from_arrays([pa.array(row + slab.doc), batch["id"].take(at), batch["th"].take(at), pa.array(slab.number, pa.int32()), pa.array(whole.view(np.int64), mask=none), pa.array(check, mask=none)], schema.names)
             row += batch.num_rows
 
@@ -163,7 +164,7 @@ class _Held:
     line."""
 
     def __init__(self):
-        self.size, self.lines, self.checks = 0, np.zeros(0, np.uint64), []
+        self.size, self.lines, self.checks = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.keys, self.owners, self.places = [], [], []
 
     def add(self, hashes: np.ndarray, owners: np.ndarray, places: np.ndarray) -> None:
@@ -175,7 +176,8 @@ class _Held:
     def sent(self, batch: int, buckets: int) -> pa.RecordBatch:
         """A blob for each bucket, one of entries that met in this batch (MET), and one of the lines' names (NAMES)."""
         key, owner, place = map(np.concatenate, (self.keys, self.owners, self.places))
-        order = np.lexsort((place, key))
+        # Places beyond 16 bits only miss being told to be equal.
+        order = np.argsort(key << np.uint64(16) | np.minimum(place, 65_535).astype(np.uint64))
         key, owner, place = key[order], owner[order], place[order]
         again = np.r_[False, (key[1:] == key[:-1]) & (place[1:] == place[:-1])]
         met = _encoded(key[again], owner[again], place[again])
@@ -186,7 +188,7 @@ class _Held:
         cut = np.searchsorted(key, np.array([int(e) for e in edges], np.uint64))
         full = np.flatnonzero(np.diff(cut))
         blobs = [_encoded(key[cut[k] : cut[k + 1]], owner[cut[k] : cut[k + 1]], place[cut[k] : cut[k + 1]]) for k in full]
-        names = np.stack([self.lines.view(np.int64), np.array(self.checks, np.int64)]).tobytes()
+        names = np.stack([self.lines.view(np.int64), self.checks]).tobytes()
         return pa.RecordBatch.from_arrays([pa.array([*full, MET, NAMES], pa.int32()), pa.array(np.full(len(full) + 2, batch)), pa.array([*blobs, met, names], pa.binary())], ["bucket", "batch", "blob"])
 
 
@@ -217,7 +219,7 @@ def _variants(docs: DataFrame, id_col: str, text_col: str, buckets: int, bitmaps
                 at = np.flatnonzero(gives)[first[fresh]]
                 base = len(held.lines)
                 held.lines = np.concatenate([held.lines, distinct[fresh]])
-                held.checks += [_check(_words(slab, k)) for k in at.tolist()]
+                held.checks = np.concatenate([held.checks, _checks(_words(slab, at))])
                 held.add(whole[at], base + np.arange(len(at)), np.zeros(len(at)))
                 long = np.flatnonzero(b[at] - a[at] >= min_words)
                 count = (b - a)[at][long]
@@ -235,7 +237,7 @@ def _variants(docs: DataFrame, id_col: str, text_col: str, buckets: int, bitmaps
     return fed.mapInArrow(run, "bucket int, batch long, blob binary")
 
 
-def _met(variants: DataFrame) -> DataFrame:
+def _met(variants: DataFrame, buckets: int) -> DataFrame:
     """key, place (0: the whole line), batch, line of the hashes that different lines share; and, with null keys, the
     rows of names with `blob`. A bucket holds the values of its range, of which each batch sends one blob."""
 
@@ -282,7 +284,9 @@ def _met(variants: DataFrame) -> DataFrame:
     names = ["key", "place", "batch", "line", "blob"]
     # Name rows spread by their batch.
     spread = F.when(F.col("bucket") < 0, -1 - F.col("batch")).otherwise(F.col("bucket").cast("long"))
-    return variants.repartition(spread).sortWithinPartitions("bucket").mapInArrow(run, "key long, place int, batch long, line int, blob binary")
+    # Tasks get a few buckets each, however many there are.
+    tasks = max(int(variants.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // BUCKETS_A_TASK))
+    return variants.repartition(tasks, spread).sortWithinPartitions("bucket").mapInArrow(run, "key long, place int, batch long, line int, blob binary")
 
 
 def _entries(met: DataFrame) -> DataFrame:
@@ -314,9 +318,8 @@ def _texts(docs: DataFrame, text_col: str, wanted: DataFrame, bits: int) -> Data
                 at = np.flatnonzero((b > a) & _is_set(bitmap, whole))
                 _, first = np.unique(whole[at], return_index=True)
                 at = at[first]
-                words = [_words(slab, k) for k in at.tolist()]
-                check = np.array([_check(w) for w in words], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(whole[at].view(np.int64)), pa.array(check), pa.array([w.decode() for w in words], pa.string())], [*NAME, "words"])
+                words = _words(slab, at)
+                yield pa.RecordBatch.from_arrays([pa.array(whole[at].view(np.int64)), pa.array(_checks(words)), pa.array([w.decode() for w in words], pa.string())], [*NAME, "words"])
 
     bounded_batches(spark)
     found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "hash long, check long, words string")
@@ -376,8 +379,9 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Distinct lines: their earliest occurrence and how many there are. A common line is summed up before it is dealt.
     firsts = stored(lines.where("hash IS NOT NULL").groupBy(*NAME).agg(F.min(_order()).alias("at"), F.count(F.lit(1)).alias("n")))
     bits = _filter_bits(firsts.count())
-    variants = _variants(docs, id_col, text_col, max(16, size // BUCKET_BYTES + 1), _first_only(firsts, bits), min_words)
-    entries = stored(_entries(stored(_met(variants))))
+    buckets = max(16, size // BUCKET_BYTES + 1)
+    variants = _variants(docs, id_col, text_col, buckets, _first_only(firsts, bits), min_words)
+    entries = stored(_entries(stored(_met(variants, buckets))))
     # Lines that have copies or meet another.
     meets = entries.select(*NAME).withColumn("meets", F.lit(True))
     first = stored(firsts.join(meets, NAME, "left").where("n > 1 OR meets").select(*NAME, "at"))

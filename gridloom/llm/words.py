@@ -85,9 +85,12 @@ class Reader:
         begins = np.flatnonzero(~apart & (np.r_[True, apart[:-1]] | edge[:-1]))
         ends = np.flatnonzero(~apart & (np.r_[apart[1:], True] | edge[1:])) + 1
         length = ends - begins
-        at = np.flatnonzero(~apart)
-        place = at - np.repeat(begins, length)
-        drawn = _TABLE[(place % _OWN) * 256 + (_LOWER[data[at]] if self.lower else data[at])]
+        inside = ~apart
+        # Sizes of slabs fit 32 bits but for a single longer text.
+        small = np.int32 if size < 1 << 31 else np.int64
+        place = np.flatnonzero(inside).astype(small) - np.repeat(begins.astype(small), length)
+        own = data[inside]
+        drawn = _TABLE[((place & (_OWN - 1)).astype(np.uint16) << np.uint16(8)) | (_LOWER[own] if self.lower else own)]
         if len(length) and length.max() > _OWN:
             later = np.flatnonzero(place >= _OWN)
             drawn[later] *= _at(place[later] // _OWN, 1 << 40) | np.uint64(1)
