@@ -32,7 +32,7 @@ from gridloom.llm.words import WHITE, LineHasher, Lines, Reader, line_sums, mixe
 MIN_WORDS = 5
 KEY_BITS = 48
 #: A bucket gets the variants of about so many bytes of text.
-BUCKET_BYTES, BUCKETS_A_TASK = 8 << 20, 4
+BUCKET_BYTES = 8 << 20
 #: Variants that a task holds before it sends them.
 HELD = 1 << 19
 #: Bits of a bitmap for each distinct line, and the most bits as a power of 2 (64 MB). Bitmaps only spare work that surely
@@ -284,9 +284,9 @@ def _met(variants: DataFrame, buckets: int) -> DataFrame:
     names = ["key", "place", "batch", "line", "blob"]
     # Name rows spread by their batch.
     spread = F.when(F.col("bucket") < 0, -1 - F.col("batch")).otherwise(F.col("bucket").cast("long"))
-    # Tasks get a few buckets each, however many there are.
-    tasks = max(int(variants.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // BUCKETS_A_TASK))
-    return variants.repartition(tasks, spread).sortWithinPartitions("bucket").mapInArrow(run, "key long, place int, batch long, line int, blob binary")
+    # A bucket a task at most, however many there are.
+    tasks = max(int(variants.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets)
+    return variants.repartitionById(tasks, F.pmod(spread, F.lit(tasks)).cast("int")).sortWithinPartitions("bucket").mapInArrow(run, "key long, place int, batch long, line int, blob binary")
 
 
 def _entries(met: DataFrame) -> DataFrame:
