@@ -6,9 +6,10 @@ How wide bands are follows from the number of documents, so that buckets stay sm
 share of pairs at the least similarity that may be missed. Candidates are verified on their texts, word for word, and
 only verified pairs link.
 
-A bucket gives a spanning forest of its candidate pairs: first in a few bands, and once those are verified and contracted
-in all others, between components only. In the end all candidates that still lie in different components and weren't
-compared are. So nothing is left out, and a large group of copies isn't compared with itself.
+A bucket gives the spanning forest of its candidate pairs that are least apart: first in a few bands, and once those are verified and contracted
+in all others, between components only. Where a bucket had more candidates than its forest, the documents that candidates
+connect are then compared with each other, chunk by chunk, unless all lie in one component by now. So nothing is left out,
+and a large group of copies isn't compared with itself.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm.common import bounded_batches, materialize, whole_text
-from gridloom.llm.graph import components
+from gridloom.llm.graph import components, joined
 from gridloom.llm.simhash import BITS, GrayIndex, fingerprints, keep_first
+from gridloom.llm.words import mixed
 
 WORDS = 5
 #: Least similarity, as a fraction.
@@ -40,6 +43,8 @@ CHUNK = 4096
 FIRST_BANDS = 2
 #: Candidates' numbers (24 bytes each) are broadcast up to so many; beyond, their texts are found by a shuffled join.
 SMALL_ROWS = 100_000
+#: A chunk of documents that are compared with each other has about so many rows and bytes.
+COMPARED_ROWS, COMPARED_BYTES = 256, 8 << 20
 PAIR, DENSE, LARGE = 0, 1, 2
 
 
@@ -98,27 +103,25 @@ def _banded(codes: DataFrame, width: int, low: int, high: int) -> DataFrame:
     return codes.mapInArrow(run, ", ".join(f"{c} long" for c in _ROWS))
 
 
-def _forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """labels after linking, and which of the pairs a, b link: one for each label that goes."""
-    kept = [np.zeros(0, np.int64)]
-    at = np.arange(len(a))
-    while True:
+def _forest(size: int, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Which of the pairs a, b of numbers below `size` make a spanning forest of those that are least apart: in each round
+    every component takes its nearest pair; ties by place."""
+    labels, kept, at = np.arange(size), [np.zeros(0, np.int64)], np.argsort(apart, kind="stable")
+    while len(at):
         one, two = labels[a[at]], labels[b[at]]
-        apart = np.flatnonzero(one != two)
-        if not len(apart):
-            return labels, np.concatenate(kept)
-        at, one, two = at[apart], one[apart], two[apart]
-        root, first = np.unique(np.maximum(one, two), return_index=True)
-        labels[root] = np.minimum(one, two)[first]
-        kept.append(at[first])
-        while (labels[labels] != labels).any():
-            labels = labels[labels]
-
-
-def _search(rows: DataFrame, bound: int, most: int | None, every: bool) -> DataFrame:
-    """Of key, part, code, label, prints: PAIR rows (a, b), candidates of different labels. every: all of them. Else of
-    each bucket a forest, and DENSE rows, the ends of all candidates of a bucket that has more; and LARGE rows, those of
-    buckets above `most`. a has their code, b their label."""
+        open_ = one != two
+        at, ends = at[open_], np.stack([one[open_], two[open_]], axis=1).reshape(-1)
+        _, first = np.unique(ends, return_index=True)
+        chosen = at[np.unique(first // 2)]
+        kept.append(chosen)
+        labels = joined(labels, labels[a[chosen]], labels[b[chosen]])
+    return np.concatenate(kept)
+
+
+def _search(rows: DataFrame, bound: int, most: int | None) -> DataFrame:
+    """Of key, part, code, label, prints: PAIR rows (a, b), of each bucket a forest of candidates of different labels; DENSE
+    rows, the ends of all candidates of a bucket that has more; and LARGE rows, those of buckets above `most`. a has their
+    code, b their label."""
     print_columns = slice(_ROWS.index(_INDEXED[0]), len(_ROWS))
 
     def rows_of(kind, own):
@@ -133,19 +136,26 @@ def _search(rows: DataFrame, bound: int, most: int | None, every: bool) -> DataF
         index = GrayIndex(np.ascontiguousarray(own[:, print_columns]).view(np.uint64))
         own = own[index.order]
         code, label = own[:, 2], np.unique(own[:, 3], return_inverse=True)[1]
-        merged, count, forest, ends = np.arange(len(own)), 0, 0, np.zeros(len(own), bool)
+        count, forest, ends = 0, [], np.zeros(len(own), bool)
+
+        def nearest(i, j):
+            apart = np.bitwise_count(index.codes[i] ^ index.codes[j]).sum(axis=1, dtype=np.int64)
+            kept = _forest(len(own), label[i], label[j], apart)
+            return i[kept], j[kept]
+
         for i, j in index.pairs(bound):
             apart = label[i] != label[j]
             i, j = i[apart], j[apart]
-            if len(i) and not every:
-                merged, kept = _forest(merged, label[i], label[j])
-                count, forest = count + len(i), forest + len(kept)
-                ends[i] = ends[j] = True
-                i, j = i[kept], j[kept]
             if len(i):
-                yield pairs_of(code[i], code[j])
-        if count > forest:
-            yield rows_of(DENSE, own[ends])
+                # What isn't in the forest of a part isn't in that of the whole.
+                ends[i] = ends[j] = True
+                count += len(i)
+                forest.append(nearest(i, j))
+        if forest:
+            i, j = nearest(*map(np.concatenate, zip(*forest))) if len(forest) > 1 else forest[0]
+            yield pairs_of(code[i], code[j])
+            if count > len(i):
+                yield rows_of(DENSE, own[ends])
 
     def found(part):
         cut = [0, *(np.flatnonzero((part[1:, :2] != part[:-1, :2]).any(axis=1)) + 1), len(part)]
@@ -191,12 +201,61 @@ def _search(rows: DataFrame, bound: int, most: int | None, every: bool) -> DataF
     return rows.select(*_ROWS).repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, ", ".join(f"{c} long" for c in _FOUND))
 
 
+def _dealt(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    """rows, each in the pairs of chunks (`part`) that have its own chunk. sizes: key, chunks; one chunk is a pair alone."""
+    rows = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("code"), F.col("chunks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).where("own <> other OR chunks = 1")
+    return rows.withColumn("part", F.least("own", "other") * (1 << 31) + F.greatest("own", "other")).drop("own", "other", "chunks")
+
+
 def _chunked(large: DataFrame, chunk: int) -> DataFrame:
-    """Rows of large buckets, dealt into pairs of chunks, in `part`."""
-    sizes = materialize(large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("long").alias("chunks")))
-    rows = large.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("code"), F.col("chunks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).where("own <> other")
-    return rows.withColumn("part", F.least("own", "other") * (1 << 31) + F.greatest("own", "other"))
+    """Rows of large buckets, dealt into pairs of chunks."""
+    return _dealt(large.drop("part"), materialize(large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("long").alias("chunks"))), "key")
+
+
+def _compared(rows: DataFrame, words: int) -> DataFrame:
+    """a, b: all similar pairs with different labels of rows key, part, code, label, text that share key and part. Shingles
+    are counted by 64-bit hashes, and what they call similar is verified on the texts."""
+
+    def hashed(text):
+        t = tokens_of(text)
+        one = np.fromiter(map(xxhash.xxh64_intdigest, t), np.uint64, len(t))
+        total = np.zeros(max(1, len(t) - words + 1), np.uint64)
+        for k in range(min(words, len(t))):
+            total = mixed(total * np.uint64(3) + one[k : k + len(total)])
+        return np.unique(total)
+
+    def found(held):
+        code, label, texts = (np.array([r[k] for r in held], t) for k, t in ((2, np.int64), (3, np.int64), (4, object)))
+        sets = [hashed(t) for t in texts]
+        size = np.array([len(x) for x in sets])
+        start = np.cumsum(size) - size
+        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        mark, a, b = np.zeros(flat.max() + 1, bool), [], []
+        for i in range(len(held) - 1):
+            own = flat[start[i] : start[i] + size[i]]
+            mark[own] = True
+            both = np.add.reduceat(mark[flat[start[i + 1] :]], start[i + 1 :] - start[i + 1], dtype=np.int64)
+            mark[own] = False
+            near = (UNDER * both >= OVER * (size[i] + size[i + 1 :] - both)) & (label[i + 1 :] != label[i])
+            for j in (np.flatnonzero(near) + i + 1).tolist():
+                if similar(shingles(texts[i], words), shingles(texts[j], words)):
+                    a.append(min(code[i], code[j]))
+                    b.append(max(code[i], code[j]))
+        return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in (a, b)], ["a", "b"])
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            for row in zip(*(batch[c].to_pylist() for c in ("key", "part", "code", "label", "text")), strict=True):
+                if held and row[:2] != held[0][:2]:
+                    yield found(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield found(held)
+
+    return rows.select("key", "part", "code", "label", "text").repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -254,16 +313,24 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     as_rows = ["key", "part", F.col("a").alias("code"), F.col("b").alias("label"), *_INDEXED]
     dense = []
     for low, high in ((0, FIRST_BANDS), (FIRST_BANDS, bands)):
-        found = materialize(_search(_banded(relabelled(codes.drop("id", "th")), width, low, high), bound, 2 * chunk, False))
+        found = materialize(_search(_banded(relabelled(codes.drop("id", "th")), width, low, high), bound, 2 * chunk))
         large = found.where(of(LARGE)).select(*as_rows)
         if not large.isEmpty():
-            found = found.unionByName(materialize(_search(_chunked(large, chunk), bound, None, False)))
+            found = found.unionByName(materialize(_search(_chunked(large, chunk), bound, None)))
         dense.append(found.where(of(DENSE)).select(*as_rows))
         tested, links = verified(found.where(of(PAIR)).select("a", "b"))
-    rest = dense[0].unionByName(dense[1])
+    rest = dense[0].unionByName(dense[1]).select("code").distinct()
     if not rest.isEmpty():
-        rest = _search(relabelled(rest.drop("label")), bound, None, True).select("a", "b")
-        tested, links = verified(rest)
+        # Candidates that weren't compared are connected by pairs that were.
+        near = components(tested).select(F.col("node").alias("code"), F.col("label").alias("key"))
+        rest = relabelled(rest).join(near, "code", "left").withColumn("key", F.coalesce("key", "code"))
+        rest = materialize(rest.select("code", "label", "key"))
+        several = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        rest = materialize(rest.join(several, "key", "left_semi"))
+        own = rest.join(texts(rest.select(F.col("code").alias("a"), F.col("code").alias("b"))), "code")
+        parts = F.greatest(F.ceil(F.count(F.lit(1)) / COMPARED_ROWS), F.ceil(F.sum(F.octet_length("text")) / COMPARED_BYTES)).cast("long")
+        sizes = materialize(own.groupBy("key").agg(F.when(parts > 1, parts + 1).otherwise(1).alias("chunks")))
+        links = links.unionByName(materialize(_compared(_dealt(own, sizes, "key"), words).distinct()))
     named = components(links)
     labels = codes.join(named.withColumnRenamed("node", "code"), "code", "left").select("id", "th", F.coalesce("label", "code").alias("label"))
     return rows.select("__gl_id", "__gl_th").join(labels, same).select("id", "th", "label")
