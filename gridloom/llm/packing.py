@@ -27,7 +27,8 @@ from gridloom.llm.common import bounded_batches, documents, in_global_order, mat
 
 CAPACITY = 2048
 END = 0
-#: The search ends after so many steps (lengths that were tried), with the best packing so far.
+#: The search ends after so many steps (lengths that were tried, and fillings that were held against each other), with the
+#: best packing so far.
 STEPS = 1_000_000
 #: So many steps at each node go ahead, to try fillings with little waste first.
 AHEAD = 400
@@ -142,6 +143,7 @@ def fillings(counts: dict[int, int], lengths: list[int], largest: int, room: int
     ahead.sort(key=lambda f: (f[0], len(f[1]), [-x for x in f[1]]))
     for found in (ahead, every):
         for _, chosen in found:
+            budget.left -= len(kept)
             if not any(_dominates(one, chosen) for one in kept):
                 kept.append(chosen)
                 yield chosen
