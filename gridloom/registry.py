@@ -411,7 +411,7 @@ def _benchmark(spark, d):
     v, none = F.col("value"), F.lit(None).cast("double")
     return events.select(
         F.concat("event_type", F.lit("_manhattan.json")).alias("file"), F.lit("2024-01-01T00:00:00").alias("timestamp"), F.lit(50).alias("cluster_size"),
-        F.coalesce(some(7, (F.col("user_id") % 5).cast("int")), F.lit(1)).alias("workers_size"), F.when(F.col("event_id") % 2 == 0, "a").otherwise("dhpa").alias("algorithm"), F.col("event_id").cast("int").alias("run"),
+        F.coalesce(some(7, (F.col("user_id") % 5).cast("int")), F.lit(1)).alias("workers_size"), F.when(F.col("event_id") % 2 == 0, "a").otherwise("tiled").alias("algorithm"), F.col("event_id").cast("int").alias("run"),
         some(3, v).alias("inter_edges"), some(4, v * 2).alias("preprocessed"), some(5, v * 3).alias("finish_abstract_graph"), (v * 4).alias("found_graph_path"),
         some(6, v * 5).alias("found_overall_path"), none.alias("max_memory"), F.col("user_id").cast("double").alias("path_length"), workers.alias("worker_analysis"),
     )
@@ -640,7 +640,7 @@ _RUN_TABLE = "runs AS (SELECT event_type AS algorithm, user_id % 5 AS workers_si
 _LOG = "log AS (SELECT event_id, concat(" + ", chr(10), ".join(f"'{before}', event_id + {k}, '.25{after}'" for k, (before, after) in enumerate(_LOG_LINES)) + ") AS value FROM events)"
 _BENCHMARK = """bench AS (
   SELECT concat(event_type, '_manhattan.json') AS file, 50 AS cluster_size, CASE WHEN event_id % 7 <> 0 THEN CAST(user_id % 5 AS INT) ELSE 1 END AS workers_size,
-         CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'dhpa' END AS algorithm, CAST(event_id AS INT) AS run, CASE WHEN event_id % 3 <> 0 THEN value END AS inter_edges,
+         CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'tiled' END AS algorithm, CAST(event_id AS INT) AS run, CASE WHEN event_id % 3 <> 0 THEN value END AS inter_edges,
          CASE WHEN event_id % 4 <> 0 THEN value * 2 END AS preprocessed, CASE WHEN event_id % 5 <> 0 THEN value * 3 END AS finish_abstract_graph, value * 4 AS found_graph_path,
          CASE WHEN event_id % 6 <> 0 THEN value * 5 END AS found_overall_path, CAST(NULL AS DOUBLE) AS max_memory, CAST(user_id AS DOUBLE) AS path_length, value FROM events)"""
 
