@@ -29,3 +29,15 @@ def written(df: DataFrame) -> DataFrame:
     """Cuts the lineage: the rows are written once to the shared folder."""
     use_shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows go to Python in batches of so many bytes at most, besides Spark's bound on their number.
+BATCH_BYTES = 32 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows with long lists would make batches of 10,000 rows too large; a smaller bound that is already set stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not str(now).isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))

@@ -48,14 +48,14 @@ def preprocess_exact(cells: DataFrame, size: int) -> Preprocessed:
     return preprocess(cells, size, borders.border_pairs(cells, size))
 
 
-def abstract_paths(pre: Preprocessed, queries: DataFrame, broadcast_edges: int = graph.BROADCAST_EDGES) -> DataFrame:
+def abstract_paths(pre: Preprocessed, queries: DataFrame, broadcast_edges: int = graph.BROADCAST_EDGES, block: int = graph.BLOCK) -> DataFrame:
     """query_id, map_id, cost, nodes (start, abstract nodes, goal; repeats left out) of queries (query_id, map_id, sx,
     sy, gx, gy). A way inside the tile that start and goal share is one candidate, not the only one."""
     size = pre.size
     point = lambda end, x, y: F.struct(F.lit(end).alias("end"), F.col(x).alias("x"), F.col(y).alias("y"))
     points = queries.select("query_id", "map_id", F.inline(F.array(point("s", "sx", "sy"), point("g", "gx", "gy"))))
     ends = local.point_distances(pre.cells, pre.nodes, points, size, masks=pre.masks).select("query_id", "map_id", "end", "node_x", "node_y", "weight")
-    over = graph.solve(pre.edges, written(ends), broadcast_edges).withColumn("direct", F.lit(1))
+    over = graph.solve(pre.edges, written(ends), broadcast_edges, block).withColumn("direct", F.lit(1))
     shared = queries.where(F.expr(f"sx div {size} = gx div {size} AND sy div {size} = gy div {size}"))
     tasks = shared.select("map_id", F.col("query_id").alias("task_id"), F.expr(f"sx div {size}").alias("cx"), F.expr(f"sy div {size}").alias("cy"), "sx", "sy", "gx", "gy")
     inside = local.tile_tasks(pre.cells, tasks, size, with_path=False, masks=pre.masks).where("cost IS NOT NULL")

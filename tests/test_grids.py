@@ -89,8 +89,12 @@ def test_random_grids(spark, seed, width, height, size, share):
     for r in hier.collect():
         assert r["cost"] is None or want[r["query_id"]] is not None and r["cost"] >= want[r["query_id"]]
     assert sum(r["violations"] for r in paths.path_violations(cells, hier, todo).collect()) == 0
-    relaxed = {r["query_id"]: r["cost"] for r in paths.abstract_paths(pre, todo, broadcast_edges=0).collect()}
-    assert relaxed == {r["query_id"]: r["cost"] for r in hier.collect() if r["success"]}
+    # Block by block: one block for all, blocks of single tiles, and blocks that cut through tiles.
+    for block in (128, size, size + 1):
+        ways = paths.abstract_paths(pre, todo, broadcast_edges=0, block=block)
+        relaxed = {r["query_id"]: r["cost"] for r in ways.collect()}
+        assert relaxed == {r["query_id"]: r["cost"] for r in hier.collect() if r["success"]}
+        assert {r["query_id"]: len(r["path"]) - 1 for r in paths.refine(pre, ways).collect()} == relaxed
     cells.unpersist()
 
 
