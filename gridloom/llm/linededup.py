@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import struct
 from hashlib import blake2b
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -133,6 +134,11 @@ def _token(hashes: np.ndarray, th: np.ndarray, number: np.ndarray) -> np.ndarray
     return mixed(hashes ^ mixed(th + number.astype(np.uint64)))
 
 
+def _place(th: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """A hash of a line's document and number."""
+    return mixed(th + mixed(number.astype(np.uint64)))
+
+
 def _first_only(firsts: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Of distinct lines (hash, at, n): two bitmaps, of hashes that several lines have, and of the earliest occurrences
     of all hashes that the first bitmap has, be it by chance.
@@ -304,26 +310,36 @@ def _entries(met: DataFrame) -> DataFrame:
     return found.groupBy(*NAME).agg(F.collect_set("place").alias("places"))
 
 
-def _texts(docs: DataFrame, text_col: str, wanted: DataFrame, bits: int) -> DataFrame:
-    """hash, check, words (space-joined) of the lines whose name is wanted."""
+def _texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, bits: int) -> DataFrame:
+    """hash, check, words (space-joined) of the lines whose name is wanted (hash, check, at). Texts are cut at line feeds;
+    of the lines only those are read whose place may be the earliest of a wanted name, by a bitmap of places."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_bitmap(_bit_words(wanted.select(_position("hash", bits).alias("pos"))), bits))
+
+    def mark(batches):
+        for batch in batches:
+            value = _place(batch["th"].to_numpy().view(np.uint64), batch["number"].to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array((value >> np.uint64(64 - bits)).astype(np.int64))], ["pos"])
+
+    places = wanted.select(F.col("at.o3").alias("th"), F.col("at.o5").alias("number")).mapInArrow(mark, "pos long")
+    shared = spark.sparkContext.broadcast(_bitmap(_bit_words(places), bits))
 
     def run(batches):
         reader, hasher, bitmap = Reader(WHITE, False), LineHasher(), shared.value
         for batch in batches:
-            for slab in reader.slabs(batch["text"]):
+            lines = [t.split("\n") for t in batch["text"].to_pylist()]
+            count = np.array([len(x) for x in lines], np.int64)
+            number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            found = _is_set(bitmap, _place(np.repeat(batch["th"].to_numpy().view(np.uint64), count), number))
+            for slab in reader.slabs(pa.array(compress(chain.from_iterable(lines), found.tolist()), pa.string())):
                 a, b = slab.word[:-1], slab.word[1:]
                 whole = hasher.whole(line_sums(hasher, slab), a, b)
-                at = np.flatnonzero((b > a) & _is_set(bitmap, whole))
-                _, first = np.unique(whole[at], return_index=True)
-                at = at[first]
+                at = np.flatnonzero(b > a)
                 words = _words(slab, at)
                 yield pa.RecordBatch.from_arrays([pa.array(whole[at].view(np.int64)), pa.array(_checks(words)), pa.array([w.decode() for w in words], pa.string())], [*NAME, "words"])
 
     bounded_batches(spark)
-    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "hash long, check long, words string")
-    return found.join(wanted, NAME, "left_semi").groupBy(*NAME).agg(F.min("words").alias("words"))
+    found = docs.select(_th(id_col, text_col).alias("th"), whole_text(text_col).alias("text")).mapInArrow(run, "hash long, check long, words string")
+    return found.join(wanted.select(*NAME), NAME, "left_semi").groupBy(*NAME).agg(F.min("words").alias("words"))
 
 
 def _spelled(entries: DataFrame, texts: DataFrame) -> DataFrame:
@@ -385,7 +401,7 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Lines that have copies or meet another.
     meets = entries.select(*NAME).withColumn("meets", F.lit(True))
     first = stored(firsts.join(meets, NAME, "left").where("n > 1 OR meets").select(*NAME, "at"))
-    texts = stored(_texts(docs, text_col, meets.select(*NAME), bits))
+    texts = stored(_texts(docs, id_col, text_col, first.join(meets.select(*NAME), NAME, "left_semi"), bits))
     spelled = stored(_spelled(entries, texts).join(first, NAME))
     early = F.min(F.struct("at", *NAME)).alias("early")
     # Replacement: variants that spell the same without the word at one place. Deletion: a whole line and variants.
