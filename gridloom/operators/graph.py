@@ -10,17 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.borders import EDGE, both_ways, upsert
-from gridloom.plans.checkpoints import bounded_batches, written
 
 __all__ = ["add_edges", "add_nodes", "both_ways", "degree", "edge_lookup", "expand", "node_count", "node_lookup", "solve", "upsert"]
 
-#: Edges are sent to every executor up to this number; beyond, ways are found block by block.
+#: Edges are sent to every executor up to this number; beyond, ways are found block by block (operators/blocks.py).
 BROADCAST_EDGES = 1_000_000
-#: Beyond, a block of so many cells a side is searched in one go, for about so many queries.
-BLOCK, BLOCK_QUERIES = 128, 64
-SMALL_ROWS = 100_000
 POINTS = "array<struct<x:bigint,y:bigint>>"
-_LABEL = ["query_id", "map_id", "x", "y", "d", "from_x", "from_y"]
 
 
 def add_nodes(nodes: DataFrame, more: DataFrame) -> DataFrame:
@@ -109,34 +104,14 @@ class _Graph:
             last = came[last]
         return best, way[::-1]
 
-    def spread(self, start: dict[int, int], most: int | None) -> dict[int, tuple[int, int]]:
-        """Of each node that is reached for less than `most`, the cost and the start it is reached from."""
-        heap = [(d, k, k) for k, d in start.items()]
-        heapq.heapify(heap)
-        found = {}
-        while heap:
-            d, k, entry = heapq.heappop(heap)
-            if most is not None and d >= most:
-                break
-            if k in found:
-                continue
-            found[k] = (d, entry)
-            for e in range(self.first[k], self.first[k + 1]):
-                if self.target[e] not in found:
-                    heapq.heappush(heap, (d + self.weight[e], self.target[e], entry))
-        return found
 
-
-def solve(edges: DataFrame, ends: DataFrame, broadcast_edges: int = BROADCAST_EDGES, block: int = BLOCK) -> DataFrame:
+def solve(edges: DataFrame, ends: DataFrame) -> DataFrame:
     """query_id, map_id, cost, nodes: the cheapest way for each query, or no row.
 
     ends (query_id, map_id, end, node_x, node_y, weight) say what it costs to get from the start ('s') to nodes and
-    from nodes to the goal ('g'). Up to broadcast_edges edges, each query is a priority-queue search against a
-    broadcast graph; beyond, all queries relax together, block by block.
+    from nodes to the goal ('g'). Each query is a priority-queue search against a broadcast graph; the caller sees to it
+    that there are at most BROADCAST_EDGES edges.
     """
-    edges = written(edges.select(*EDGE))
-    if edges.limit(broadcast_edges + 1).count() > broadcast_edges:
-        return relax(edges, ends, block)
     table = edges.select("map_id", "src_x", "src_y", "dst_x", "dst_y", "weight").toArrow()
     maps, of = np.unique(np.array(table["map_id"].to_pylist(), object), return_inverse=True) if table.num_rows else ([], np.zeros(0))
     column = lambda c: table[c].to_numpy()
@@ -144,7 +119,7 @@ def solve(edges: DataFrame, ends: DataFrame, broadcast_edges: int = BROADCAST_ED
     for k, map_id in enumerate(maps):
         own = of == k
         raw[map_id] = (np.stack([column("src_x")[own], column("src_y")[own]], axis=1), np.stack([column("dst_x")[own], column("dst_y")[own]], axis=1), column("weight")[own])
-    # At most broadcast_edges edges of 40 bytes, counted above.
+    # At most BROADCAST_EDGES edges of 40 bytes.
     shared = edges.sparkSession.sparkContext.broadcast(raw)
     point = pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())]))
 
@@ -171,104 +146,3 @@ def solve(edges: DataFrame, ends: DataFrame, broadcast_edges: int = BROADCAST_ED
     # A query's ends are the nodes of two tiles: bounded by their borders.
     of_query = ends.groupBy("query_id", "map_id").agg(F.collect_list(F.struct("end", "node_x", "node_y", "weight")).alias("ends"))
     return of_query.mapInArrow(run, f"query_id bigint, map_id string, cost bigint, nodes {POINTS}")
-
-
-def _in_blocks(rows: DataFrame, blocks: DataFrame, block: int, lists: int) -> DataFrame:
-    """map_id, rows, edges: rows (query_id, map_id, x, y and more) beside the edges of the block that their place lies in,
-    the queries of a block dealt into `lists` lists."""
-    key = ["map_id", "bx", "by"]
-    own = F.struct(*[c for c in rows.columns if c != "map_id"])
-    dealt = rows.select("map_id", _block_of("x", block).alias("bx"), _block_of("y", block).alias("by"), F.pmod(F.xxhash64("query_id"), F.lit(lists)).alias("list"), own.alias("row"))
-    return dealt.groupBy(*key, "list").agg(F.collect_list("row").alias("rows")).join(blocks, key).select("map_id", "rows", "edges")
-
-
-def _block_of(column: str, block: int):
-    return F.floor(F.col(column) / block).cast("long")
-
-
-def _opened(batches):
-    """(map_id, rows, graph) of each list and its block."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            edges = batch["edges"].slice(k, 1).flatten()
-            column = lambda c: edges.field(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
-            source, target = (np.stack([column(f"{end}_x"), column(f"{end}_y")], axis=1) for end in ("src", "dst"))
-            yield batch["map_id"][k].as_py(), batch["rows"][k].as_py(), _Graph(source, target, column("weight"))
-
-
-def _spread(batches):
-    """Each query's labels go as far as the edges of their block lead, out of it by one edge."""
-    for map_id, rows, g in _opened(batches):
-        start, most, out = {}, {}, []
-        for r, k in zip(rows, g.numbers(np.array([(r["x"], r["y"]) for r in rows], np.int64)).tolist(), strict=True):
-            most[r["query_id"]] = r["most"]
-            if k >= 0:
-                start.setdefault(r["query_id"], {})[k] = r["d"]
-        for query_id, own in start.items():
-            found = [(k, d, entry) for k, (d, entry) in g.spread(own, most[query_id]).items() if k != entry]
-            if found:
-                k, d, entry = np.array(found, np.int64).T
-                out.append((np.full(len(k), query_id), *g.places(k), d, *g.places(entry)))
-        if out:
-            query_id, *rest = (pa.array(np.concatenate(c)) for c in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([query_id, pa.array([map_id] * len(query_id), pa.string()), *rest], _LABEL)
-
-
-def _retraced(batches):
-    """Each row's nodes with those from the entry (x, y) to the first of them (to_x, to_y) before them."""
-    point = pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())]))
-    names = ["query_id", "map_id", "cost", "x", "y", "nodes"]
-    for map_id, rows, g in _opened(batches):
-        ends = [g.numbers(np.array([(r[x], r[y]) for r in rows], np.int64)).tolist() for x, y in (("x", "y"), ("to_x", "to_y"))]
-        ways = [[g.place(n) for n in g.search({a: 0}, {b: 0})[1][:-1]] + r["nodes"] for r, a, b in zip(rows, *ends, strict=True)]
-        column = lambda c: pa.array([r[c] for r in rows], pa.int64())  # noqa: B023, E731
-        yield pa.RecordBatch.from_arrays([column("query_id"), pa.array([map_id] * len(rows), pa.string()), column("cost"), column("x"), column("y"), pa.array(ways, point)], names)
-
-
-def relax(edges: DataFrame, ends: DataFrame, block: int = BLOCK) -> DataFrame:
-    """solve() without a broadcast: the graph is cut into square blocks of `block` cells a side, and in every round the
-    labels that come into a block spread through it in one search. As many rounds as the way with the most crossings
-    has, forth and back. A label says from which entry of its block it comes; labels that cost as much as a query's best
-    way so far go no further, and each round writes only the labels that fell."""
-    place = ["query_id", "map_id", "x", "y"]
-    bounded_batches(edges.sparkSession)
-    # Nodes lie on tile borders and see their tile: at most about 16 edges for each cell of a block, whatever the tiles.
-    own = edges.select("map_id", _block_of("src_x", block).alias("bx"), _block_of("src_y", block).alias("by"), F.struct("src_x", "src_y", "dst_x", "dst_y", "weight").alias("edge"))
-    blocks = written(own.groupBy("map_id", "bx", "by").agg(F.collect_list("edge").alias("edges")))
-    start = ends.where("end = 's'").groupBy("query_id", "map_id", F.col("node_x").alias("x"), F.col("node_y").alias("y")).agg(F.min("weight").alias("d"))
-    goal = written(ends.where("end = 'g'").groupBy("query_id", "map_id", F.col("node_x").alias("x"), F.col("node_y").alias("y")).agg(F.min("weight").alias("weight")))
-    none = F.lit(None).cast("long")
-    known = fresh = written(start.withColumns({"from_x": none, "from_y": none}).select(*_LABEL))
-    ends_there = goal.count()
-    # A row for each query, or each node beside its goal: broadcast if they are few.
-    few = F.broadcast if ends_there <= SMALL_ROWS else lambda df: df
-    lists = -(-max(1, known.select("query_id").distinct().count()) // BLOCK_QUERIES)
-    of_label = ", ".join(f"{c} {'string' if c == 'map_id' else 'bigint'}" for c in _LABEL)
-
-    def ways_of(labels):
-        found = labels.join(few(goal), place).select("query_id", "map_id", F.struct((F.col("d") + F.col("weight")).alias("cost"), "x", "y").alias("best"))
-        return found.groupBy("query_id", "map_id").agg(F.min("best").alias("best"))
-
-    best = written(ways_of(known))
-    while not fresh.isEmpty():
-        most = best.select("query_id", "map_id", F.col("best.cost").alias("most"))
-        entering = fresh.join(few(most), ["query_id", "map_id"], "left").where("most IS NULL OR d < most").select(*place, "d", "most")
-        reached = _in_blocks(entering, blocks, block, lists).mapInArrow(_spread, of_label)
-        both = known.withColumn("new", F.lit(0)).unionByName(reached.withColumn("new", F.lit(1)))
-        least = both.groupBy(*place).agg(F.min(F.struct("d", "new", "from_x", "from_y")).alias("best")).select(*place, "best.*")
-        better = written(least.where("new = 1").select(*_LABEL))
-        known = known.unionByName(better)
-        best = written(best.unionByName(ways_of(better)).groupBy("query_id", "map_id").agg(F.min("best").alias("best")))
-        # Inside their block they have been spread already.
-        fresh = better.where((_block_of("x", block) != _block_of("from_x", block)) | (_block_of("y", block) != _block_of("from_y", block)))
-    known = written(known.groupBy(*place).agg(F.min(F.struct("d", "from_x", "from_y")).alias("best")).select(*place, "best.from_x", "best.from_y"))
-    # Back from entry to entry, all queries at once.
-    ways = best.select("query_id", "map_id", "best.cost", "best.x", "best.y").withColumn("nodes", F.array(F.struct("x", "y")))
-    finished = None
-    while finished is None or not ways.isEmpty():
-        stepped = written(known.join(few(ways), place))
-        done = stepped.where("from_x IS NULL").select("query_id", "map_id", "cost", "nodes")
-        finished = done if finished is None else finished.unionByName(done)
-        onward = stepped.where("from_x IS NOT NULL").select("query_id", "map_id", F.col("from_x").alias("x"), F.col("from_y").alias("y"), F.col("x").alias("to_x"), F.col("y").alias("to_y"), "cost", "nodes")
-        ways = written(_in_blocks(onward, blocks, block, lists).mapInArrow(_retraced, f"query_id bigint, map_id string, cost bigint, x bigint, y bigint, nodes {POINTS}"))
-    return finished

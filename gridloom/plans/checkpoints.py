@@ -31,6 +31,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def rewritten(df: DataFrame) -> DataFrame:
+    """written() for tables that are made from themselves in rounds. A checkpoint keeps its plan's estimate of its size, and
+    joins multiply estimates: over rounds, their digits double until they fill the driver. Here the estimate goes, too."""
+    done = written(df)
+    return DataFrame(done.sparkSession._jsparkSession.createDataFrame(done._jdf.toJavaRDD(), done._jdf.schema()), done.sparkSession)
+
+
 #: Rows go to Python in batches of so many bytes at most, besides Spark's bound on their number.
 BATCH_BYTES = 32 << 20
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions.geometry import DIAGONALS, STEPS
-from gridloom.operators import borders, cells as C, graph, local
+from gridloom.operators import blocks, borders, cells as C, graph, local
 from gridloom.plans.checkpoints import written
 
 POINTS = local.POINTS
@@ -31,16 +32,26 @@ class Preprocessed:
     size: int
     entrances: DataFrame
     nodes: DataFrame
-    edges: DataFrame
     masks: DataFrame
+    most_edges: int
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """Made when first used; searches block by block do without."""
+        intra = local.intra_edges(self.cells, self.nodes, self.size, masks=self.masks).select(*borders.EDGE)
+        return written(borders.upsert(borders.inter_edges(self.entrances).unionByName(intra)))
 
 
 def preprocess(cells: DataFrame, size: int, gates: DataFrame | None = None) -> Preprocessed:
     gates = written(borders.entrances(cells, size) if gates is None else gates)
     nodes = written(borders.abstract_nodes(gates, size))
     masks = written(local.tile_masks(cells, size, nodes))
-    edges = written(borders.upsert(borders.inter_edges(gates).unionByName(local.intra_edges(cells, nodes, size, masks=masks).select(*borders.EDGE))))
-    return Preprocessed(cells, size, gates, nodes, edges, masks)
+    # As many as if all nodes of a tile reached each other.
+    n = nodes.groupBy("map_id", "cx", "cy").count().agg(F.sum(F.expr("count * (count - 1)"))).first()[0] or 0
+    pre = Preprocessed(cells, size, gates, nodes, masks, n + 2 * gates.count())
+    if pre.most_edges <= graph.BROADCAST_EDGES:
+        pre.edges  # noqa: B018
+    return pre
 
 
 def preprocess_exact(cells: DataFrame, size: int) -> Preprocessed:
@@ -48,14 +59,18 @@ def preprocess_exact(cells: DataFrame, size: int) -> Preprocessed:
     return preprocess(cells, size, borders.border_pairs(cells, size))
 
 
-def abstract_paths(pre: Preprocessed, queries: DataFrame, broadcast_edges: int = graph.BROADCAST_EDGES, block: int = graph.BLOCK) -> DataFrame:
+def abstract_paths(pre: Preprocessed, queries: DataFrame, broadcast_edges: int = graph.BROADCAST_EDGES, block: int = blocks.BLOCK) -> DataFrame:
     """query_id, map_id, cost, nodes (start, abstract nodes, goal; repeats left out) of queries (query_id, map_id, sx,
     sy, gx, gy). A way inside the tile that start and goal share is one candidate, not the only one."""
     size = pre.size
-    point = lambda end, x, y: F.struct(F.lit(end).alias("end"), F.col(x).alias("x"), F.col(y).alias("y"))
-    points = queries.select("query_id", "map_id", F.inline(F.array(point("s", "sx", "sy"), point("g", "gx", "gy"))))
-    ends = local.point_distances(pre.cells, pre.nodes, points, size, masks=pre.masks).select("query_id", "map_id", "end", "node_x", "node_y", "weight")
-    over = graph.solve(pre.edges, written(ends), broadcast_edges, block).withColumn("direct", F.lit(1))
+    if pre.most_edges > broadcast_edges:
+        over = blocks.solve(pre.masks, pre.entrances, queries, size, block)
+    else:
+        point = lambda end, x, y: F.struct(F.lit(end).alias("end"), F.col(x).alias("x"), F.col(y).alias("y"))
+        points = queries.select("query_id", "map_id", F.inline(F.array(point("s", "sx", "sy"), point("g", "gx", "gy"))))
+        ends = local.point_distances(pre.cells, pre.nodes, points, size, masks=pre.masks).select("query_id", "map_id", "end", "node_x", "node_y", "weight")
+        over = graph.solve(pre.edges, written(ends))
+    over = over.withColumn("direct", F.lit(1))
     shared = queries.where(F.expr(f"sx div {size} = gx div {size} AND sy div {size} = gy div {size}"))
     tasks = shared.select("map_id", F.col("query_id").alias("task_id"), F.expr(f"sx div {size}").alias("cx"), F.expr(f"sy div {size}").alias("cy"), "sx", "sy", "gx", "gy")
     inside = local.tile_tasks(pre.cells, tasks, size, with_path=False, masks=pre.masks).where("cost IS NOT NULL")
@@ -169,6 +184,7 @@ def find_paths(cells: DataFrame, queries: DataFrame, size: int = 50, mode: str =
     if mode == "flat":
         found = flat_paths(cells, queries, heuristic).select("query_id", "map_id", "cost", "path").where("cost IS NOT NULL")
     else:
+        queries = written(queries)
         pre = pre or (preprocess_exact if mode == "exact" else preprocess)(cells, size)
         ways = written(abstract_paths(pre, queries))
         found = refine(pre, ways).join(ways.select("query_id", "map_id", "cost"), ["query_id", "map_id"])

@@ -194,3 +194,31 @@ def test_large_maps_go_by_border_cells(spark, monkeypatch):
     monkeypatch.undo()
     assert split == {r["query_id"]: (r["success"], r["cost"]) for r in paths.find_paths(cells, todo, mode="flat").collect()}
     assert any(ok for ok, _ in split.values()) and len(split) == 16
+
+
+def test_rounds_of_blocks_do_not_grow(spark):
+    """A way over 16 blocks: no edge is made, and no stage has more tasks because of the rounds before it."""
+    rows = ["." * 64, "@" * 60 + "....", "." * 64]
+    cells = maps.cells_from_lines(spark, rows).persist()
+    spark.sparkContext.setJobGroup("blocks", "blocks")
+    pre = paths.preprocess_exact(cells, 4)
+    found = paths.abstract_paths(pre, query(spark, (0, 0), (0, 2)), broadcast_edges=0, block=4).collect()
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("blocks") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [r["cost"] for r in found] == [distances(rows, (0, 0))[0, 2]]
+    assert max(s.numTasks for s in stages if s) <= 4 * spark.sparkContext.defaultParallelism
+    assert paths.abstract_paths(paths.preprocess(cells, 4), query(spark, (0, 0), (0, 2)), block=4).first()["cost"] >= found[0]["cost"]
+    cells.unpersist()
+
+
+def test_many_edges_are_not_made(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BROADCAST_EDGES", 10)
+    rows = random_rows(11, 12, 12, 0.2)
+    cells = maps.cells_from_lines(spark, rows).persist()
+    pre = paths.preprocess_exact(cells, 4)
+    assert pre.most_edges > 10 and "edges" not in vars(pre)
+    free = [(x, y) for y in range(12) for x in range(12) if rows[y][x] == "."]
+    found = paths.find_paths(cells, query(spark, free[0], free[-1]), 4, pre=pre).first()
+    assert found["cost"] == distances(rows, free[0]).get(free[-1])
+    cells.unpersist()
