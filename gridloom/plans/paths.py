@@ -8,13 +8,14 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions.geometry import DIAGONALS, STEPS
 from gridloom.operators import blocks, borders, cells as C, graph, local
-from gridloom.plans.checkpoints import written
+from gridloom.plans.checkpoints import bounded_batches, written
 
 POINTS = local.POINTS
 #: A whole map goes to a task for a flat search up to so many cells; larger ones go by all border cells, in tiles of so many
@@ -109,6 +110,24 @@ def gather(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("query_id", "map_id").agg(F.flatten(parts).alias("path"))
 
 
+def open_rows(cells: DataFrame) -> DataFrame:
+    """map_id, y, bits: the open cells of each row that has some, a bit a cell from x = 0."""
+
+    def run(batches):
+        for batch in batches:
+            bits = []
+            for k in range(batch.num_rows):
+                xs = batch["xs"].slice(k, 1).flatten().to_numpy()
+                row = np.zeros(int(xs.max()) + 1, bool)
+                row[xs] = True
+                bits.append(np.packbits(row).tobytes())
+            yield pa.RecordBatch.from_arrays([batch["map_id"], batch["y"], pa.array(bits, pa.binary())], ["map_id", "y", "bits"])
+
+    rows = cells.where(~F.col("wall")).groupBy("map_id", "y").agg(F.collect_list("x").alias("xs"))
+    bounded_batches(cells.sparkSession)
+    return rows.select("map_id", "y", "xs").mapInArrow(run, "map_id string, y bigint, bits binary")
+
+
 def flat_paths(cells: DataFrame, queries: DataFrame, heuristic: str = "manhattan", diagonal: bool = False) -> DataFrame:
     """query_id, map_id, cost, path, visited: best-first search over the whole map. Maps of over FLAT_CELLS cells, which are
     counted first, go through preprocess_exact, whose costs are equal; visited is null for them, and diagonal steps
@@ -158,9 +177,10 @@ def flat_paths(cells: DataFrame, queries: DataFrame, heuristic: str = "manhattan
 
     def run(key, todo, own):
         out = []
-        height, width = (int(own[c].max()) + 1 if len(own) else 0 for c in ("y", "x"))
-        free = np.zeros((height, width), bool)
-        free[own["y"].to_numpy(), own["x"].to_numpy()] = True
+        bits = [np.unpackbits(np.frombuffer(b, np.uint8)) for b in own["bits"]]
+        free = np.zeros((int(own["y"].max()) + 1 if len(own) else 0, max(map(len, bits), default=0)), bool)
+        for y, row in zip(own["y"], bits, strict=True):
+            free[y, : len(row)] = row
         for q in todo.itertuples():
             cost, path, visited = search(free, (q.sx, q.sy), (q.gx, q.gy))
             out.append((q.query_id, key[0], cost, None if path is None else [{"x": int(x), "y": int(y)} for x, y in path], visited))
@@ -171,7 +191,7 @@ def flat_paths(cells: DataFrame, queries: DataFrame, heuristic: str = "manhattan
     queries = queries.select("*", part)
     # A map goes to as many tasks as it has parts of queries.
     parts = queries.select(F.col("map_id").alias("_map_id"), F.col("part").alias("_part")).distinct()
-    free = cells.where(~F.col("wall")).select("map_id", "x", "y").join(parts, F.col("map_id") == F.col("_map_id")).select("map_id", F.col("_part").alias("part"), "x", "y")
+    free = open_rows(cells).join(parts, F.col("map_id") == F.col("_map_id")).select("map_id", F.col("_part").alias("part"), "y", "bits")
     return queries.groupBy("map_id", "part").cogroup(free.groupBy("map_id", "part")).applyInPandas(run, schema)
 
 

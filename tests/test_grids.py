@@ -222,3 +222,13 @@ def test_many_edges_are_not_made(spark, monkeypatch):
     found = paths.find_paths(cells, query(spark, free[0], free[-1]), 4, pre=pre).first()
     assert found["cost"] == distances(rows, free[0]).get(free[-1])
     cells.unpersist()
+
+
+def test_flat_searches_get_rows_of_bits(spark):
+    """A map travels to a flat search with a row for each of its rows, not for each cell."""
+    rows = random_rows(3, 21, 6, 0.4)
+    found = {r["y"]: r["bits"] for r in paths.open_rows(maps.cells_from_lines(spark, rows)).collect()}
+    assert len(found) == 6
+    for y, line in enumerate(rows):
+        bits = "".join(f"{b:08b}" for b in found[y])
+        assert bits.rstrip("0") == line.replace(".", "1").replace("@", "0").rstrip("0")
