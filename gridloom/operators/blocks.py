@@ -2,7 +2,8 @@
 
 An edge inside a tile stands for a shortest way inside it, an edge between tiles for a step through an entrance. So the
 cheapest way over the abstract graph is the shortest over cells whose steps stay in their tile or go through an entrance.
-A block of tiles travels as the steps that its cells allow, a byte a cell, and no edge is ever made.
+A block of tiles travels as the steps that its cells allow, a byte a cell, and no edge is ever made. Labels spread from
+block to block in rounds: inside tasks while all blocks are few bytes, as tables beyond.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ BLOCK, BLOCK_QUERIES = 512, 64
 CELLS = 1 << 22
 #: Tables of up to so many queries are broadcast.
 SMALL_ROWS = 100_000
-#: Blocks of so many bytes in all are broadcast.
+#: Blocks of so many bytes in all are broadcast, and each query's rounds are made inside one task.
 SMALL_BYTES = 8 << 20
 #: Levels between two looks at which cells a flood can leave out.
 PRUNED = 16
@@ -146,70 +147,204 @@ def _jobs(batches, side: int):
 _LABEL = ["query_id", "map_id", "gx", "gy", "x", "y", "d", "from_x", "from_y"]
 
 
-def _labels(side: int):
-    """Labels (entries of blocks) spread to the first cells behind their block's entrances, and to the goal."""
+def _onward(corner: np.ndarray, steps: np.ndarray, of: np.ndarray, c: dict, side: int) -> tuple[np.ndarray, ...]:
+    """Labels (entries of blocks, of: each one's search) spread to the first cells behind their block's entrances, and to
+    the goal: of each the search, x, y, d and the entry it comes from."""
     wide = side + 2
     rim = np.concatenate([np.arange(wide), np.arange(wide) + wide * (wide - 1), np.arange(1, wide - 1) * wide, np.arange(1, wide - 1) * wide + wide - 1])
+    first = np.unique(of, return_index=True)[1]
+    base = np.full(len(corner), FAR, np.int64)
+    np.minimum.at(base, of, c["d"])
+    gx, gy = c["gx"][first], c["gy"][first]
+    goal = np.stack([gy - corner[:, 1], gx - corner[:, 0]], axis=1)
+    most = np.where(c["most"][first] < FAR, c["most"][first] - base, FAR)
+    cell = (c["y"] - corner[of, 1]) * wide + c["x"] - corner[of, 0]
+    found, origin = spread(steps, of, cell, c["d"] - base[of], goal, most)
+    inside = np.flatnonzero(((goal >= 1) & (goal <= side)).all(axis=1))
+    row, k = np.nonzero(found[:, rim] >= 0)
+    row, at = np.concatenate([row, inside]), np.concatenate([rim[k], goal[inside, 0] * wide + goal[inside, 1]])
+    d = found[row, at]
+    y, x = np.divmod(at, wide)
+    d, x, y, entry = d + base[row], x + corner[row, 0], y + corner[row, 1], origin[row, at]
+    # A goal that is an entry itself has its label already.
+    kept = (found[row, at] >= 0) & ((c["x"][entry] != x) | (c["y"][entry] != y)) & (d + np.abs(x - gx[row]) + np.abs(y - gy[row]) < most[row] + base[row])
+    return row[kept], x[kept], y[kept], d[kept], entry[kept]
+
+
+def _labels(side: int):
+    """A round of labels, block by block."""
 
     def run(batches):
         for maps, corner, steps, of, c in _jobs(batches, side):
-            first = np.unique(of, return_index=True)[1]
-            base = np.full(len(corner), FAR, np.int64)
-            np.minimum.at(base, of, c["d"])
-            gx, gy = c["gx"][first], c["gy"][first]
-            goal = np.stack([gy - corner[:, 1], gx - corner[:, 0]], axis=1)
-            most = np.where(c["most"][first] < FAR, c["most"][first] - base, FAR)
-            cell = (c["y"] - corner[of, 1]) * wide + c["x"] - corner[of, 0]
-            found, origin = spread(steps, of, cell, c["d"] - base[of], goal, most)
-            inside = np.flatnonzero(((goal >= 1) & (goal <= side)).all(axis=1))
-            row, k = np.nonzero(found[:, rim] >= 0)
-            row, at = np.concatenate([row, inside]), np.concatenate([rim[k], goal[inside, 0] * wide + goal[inside, 1]])
-            d = found[row, at]
-            y, x = np.divmod(at, wide)
-            d, x, y, entry = d + base[row], x + corner[row, 0], y + corner[row, 1], origin[row, at]
-            # A goal that is an entry itself has its label already.
-            kept = (found[row, at] >= 0) & ((c["x"][entry] != x) | (c["y"][entry] != y)) & (d + np.abs(x - gx[row]) + np.abs(y - gy[row]) < most[row] + base[row])
-            row, entry = row[kept], entry[kept]
-            columns = [c["job"][first][row], gx[row], gy[row], x[kept], y[kept], d[kept], c["x"][entry], c["y"][entry]]
+            row, x, y, d, entry = _onward(corner, steps, of, c, side)
+            columns = [c["job"][entry], c["gx"][entry], c["gy"][entry], x, y, d, c["x"][entry], c["y"][entry]]
             query_id, *rest = (pa.array(v, pa.int64()) for v in columns)
             yield pa.RecordBatch.from_arrays([query_id, maps.take(pa.array(row)), *rest], _LABEL)
 
     return run
 
 
-def _retraced(side: int, size: int):
+def _ways(corner: np.ndarray, steps: np.ndarray, c: dict, side: int, size: int) -> list[list[dict]]:
     """Of each hop the cells at entrances on a shortest way from the entry (x, y) to (gx, gy), inside the block or a step
     behind it."""
     wide = side + 2
-    point = pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())]))
+    goal = np.stack([c["gy"] - corner[:, 1], c["gx"] - corner[:, 0]], axis=1)
+    cell = (c["y"] - corner[:, 1]) * wide + c["x"] - corner[:, 0]
+    found, _ = spread(steps, np.arange(len(cell)), cell, np.zeros(len(cell), np.int64), goal, c["most"])
+    ways = []
+    for k in range(len(cell)):
+        own, allowed = found[k], steps[k].reshape(-1)
+        at, way = int(goal[k, 0] * wide + goal[k, 1]), []
+        while True:
+            way.append(at)
+            if own[at] == 0:
+                break
+            at = next(p for (dx, dy), bit in _BIT.items() if 0 <= (p := at - dy * wide - dx) < len(own) and own[p] == own[at] - 1 and allowed[p] & bit)
+        y, x = np.divmod(np.array(way[::-1]), wide)
+        x, y = x + corner[k, 0], y + corner[k, 1]
+        over = (np.diff(x // size) != 0) | (np.diff(y // size) != 0)
+        kept = np.append(over, False) | np.append(False, over)
+        ways.append([{"x": int(u), "y": int(v)} for u, v in zip(x[kept], y[kept], strict=True)])
+    return ways
+
+
+_POINT = pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())]))
+
+
+def _retraced(side: int, size: int):
+    """The ways of hops, block by block."""
 
     def run(batches):
         for maps, corner, steps, of, c in _jobs(batches, side):
             # A search has one hop.
             back = np.argsort(of)
             c = {name: v[back] for name, v in c.items()}
-            goal = np.stack([c["gy"] - corner[:, 1], c["gx"] - corner[:, 0]], axis=1)
-            cell = (c["y"] - corner[:, 1]) * wide + c["x"] - corner[:, 0]
-            found, _ = spread(steps, np.arange(len(cell)), cell, np.zeros(len(cell), np.int64), goal, c["most"])
-            ways = []
-            for k in range(len(cell)):
-                own, allowed = found[k], steps[k].reshape(-1)
-                at, way = int(goal[k, 0] * wide + goal[k, 1]), []
-                while True:
-                    way.append(at)
-                    if own[at] == 0:
-                        break
-                    at = next(p for (dx, dy), bit in _BIT.items() if 0 <= (p := at - dy * wide - dx) < len(own) and own[p] == own[at] - 1 and allowed[p] & bit)
-                y, x = np.divmod(np.array(way[::-1]), wide)
-                x, y = x + corner[k, 0], y + corner[k, 1]
-                over = (np.diff(x // size) != 0) | (np.diff(y // size) != 0)
-                kept = np.append(over, False) | np.append(False, over)
-                ways.append([{"x": int(u), "y": int(v)} for u, v in zip(x[kept], y[kept], strict=True)])
-            yield pa.RecordBatch.from_arrays([pa.array(c["query_id"]), maps, pa.array(c["seq"]), pa.array(ways, point)], ["query_id", "map_id", "seq", "nodes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c["query_id"]), maps, pa.array(c["seq"]), pa.array(_ways(corner, steps, c, side, size), _POINT)], ["query_id", "map_id", "seq", "nodes"])
 
     return run
 
 
+class _Blocks:
+    """All blocks of a map: their steps, with corners that count the rim, and which block a cell is in."""
+
+    def __init__(self, bx: np.ndarray, by: np.ndarray, steps: list[bytes], side: int):
+        self.side, self.wide = side, side + 2
+        self.area = self.wide**2
+        self.across = int(bx.max()) + 1
+        order = np.argsort(by * self.across + bx)
+        bx, by = bx[order], by[order]
+        self.keys = by * self.across + bx
+        self.corner = np.stack([bx, by], axis=1) * side - 1
+        self.steps = np.frombuffer(b"".join(steps[k] for k in order.tolist()), np.uint8).reshape(-1, self.wide, self.wide)
+
+    def numbers(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of each cell its place among the cells of all blocks, below 0 if it is in none."""
+        bx, by = x // self.side, y // self.side
+        key = by * self.across + bx
+        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        cell = (y - self.corner[k, 1]) * self.wide + x - self.corner[k, 0]
+        return np.where((self.keys[k] == key) & (bx >= 0) & (bx < self.across), k * self.area + cell, -1)
+
+    def places(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k, cell = np.divmod(number, self.area)
+        y, x = np.divmod(cell, self.wide)
+        return x + self.corner[k, 0], y + self.corner[k, 1]
+
+    def parts(self, block: np.ndarray):
+        """Slices of searches (of each its block) that are flooded in one go, with corners and steps."""
+        most = max(1, CELLS // self.area)
+        for at in range(0, len(block), most):
+            own = block[at : at + most]
+            yield at, at + len(own), self.corner[own], self.steps[own]
+
+    def solve(self, sx: np.ndarray, sy: np.ndarray, gx: np.ndarray, gy: np.ndarray, size: int):
+        """The cost and the cells at entrances of each query's way, or None. As in the rounds over tables, but only labels
+        whose least cost is within a block's side of their query's least spread in a round; the others wait."""
+        n, cells = len(sx), len(self.steps) * self.area
+        start, goal = self.numbers(sx, sy), self.numbers(gx, gy)
+        lowest, before = np.full(n * cells, _NONE, np.int32), np.full(n * cells, -1, np.int32)
+        todo = np.flatnonzero((start >= 0) & (goal >= 0))
+        own = todo * cells
+        lowest[own + start[todo]] = 0
+        # Labels are numbered by query, block and cell.
+        todo = own + start[todo]
+        while len(todo):
+            query, at = np.divmod(todo, cells)
+            x, y = self.places(at)
+            best = lowest[query * cells + goal[query]].astype(np.int64)
+            least = lowest[todo] + np.abs(x - gx[query]) + np.abs(y - gy[query])
+            kept = (at != goal[query]) & (least < best)
+            first = np.full(n, FAR, np.int64)
+            np.minimum.at(first, query[kept], least[kept])
+            now = kept & (least <= first[query] + self.side)
+            later = todo[kept & ~now]
+            # Labels of a block lie together.
+            todo, query, at, x, y, best = todo[now], query[now], at[now], x[now], y[now], best[now]
+            jobs, of = np.unique(todo // self.area, return_inverse=True)
+            c = {"x": x, "y": y, "d": lowest[todo].astype(np.int64), "gx": gx[query], "gy": gy[query], "most": np.where(best < _NONE, best, FAR)}
+            found = []
+            for a, b, corner, steps in self.parts(jobs % len(self.steps)):
+                part = slice(*np.searchsorted(of, [a, b]))
+                row, u, v, d, entry = _onward(corner, steps, of[part] - a, {name: w[part] for name, w in c.items()}, self.side)
+                came = entry + part.start
+                found.append((query[came] * cells + self.numbers(u, v), d, at[came]))
+            to, d, came = (np.concatenate(v) if found else np.zeros(0, np.int64) for v in (list(zip(*found, strict=True)) or [()] * 3))
+            order = np.lexsort((came, d, to))
+            to, d, came = to[order], d[order], came[order]
+            fell = (np.diff(to, prepend=-1) != 0) & (d < lowest[to])
+            to, d, came = to[fell], d[fell], came[fell]
+            lowest[to], before[to] = d, came
+            todo = np.union1d(later, to)
+        return [self._way(lowest[k * cells : (k + 1) * cells], before[k * cells : (k + 1) * cells], int(goal[k]), size) if start[k] >= 0 and goal[k] >= 0 else None for k in range(n)]
+
+    def _way(self, lowest: np.ndarray, before: np.ndarray, goal: int, size: int):
+        if lowest[goal] == _NONE:
+            return None
+        chain = [goal]
+        while before[chain[-1]] >= 0:
+            chain.append(int(before[chain[-1]]))
+        at = np.array(chain[::-1])
+        (x, y), nodes = self.places(at), []
+        c = {"x": x[:-1], "y": y[:-1], "gx": x[1:], "gy": y[1:], "most": np.diff(lowest[at]).astype(np.int64) + 1}
+        for a, b, corner, steps in self.parts(at[:-1] // self.area):
+            for way in _ways(corner, steps, {name: v[a:b] for name, v in c.items()}, self.side, size):
+                nodes += way
+        return int(lowest[goal]), nodes
+
+
+#: No label yet; costs are below the number of cells.
+_NONE = np.iinfo(np.int32).max
+
+
+def _solve_in_tasks(blocks: DataFrame, start: DataFrame, side: int, size: int, tasks: int) -> DataFrame:
+    """solve() for blocks of few bytes: they are broadcast, and a query's rounds are made inside one task."""
+    table = blocks.select("map_id", "bx", "by", "steps").toArrow()
+    of = np.array(table["map_id"].to_pylist(), object)
+    steps = table["steps"].to_pylist()
+    own = {m: np.flatnonzero(of == m) for m in set(of.tolist())}
+    raw = {m: _Blocks(table["bx"].to_numpy()[k], table["by"].to_numpy()[k], [steps[i] for i in k.tolist()], side) for m, k in own.items()}
+    shared = blocks.sparkSession.sparkContext.broadcast(raw)
+    names = ["query_id", "map_id", "cost", "nodes"]
+
+    def run(batches):
+        for batch in batches:
+            todo = np.array(batch["map_id"].to_pylist(), object)
+            column = {c: batch[c].to_numpy() for c in ("query_id", "sx", "sy", "gx", "gy")}
+            out = []
+            for map_id in sorted(set(todo.tolist()) & set(shared.value)):
+                there, mine = shared.value[map_id], np.flatnonzero(todo == map_id)
+                most = max(1, CELLS // there.steps.size)
+                for at in range(0, len(mine), most):
+                    k = mine[at : at + most]
+                    found = there.solve(*(column[c][k] for c in ("sx", "sy", "gx", "gy")), size)
+                    out += [(int(q), map_id, *way) for q, way in zip(column["query_id"][k], found, strict=True) if way]
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), _POINT), strict=True)], names)
+
+    # Few rows, but long searches: dealt out evenly.
+    return start.repartitionByRange(tasks, "query_id", "map_id").mapInArrow(run, f"query_id bigint, map_id string, cost bigint, nodes {POINTS}")
+
+
 def _chains(batches):
     """Of each query's labels the hops from entry to entry that lead to its goal."""
     names = ["query_id", "map_id", "seq", "x", "y", "gx", "gy", "n"]
@@ -234,16 +369,19 @@ def solve(masks: DataFrame, gates: DataFrame, queries: DataFrame, size: int, blo
 
     Blocks have about `block` cells a side, whole tiles. In every round the labels that came into a block spread through it
     in one search, so rounds follow the blocks that ways cross. A label says from which entry it comes; those that can't
-    lead to less than a query's best cost go no further. Each round writes all labels, which replace those before.
+    lead to less than a query's best cost go no further. While the blocks have up to SMALL_BYTES, rounds are made inside
+    tasks; beyond, each round writes all labels, which replace those before.
     """
     side = max(1, block // size) * size
     spark = masks.sparkSession
     tasks = 2 * spark.sparkContext.defaultParallelism
     blocks = rewritten(step_blocks(masks, gates, size, side))
-    small = blocks.count() * (side + 2) ** 2 <= SMALL_BYTES
+    moved = queries.where("sx <> gx OR sy <> gy")
+    if blocks.count() * (side + 2) ** 2 <= SMALL_BYTES:
+        return _solve_in_tasks(blocks, moved.select("query_id", "map_id", "sx", "sy", "gx", "gy"), side, size, 2 * tasks)
     place = ["query_id", "map_id", "gx", "gy", "x", "y"]
     none = F.lit(None).cast("long")
-    start = queries.where("sx <> gx OR sy <> gy").select("query_id", "map_id", "gx", "gy", F.col("sx").alias("x"), F.col("sy").alias("y"))
+    start = moved.select("query_id", "map_id", "gx", "gy", F.col("sx").alias("x"), F.col("sy").alias("y"))
     known = rewritten(start.withColumns({"d": F.lit(0).cast("long"), "from_x": none, "from_y": none, "step": F.lit(0)}))
     n = known.count()
     few = F.broadcast if n <= SMALL_ROWS else lambda df: df
@@ -254,11 +392,7 @@ def solve(masks: DataFrame, gates: DataFrame, queries: DataFrame, size: int, blo
 
     def beside_blocks(rows, lists):
         dealt = rows.select("map_id", _block_of("x", side).alias("bx"), _block_of("y", side).alias("by"), F.pmod(F.xxhash64("job"), F.lit(lists)).alias("list"), F.struct(*[c for c in rows.columns if c != "map_id"]).alias("row"))
-        # Few bytes, but long searches: tasks are not to be put together.
-        if small:
-            own = dealt.repartition(tasks, *_KEY, "list").groupBy(*_KEY, "list").agg(F.collect_list("row").alias("rows")).join(F.broadcast(blocks), _KEY)
-        else:
-            own = dealt.groupBy(*_KEY, "list").agg(F.collect_list("row").alias("rows")).join(blocks, _KEY).repartition(tasks, *_KEY, "list")
+        own = dealt.groupBy(*_KEY, "list").agg(F.collect_list("row").alias("rows")).join(blocks, _KEY).repartition(tasks, *_KEY, "list")
         return own.select(*_KEY, "rows", "steps")
 
     def best_of(labels):

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as G
-from gridloom.operators import borders, cells as C, graph, local, render
+from gridloom.operators import blocks, borders, cells as C, graph, local, render
 from gridloom.plans import paths
+from gridloom.plans.checkpoints import written
 from gridloom.sources import maps
 
 FIXTURES = {
@@ -232,3 +233,41 @@ def test_flat_searches_get_rows_of_bits(spark):
     for y, line in enumerate(rows):
         bits = "".join(f"{b:08b}" for b in found[y])
         assert bits.rstrip("0") == line.replace(".", "1").replace("@", "0").rstrip("0")
+
+
+def test_rounds_of_few_blocks_take_no_jobs(spark):
+    """Few bytes of blocks: a way over 16 blocks takes no more jobs than one over 2, but for a few that follow sizes."""
+    cells = maps.cells_from_lines(spark, ["." * 64, "@" * 60 + "....", "." * 64]).persist()
+    pre, jobs = paths.preprocess_exact(cells, 4), {}
+    for gx in (7, 63):
+        spark.sparkContext.setJobGroup(f"to {gx}", "blocks")
+        assert paths.abstract_paths(pre, query(spark, (0, 0), (gx, 0)), broadcast_edges=0, block=4).first()["cost"] == gx
+        jobs[gx] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"to {gx}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    cells.unpersist()
+    assert jobs[63] <= jobs[7] + 3
+
+
+@pytest.mark.parametrize("seed,width,height,size", [(0, 13, 9, 4), (1, 17, 23, 3)])
+def test_rounds_in_tasks_and_over_tables(spark, monkeypatch, seed, width, height, size):
+    """Two maps, walled and outer ends too; each way is one over the map."""
+    lines = {m: random_rows(f"{seed}{m}", width, height, 0.3) for m in "ab"}
+    cells = maps.cells_from_lines(spark, lines["a"], "a").unionByName(maps.cells_from_lines(spark, lines["b"], "b")).persist()
+    rng = random.Random(seed)
+    points = [(k, "ab"[k % 2], *(rng.randrange(n + (k == 0)) for n in (width, height, width, height))) for k in range(24)]
+    todo = spark.createDataFrame([*points, (24, "a", 0, 0, width + 90, 0), (25, "b", -1, 0, 1, 1), (26, "c", 0, 0, 1, 1)], "query_id long, map_id string, sx long, sy long, gx long, gy long")
+    for gates in (borders.border_pairs(cells, size), borders.entrances(cells, size)):
+        pre = paths.preprocess(cells, size, gates)
+        want = {r["query_id"]: r["cost"] for r in paths.abstract_paths(pre, todo).collect()}
+        for bound in (0, blocks.SMALL_BYTES):
+            monkeypatch.setattr(blocks, "SMALL_BYTES", bound)
+            ways = written(paths.abstract_paths(pre, todo, broadcast_edges=0, block=2 * size))
+            assert {r["query_id"]: r["cost"] for r in ways.collect()} == want
+            assert {r["query_id"]: len(r["path"]) - 1 for r in paths.refine(pre, ways).collect()} == want
+        monkeypatch.undo()
+    cells.unpersist()
+
+
+def test_rounds_over_tables_do_not_grow(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "SMALL_BYTES", 0)
+    test_rounds_of_blocks_do_not_grow(spark)
