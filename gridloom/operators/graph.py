@@ -105,6 +105,17 @@ class _Graph:
         return best, way[::-1]
 
 
+def _by_map(table: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sources, targets and weights of each map's edges. Names of maps stay codes: no object is made for an edge."""
+    coded = table["map_id"].combine_chunks().dictionary_encode()
+    of, column = coded.indices.to_numpy(), lambda c: table[c].to_numpy()
+    raw = {}
+    for k, map_id in enumerate(coded.dictionary.to_pylist()):
+        own = np.flatnonzero(of == k)
+        raw[map_id] = (np.stack([column("src_x")[own], column("src_y")[own]], axis=1), np.stack([column("dst_x")[own], column("dst_y")[own]], axis=1), column("weight")[own])
+    return raw
+
+
 def solve(edges: DataFrame, ends: DataFrame) -> DataFrame:
     """query_id, map_id, cost, nodes: the cheapest way for each query, or no row.
 
@@ -112,13 +123,7 @@ def solve(edges: DataFrame, ends: DataFrame) -> DataFrame:
     from nodes to the goal ('g'). Each query is a priority-queue search against a broadcast graph; the caller sees to it
     that there are at most BROADCAST_EDGES edges.
     """
-    table = edges.select("map_id", "src_x", "src_y", "dst_x", "dst_y", "weight").toArrow()
-    maps, of = np.unique(np.array(table["map_id"].to_pylist(), object), return_inverse=True) if table.num_rows else ([], np.zeros(0))
-    column = lambda c: table[c].to_numpy()
-    raw = {}
-    for k, map_id in enumerate(maps):
-        own = of == k
-        raw[map_id] = (np.stack([column("src_x")[own], column("src_y")[own]], axis=1), np.stack([column("dst_x")[own], column("dst_y")[own]], axis=1), column("weight")[own])
+    raw = _by_map(edges.select("map_id", "src_x", "src_y", "dst_x", "dst_y", "weight").toArrow())
     # At most BROADCAST_EDGES edges of 40 bytes.
     shared = edges.sparkSession.sparkContext.broadcast(raw)
     point = pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())]))

@@ -2,8 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import deque
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,3 +287,19 @@ def test_path_queries_sort_no_map(spark):
     assert {k: v for k, v in found.items() if k < 20} == {k: (*free[(1 + k * 397) % len(free)], *free[(53 + k * 911) % len(free)]) for k in range(20)}
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"row_number\(\) windowspecdefinition\(map_id#\d+, y#", plan) and "WindowGroupLimit" in plan
+
+
+def test_edges_go_to_the_driver_without_objects():
+    """The driver splits edges by map in a few times their bytes."""
+    n = 200_000
+    columns = {"map_id": ["a map with a name", "b"] * (n // 2), **{c: list(range(n)) for c in ("src_x", "src_y", "dst_x", "dst_y", "weight")}}
+    table = pa.concat_tables([pa.table({c: v[at : at + n // 2] for c, v in columns.items()}) for at in (0, n // 2)])
+    tracemalloc.start()
+    raw = graph._by_map(table)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2.5 * 40 * n
+    assert list(raw) == ["a map with a name", "b"]
+    for k, (source, target, weight) in enumerate(raw.values()):
+        assert (source[:, 0] == np.arange(k, n, 2)).all() and (target[:, 1] == source[:, 1]).all() and (weight == source[:, 0]).all()
+    assert graph._by_map(table.slice(0, 0)) == {}
