@@ -195,10 +195,11 @@ def flat_paths(cells: DataFrame, queries: DataFrame, heuristic: str = "manhattan
     return queries.groupBy("map_id", "part").cogroup(free.groupBy("map_id", "part")).applyInPandas(run, schema)
 
 
-def find_paths(cells: DataFrame, queries: DataFrame, size: int = 50, mode: str = "hier", heuristic: str = "manhattan", pre: Preprocessed | None = None) -> DataFrame:
+def find_paths(cells: DataFrame, queries: DataFrame, size: int = 50, mode: str = "hier", heuristic: str = "manhattan", pre: Preprocessed | None = None, with_path: bool = True) -> DataFrame:
     """query_id, map_id, success, cost, path_length (cells), path. mode: hier, exact or flat.
 
     Costs are steps. hier crosses tile borders at entrances only and may be longer than flat; exact crosses anywhere.
+    Without with_path the last two columns are left out, and abstract ways aren't refined to cells.
     """
     queries = queries.select("query_id", "map_id", "sx", "sy", "gx", "gy")
     if mode == "flat":
@@ -206,10 +207,13 @@ def find_paths(cells: DataFrame, queries: DataFrame, size: int = 50, mode: str =
     else:
         queries = written(queries)
         pre = pre or (preprocess_exact if mode == "exact" else preprocess)(cells, size)
-        ways = written(abstract_paths(pre, queries))
-        found = refine(pre, ways).join(ways.select("query_id", "map_id", "cost"), ["query_id", "map_id"])
+        found = abstract_paths(pre, queries)
+        if with_path:
+            ways = written(found)
+            found = refine(pre, ways).join(ways.select("query_id", "map_id", "cost"), ["query_id", "map_id"])
     out = queries.join(found, ["query_id", "map_id"], "left")
-    return out.select("query_id", "map_id", F.col("cost").isNotNull().alias("success"), "cost", F.size("path").cast("long").alias("path_length"), "path")
+    path = [F.size("path").cast("long").alias("path_length"), "path"] if with_path else []
+    return out.select("query_id", "map_id", F.col("cost").isNotNull().alias("success"), "cost", *path)
 
 
 def path_rows(paths: DataFrame) -> DataFrame:

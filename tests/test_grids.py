@@ -303,3 +303,20 @@ def test_edges_go_to_the_driver_without_objects():
     for k, (source, target, weight) in enumerate(raw.values()):
         assert (source[:, 0] == np.arange(k, n, 2)).all() and (target[:, 1] == source[:, 1]).all() and (weight == source[:, 0]).all()
     assert graph._by_map(table.slice(0, 0)) == {}
+
+
+def test_costs_need_no_refined_paths(spark, monkeypatch):
+    """exact_path_cost over a small grid: no abstract way is refined to cells, and costs are those of paths."""
+    rows = random_rows(4, 23, 17, 0.3)
+    cells = maps.cells_from_lines(spark, rows).persist()
+    todo = written(registry.path_queries(cells, 5))
+    want = {(r["query_id"], r["success"], r["cost"]) for r in paths.find_paths(cells, todo, 5, "exact").collect()}
+    monkeypatch.setattr(registry, "_grid", lambda spark, d: cells)
+    monkeypatch.setattr(registry, "SIZE", 5)
+    monkeypatch.setattr(paths, "refine", lambda *a: pytest.fail("refined"))
+    for mode in ("exact", "flat"):
+        found = paths.find_paths(cells, todo, 5, mode, with_path=False)
+        assert found.columns == ["query_id", "map_id", "success", "cost"]
+        assert {(r["query_id"], r["success"], r["cost"]) for r in found.collect()} == want
+    assert registry.exact_path_cost(spark, "").count() == len(want) == 24
+    cells.unpersist()
