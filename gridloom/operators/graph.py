@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.borders import EDGE, both_ways, upsert
+from gridloom.plans.checkpoints import collected
 
 __all__ = ["add_edges", "add_nodes", "both_ways", "degree", "edge_lookup", "expand", "node_count", "node_lookup", "solve", "upsert"]
 
@@ -123,7 +124,7 @@ def solve(edges: DataFrame, ends: DataFrame) -> DataFrame:
     from nodes to the goal ('g'). Each query is a priority-queue search against a broadcast graph; the caller sees to it
     that there are at most BROADCAST_EDGES edges.
     """
-    raw = _by_map(edges.select("map_id", "src_x", "src_y", "dst_x", "dst_y", "weight").toArrow())
+    raw = _by_map(collected(edges.select("map_id", "src_x", "src_y", "dst_x", "dst_y", "weight")))
     # At most BROADCAST_EDGES edges of 40 bytes.
     shared = edges.sparkSession.sparkContext.broadcast(raw)
     point = pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,3 +49,14 @@ def bounded_batches(spark: SparkSession) -> None:
     now = spark.conf.get(name, None)
     if now is None or not str(now).isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
+
+
+def collected(df: DataFrame) -> pa.Table:
+    """All rows in the driver, on their way compressed: else the bytes of large tables make its heap grow, and it stays so."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.compression.codec"
+    before = conf.get(name, "none")
+    conf.set(name, "zstd")
+    try:
+        return df.toArrow()
+    finally:
+        conf.set(name, before)

@@ -47,9 +47,10 @@ def preprocess(cells: DataFrame, size: int, gates: DataFrame | None = None) -> P
     gates = written(borders.entrances(cells, size) if gates is None else gates)
     nodes = written(borders.abstract_nodes(gates, size))
     masks = written(local.tile_masks(cells, size, nodes))
-    # As many as if all nodes of a tile reached each other.
-    n = nodes.groupBy("map_id", "cx", "cy").count().agg(F.sum(F.expr("count * (count - 1)"))).first()[0] or 0
-    pre = Preprocessed(cells, size, gates, nodes, masks, n + 2 * gates.count())
+    # As many as if all nodes of a tile reached each other, and two for each entrance.
+    inside = nodes.groupBy("map_id", "cx", "cy").count().select(F.expr("count * (count - 1)").alias("n"))
+    most = inside.unionByName(gates.select(F.lit(2).cast("long").alias("n"))).agg(F.sum("n")).first()[0] or 0
+    pre = Preprocessed(cells, size, gates, nodes, masks, most)
     if pre.most_edges <= graph.BROADCAST_EDGES:
         pre.edges  # noqa: B018
     return pre

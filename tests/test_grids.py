@@ -320,3 +320,33 @@ def test_costs_need_no_refined_paths(spark, monkeypatch):
         assert {(r["query_id"], r["success"], r["cost"]) for r in found.collect()} == want
     assert registry.exact_path_cost(spark, "").count() == len(want) == 24
     cells.unpersist()
+
+
+def test_path_lengths_write_what_is_read_again(spark, monkeypatch):
+    """Paths are read once, so path_lengths writes only the cells itself; the bound of edges takes one action."""
+    cells = maps.cells_from_lines(spark, random_rows(6, 17, 13, 0.2)).persist()
+    gates, tables = written(borders.entrances(cells, 5)), []
+    in_tiles = borders.abstract_nodes(gates, 5).groupBy("cx", "cy").count().collect()
+    want = sum(r["count"] * (r["count"] - 1) for r in in_tiles) + 2 * len(gates.collect())
+    with monkeypatch.context() as m:
+        m.setattr(type(cells), "count", lambda df: pytest.fail("counted alone"))
+        assert paths.preprocess(cells, 5, gates).most_edges == want > 0
+    monkeypatch.setattr(registry, "_grid", lambda spark, d: cells)
+    monkeypatch.setattr(registry, "written", lambda df: tables.append(df) or written(df))
+    todo = registry.path_queries(cells)
+    costs = {r["query_id"]: r["cost"] for r in paths.find_paths(cells, todo, registry.SIZE).collect() if r["success"]}
+    assert {r["query_id"]: r["n_steps"] for r in registry.path_lengths(spark, "").collect()} == costs
+    assert len(tables) == 1
+    cells.unpersist()
+
+
+def test_edges_come_to_the_driver_compressed(spark, monkeypatch):
+    """Small buffers of Arrow come through whole, and the session's setting stays."""
+    name, seen, plain = "spark.sql.execution.arrow.compression.codec", [], type(spark.range(0)).toArrow
+    before = spark.conf.get(name)
+    monkeypatch.setattr(type(spark.range(0)), "toArrow", lambda df: seen.append(df.sparkSession.conf.get(name)) or plain(df))
+    rows = random_rows(8, 14, 9, 0.2)
+    free = [(x, y) for y in range(9) for x in range(14) if rows[y][x] == "."]
+    found = paths.find_paths(maps.cells_from_lines(spark, rows), query(spark, free[0], free[-1]), 4, "exact", with_path=False).first()
+    assert found["cost"] == distances(rows, free[0]).get(free[-1])
+    assert seen == ["zstd"] and spark.conf.get(name) == before
