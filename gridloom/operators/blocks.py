@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.geometry import STEPS
-from gridloom.plans.checkpoints import bounded_batches, rewritten, written
+from gridloom.plans.checkpoints import bounded_batches, released, rewritten, written
 
 #: Cells a side of a block, and how many queries a task gets with a block at most.
 BLOCK, BLOCK_QUERIES = 512, 64
@@ -324,6 +324,8 @@ def _solve_in_tasks(blocks: DataFrame, start: DataFrame, side: int, size: int, t
     own = {m: np.flatnonzero(of == m) for m in set(of.tolist())}
     raw = {m: _Blocks(table["bx"].to_numpy()[k], table["by"].to_numpy()[k], [steps[i] for i in k.tolist()], side) for m, k in own.items()}
     shared = blocks.sparkSession.sparkContext.broadcast(raw)
+    del table, steps, raw
+    released(blocks.sparkSession)
     names = ["query_id", "map_id", "cost", "nodes"]
 
     def run(batches):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.borders import EDGE, both_ways, upsert
-from gridloom.plans.checkpoints import collected
+from gridloom.plans.checkpoints import collected, released
 
 __all__ = ["add_edges", "add_nodes", "both_ways", "degree", "edge_lookup", "expand", "node_count", "node_lookup", "solve", "upsert"]
 
@@ -127,6 +127,8 @@ def solve(edges: DataFrame, ends: DataFrame) -> DataFrame:
     raw = _by_map(collected(edges.select("map_id", "src_x", "src_y", "dst_x", "dst_y", "weight")))
     # At most BROADCAST_EDGES edges of 40 bytes.
     shared = edges.sparkSession.sparkContext.broadcast(raw)
+    del raw
+    released(edges.sparkSession)
     point = pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())]))
 
     def run(batches):

@@ -1,19 +1,23 @@
 """Golden fixtures and invariants of grids, borders and paths."""
 
+import ctypes
 import random
 import re
 import tracemalloc
 from collections import deque
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from py4j.protocol import Py4JError
 from pyspark.sql import functions as F
 
 from gridloom import registry
 from gridloom.functions import geometry as G
 from gridloom.operators import blocks, borders, cells as C, graph, local, render
-from gridloom.plans import paths
+from gridloom.plans import checkpoints, paths
 from gridloom.plans.checkpoints import written
 from gridloom.sources import maps
 
@@ -350,3 +354,42 @@ def test_edges_come_to_the_driver_compressed(spark, monkeypatch):
     found = paths.find_paths(maps.cells_from_lines(spark, rows), query(spark, free[0], free[-1]), 4, "exact", with_path=False).first()
     assert found["cost"] == distances(rows, free[0]).get(free[-1])
     assert seen == ["zstd"] and spark.conf.get(name) == before
+
+
+def test_freed_memory_goes_back(spark):
+    """Python's memory that lies under a block in use, and whatever the JVM finds; a JVM without the command says nothing."""
+    libc = ctypes.CDLL(None)
+    libc.malloc.restype, libc.malloc.argtypes, libc.free.argtypes, libc.memset.argtypes = ctypes.c_void_p, [ctypes.c_size_t], [ctypes.c_void_p], [ctypes.c_void_p, ctypes.c_int, ctypes.c_size_t]
+    held = lambda: int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]) >> 10
+    taken = [libc.malloc(1 << 16) for _ in range(2000)]
+    for at in taken:
+        libc.memset(at, 1, 1 << 16)
+    for at in taken[:-1]:
+        libc.free(at)
+    before, said = held(), checkpoints.released(spark)
+    assert held() < before - 100
+    libc.free(taken[-1])
+    assert said.startswith("Trim native heap")
+    assert checkpoints.released(SimpleNamespace(sparkContext=SimpleNamespace(_jvm=spark._jvm, _gateway=SimpleNamespace(new_array=raised)))) is None
+
+
+def raised(*_):
+    raise Py4JError("no such command")
+
+
+def test_path_lengths_give_back_memory_after_each_table(spark, monkeypatch):
+    """Also after edges or blocks, which the driver holds for a while; results stay."""
+    cells, log = maps.cells_from_lines(spark, random_rows(9, 17, 13, 0.2)).persist(), []
+    kind, lengths = type(cells), lambda: {tuple(r) for r in registry.path_lengths(spark, "").collect()}
+    monkeypatch.setattr(registry, "_grid", lambda spark, d: cells)
+    want = lengths()
+    for name in ("checkpoint", "toArrow"):
+        monkeypatch.setattr(kind, name, lambda df, *a, f=getattr(kind, name), name=name, **b: log.append(name) or f(df, *a, **b))
+    for module in (checkpoints, graph, blocks):
+        monkeypatch.setattr(module, "released", lambda spark: log.append("released"))
+    assert lengths() == want != set()
+    abstract = paths.abstract_paths
+    monkeypatch.setattr(paths, "abstract_paths", lambda pre, todo: abstract(pre, todo, broadcast_edges=0))
+    assert lengths() == want
+    assert log[1::2] == ["released"] * (len(log) // 2) and log[::2].count("toArrow") == 2 and "released" not in log[::2]
+    cells.unpersist()
